@@ -14,12 +14,24 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklight.llm import sharding
+
+    return sharding.shard(table(spark, sf_dir, "documents"), scratch=Scratch(spark))
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklight.llm import licenses
 
     return licenses.scan(table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklight.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "score", "accepted")
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklight.llm import secrets
 
@@ -32,17 +44,40 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklight.llm import ngram_join
+
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark)).drop("text_hash")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklight.llm import decontamination
+
+    found = decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("leaked"), F.col("leaks.item_id").alias("items"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklight.llm import bpe
 
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklight.llm import ann
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklight.llm import toxicity
 
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "offending")
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scans, op4_secret_scans, op5_substring_dedup, op8_byte_bpe, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_license_scans, op3_quality_classifier, op4_secret_scans, op5_substring_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_byte_bpe, op9_nearest_neighbours, op10_toxicity)
+}
 ORACLE: dict[str, str] = {}
