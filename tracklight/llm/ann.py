@@ -2,7 +2,7 @@
 
 Vectors are scaled to length one, so that the nearest by cosine are the nearest by distance. Each of PROJECTIONS random
 directions gives each vector one number, and each block of vectors keeps those numbers in sorted arrays. A query's window
-lies around its own number and is doubled step by step (virtual rehashing, no array is built twice); a vector that is
+lies around its own number and is widened step by step (virtual rehashing, no array is built twice); a vector that is
 inside the windows of at least THRESHOLD of the directions collides often enough to be verified by its exact cosine in
 double precision. Windows stop growing once a block has verified LEAST vectors and SHARE of its own rows, or all.
 
@@ -22,7 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, THRESHOLD, LEAST, SHARE = 32, 0.62, 120, 0.03
+PROJECTIONS, THRESHOLD, LEAST, SHARE = 64, 0.75, 200, 0.2
+#: The first half-width of a window, and the factor by which it grows; numbers of unit vectors spread with deviation 1.
+HALF, GROWTH = 0.7, 1.2
 BLOCK, QUERY_BLOCK = 4096, 1024
 SEED = 20_240_607
 
@@ -50,12 +52,12 @@ class Arrays:
     def nearest(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
         length = np.sqrt(query @ query)
         at, n = (query / length) @ self.directions, len(self.ids)
-        want, half = min(n, max(LEAST, int(SHARE * n)) + k), 0.1
+        want, half = min(n, max(LEAST, int(SHARE * n)) + k), HALF
         while True:
             found = np.flatnonzero(self.collisions(at, half) >= THRESHOLD * PROJECTIONS)
             if len(found) >= want or half > 1e3:
                 break
-            half *= 2 if not len(found) else 1.3
+            half *= GROWTH
         if len(found) < want:
             found = np.arange(n)
         found = found[self.ids[found] != own]
