@@ -2,7 +2,8 @@
 
 A sentence's logit is a bias plus the weights of its words and of their first four and five letters; the probabilities of
 a document's sentences are combined by noisy-or, 1 - prod(1 - p). Weights are learned from document labels only, by
-gradient descent on the noisy-or likelihood, over a bounded sample of labelled rows (TRAIN_EACH rows of each label, of at
+gradient descent on the noisy-or likelihood: a pass with a strong L1 penalty chooses features, a second one weighs those
+freely, so that a long clean document doesn't add up to a toxic one. Both use a bounded sample of labelled rows (TRAIN_EACH rows of each label, of at
 most TRAIN_CHARS characters each; the only bounds, and for fitting alone). Every document is scored on its whole text;
 lang, source and doc_id are no inputs of a score.
 
@@ -28,7 +29,9 @@ EMPTY = 1e-6
 #: Sentences end at these.
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
-ROUNDS, RATE, DECAY, START = 80, 0.25, 2e-4, -6.0
+RATE = 0.1
+#: Steps, bias at the start, its rate and the L1 penalty: first to choose the features, then to weigh those of at least CHOSEN.
+CHOOSE, WEIGH, CHOSEN = (120, -5.0, 0.05, 1e-3), (150, -10.0, 0.02, 1e-5), 0.3
 
 
 def features(word: str) -> list[int]:
@@ -79,33 +82,44 @@ def training_rows(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH, ch
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     rows = map_rows(training_rows(docs, labels).select("y", "text"), "y int, ids binary, ends binary", lambda: _bags).collect()
-    weights, bias = np.zeros(1 << BITS), START
+    weights = np.zeros(1 << BITS)
     y = np.array([r.y for r in rows], float)
     if not len(rows) or y.min() == y.max():
-        return Scorer(weights, bias)
+        return Scorer(weights, WEIGH[1])
     bags = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.ends, np.int32)) for r in rows]
     kept = [k for k, b in enumerate(bags) if len(b[0])]
     y, bags = y[kept], [bags[k] for k in kept]
+    if not bags:
+        return Scorer(weights, WEIGH[1])
+    chosen, _ = _descend(weights, np.ones(len(weights)), y, bags, *CHOOSE)
+    mask = (chosen > CHOSEN).astype(float)
+    return Scorer(*_descend(chosen * mask, mask, y, bags, *WEIGH))
+
+
+def _descend(weights: np.ndarray, mask: np.ndarray, y: np.ndarray, bags: list, steps: int, bias: float, bias_rate: float, penalty: float) -> tuple[np.ndarray, float]:
+    """Adam steps on the noisy-or likelihood, both labels weighing the same; the penalty pulls weights to zero."""
     ids = np.concatenate([b[0] for b in bags])
     n_sent = np.array([len(b[1]) for b in bags])
     per = np.concatenate([np.diff(b[1], prepend=0) for b in bags])
     sent_of = np.repeat(np.arange(len(per)), per)
     doc_of = np.repeat(np.arange(len(bags)), n_sent)
     balance = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    first, second, bias_m = np.zeros_like(weights), np.zeros_like(weights), [0.0, 0.0]
-    for step in range(1, ROUNDS + 1):
+    first, second, bias_first, bias_second = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
+    for step in range(1, steps + 1):
         z = bias + np.bincount(sent_of, weights[ids], len(per))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
         slope = np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0) * balance
         dz = slope[doc_of] * p / len(y)
-        g = np.bincount(ids, dz[sent_of], len(weights)) + DECAY * weights
+        g, b = np.bincount(ids, dz[sent_of], len(weights)), dz.sum()
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        weights -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-5)
-        b = dz.sum()
-        bias_m = [0.9 * bias_m[0] + 0.1 * b, 0.99 * bias_m[1] + 0.01 * b * b]
-        bias -= 0.05 * (bias_m[0] / (1 - 0.9**step)) / (np.sqrt(bias_m[1] / (1 - 0.99**step)) + 1e-8)
-    return Scorer(weights, float(bias))
+        bias_first, bias_second = 0.9 * bias_first + 0.1 * b, 0.99 * bias_second + 0.01 * b * b
+        new, old = 1 - 0.9**step, 1 - 0.99**step
+        reach = RATE / (np.sqrt(second / old) + 1e-4)
+        weights = weights - reach * first / new
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - reach * penalty, 0) * mask
+        bias -= bias_rate * (bias_first / new) / (np.sqrt(bias_second / old) + 1e-8)
+    return weights, float(bias)
 
 
 def _bags(cols: dict[str, list]) -> dict[str, list]:
