@@ -10,8 +10,8 @@ documents is no hot key there; the join of places with repeated spans may split
 
 Null texts stay null and empty ones empty. Texts without a whole span are left alone. Rows with equal doc_id and text are
 copies as any others: spans at the same place of rows with one doc_id count as one place, so such rows stay alike. Rows
-with a null doc_id keep their text and serve as nobody's first place. Extra columns are kept; text, n_removed and
-removed_spans are set here.
+with a null doc_id keep their text and serve as nobody's first place. Extra columns are kept, but ones named n_removed,
+removed_spans or covered are dropped or replaced.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def repeated_places(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id and covered (array of struct(position, length)): the places of repeated spans, but for each span's first."""
     places = scratch.save(span_places(docs), "places")
     first = places.groupBy("span").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.max(F.struct("doc_id", "position")).alias("last"))
-    again = first.where("first != last").select("span", F.col("first.doc_id").alias("first_doc"), F.col("first.position").alias("first_position"))
+    again = scratch.save(first.where("first != last").select("span", F.col("first.doc_id").alias("first_doc"), F.col("first.position").alias("first_position")), "repeated")
     other = places.join(again, "span").where("doc_id != first_doc or position != first_position")
     return scratch.save(other.groupBy("doc_id").agg(F.collect_set(F.struct("position", "length")).alias("covered")), "covered")
 
