@@ -48,18 +48,37 @@ def number(word: str) -> int:
     return zlib.crc32(word.encode()) & (FEATURES - 1)
 
 
-def common_subsequence(a: list, b: list) -> int:
-    """The length of the longest one, with a column of the table in the bits of a number."""
-    places: dict = {}
+def places_of(a: list) -> dict:
+    """For each word of a, a number with a bit for each of its places."""
+    out: dict = {}
     for k, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << k
+        out[x] = out.get(x, 0) | 1 << k
+    return out
+
+
+def common_subsequence(a: list, b: list, places: dict | None = None, least: float = 0) -> int:
+    """The length of the longest one, with a column of the table in the bits of a number; 0 if fewer than `least` words of b are in a."""
+    places = places_of(a) if places is None else places
+    held = [places[y] for y in b if y in places]
+    if len(held) < least:
+        return 0
     row = full = (1 << len(a)) - 1
-    for y in b:
-        match = row & places.get(y, 0)
+    for h in held:
+        match = row & h
         row = ((row + match) | (row - match)) & full
     return len(a) - row.bit_count()
 
 
+class Numbers(dict):
+    """Numbers of words met, forgotten when there are many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = out = number(word)
+        return out
+
+
 def answer(text: str) -> list[str]:
     """The words of the last sentence of at least three words; else the last eight."""
     for s in reversed(re.split(r"[.!?\n]+", text)):
@@ -145,6 +164,7 @@ class Items:
 
     ids: list[int] = field(default_factory=list)
     words: list[list[str]] = field(default_factory=list)
+    places: list[dict] = field(default_factory=list)
     answers: list[list[str]] = field(default_factory=list)
     groups: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
@@ -164,6 +184,7 @@ class Items:
             own.setdefault(window, []).append((len(out.ids), v / length / bound))
             out.ids.append(r.item_id)
             out.words.append(w)
+            out.places.append(places_of(w))
             out.answers.append(answer(r.text))
         out.groups = {n: (np.array([k for k, _ in x]), np.array([v for _, v in x], np.float32).T) for n, x in own.items()}
         return out
@@ -173,29 +194,22 @@ class Finder:
     def __init__(self, space: Space, items: Items) -> None:
         self.items = items
         used = np.flatnonzero(np.abs(space.vectors).sum(1) * space.idf)
-        self.row = {int(f): k for k, f in enumerate(used)}
+        self.row = np.full(FEATURES, -1)
+        self.row[used] = np.arange(len(used))
         self.latent = space.vectors[used] * space.idf[used, None].astype(np.float32)
-        self.idf, self.memo = space.idf, {}
-
-    def _word(self, word: str) -> tuple[int, float]:
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        f = number(word)
-        self.memo[word] = out = (self.row.get(f, -1), float(self.idf[f]) ** 2)
-        return out
+        self.energy, self.numbers = space.idf**2, Numbers()
 
     def leaks(self, text: str) -> list[dict]:
         """item_id, the cosine as a share of a verbatim copy's, and the common subsequence, of each passage in the text, once."""
         w = words(text)
         if not w or not self.items.ids:
             return []
-        memo = self.memo
-        looked = [memo[x] if x in memo else self._word(x) for x in w]
-        rows = np.array([x[0] for x in looked])
+        f = np.fromiter(map(self.numbers.__getitem__, w), np.int64, len(w))
+        rows = self.row[f]
         at = np.flatnonzero(rows >= 0)
         if not len(at):
             return []
-        energy = np.concatenate([[0.0], np.cumsum([x[1] for x in looked])])
+        energy = np.concatenate([[0.0], np.cumsum(self.energy[f])])
         sums = np.concatenate([np.zeros((1, self.latent.shape[1]), np.float32), np.cumsum(self.latent[rows[at]], 0, dtype=np.float64).astype(np.float32)])
         best: dict[int, dict] = {}
         for n, (index, latent) in self.items.groups.items():
@@ -211,10 +225,10 @@ class Finder:
         return [best[k] for k in sorted(best)]
 
     def _verify(self, w: list[str], start: int, end: int, n: int, i: int, share: float, best: dict[int, dict]) -> None:
-        own = self.items.words[i]
+        own, places = self.items.words[i], self.items.places[i]
         reach = max(n // 2, len(own) - (end - start) // 2)
         near = w[max(0, start - reach) : end + reach]
-        common = common_subsequence(own, near) / len(own)
+        common = common_subsequence(own, near, places, HALF * len(own)) / len(own)
         if common >= ALL or common >= HALF and common_subsequence(self.items.answers[i], near) >= ANSWER * len(self.items.answers[i]):
             item_id = self.items.ids[i]
             if item_id not in best or best[item_id]["common"] < common:
