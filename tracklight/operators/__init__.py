@@ -1,0 +1 @@
+"""Relational operators on ordered lists, listening history, mappings and playlists."""

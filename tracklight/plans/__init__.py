@@ -1,0 +1 @@
+"""Ordered lists and the pipelines compiled to them."""

@@ -1,0 +1 @@
+"""Tables, imports and sinks."""

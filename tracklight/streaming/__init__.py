@@ -1,0 +1 @@
+"""Polling policy and incremental projection."""
