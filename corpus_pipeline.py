@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracklight.llm import bpe, common, decontamination, ngram_join, quality, secrets
 from tracklight.llm.queries import vocabulary
@@ -34,9 +33,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and whether they decode to the bytes of its text."""
-    encoded = bpe.encode(docs, vocabulary()).withColumnRenamed("text", "original")
-    back = F.coalesce(F.decode("bytes", "UTF-8"), F.lit("")) == F.coalesce("original", F.lit(""))
-    return bpe.decode(encoded, vocabulary()).select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), back.alias("decodes"))
+    return bpe.encode_checked(docs, vocabulary()).select("doc_id", "lang", "source", "n_chars", "ids", "n_tokens", "decodes")
 
 
 STAGES = [

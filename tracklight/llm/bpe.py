@@ -18,7 +18,7 @@ import hashlib
 import os
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField
 
 from tracklight.llm.common import add_columns, chunks
 
@@ -113,6 +113,17 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return add_columns(rows, [StructField("bytes", BinaryType()), StructField("text", StringType())], task, "ids")
 
 
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """Adds ids, n_tokens, and decodes: whether the ids decode to the bytes of the text."""
+
+    def rows(own: Codec, part: list[str]):
+        for text, ids in zip(part, own.encode(part), strict=True):
+            yield ids, len(ids), own.decode(ids) == text.encode()
+
+    more = [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("decodes", BooleanType())]
+    return add_columns(docs, more, _each(path, rows))
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per document: n_tokens, ids_sha256 of the decimal ids joined by a space, decoded_sha256 of the bytes that the ids decode to."""
 

@@ -64,8 +64,18 @@ def release() -> None:
         OPEN.pop().drop()
 
 
+#: Rows that a task holds as Python values at once.
+SLICE = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
-    """Applies make()'s function to the columns of each Arrow batch, as lists; make runs once in each task."""
+    """Applies make()'s function to the columns of each slice of an Arrow batch, as lists; make runs once in each task."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -73,10 +83,9 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = one({n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kind], schema=kind)
+        for part in slices(batches):
+            out = one({n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)})
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kind], schema=kind)
 
     return df.mapInArrow(run, schema)
 
@@ -145,9 +154,9 @@ def add_columns(docs: DataFrame, more: list, make: Callable[[], Callable[[list],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for batch in batches:
-            rows = one(batch.column(at).to_pylist())
+        for part in slices(batches):
+            rows = one(part.column(at).to_pylist())
             extra = [pa.array([r[k] for r in rows], type=kind.field(n + k).type) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).cast(kind.field(k).type) for k in range(n)], *extra], schema=kind)
+            yield pa.RecordBatch.from_arrays([*[part.column(k).cast(kind.field(k).type) for k in range(n)], *extra], schema=kind)
 
     return kept.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import NEAR, Scratch, map_rows, mix, shingles
+from tracklight.llm.common import NEAR, Scratch, map_rows, mix, shingles, slices
 
 COORDINATES, RUNS, BUCKET, DEPTH, BLOCK = 64, 12, 96, 10, 256
 #: Share of equal coordinates below which no pair of similarity NEAR lies: five standard deviations less.
@@ -130,7 +130,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """The rows of each task, from rows sorted by path, a and b."""
     held: dict[str, list] = {}
     last = None
-    for batch in batches:
+    for batch in slices(batches):
         cols = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
         keys = list(zip(cols["path"], cols["a"], cols["b"], strict=True))
         start = 0
