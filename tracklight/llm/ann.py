@@ -42,28 +42,33 @@ class Arrays:
         self.vectors = vectors
         self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
         values = ((vectors / self.norms[:, None]) @ self.directions).T
-        self.order = np.argsort(values, axis=1, kind="stable")
+        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(values, self.order, 1)
 
-    def collisions(self, at: np.ndarray, half: float) -> np.ndarray:
-        parts = [self.order[j, np.searchsorted(self.sorted[j], at[j] - half) : np.searchsorted(self.sorted[j], at[j] + half, "right")] for j in range(PROJECTIONS)]
-        return np.bincount(np.concatenate(parts), minlength=len(self.ids))
-
-    def nearest(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
-        length = np.sqrt(query @ query)
-        at, n = (query / length) @ self.directions, len(self.ids)
+    def nearest(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """(query's id, vector's id, cosine) of up to k vectors for each query. All queries' windows widen in step, and each step counts only what is new in them."""
+        lengths, n = np.sqrt((queries * queries).sum(1)), len(self.ids)
+        at = ((queries / lengths[:, None]) @ self.directions).T
         want, half = min(n, max(LEAST, int(SHARE * n)) + k), HALF
-        while True:
-            found = np.flatnonzero(self.collisions(at, half) >= THRESHOLD * PROJECTIONS)
-            if len(found) >= want or half > 1e3:
-                break
-            half *= GROWTH
-        if len(found) < want:
-            found = np.arange(n)
-        found = found[self.ids[found] != own]
-        cosines = (self.vectors[found] @ query) / (self.norms[found] * length)
-        best = np.lexsort((self.ids[found], -cosines))[:k]
-        return [(int(self.ids[found[b]]), float(cosines[b])) for b in best]
+        counts = np.zeros((len(queries), n), np.uint8)
+        low = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at, strict=True)])
+        high, out, active = low.copy(), [], np.arange(len(queries))
+        while len(active):
+            new_low = np.array([np.searchsorted(s, a[active] - half) for s, a in zip(self.sorted, at, strict=True)])
+            new_high = np.array([np.searchsorted(s, a[active] + half, "right") for s, a in zip(self.sorted, at, strict=True)])
+            for m, q in enumerate(active):
+                rings = [o[a:b] for o, a, b in zip(self.order, new_low[:, m], low[:, q], strict=True)]
+                rings += [o[a:b] for o, a, b in zip(self.order, high[:, q], new_high[:, m], strict=True)]
+                counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.uint8)
+            low[:, active], high[:, active] = new_low, new_high
+            enough = (counts[active] >= THRESHOLD * PROJECTIONS).sum(1) >= want
+            for q in active[enough]:
+                found = np.flatnonzero(counts[q] >= THRESHOLD * PROJECTIONS)
+                found = found[self.ids[found] != own[q]]
+                cosines = (self.vectors[found] @ queries[q]) / (self.norms[found] * lengths[q])
+                out += [(int(own[q]), int(self.ids[found[b]]), float(cosines[b])) for b in np.lexsort((self.ids[found], -cosines))[:k]]
+            active, half = active[~enough], half * GROWTH
+        return out
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -81,9 +86,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
         out = []
         data, ask = pdf[~pdf.asks], pdf[pdf.asks].sort_values("vec_id")
         if len(data) and len(ask):
-            own = Arrays(data.vec_id.to_numpy(), np.array(data.v.tolist(), float))
-            for query_id, v in zip(ask.vec_id, ask.v, strict=True):
-                out += [(query_id, vec_id, score) for vec_id, score in own.nearest(query_id, np.asarray(v, float), k)]
+            out = Arrays(data.vec_id.to_numpy(), np.array(data.v.tolist(), float)).nearest(ask.vec_id.to_numpy(), np.array(ask.v.tolist(), float), k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = both.groupBy("block", "query_block", "dimension").applyInPandas(pair, "query_id long, vec_id long, score double")
