@@ -80,4 +80,28 @@ QUERIES = {
     f.__name__: f
     for f in (op1_sharding, op2_license_scans, op3_quality_classifier, op4_secret_scans, op5_substring_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_byte_bpe, op9_nearest_neighbours, op10_toxicity)
 }
-ORACLE: dict[str, str] = {}
+
+
+def license_sql() -> str:
+    """The canonical form, whole and by line, and the lookup of its digest, in the other engine's SQL."""
+    from tracklight.llm import licenses
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def form(text: str) -> str:
+        out = f"lower({text})"
+        for old, new in licenses.SPELLINGS:
+            out = f"replace({out}, {quoted(old)}, {quoted(new)})"
+        return f"regexp_replace(regexp_replace({out}, {quoted(licenses.COPYRIGHT_LINE)}, '', 'g'), '[^a-z0-9\\n]+', ' ', 'g')"
+
+    whole = lambda f: f"md5(trim(regexp_replace({f}, '[ \\n]+', ' ', 'g')))"
+    known = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in licenses.KNOWN)
+    return f"""with known as (select distinct {whole(form("text"))} as digest, license from (values {known}) v(license, text)),
+        forms as (select doc_id, row_number() over () as r, {form("coalesce(text, '')")} as form from documents),
+        lines as (select distinct r, md5(line) as digest from (select r, trim(unnest(string_split(form, chr(10)))) as line from forms) z where line <> ''),
+        found as (select l.r, string_agg(distinct k.license, ',' order by k.license) as notices from lines l join known k on k.digest = l.digest group by l.r)
+        select f.doc_id, {whole("f.form")} as digest, (select min(license) from known k where k.digest = {whole("f.form")}) as license, coalesce(n.notices, '') as notices
+        from forms f left join found n on n.r = f.r"""
+
+
+ORACLE: dict[str, str] = {"op2_license_scans": license_sql()}
