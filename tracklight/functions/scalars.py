@@ -95,7 +95,8 @@ def release_date(value: Column) -> Column:
 
 def lenient_time(value: Column) -> Column:
     """A time from ISO text or text of epoch seconds, else null."""
-    return F.coalesce(F.try_to_timestamp(value), F.timestamp_seconds(value.try_cast("double")))
+    number = value.try_cast("double")  # first: the JVM would read four digits as a year
+    return F.when(number.isNotNull(), F.timestamp_seconds(number)).otherwise(F.try_to_timestamp(value))
 
 
 def moment(value: str | dt.datetime | None) -> dt.datetime | None:

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklight.operators.grouped import per_group
+
 
 def occurrences(rows: DataFrame, by: str = "turn") -> DataFrame:
     return rows.withColumn(by, F.row_number().over(Window.partitionBy("playlist_id", "track_id").orderBy("position")))
@@ -73,15 +74,14 @@ def pairing(current: DataFrame, target: DataFrame) -> DataFrame:
 def moves(current: DataFrame, target: DataFrame, compat: bool = False) -> DataFrame:
     """playlist_id, track_id, old_position and position of the slots outside a longest run that keeps its order. The run is looked for in the target's order, which gives the fewest moves; compat puts slots that match directly first."""
 
-    def outside(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(["direct", "target_position"], ascending=[False, True]) if compat else pdf.sort_values("target_position")
-        keep = set(longest_increasing(own.current_position.tolist()))
-        own = own.iloc[[k for k in range(len(own)) if k not in keep]]
-        return own[["playlist_id", "track_id", "current_position", "target_position"]]
+    def outside(rows: list) -> list[tuple]:
+        keep = set(longest_increasing([r.current_position for r in rows]))
+        return [(r.playlist_id, r.track_id, r.current_position, r.target_position) for k, r in enumerate(rows) if k not in keep]
 
     kinds = {f.name: f.dataType.simpleString() for f in current.schema}
     schema = f"playlist_id {kinds['playlist_id']}, track_id {kinds['track_id']}, current_position {kinds['position']}, target_position {kinds['position']}"
-    found = pairing(current, target).groupBy("playlist_id").applyInPandas(outside, schema)
+    found = pairing(current, target).withColumn("first", F.when(F.col("direct") & F.lit(compat), 0).otherwise(1)).drop("direct")
+    found = per_group(found, ["playlist_id"], ["first", "target_position"], outside, schema)
     return found.select("playlist_id", "track_id", F.col("current_position").alias("old_position"), F.col("target_position").alias("position"))
 
 

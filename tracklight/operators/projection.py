@@ -13,12 +13,12 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklight.functions.scalars import micros
 from tracklight.functions.text import normalize
+from tracklight.operators.grouped import per_group
 
 
 @dataclass(frozen=True)
@@ -90,8 +90,7 @@ UNIT = "id long, unit long, role string, unit_ms long, unit_at_us long, unit_sta
 
 
 def _merge_run(rows: list) -> list[tuple]:
-    """(id, unit, role, ms, stamp, start) for the rows of one run; a unit is named by the id that stands for it."""
-    rows = sorted(rows, key=lambda r: (r.at_us, r.id))
+    """(id, unit, role, ms, stamp, start) for the rows of one run, in order of stamp and id; a unit is named by the id that stands for it."""
     root = list(range(len(rows)))
 
     def find(i: int) -> int:
@@ -133,15 +132,6 @@ def _merge_run(rows: list) -> list[tuple]:
     return out
 
 
-class _Row:
-    __slots__ = ("id", "at_us", "start_us", "end_us", "ms", "finished", "stamps_end")
-
-    def __init__(self, id, at_us, start_us, end_us, ms, finished, stamps_end) -> None:
-        self.id, self.at_us, self.start_us, self.end_us, self.stamps_end = id, at_us, start_us, end_us, bool(stamps_end)
-        self.ms = None if pd.isna(ms) else int(ms)
-        self.finished = None if finished is None or pd.isna(finished) else bool(finished)
-
-
 def same_channel(observations: DataFrame) -> DataFrame:
     """id, unit, role (unit, segment or duplicate), and the unit's ms, stamp and start, of with_start's rows. Unknown channels stay single."""
     keys = ["user_id", "channel_key", "track_identifier"]
@@ -149,11 +139,8 @@ def same_channel(observations: DataFrame) -> DataFrame:
     df = _runs(df, keys, "at_us", (MOST_SHIFT + ISLAND_GAP) * US)
     alone = df.where("run_rows = 1 or channel is null").select("id", F.col("id").alias("unit"), F.lit("unit").alias("role"), F.col("ms_played").alias("unit_ms"), F.col("at_us").alias("unit_at_us"), F.col("start_us").alias("unit_start_us"))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _merge_run([_Row(*r) for r in zip(pdf.id, pdf.at_us, pdf.start_us, pdf.end_us, pdf.ms_played, pdf.finished, pdf.stamps_end, strict=True)])
-        return pd.DataFrame(out, columns=["id", "unit", "role", "unit_ms", "unit_at_us", "unit_start_us"]).astype({"unit_ms": "Int64"})
-
-    several = df.where("run_rows > 1 and channel is not null").groupBy(*keys, "run").applyInPandas(merge, UNIT)
+    rows = df.where("run_rows > 1 and channel is not null").select(*keys, "run", "id", "at_us", "start_us", "end_us", F.col("ms_played").alias("ms"), "finished", "stamps_end")
+    several = per_group(rows, [*keys, "run"], ["at_us", "id"], _merge_run, UNIT)
     return alone.unionByName(several)
 
 
@@ -162,9 +149,8 @@ def islands(observations: DataFrame) -> DataFrame:
     return same_channel(with_start(with_channel(observations, strict=False)))
 
 
-def _pair_run(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Nearest pairs first; two sets of observations join if they share no channel."""
-    rows = list(pdf.sort_values(["start_us", "id"]).itertuples(index=False))
+def _pair_run(rows: list) -> list[tuple]:
+    """(id, play) for the rows of one run, in order of start and id: nearest pairs first; two sets of observations join if they share no channel."""
     pairs = []
     for i, a in enumerate(rows):
         for b in rows[i + 1 :]:
@@ -184,7 +170,7 @@ def _pair_run(pdf: pd.DataFrame) -> pd.DataFrame:
             for k in both:
                 group[k], channels[k] = both, all_channels
     rank = {r.id: (r.priority, r.id) for r in rows}
-    return pd.DataFrame([(k, min(g, key=rank.get)) for k, g in group.items()], columns=["id", "play"])
+    return [(k, min(g, key=rank.get)) for k, g in group.items()]
 
 
 def group(observations: DataFrame) -> DataFrame:
@@ -199,7 +185,8 @@ def group(observations: DataFrame) -> DataFrame:
     heads = heads.withColumns({"start_us": F.col("unit_start_us"), "bridge": F.concat_ws("::", normalize(F.col("artist_name")), normalize(F.col("track_name")))})
     cut = _runs(heads, ["user_id"], "start_us", WIDE_TOLERANCE * US)
     alone = cut.where("run_rows = 1").select("id", F.col("id").alias("play"))
-    several = cut.where("run_rows > 1").select("user_id", "run", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable").groupBy("user_id", "run").applyInPandas(_pair_run, "id long, play long")
+    rows = cut.where("run_rows > 1").select("user_id", "run", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable")
+    several = per_group(rows, ["user_id", "run"], ["start_us", "id"], _pair_run, "id long, play long")
     plays = alone.unionByName(several).withColumnRenamed("id", "unit")
     return units.join(plays, "unit").select("id", "unit", "role", "play", "unit_ms", "unit_start_us")
 

@@ -346,9 +346,9 @@ def _(lib):
     return lib.spark.createDataFrame([(sinks.render("Gems {track_count} {datetime}", 25, NOW),)], "name string")
 
 
-@query("snk5_reconcile", "with old as (select track_id, arg_max(added_at, position) as kept from entries where track_id is not null and playlist_id % 2 = 0 group by track_id) select n.playlist_id, n.position, n.track_id, coalesce(o.kept, n.added_at) as added_at from entries n left join old o on o.track_id = n.track_id where n.playlist_id % 501 = 1")
+@query("snk5_reconcile", "with old as (select track_id, arg_max(added_at, playlist_id * 100 + position) as kept from entries where track_id is not null and playlist_id % 2 = 0 group by track_id) select n.playlist_id, n.position, n.track_id, coalesce(o.kept, n.added_at) as added_at from entries n left join old o on o.track_id = n.track_id where n.playlist_id % 501 = 1")
 def _(lib):
-    old = lib.entries.where("playlist_id % 2 = 0").groupBy("track_id").agg(F.max_by("added_at", "position").alias("added_at"), F.max("position").alias("position"))
+    old = lib.entries.where("playlist_id % 2 = 0").withColumn("position", F.col("playlist_id") * 100 + F.col("position"))
     return sinks.reconcile(old, lib.entries.where("playlist_id % 501 = 1")).select("playlist_id", "position", "track_id", "added_at")
 
 
