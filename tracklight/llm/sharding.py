@@ -89,7 +89,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, links: DataFrame | None = None,
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     block = max(1, total // shards // 4)
     keyed = rows.where("linkable").select("row", F.col("text_hash").alias("key")) if links is None else rows.select("row", "doc_id").join(links.select("doc_id", F.xxhash64("key").alias("key")).distinct(), "doc_id").select("row", "key")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written first, so that the join's sides are both shuffled for it and a hot key can be split
+    sizes = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     blocks = F.ceil(F.col("n") / block)
     part = F.when(blocks > 1, F.pmod(F.xxhash64("row"), blocks)).otherwise(F.lit(0).cast("long"))
     members = scratch.save(keyed.join(sizes, "key").select("row", F.xxhash64("key", part).alias("key")), "members")
