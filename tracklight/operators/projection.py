@@ -38,7 +38,7 @@ class Channel:
 CHANNELS = (
     Channel("spotify_export", "spotify", "spotify_export", 0, True, 2, "trackdone"),
     Channel("spotify_api", "spotify", "spotify_api", 1, True, 1),
-    Channel("manual", "mixd", "manual", 2, False, 2),
+    Channel("manual", "own", "manual", 2, False, 2),
     Channel("lastfm", "lastfm", "lastfm_api", 3, False, 3),
 )
 #: Fixed values in seconds.

@@ -46,7 +46,7 @@ same("sqp_c1_gaps", "select service, count(*) filter (where gap < 60) as minute,
 same("sqp_c3_distinct_filter", "select service, count(distinct track_id) filter (where ms_played is null) as untimed_tracks, count(distinct user_id) as users from plays group by service")
 same("sqp_d2b_sample", "select play_id, service from plays order by play_id limit 20")
 same("sqp_d3_theta", "select a.track_id as a_id, b.track_id as b_id from tracks a join tracks b on a.title = b.title and a.artist = b.artist and a.track_id < b.track_id where exists (select 1 from plays p where p.track_id = a.track_id) and exists (select 1 from plays p where p.track_id = b.track_id)")
-same("sqp_d4_services", "select track_id, bool_or(service = 'spotify') as spotify, bool_or(service = 'lastfm') as lastfm, bool_or(service = 'mixd') as mixd from plays group by track_id")
+same("sqp_d4_services", "select track_id, bool_or(service = 'spotify') as spotify, bool_or(service = 'lastfm') as lastfm, bool_or(service = 'own') as own from plays group by track_id")
 same("sqp_e3_array_groups", "select services, count(*) as tracks from (select track_id, string_agg(distinct service, '+' order by service) as services from plays group by track_id) z group by services", ("string_agg(distinct service, '+' order by service)", "array_join(array_sort(collect_set(service)), '+')"))
 same("sqp_e3b_array_contains", "select count(*) as n from tracks where list_contains(artists, 'SMALL')", ("list_contains(artists, 'SMALL')", "array_contains(artists, 'SMALL')"))
 for key, cols in (("sqp_e4_exact_duplicates", "user_id, track_id, service, ms_played"), ("sqp_e4b_ledger_duplicates", "user_id, import_source, track_id")):
@@ -56,7 +56,7 @@ same("sqp_f1_json_keys", "select k, count(*) as n from (select unnest(json_keys(
 same("sqp_f2_present", "select service, round(avg(case when json_extract_string(context, '$.k') is not null then 1.0 else 0.0 end), 4) as has_k, count(*) as n from plays group by service", ("json_extract_string", "get_json_object"), ("1.0 else 0.0", "1D else 0D"))
 same("sqp_f3_present_by_day", f"select {DAY} as day, count(*) filter (where json_extract_string(context, '$.missing') is null) as without_key from plays group by 1", ("json_extract_string", "get_json_object"))
 same("sqp_f4_richness", "select services, round(avg(n), 4) as mean_plays, count(*) as tracks from (select track_id, count(distinct service) as services, count(*) as n from plays group by track_id) z group by services")
-same("sqp_g1_month_services", "select cast(date_trunc('month', played_at) as timestamp) as month, count(*) filter (where service = 'spotify') as spotify, count(*) filter (where service = 'lastfm') as lastfm, count(*) filter (where service = 'mixd') as mixd from plays group by 1", ("as timestamp) as month", "as timestamp_ntz) as month"))
+same("sqp_g1_month_services", "select cast(date_trunc('month', played_at) as timestamp) as month, count(*) filter (where service = 'spotify') as spotify, count(*) filter (where service = 'lastfm') as lastfm, count(*) filter (where service = 'own') as own from plays group by 1", ("as timestamp) as month", "as timestamp_ntz) as month"))
 same("sqp_g2_gap_days", f"select count(*) filter (where lastfm = 0) as without_lastfm, count(*) as days from (select {DAY} as day, count(*) filter (where service = 'lastfm') as lastfm from plays where user_id < 20 group by 1) z")
 
 
@@ -79,9 +79,9 @@ def _(lib):
     return best.groupBy(F.floor(F.col("delta_s") / 3600).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sqp_b2_percentiles", f"select round(quantile_cont(delta_s, 0.5), 3) as p50, round(quantile_cont(delta_s, 0.9), 3) as p90, count(*) filter (where delta_s < 0) as earlier, count(*) as n from {sides('spotify', 'mixd', 'a.user_id = b.user_id and epoch(b.played_at - a.played_at) between -36000 and 72000')}")
+@query("sqp_b2_percentiles", f"select round(quantile_cont(delta_s, 0.5), 3) as p50, round(quantile_cont(delta_s, 0.9), 3) as p90, count(*) filter (where delta_s < 0) as earlier, count(*) as n from {sides('spotify', 'own', 'a.user_id = b.user_id and epoch(b.played_at - a.played_at) between -36000 and 72000')}")
 def _(lib):
-    found = range_join(side(lib, "spotify", "a"), side(lib, "mixd", "b"), ["user_id"], "a_at", "b_at", 36_000, 72_000)
+    found = range_join(side(lib, "spotify", "a"), side(lib, "own", "b"), ["user_id"], "a_at", "b_at", 36_000, 72_000)
     return found.agg(F.round(F.expr("percentile(delta_s, 0.5)"), 3).alias("p50"), F.round(F.expr("percentile(delta_s, 0.9)"), 3).alias("p90"), F.count_if(F.col("delta_s") < 0).alias("earlier"), F.count(F.lit(1)).alias("n"))
 
 

@@ -14,7 +14,7 @@ from tracklight.streaming import polling
 
 # Observations: each event is seen by one channel, every third by a second one some seconds later, and every eleventh twice.
 OBSERVED = f"""with seen as (
-  select event_id * 10 as id, user_id % 40 as user_id, case event_id % 4 when 0 then 'spotify' when 1 then 'spotify' when 2 then 'mixd' else 'lastfm' end as service,
+  select event_id * 10 as id, user_id % 40 as user_id, case event_id % 4 when 0 then 'spotify' when 1 then 'spotify' when 2 then 'own' else 'lastfm' end as service,
          case event_id % 4 when 0 then 'spotify_export' when 1 then 'spotify_api' when 2 then 'manual' else 'lastfm_api' end as import_source,
          cast(json_extract_string(props, '$.k') as bigint) as track, ts as played_at, case when event_id % 4 = 3 then null else 60000 + event_id % 7 * 1000 end as ms_played from events where event_id % 2 = 0 or event_id % 5 = 0),
  twice as (select id + 1 as id, user_id, 'lastfm' as service, 'lastfm_api' as import_source, track, played_at - interval 20 second as played_at, cast(null as bigint) as ms_played from seen where id % 30 = 0 and import_source <> 'lastfm_api'),
@@ -28,7 +28,7 @@ def observations(lib) -> DataFrame:
     k = F.col("event_id") % 4
     pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), k.cast("int"))
     seen = e.select(
-        (F.col("event_id") * 10).alias("id"), (F.col("user_id") % 40).alias("user_id"), pick("spotify", "spotify", "mixd", "lastfm").alias("service"), pick("spotify_export", "spotify_api", "manual", "lastfm_api").alias("import_source"),
+        (F.col("event_id") * 10).alias("id"), (F.col("user_id") % 40).alias("user_id"), pick("spotify", "spotify", "own", "lastfm").alias("service"), pick("spotify_export", "spotify_api", "manual", "lastfm_api").alias("import_source"),
         F.get_json_object("props", "$.k").cast("long").alias("track"), F.col("ts").alias("played_at"), F.when(k != 3, 60_000 + F.col("event_id") % 7 * 1000).alias("ms_played"),
     )
     twice = seen.where("id % 30 = 0 and import_source <> 'lastfm_api'").select((F.col("id") + 1).alias("id"), "user_id", F.lit("lastfm").alias("service"), F.lit("lastfm_api").alias("import_source"), "track", F.expr("played_at - interval 20 seconds").alias("played_at"), F.lit(None).cast("long").alias("ms_played"))

@@ -333,17 +333,20 @@ def _(lib):
 
 
 GAPS = "select {k}, case when gap <= 60 then '60' when gap <= 600 then '600' when gap <= 3600 then '3600' else 'more' end as band, count(*) as n from (select *, epoch(played_at - lag(played_at) over (partition by {p} order by played_at, play_id)) as gap from plays) z where gap is not null group by 1, 2"
-BAND = F.when(F.col("gap") <= 60, "60").when(F.col("gap") <= 600, "600").when(F.col("gap") <= 3600, "3600").otherwise("more").alias("band")
+
+
+def band():
+    return F.when(F.col("gap") <= 60, "60").when(F.col("gap") <= 600, "600").when(F.col("gap") <= 3600, "3600").otherwise("more").alias("band")
 
 
 @query("win3_gap_bands", GAPS.format(k="service", p="service, user_id"))
 def _(lib):
-    return L.lags(lib.plays, ["service", "user_id"], "played_at", "play_id").where("gap is not null").groupBy("service", BAND).agg(F.count(F.lit(1)).alias("n"))
+    return L.lags(lib.plays, ["service", "user_id"], "played_at", "play_id").where("gap is not null").groupBy("service", band()).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("win4_track_gaps", GAPS.format(k="service", p="service, track_id"))
 def _(lib):
-    return L.lags(lib.plays, ["service", "track_id"], "played_at", "play_id").where("gap is not null").groupBy("service", BAND).agg(F.count(F.lit(1)).alias("n"))
+    return L.lags(lib.plays, ["service", "track_id"], "played_at", "play_id").where("gap is not null").groupBy("service", band()).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("win5_burst_share", "select cast(played_at as date) as day, count(*) as plays, count(*) filter (where gap < 120) as bursts from (select *, epoch(played_at - lag(played_at) over (partition by cast(played_at as date) order by played_at, play_id)) as gap from plays) z group by 1")

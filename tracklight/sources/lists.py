@@ -26,8 +26,8 @@ def playlist(entries: DataFrame, tracks: DataFrame, playlist_id) -> TrackList:
 
 
 def liked_tracks(likes: DataFrame, tracks: DataFrame, service: str | None = None, sort_by: str = "liked_at_desc", limit: int | None = None, seed: int = 0) -> TrackList:
-    """Liked tracks of a service (mixd, the canonical one, by default)."""
-    own = likes.where((F.col("service") == (service or "mixd")) & F.col("is_liked")).select("track_id", F.col("liked_at").alias("x_added_at"))
+    """Liked tracks of a service (own, the library's, by default)."""
+    own = likes.where((F.col("service") == (service or "own")) & F.col("is_liked")).select("track_id", F.col("liked_at").alias("x_added_at"))
     df = own.join(tracks, "track_id")
     if sort_by == "random":
         return TrackList.source(df.withColumn("_k0", F.xxhash64(F.lit(seed), "track_id")), Key("_k0"), Key("track_id"), limit=limit_of(limit))
