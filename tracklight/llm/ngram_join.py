@@ -104,9 +104,11 @@ def buckets(reps: DataFrame, scratch: Scratch, runs: int = RUNS) -> DataFrame:
     nodes = map_rows(reps.select("rep", "sig"), schema, lambda: start)
     while True:
         nodes = scratch.save(nodes, f"nodes-{k}")
-        sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        # written first, so that the join's sides are both shuffled for it and a hot path can be split
+        sizes = scratch.save(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes-{k}")
         kept = scratch.save(nodes.join(sizes, "path").select("rep", "path", "parent", "size"), f"kept-{k}")
         scratch.drop(f"nodes-{k}")
+        scratch.drop(f"sizes-{k}")
         goes_on = (F.col("size") > BUCKET) & (F.col("size") < ALIKE * F.col("parent")) & F.lit(k < DEPTH)
         ended = kept.where(~goes_on).select("path", "rep", "size")
         out = ended if out is None else out.unionByName(ended)
@@ -118,14 +120,17 @@ def buckets(reps: DataFrame, scratch: Scratch, runs: int = RUNS) -> DataFrame:
 
 
 def blocks(found: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows of the tasks that compare buckets: a task has one bucket, or a pair of a large bucket's blocks."""
-    listed = found.groupBy("rep").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.collect_list(F.struct("path", "size")).alias("nodes"))
-    own = reps.join(listed, "rep").select("rep", "n", "copies", "sig", "paths", F.explode("nodes").alias("node"))
+    """Rows of the tasks that compare buckets: a task has one bucket, or a pair of a large bucket's blocks. paths lists a set's buckets, the largest first: a pair counts in the first that both have, so that few buckets count for many pairs."""
+    listed = found.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "path", "size"))).alias("nodes"))
+    own = reps.join(listed, "rep").select("rep", "n", "copies", "sig", F.col("nodes.path").alias("paths"), F.explode("nodes").alias("node"))
     parts = F.ceil(F.col("node.size") / BLOCK)
     own = own.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
     return own.select(F.col("node.path").alias("path"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "n", "copies", "sig", "paths")
 
 
+ROW = "path long, a int, b int, own int, rep long, n int, copies long, sig binary, paths array<long>"
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """The rows of each task, from rows sorted by path, a and b."""
     held: dict[str, list] = {}
@@ -148,7 +153,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
 
 
 def candidates(g: dict[str, list]) -> np.ndarray:
-    """Which pairs of a task's rows have similar signatures and meet in no bucket of a smaller path; upper triangle."""
+    """Which pairs of a task's rows have similar signatures and meet in no bucket before this one; upper triangle."""
     m, sig = len(g["rep"]), _signatures(g["sig"])
     like = np.empty((m, m), bool)
     for k in range(m):
@@ -160,7 +165,7 @@ def candidates(g: dict[str, list]) -> np.ndarray:
     if like.any():
         rows = np.flatnonzero(like.any(0) | like.any(1))
         earlier: dict[int, int] = {}
-        at = [(r, earlier.setdefault(p, len(earlier))) for r in rows for p in g["paths"][r] if p < g["path"][0]]
+        at = [(r, earlier.setdefault(p, len(earlier))) for r in rows for p in g["paths"][r][: g["paths"][r].index(g["path"][0])]]
         if at:
             member = np.zeros((m, len(earlier)), np.float32)
             member[tuple(np.array(at).T)] = 1
@@ -222,7 +227,7 @@ def _in_tasks(rows: DataFrame, schema: str, one) -> DataFrame:
 def _needed(g):
     like = candidates(g)
     rows = np.flatnonzero(like.any(0) | like.any(1)).tolist()
-    return {n: [g[n][r] for r in rows] for n in ("path", "a", "b", "own", "rep")}
+    return {n: [g[n][r] for r in rows] for n in g}
 
 
 def _linked(g):
@@ -260,8 +265,8 @@ def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(docs.sparkSession)
     all_sets = scratch.save(sets(docs), "sets")
     reps = scratch.save(representatives(all_sets), "reps")
-    rows = scratch.save(blocks(buckets(reps, scratch), reps), "rows")
-    needed = scratch.save(_in_tasks(rows, "path long, a int, b int, own int, rep long", _needed), "needed")
+    rows = blocks(buckets(reps, scratch), reps)
+    needed = scratch.save(_in_tasks(rows, ROW, _needed), "needed")
 
     def whole(cols):
         return {"rep": cols["rep"], "set_key": cols["set_key"], "set": [shingles(t).tobytes() for t in cols["text"]]}
@@ -270,7 +275,7 @@ def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id").select("rep", "set_key", "text")
     found = map_rows(texts, "rep long, set_key binary, set binary", lambda: _own(whole))
     found = scratch.save(found.dropDuplicates(["rep"]), "whole-sets")
-    full = needed.join(rows.drop("own"), ["path", "a", "b", "rep"]).join(found.select("rep", "set"), "rep")
+    full = needed.join(found.select("rep", "set"), "rep")
     linked = scratch.save(_in_tasks(full.select("path", "a", "b", "own", "rep", "n", "copies", "sig", "paths", "set"), "rep long, root long, links long", _linked), "linked")
     edges = linked.where("rep != root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
     edges = scratch.save(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
@@ -280,7 +285,7 @@ def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     named = labels.join(named, "label").select(F.col("node").alias("rep"), "class_id")
     classes = reps.select("rep", "doc_id", "set_key", "copies").join(named, "rep", "left").join(counted, "rep", "left")
     classes = scratch.save(classes.select("set_key", F.coalesce("class_id", "doc_id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    for name in ("rows", "needed", "whole-sets"):
+    for name in ("needed", "whole-sets"):
         scratch.drop(name)
     out = all_sets.select("doc_id", "text_hash", "set_key").join(classes, "set_key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "text_hash")
