@@ -14,15 +14,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where("accepted").select(*[f"`{c}`" for c in docs.columns])
 
 
+#: Scratch tables of stages whose results may still be to be written; a later stage removes them.
+_scratch: list[common.Scratch] = []
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    common.release()
-    return ngram_join.keep_one(docs, common.Scratch(spark))
+    _scratch.append(common.Scratch(spark))
+    return ngram_join.keep_one(docs, _scratch[-1])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    common.release()
+    while _scratch:
+        _scratch.pop().drop()
     return decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 

@@ -37,11 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; they outlive executors, and release() removes them."""
+    """Tables written to the shared folder to cut lineage; they outlive executors. drop() removes one or all, once no result is to be computed from them any more."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/tracklight-{uuid.uuid4().hex}"
-        OPEN.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -54,16 +53,6 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Scratch folders that are still there.
-OPEN: list[Scratch] = []
-
-
-def release() -> None:
-    """Removes all scratch tables of this driver. Results that are still to be computed from them can't be any more."""
-    while OPEN:
-        OPEN.pop().drop()
-
-
 #: Rows that a task holds as Python values at once.
 SLICE = 256
 
