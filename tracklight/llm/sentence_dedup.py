@@ -1,8 +1,9 @@
 """Substring dedup over sliding spans of sentences.
 
 A text is cut into sentences (at line ends and after . ! or ?); a sentence of more than PIECE words is cut again after
-each PIECE words. From every sentence a span of consecutive ones runs on until it has at least SPAN sentences and
-SPAN_WORDS words. Spans are hashed (words in lower case) and grouped over the whole corpus; the first place, by doc_id and
+words that a hash picks (about one in CUT, and after PIECE words at the latest), so that a copy that starts within a long
+sentence is cut at the same words. From every sentence a span of consecutive ones runs on until it has at least SPAN
+sentences and SPAN_WORDS words. Spans are hashed (words in lower case) and grouped over the whole corpus; the first place, by doc_id and
 position, stays, and every sentence under any other place of a repeated span is removed from its document.
 
 Only hashes and places are shuffled for the search: counting combines in each task first, so a passage in a third of all
@@ -17,6 +18,7 @@ removed_spans or covered are dropped or replaced.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tracklight.llm.common import Scratch, map_rows, mix
 
-SPAN, SPAN_WORDS, PIECE = 3, 12, 16
+SPAN, SPAN_WORDS, PIECE, CUT = 2, 20, 16, 6
 SENTENCE = re.compile(r"[^.!?\n]*[.!?]+|[^.!?\n]+|\n")
-PIECES = re.compile(r"(?:\s*\S+){1,%d}" % PIECE)
+WORD = re.compile(r"\S+")
 _P = 0x9E3779B97F4A7C15
 _BACK = pow(_P, -1, 1 << 64)
 
@@ -41,9 +43,14 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
             if words:
                 out.append((m.start(), m.end(), words))
         else:
-            for p in PIECES.finditer(text, m.start(), m.end()):
-                if words := p[0].lower().split():
-                    out.append((p.start(), p.end(), words))
+            start, held = m.start(), []
+            for w in WORD.finditer(text, m.start(), m.end()):
+                held.append(w[0].lower())
+                if len(held) == PIECE or zlib.crc32(held[-1].encode()) % CUT == 0:
+                    out.append((start, w.end(), held))
+                    start, held = w.end(), []
+            if held:
+                out.append((start, m.end(), held))
     return out
 
 
