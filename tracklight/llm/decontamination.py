@@ -210,7 +210,7 @@ class Finder:
         if not len(at):
             return []
         energy = np.concatenate([[0.0], np.cumsum(self.energy[f])])
-        sums = np.concatenate([np.zeros((1, self.latent.shape[1]), np.float32), np.cumsum(self.latent[rows[at]], 0, dtype=np.float64).astype(np.float32)])
+        sums = np.concatenate([np.zeros((1, self.latent.shape[1]), np.float32), np.cumsum(self.latent[rows[at]], 0)])
         best: dict[int, dict] = {}
         for n, (index, latent) in self.items.groups.items():
             starts = np.arange(0, max(1, len(w) - n // 2), n // 2)
