@@ -10,8 +10,7 @@ from tracklight.llm.queries import vocabulary
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the two views together accept."""
-    scored = quality.classify(docs, common.table(spark, sf_dir, "labels"))
-    return scored.where("accepted").select(*[f"`{c}`" for c in docs.columns])
+    return quality.keep_accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
 #: Scratch tables of stages whose results may still be to be written; a later stage removes them.

@@ -120,6 +120,10 @@ def test_quality_of_odd_rows(spark, documents, empty):
     clash = documents(ODD).withColumn("score", F.lit("mine")).withColumn("view_2", F.lit(1))
     rows = quality.score(clash, quality.train(docs, labels)).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.text in (None, "")}) <= 2
+    for name in ("view", "score", "accepted", "y", "content"):
+        more = docs.withColumn(name, F.lit("own"))
+        kept = quality.keep_accepted(more, labels)
+        assert kept.columns == more.columns and {r[name] for r in kept.collect()} == {"own"}
     assert all(r.accepted for r in quality.classify(documents(["a", None]), labels.limit(0)).collect())
     assert quality.classify(empty, labels).count() == 0
 
@@ -160,6 +164,12 @@ def test_trigram_queries_are_implied_by_matches():
     assert secrets.answer(secrets.trigram_query(secrets.RULES[0].pattern), {"pas": {0}}, {0}) == set()
 
 
+def test_redaction_keeps_clashing_columns(documents):
+    docs = documents(["password = abcdefgh12"]).withColumn("secret_spans", F.lit("own")).withColumn("clean_text", F.lit("mine"))
+    row = secrets.redact(docs).first()
+    assert row.asDict().keys() == set(docs.columns) and (row.text, row.secret_spans, row.clean_text) == ("[assign]", "own", "mine")
+
+
 def test_redaction(documents):
     rows = {r.doc_id: r for r in secrets.redact(documents(["my token = 'abcdefgh12' here", "clean", None, ""])).collect()}
     assert rows[0].text == "my [assign]' here" and rows[0].n_chars == len(rows[0].text)
@@ -249,7 +259,8 @@ def test_join_equals_brute_force(documents, monkeypatch):
 def test_one_row_of_each_class_stays(documents, spark):
     text = prose(1, 90)
     docs = documents([text, text, near(text, random.Random(1), 1), prose(2, 90), None, "", (3, prose(5, 90)), (None, text)])
-    kept = ngram_join.keep_one(docs.withColumn("class_id", F.lit("x"))).collect()
+    kept = ngram_join.keep_one(docs.withColumn("class_id", F.lit("x")).withColumn("text_hash", F.lit("own"))).collect()
+    assert {r.text_hash for r in kept} == {"own"}
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept) == sorted([(False, 0, text), (False, 3, prose(2, 90)), (False, 3, prose(5, 90)), (False, 4, ""), (False, 5, ""), (True, 0, text)]) or len(kept) == 5
     assert ngram_join.join(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -266,6 +277,8 @@ def test_leaks_and_paraphrases(spark, documents):
     texts = [prose(k, 150) for k in range(30)] + [prose(100, 80) + " " + items[3].upper() + " " + prose(101, 80), prose(102, 60) + " " + swapped, items[11], near(items[9], r, 4), None, "", "x" * 60_000]
     rows = {x.doc_id: {i.item_id for i in x.leaks} for x in decontamination.find_leaks(documents(texts).withColumn("leaks", F.lit(1)), bench).collect()}
     assert [rows[k] for k in (30, 31, 32, 33)] == [{3}, {5}, {11}, {9}]
+    clash = documents(texts).withColumn("leaks", F.lit("own"))
+    assert {r.leaks for r in decontamination.decontaminate(clash, bench).collect()} == {"own"}
     assert not any(rows[k] for k in [*range(30), 34, 35, 36])
     blocks = decontamination.find_leaks(documents(texts), bench, block=5).collect()
     assert {x.doc_id: {i.item_id for i in x.leaks} for x in blocks} == rows

@@ -111,6 +111,14 @@ def shingles(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(mix(h))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a working column that none of df's own has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def as_text(c) -> "F.Column":
     return F.coalesce(c, F.lit(""))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from tracklight.llm.common import add_columns, map_rows
+from tracklight.llm.common import add_columns, fresh, map_rows
 
 BITS, RANK, EXTRA, POWER = 16, 64, 10, 2
 FEATURES = 1 << BITS
@@ -238,12 +238,15 @@ class Finder:
 LEAK = StructType([StructField("item_id", LongType()), StructField("share", DoubleType()), StructField("common", DoubleType())])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = PASSAGES) -> DataFrame:
-    """Adds leaks, an array of struct(item_id, share, common): the benchmark passages that the text holds."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = PASSAGES, column: str = "leaks") -> DataFrame:
+    """Adds leaks (or another column), an array of struct(item_id, share, common): the benchmark passages that the text holds."""
     passages = benchmark.where("item_id is not null and length(text) > 0").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
     space = latent_space(passages)
     n = max(1, -(-passages.count() // block))
-    kept, out = docs.drop("leaks"), None
+    out = docs.drop(column)
+    names = [column]
+    while len(names) < n:
+        names.append(fresh(out.select("*", *[F.lit(0).alias(x) for x in names]), column))
     for k in range(n):
         items = Items.of(passages.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect() if n > 1 else passages.collect(), space)
         shared = docs.sparkSession.sparkContext.broadcast((space, items))
@@ -252,13 +255,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = PASSAGES) ->
             own = Finder(*shared.value)
             return lambda texts: [(own.leaks(t or ""),) for t in texts]
 
-        name = "leaks" if not k else f"leaks_{k}"
-        out = add_columns(out if k else kept, [StructField(name, ArrayType(LEAK))], make)
+        out = add_columns(out, [StructField(names[k], ArrayType(LEAK))], make)
     if n > 1:
-        out = out.withColumn("leaks", F.concat(*["leaks" if not k else f"leaks_{k}" for k in range(n)])).drop(*[f"leaks_{k}" for k in range(1, n)])
+        out = out.withColumn(column, F.concat(*[f"`{x}`" for x in names])).drop(*names[1:])
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a leak."""
-    return find_leaks(docs, benchmark).where(F.size("leaks") == 0).select(*[f"`{c}`" for c in docs.columns])
+    column = fresh(docs, "leaks")
+    return find_leaks(docs, benchmark, column=column).where(F.size(column) == 0).select(*[f"`{c}`" for c in docs.columns])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import NEAR, Scratch, map_rows, mix, shingles, slices
+from tracklight.llm.common import NEAR, Scratch, fresh, map_rows, mix, shingles, slices
 
 COORDINATES, RUNS, BUCKET, DEPTH, BLOCK = 64, 12, 96, 10, 256
 #: Share of equal coordinates below which no pair of similarity NEAR lies: five standard deviations less.
@@ -304,8 +304,8 @@ def _own(whole):
 
 def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row of docs for each class, that of the smallest doc_id (and then of the smallest hash of its text). Rows with a null doc_id all stay."""
-    found = join(docs, scratch)
-    stays = found.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    one = hashed.join(stays, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    found, text_hash = join(docs, scratch), fresh(docs, "text_hash")
+    stays = found.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias(text_hash))
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    one = hashed.join(stays, ["doc_id", text_hash], "left_semi").dropDuplicates(["doc_id", text_hash])
     return one.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, BooleanType, StructField
 
-from tracklight.llm.common import add_columns
+from tracklight.llm.common import add_columns, fresh
 
 LABELLED, POOL, ROUNDS, ADD = 12_000, 6_000, 4, 300
 SOURCES, LANGS = 32, 8
@@ -60,7 +60,8 @@ def metadata(lang: str | None, source: str | None, declared: int | None, text: s
 def add_features(docs: DataFrame) -> DataFrame:
     """Adds content and metadata, vectors of 32-bit floats as bytes."""
     have = [c if c in docs.columns else None for c in ("text", "lang", "source", "n_chars")]
-    packed = docs.drop("content", "metadata").withColumn("view", F.struct(*[(F.col(c) if c else F.lit(None)).cast(k).alias(n) for c, n, k in zip(have, ("text", "lang", "source", "n_chars"), ("string", "string", "string", "long"), strict=True)]))
+    name = fresh(docs, "view")
+    packed = docs.drop("content", "metadata").withColumn(name, F.struct(*[(F.col(c) if c else F.lit(None)).cast(k).alias(n) for c, n, k in zip(have, ("text", "lang", "source", "n_chars"), ("string", "string", "string", "long"), strict=True)]))
 
     def make():
         as_bytes = lambda x: np.array(x, np.float32).tobytes()
@@ -70,7 +71,7 @@ def add_features(docs: DataFrame) -> DataFrame:
 
         return one
 
-    return add_columns(packed, [StructField("content", BinaryType()), StructField("metadata", BinaryType())], make, "view").drop("view")
+    return add_columns(packed, [StructField("content", BinaryType()), StructField("metadata", BinaryType())], make, name).drop(name)
 
 
 class Logistic:
@@ -148,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(*by_hash).limit(labelled)
     others = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool).select("doc_id", F.lit(None).cast("int").alias("y"))
     ids = known.select("doc_id", F.col("y").cast("int")).unionByName(others).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = add_features(docs.join(F.broadcast(ids), "doc_id")).select("doc_id", "y", "content", "metadata").collect()
+    used = docs.select("doc_id", *[c for c in ("text", "lang", "source", "n_chars") if c in docs.columns])
+    rows = add_features(used.join(F.broadcast(ids), "doc_id")).select("doc_id", "y", "content", "metadata").collect()
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.content))
     view = lambda part, name: np.array([np.frombuffer(r[name], np.float32) for r in part], float)
     seen, unseen = [r for r in rows if r.y is not None], [r for r in rows if r.y is None]
@@ -158,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     return co_train((view(seen, "content"), view(seen, "metadata")), np.array([float(r.y > 0) for r in seen]), (empty(view(unseen, "content")), empty(view(unseen, "metadata"))))
 
 
-def score(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
-    """Adds score, the probability of good quality, and accepted (score >= least)."""
+def score(docs: DataFrame, model: Model, least: float = LEAST, columns: tuple[str, str] = ("score", "accepted")) -> DataFrame:
+    """Adds score, the probability of good quality, and accepted (score >= least), or other names in columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ("text", "lang", "source", "n_chars")
     view = F.struct(*[(F.col(n) if n in docs.columns else F.lit(None)).cast("long" if n == "n_chars" else "string").alias(n) for n in names])
@@ -177,8 +179,15 @@ def score(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
 
         return one
 
-    return add_columns(docs.withColumn("view", view), [StructField("score", DoubleType()), StructField("accepted", BooleanType())], make, "view").drop("view")
+    name = fresh(docs, "view")
+    return add_columns(docs.withColumn(name, view), [StructField(columns[0], DoubleType()), StructField(columns[1], BooleanType())], make, name).drop(name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The accepted rows of docs, all columns as they were."""
+    columns = (fresh(docs, "score"), fresh(docs, "accepted"))
+    return score(docs, train(docs, labels), columns=columns).where(F.col(columns[1])).select(*[f"`{c}`" for c in docs.columns])

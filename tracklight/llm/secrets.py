@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from re import _constants as C, _parser as parser
 
-from tracklight.llm.common import add_columns, chunks
+from tracklight.llm.common import add_columns, chunks, fresh
 
 
 @dataclass(frozen=True)
@@ -188,8 +188,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Replaces each secret by its kind in brackets; n_chars, if there, is counted anew. Overlapping spans become one."""
-    out = _scan(docs, rules, [StructField("secret_spans", ArrayType(SPAN)), StructField("clean_text", StringType())], lambda text, spans: (None, None) if text is None else (None, cut(text, spans)))
-    out = out.withColumn("text", F.col("clean_text")).drop("clean_text", "secret_spans")
+    clean = fresh(docs, "clean_text")
+    out = _scan(docs, rules, [StructField(clean, StringType())], lambda text, spans: (None if text is None else cut(text, spans),))
+    out = out.withColumn("text", F.col(clean))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
