@@ -16,8 +16,9 @@ never emitted. Classes are the connected components of all edges.
 Texts are shuffled once, for the documents that have a candidate; otherwise slim rows are.
 
 Null and empty texts have no shingles, link to nothing and are classes of their own; texts of less than five words are
-one shingle. Repeated rows are copies of each other, and rows that share a doc_id but not a text are told apart. Rows
-with a null doc_id take no part: their class is null, and they have no links. Extra columns are dropped.
+one shingle. Repeated rows are copies of each other. Rows that share a doc_id but not a text are told apart by class_no, and by
+text_hash where that is null; class_id, a doc_id, can't tell their classes apart. Rows with a null doc_id take no part:
+their class is null, and they have no links. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -261,7 +262,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), n_links (other documents of similarity NEAR or more, copies included), copies (of its set, itself included) and text_hash."""
+    """doc_id, class_id (the smallest doc_id of the class), n_links (other documents of similarity NEAR or more, copies included), copies (of its set, itself included), text_hash and class_no (a number of the class's own; null without shingles)."""
     scratch = scratch or Scratch(docs.sparkSession)
     all_sets = scratch.save(sets(docs), "sets")
     reps = scratch.save(representatives(all_sets), "reps")
@@ -282,13 +283,13 @@ def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     labels = components(edges, scratch)
     counted = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     named = labels.join(reps.select(F.col("rep").alias("node"), "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    named = labels.join(named, "label").select(F.col("node").alias("rep"), "class_id")
+    named = labels.join(named, "label").select(F.col("node").alias("rep"), F.col("label").alias("class_no"), "class_id")
     classes = reps.select("rep", "doc_id", "set_key", "copies").join(named, "rep", "left").join(counted, "rep", "left")
-    classes = scratch.save(classes.select("set_key", F.coalesce("class_id", "doc_id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    classes = scratch.save(classes.select("set_key", F.coalesce("class_no", "rep").alias("class_no"), F.coalesce("class_id", "doc_id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
     for name in ("needed", "whole-sets"):
         scratch.drop(name)
     out = all_sets.select("doc_id", "text_hash", "set_key").join(classes, "set_key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "text_hash")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "text_hash", "class_no")
 
 
 def _own(whole):
@@ -305,7 +306,8 @@ def _own(whole):
 def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row of docs for each class, that of the smallest doc_id (and then of the smallest hash of its text). Rows with a null doc_id all stay."""
     found, text_hash = join(docs, scratch), fresh(docs, "text_hash")
-    stays = found.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias(text_hash))
+    alone = [F.when(F.col("class_no").isNull(), F.col(c)).alias(f"alone_{c}") for c in ("doc_id", "text_hash")]
+    stays = found.where("class_id is not null").groupBy("class_no", *alone).agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias(text_hash))
     hashed = docs.withColumn(text_hash, F.xxhash64("text"))
     one = hashed.join(stays, ["doc_id", text_hash], "left_semi").dropDuplicates(["doc_id", text_hash])
     return one.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))

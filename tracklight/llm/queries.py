@@ -47,7 +47,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklight.llm import ngram_join
 
-    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark)).drop("text_hash")
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark)).drop("text_hash", "class_no")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
