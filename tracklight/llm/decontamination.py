@@ -2,7 +2,7 @@
 
 Benchmark passages are TF-IDF vectors over hashed words (FEATURES of them). A randomised SVD, whose products with the
 matrix of passages run on the executors, gives the space of its RANK strongest directions. Every text is covered by
-half-overlapping windows, of WINDOWS words, whose vectors in that space are differences of running sums; a window is a
+half-overlapping windows, of WINDOWS words, whose vectors in that space are sums over blocks of half a window; a window is a
 candidate for a passage of its length where their cosine there is at least NEAR_SPACE of what a verbatim copy would have.
 A candidate counts as a leak if the longest common subsequence of its surroundings and the passage has at least ALL of
 the passage's words, or HALF of them and ANSWER of its answer, which is its last sentence. So reordered or reworded
@@ -31,7 +31,10 @@ from tracklight.llm.common import add_columns, fresh, map_rows
 
 BITS, RANK, EXTRA, POWER = 16, 64, 10, 2
 FEATURES = 1 << BITS
+#: Each twice the one before.
 WINDOWS = (16, 32, 64, 128)
+#: Words that are looked up at once; a multiple of half of each window.
+PART = 1 << 16
 PASSAGES = 4096
 NEAR_SPACE, ALL, HALF, ANSWER = 0.5, 0.75, 0.5, 0.8
 #: Words in more than this share of passages have no weight: they say nothing about a topic.
@@ -69,6 +72,15 @@ def common_subsequence(a: list, b: list, places: dict | None = None, least: floa
     return len(a) - row.bit_count()
 
 
+def _pairs(x: np.ndarray, step: int) -> np.ndarray:
+    """Sums of neighbouring rows, from each row or each second one on; a last row without a neighbour stands for itself where it starts a pair."""
+    if step == 1:
+        return x[:-1] + x[1:] if len(x) > 1 else x
+    out = x[::2].copy()
+    out[: len(x) // 2] += x[1::2]
+    return out
+
+
 class Numbers(dict):
     """Numbers of words met, forgotten when there are many."""
 
@@ -205,25 +217,32 @@ class Finder:
         if not w or not self.items.ids:
             return []
         f = np.fromiter(map(self.numbers.__getitem__, w), np.int64, len(w))
-        rows = self.row[f]
-        at = np.flatnonzero(rows >= 0)
-        if not len(at):
-            return []
-        energy = np.concatenate([[0.0], np.cumsum(self.energy[f])])
-        sums = np.concatenate([np.zeros((1, self.latent.shape[1]), np.float32), np.cumsum(self.latent[rows[at]], 0)])
+        sums, energy, held = self._block_sums(f)
         best: dict[int, dict] = {}
-        for n, (index, latent) in self.items.groups.items():
-            starts = np.arange(0, max(1, len(w) - n // 2), n // 2)
-            ends = np.minimum(starts + n, len(w))
-            a, b = np.searchsorted(at, starts), np.searchsorted(at, ends)
-            some = np.flatnonzero(b > a)
-            if not len(some):
-                continue
-            share = (sums[b[some]] - sums[a[some]]) @ latent / np.sqrt(np.maximum(energy[ends[some]] - energy[starts[some]], 1e-9))[:, None]
-            for k, i in zip(*np.nonzero(share >= 1.0), strict=True):
-                self._verify(w, int(starts[some[k]]), int(ends[some[k]]), n, int(index[i]), float(share[k, i]) * NEAR_SPACE, best)
+        for n in WINDOWS:
+            if n in self.items.groups:
+                index, latent = self.items.groups[n]
+                some = np.flatnonzero(_pairs(held, 1))
+                share = _pairs(sums, 1)[some] @ latent / np.sqrt(np.maximum(_pairs(energy, 1)[some], 1e-9))[:, None]
+                for k, i in zip(*np.nonzero(share >= 1.0), strict=True):
+                    start = int(some[k]) * (n // 2)
+                    self._verify(w, start, min(start + n, len(w)), n, int(index[i]), float(share[k, i]) * NEAR_SPACE, best)
+            sums, energy, held = _pairs(sums, 2), _pairs(energy, 2), _pairs(held, 2)
         return [best[k] for k in sorted(best)]
 
+    def _block_sums(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each block of half the shortest window: its vector in the space, its energy, and how many of its words have a vector."""
+        size = WINDOWS[0] // 2
+        n = -(-len(f) // size)
+        sums, held = np.zeros((n, self.latent.shape[1]), np.float32), np.zeros(n, np.int32)
+        for start in range(0, len(f), PART):
+            rows = self.row[f[start : start + PART]]
+            at = np.flatnonzero(rows >= 0)
+            if len(at):
+                block, first, count = np.unique((at + start) // size, return_index=True, return_counts=True)
+                sums[block], held[block] = np.add.reduceat(self.latent[rows[at]], first, axis=0), count
+        return sums, np.add.reduceat(self.energy[f], np.arange(0, len(f), size)), held
+
     def _verify(self, w: list[str], start: int, end: int, n: int, i: int, share: float, best: dict[int, dict]) -> None:
         own, places = self.items.words[i], self.items.places[i]
         reach = max(n // 2, len(own) - (end - start) // 2)
