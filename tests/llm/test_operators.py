@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import SCHEMA, prose
+from tests.llm.conftest import SCHEMA, WORDS, prose
 from tracklight.llm import ann, bpe, decontamination, licenses, ngram_join, quality, secrets, sentence_dedup, sharding, toxicity
 from tracklight.llm.common import NEAR, Scratch, shingles
 from tracklight.llm.queries import vocabulary
@@ -286,6 +287,34 @@ def test_leaks_and_paraphrases(spark, documents):
     assert decontamination.decontaminate(documents(texts), bench).count() == len(texts) - 4
 
 
+def test_leaks_of_copied_and_repeated_items(spark, documents):
+    """A third of the benchmark is one passage; one item_id has two texts, one passage no item_id; some have frequent words only."""
+    copied, twice, unnamed = prose(700, 40), [prose(701, 40), prose(702, 40)], prose(703, 40)
+    common = " ".join(WORDS[k % 7] + WORDS[k % 3] for k in range(60))
+    items = [(k, prose(500 + k, 40)) for k in range(24)] + [(100 + k, copied) for k in range(16)] + [(7, twice[0]), (60, twice[0]), (60, twice[1]), (None, unnamed)]
+    items += [(200 + k, prose(800 + k, 20) + " " + common) for k in range(6)] + [(300, common)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    around = lambda t: prose(900, 70) + " " + t + " " + prose(901, 70)
+    texts = [around(t) for t in (copied, copied.upper(), *twice, unnamed, common)] + [prose(k, 150) for k in range(5)]
+    for block in (4096, 3):
+        found = decontamination.find_leaks(documents(texts), bench, block=block).collect()
+        rows = {x.doc_id: [i.item_id for i in x.leaks] for x in found}
+        assert all(len(v) == len(set(v)) for v in rows.values())
+        assert rows[0] == rows[1] == [100 + k for k in range(16)]
+        assert [rows[k] for k in (2, 3, 4)] == [[7, 60], [60], [None]] and 300 in rows[5]
+        assert not any(rows[k] for k in range(6, 11))
+    assert decontamination.decontaminate(documents(texts), bench).count() == 5
+
+
+def test_passages_without_a_vector(spark):
+    """Verbatim copies are found by words in a row where the space says nothing."""
+    row = Row(text=prose(1, 30), item_ids=[4], unnamed=False)
+    space = decontamination.Space(np.ones(decontamination.FEATURES), np.zeros((decontamination.FEATURES, 1), np.float32), 1.0)
+    finder = decontamination.Finder(space, decontamination.Items.of([row], space))
+    assert [x["item_id"] for x in finder.leaks(prose(2, 300) + " " + row.text + " " + prose(3, 300))] == [4]
+    assert not finder.leaks(prose(2, 300))
+
+
 def test_windows_of_long_texts(spark):
     """Sums over blocks equal sums over each window's own words, at any length."""
     space = decontamination.latent_space(spark.createDataFrame([(k, prose(500 + k, 40)) for k in range(12)], "item_id long, text string"))

@@ -6,14 +6,17 @@ half-overlapping windows, of WINDOWS words, whose vectors in that space are sums
 candidate for a passage of its length where their cosine there is at least NEAR_SPACE of what a verbatim copy would have.
 A candidate counts as a leak if the longest common subsequence of its surroundings and the passage has at least ALL of
 the passage's words, or HALF of them and ANSWER of its answer, which is its last sentence. So reordered or reworded
-copies are found as well as verbatim ones, and windows that only share a topic are not.
+copies are found as well as verbatim ones, and windows that only share a topic are not. Places that have GRAM words in a
+row in common with a passage (all words of a shorter one) are verified too, whatever their vectors say, so no verbatim copy
+depends on the space: neither one of frequent words nor one of a passage whose vector there is 0.
 
 The executors get the space (FEATURES x RANK numbers at most) and PASSAGES passages at a time, however large the
 benchmark is; texts are scanned once for each such block and never shuffled.
 
-Null and empty texts leak nothing; passages without words are left out; repeated rows of either table give repeated
-results, but of passages with one item_id only the smallest text is used. An empty benchmark finds nothing. Input columns
-stay, but one named leaks is replaced.
+Null and empty texts leak nothing; passages without words are left out. Each distinct text of the benchmark is looked up once
+and stands for all its item_ids, null among them; an item_id with several texts has all of them, and is named once for a
+document, with its best one. Repeated documents give repeated results. An empty benchmark finds nothing. Input columns stay,
+but one named leaks is replaced.
 """
 
 from __future__ import annotations
@@ -37,8 +40,11 @@ WINDOWS = (16, 32, 64, 128)
 PART = 1 << 16
 PASSAGES = 4096
 NEAR_SPACE, ALL, HALF, ANSWER = 0.5, 0.75, 0.5, 0.8
-#: Words in more than this share of passages have no weight: they say nothing about a topic.
-COMMON = 0.1
+#: Words in more than this share of distinct passages have this small weight: they say little about a topic.
+COMMON, FREQUENT = 0.1, 0.25
+#: Words in a row that make a place a candidate.
+GRAM = 8
+_STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SEED = 7
 WORD = re.compile(r"\w+")
 
@@ -81,16 +87,24 @@ def _pairs(x: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
-class Numbers(dict):
-    """Numbers of words met, forgotten when there are many."""
+class Codes(dict):
+    """Checksums of words met, whose low bits are their numbers; forgotten when there are many."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        self[word] = out = number(word)
+        self[word] = out = zlib.crc32(word.encode())
         return out
 
 
+def grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each n words in a row."""
+    out = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+    for k in range(n if len(out) else 0):
+        out = out * _STEP + codes[k : k + len(out)]
+    return (out ^ (out >> np.uint64(32))) * _SPREAD
+
+
 def answer(text: str) -> list[str]:
     """The words of the last sentence of at least three words; else the last eight."""
     for s in reversed(re.split(r"[.!?\n]+", text)):
@@ -109,10 +123,12 @@ class Space:
 
 
 def _counts(passages: DataFrame) -> DataFrame:
+    """The words' numbers of each passage, once for passages of the same words: copies make no word frequent."""
+
     def one(cols):
-        return {"item_id": cols["item_id"], "features": [[number(w) for w in words(t)] for t in cols["text"]]}
+        return {"features": [[number(w) for w in words(t)] for t in cols["text"]]}
 
-    return map_rows(passages, "item_id long, features array<int>", lambda: one)
+    return map_rows(passages.select("text"), "features array<int>", lambda: one).distinct()
 
 
 def latent_space(passages: DataFrame, rank: int = RANK) -> Space:
@@ -124,7 +140,7 @@ def latent_space(passages: DataFrame, rank: int = RANK) -> Space:
     idf = np.full(FEATURES, most)
     seen = np.array([r.f for r in df], int)
     for r in df:
-        idf[r.f] = 0.0 if r.n > max(3, COMMON * total) else np.log(total / r.n) + 1
+        idf[r.f] = FREQUENT if r.n > max(3, COMMON * total) else np.log(total / r.n) + 1
     wide = min(rank + EXTRA, max(1, total), max(1, len(seen)))
     basis = np.zeros((FEATURES, wide), np.float32)
     basis[seen] = np.random.default_rng(SEED).standard_normal((len(seen), wide))
@@ -170,34 +186,71 @@ def _gram(counts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return basis.T @ product
 
 
+@dataclass
+class Grams:
+    """Hashes of all passages' words in a row, sorted, with the passage and the place there of each; a passage has each hash once. Bits of seen are those of hashes."""
+
+    hashes: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+    shift: np.uint64
+    seen: np.ndarray
+
+    @classmethod
+    def of(cls, own: list[tuple[int, np.ndarray]]) -> Grams:
+        owner, place, hashes = [], [], []
+        for k, h in own:
+            first = np.sort(np.unique(h, return_index=True)[1])
+            owner.append(np.full(len(first), k, np.int32))
+            place.append(first.astype(np.int32))
+            hashes.append(h[first])
+        owner, place, hashes = (np.concatenate(x) for x in (owner, place, hashes))
+        order = np.argsort(hashes, kind="stable")
+        shift = np.uint64(64 - min(26, max(12, len(hashes).bit_length() + 3)))
+        seen = np.zeros(1 << (64 - int(shift)), bool)
+        seen[hashes >> shift] = True
+        return cls(hashes[order], owner[order], place[order], shift, seen)
+
+    def find(self, h: np.ndarray):
+        """The passage, its place there and the place in h, of each hash that a passage has."""
+        some = np.flatnonzero(self.seen[h >> self.shift])
+        first, last = (np.searchsorted(self.hashes, h[some], side) for side in ("left", "right"))
+        for k in np.flatnonzero(last > first):
+            for i in range(first[k], last[k]):
+                yield int(self.owner[i]), int(self.place[i]), int(some[k])
+
+
 @dataclass
 class Items:
-    """Passages of one block, by window length."""
+    """Passages of one block, by window length, and by how many words in a row are looked up. ids are the item_ids of each passage."""
 
-    ids: list[int] = field(default_factory=list)
+    ids: list[list[int | None]] = field(default_factory=list)
     words: list[list[str]] = field(default_factory=list)
     places: list[dict] = field(default_factory=list)
     answers: list[list[str]] = field(default_factory=list)
     groups: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    grams: dict[int, Grams] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list, space: Space) -> Items:
-        out, own = cls(), {}
-        for r in sorted(rows, key=lambda r: r.item_id):
+        out, own, runs, codes = cls(), {}, {}, Codes()
+        for r in sorted(rows, key=lambda r: r.text):
             w = words(r.text)
             if not w:
                 continue
-            f = [number(x) for x in w]
+            c = np.array([codes[x] for x in w], np.uint64)
+            runs.setdefault(min(GRAM, len(w)), []).append((len(out.ids), grams(c, min(GRAM, len(w)))))
+            f = (c & np.uint64(FEATURES - 1)).astype(np.int64)
             v = space.idf[f] @ space.vectors[f]
-            if not (length := np.sqrt(v @ v)):
-                continue
-            bound = NEAR_SPACE * length / np.sqrt((space.idf[f] ** 2).sum())
-            window = min(WINDOWS, key=lambda n: abs(np.log(n / len(w))))
-            own.setdefault(window, []).append((len(out.ids), v / length / bound))
-            out.ids.append(r.item_id)
+            if length := np.sqrt(v @ v):
+                bound = NEAR_SPACE * length / np.sqrt((space.idf[f] ** 2).sum())
+                window = min(WINDOWS, key=lambda n: abs(np.log(n / len(w))))
+                own.setdefault(window, []).append((len(out.ids), v / length / bound))
+            out.ids.append(sorted(r.item_ids) + [None] * r.unnamed)
             out.words.append(w)
             out.places.append(places_of(w))
             out.answers.append(answer(r.text))
+        out.grams = {n: Grams.of(x) for n, x in runs.items()}
         out.groups = {n: (np.array([k for k, _ in x]), np.array([v for _, v in x], np.float32).T) for n, x in own.items()}
         return out
 
@@ -209,26 +262,47 @@ class Finder:
         self.row = np.full(FEATURES, -1)
         self.row[used] = np.arange(len(used))
         self.latent = space.vectors[used] * space.idf[used, None].astype(np.float32)
-        self.energy, self.numbers = space.idf**2, Numbers()
+        self.energy, self.codes = space.idf**2, Codes()
 
     def leaks(self, text: str) -> list[dict]:
         """item_id, the cosine as a share of a verbatim copy's, and the common subsequence, of each passage in the text, once."""
         w = words(text)
         if not w or not self.items.ids:
             return []
-        f = np.fromiter(map(self.numbers.__getitem__, w), np.int64, len(w))
+        codes = np.fromiter(map(self.codes.__getitem__, w), np.uint64, len(w))
+        f = (codes & np.uint64(FEATURES - 1)).astype(np.int64)
+        best: dict[int, tuple[float, float | None]] = {}
+        self._look_up(w, codes, best)
         sums, energy, held = self._block_sums(f)
-        best: dict[int, dict] = {}
         for n in WINDOWS:
             if n in self.items.groups:
                 index, latent = self.items.groups[n]
                 some = np.flatnonzero(_pairs(held, 1))
                 share = _pairs(sums, 1)[some] @ latent / np.sqrt(np.maximum(_pairs(energy, 1)[some], 1e-9))[:, None]
                 for k, i in zip(*np.nonzero(share >= 1.0), strict=True):
-                    start = int(some[k]) * (n // 2)
-                    self._verify(w, start, min(start + n, len(w)), n, int(index[i]), float(share[k, i]) * NEAR_SPACE, best)
+                    start, own = int(some[k]) * (n // 2), int(index[i])
+                    end = min(start + n, len(w))
+                    reach = max(n // 2, len(self.items.words[own]) - (end - start) // 2)
+                    self._verify(w[max(0, start - reach) : end + reach], own, float(share[k, i]) * NEAR_SPACE, best)
             sums, energy, held = _pairs(sums, 2), _pairs(energy, 2), _pairs(held, 2)
-        return [best[k] for k in sorted(best)]
+        out: dict[int | None, dict] = {}
+        for i, (common, share) in best.items():
+            for item_id in self.items.ids[i]:
+                if item_id not in out or out[item_id]["common"] < common:
+                    out[item_id] = {"item_id": item_id, "share": share, "common": common}
+        return [out[k] for k in sorted(out, key=lambda k: (k is None, k or 0))]
+
+    def _look_up(self, w: list[str], codes: np.ndarray, best: dict[int, tuple[float, float | None]]) -> None:
+        """Verifies the places that have words in a row in common with a passage; of those that would start it within an eighth of its length only the first."""
+        for n, known in self.items.grams.items():
+            last: dict[int, int] = {}
+            for i, place, k in known.find(grams(codes, n)):
+                size = len(self.items.words[i])
+                start = k - place
+                if i not in last or abs(start - last[i]) > size // 8:
+                    last[i] = start
+                    slack = size // 4
+                    self._verify(w[max(0, start - slack) : max(0, start + size + slack)], i, None, best)
 
     def _block_sums(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each block of half the shortest window: its vector in the space, its energy, and how many of its words have a vector."""
@@ -243,23 +317,24 @@ class Finder:
                 sums[block], held[block] = np.add.reduceat(self.latent[rows[at]], first, axis=0), count
         return sums, np.add.reduceat(self.energy[f], np.arange(0, len(f), size)), held
 
-    def _verify(self, w: list[str], start: int, end: int, n: int, i: int, share: float, best: dict[int, dict]) -> None:
+    def _verify(self, near: list[str], i: int, share: float | None, best: dict[int, tuple[float, float | None]]) -> None:
+        if best.get(i, (0,))[0] >= 1 and (share is None or best[i][1] is not None):
+            return
         own, places = self.items.words[i], self.items.places[i]
-        reach = max(n // 2, len(own) - (end - start) // 2)
-        near = w[max(0, start - reach) : end + reach]
         common = common_subsequence(own, near, places, HALF * len(own)) / len(own)
         if common >= ALL or common >= HALF and common_subsequence(self.items.answers[i], near) >= ANSWER * len(self.items.answers[i]):
-            item_id = self.items.ids[i]
-            if item_id not in best or best[item_id]["common"] < common:
-                best[item_id] = {"item_id": item_id, "share": share, "common": common}
+            held, before = best.get(i, (0.0, None))
+            if common > held or before is None:
+                best[i] = max(common, held), share
 
 
 LEAK = StructType([StructField("item_id", LongType()), StructField("share", DoubleType()), StructField("common", DoubleType())])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = PASSAGES, column: str = "leaks") -> DataFrame:
-    """Adds leaks (or another column), an array of struct(item_id, share, common): the benchmark passages that the text holds."""
-    passages = benchmark.where("item_id is not null and length(text) > 0").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+    """Adds leaks (or another column), an array of struct(item_id, share, common): the benchmark passages that the text holds. share is null for those found by words in a row only."""
+    named = benchmark.where("length(text) > 0").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    passages = named.groupBy("text").agg(F.collect_set("item_id").alias("item_ids"), F.max(F.col("item_id").isNull()).alias("unnamed"))
     space = latent_space(passages)
     n = max(1, -(-passages.count() // block))
     out = docs.drop(column)
@@ -267,7 +342,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = PASSAGES, col
     while len(names) < n:
         names.append(fresh(out.select("*", *[F.lit(0).alias(x) for x in names]), column))
     for k in range(n):
-        items = Items.of(passages.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect() if n > 1 else passages.collect(), space)
+        items = Items.of(passages.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect() if n > 1 else passages.collect(), space)
         shared = docs.sparkSession.sparkContext.broadcast((space, items))
 
         def make(shared=shared):
@@ -277,6 +352,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = PASSAGES, col
         out = add_columns(out, [StructField(names[k], ArrayType(LEAK))], make)
     if n > 1:
         out = out.withColumn(column, F.concat(*[f"`{x}`" for x in names])).drop(*names[1:])
+        # the texts of one item_id may lie in several blocks
+        ordered = F.array_sort(F.transform(column, lambda x: F.struct(x.item_id.isNull().alias("unnamed"), x.item_id.alias("item_id"), (-x.common).alias("less"), x.share.alias("share"), x.common.alias("common"))))
+        out = out.withColumn(column, ordered)
+        first = F.filter(column, lambda x, k: (k == 0) | ~x.item_id.eqNullSafe(F.get(f"`{column}`", k - 1).item_id))
+        out = out.withColumn(column, F.transform(first, lambda x: F.struct(x.item_id.alias("item_id"), x.share.alias("share"), x.common.alias("common"))))
     return out
 
 
