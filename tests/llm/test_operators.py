@@ -306,6 +306,21 @@ def test_leaks_of_copied_and_repeated_items(spark, documents):
     assert decontamination.decontaminate(documents(texts), bench).count() == 5
 
 
+def test_leaks_of_short_and_long_items(spark, documents):
+    """Verbatim copies, and long ones with one word in seven replaced, which leaves no eight words in a row."""
+    items = [prose(500 + k, n) for k, n in enumerate((1000, 5, 600, 300, 3, 1, 7))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    other = lambda t, n: " ".join("other" if k % n == n - 1 else w for k, w in enumerate(t.split()))
+    around = lambda t: " ".join(f"unknown{k}" for k in range(90)) + " " + t + " " + " ".join(f"unseen{k}" for k in range(90))
+    texts = [around(t) for t in items] + [around(other(items[k], 7)) for k in (0, 2, 3)] + [around("")]
+    rows = {x.doc_id: {i.item_id for i in x.leaks} for x in decontamination.find_leaks(documents(texts), bench).collect()}
+    assert all(k in rows[k] for k in range(7))
+    assert [0 in rows[7], 2 in rows[8], 3 in rows[9]] == [True] * 3
+    assert not rows[10]
+    words = np.arange(1000)
+    assert {x for p in decontamination.parts(words) for x in p} == set(range(1000)) and max(map(len, decontamination.parts(words))) == 128
+
+
 def test_passages_without_a_vector(spark):
     """Verbatim copies are found by words in a row where the space says nothing."""
     row = Row(text=prose(1, 30), item_ids=[4], unnamed=False)

@@ -4,6 +4,7 @@ Benchmark passages are TF-IDF vectors over hashed words (FEATURES of them). A ra
 matrix of passages run on the executors, gives the space of its RANK strongest directions. Every text is covered by
 half-overlapping windows, of WINDOWS words, whose vectors in that space are sums over blocks of half a window; a window is a
 candidate for a passage of its length where their cosine there is at least NEAR_SPACE of what a verbatim copy would have.
+Passages longer than the longest window are cut into half-overlapping parts of its length, any of which makes a candidate.
 A candidate counts as a leak if the longest common subsequence of its surroundings and the passage has at least ALL of
 the passage's words, or HALF of them and ANSWER of its answer, which is its last sentence. So reordered or reworded
 copies are found as well as verbatim ones, and windows that only share a topic are not. Places that have GRAM words in a
@@ -35,7 +36,7 @@ from tracklight.llm.common import add_columns, fresh, map_rows
 BITS, RANK, EXTRA, POWER = 16, 64, 10, 2
 FEATURES = 1 << BITS
 #: Each twice the one before.
-WINDOWS = (16, 32, 64, 128)
+WINDOWS = (4, 8, 16, 32, 64, 128)
 #: Words that are looked up at once; a multiple of half of each window.
 PART = 1 << 16
 PASSAGES = 4096
@@ -113,6 +114,14 @@ def answer(text: str) -> list[str]:
     return words(text)[-8:]
 
 
+def parts(f: np.ndarray) -> list[np.ndarray]:
+    """f, or its half-overlapping parts if it is longer than the longest window; the last one ends where f does."""
+    n = WINDOWS[-1]
+    if len(f) <= n:
+        return [f]
+    return [f[k : k + n] for k in [*range(0, len(f) - n, n // 2), len(f) - n]]
+
+
 @dataclass
 class Space:
     """idf of each feature, and the right singular vectors of the passages' matrix as rows by feature."""
@@ -241,11 +250,12 @@ class Items:
             c = np.array([codes[x] for x in w], np.uint64)
             runs.setdefault(min(GRAM, len(w)), []).append((len(out.ids), grams(c, min(GRAM, len(w)))))
             f = (c & np.uint64(FEATURES - 1)).astype(np.int64)
-            v = space.idf[f] @ space.vectors[f]
-            if length := np.sqrt(v @ v):
-                bound = NEAR_SPACE * length / np.sqrt((space.idf[f] ** 2).sum())
-                window = min(WINDOWS, key=lambda n: abs(np.log(n / len(w))))
-                own.setdefault(window, []).append((len(out.ids), v / length / bound))
+            window = min(WINDOWS, key=lambda n: abs(np.log(n / len(w))))
+            for part in parts(f):
+                v = space.idf[part] @ space.vectors[part]
+                if length := np.sqrt(v @ v):
+                    bound = NEAR_SPACE * length / np.sqrt((space.idf[part] ** 2).sum())
+                    own.setdefault(window, []).append((len(out.ids), v / length / bound))
             out.ids.append(sorted(r.item_ids) + [None] * r.unnamed)
             out.words.append(w)
             out.places.append(places_of(w))
@@ -258,6 +268,8 @@ class Items:
 class Finder:
     def __init__(self, space: Space, items: Items) -> None:
         self.items = items
+        #: The shortest window that a passage has: texts are summed in blocks of its half.
+        self.least = min(items.groups, default=WINDOWS[0])
         used = np.flatnonzero(np.abs(space.vectors).sum(1) * space.idf)
         self.row = np.full(FEATURES, -1)
         self.row[used] = np.arange(len(used))
@@ -274,13 +286,17 @@ class Finder:
         best: dict[int, tuple[float, float | None]] = {}
         self._look_up(w, codes, best)
         sums, energy, held = self._block_sums(f)
-        for n in WINDOWS:
+        checked: set[tuple[int, int, int]] = set()
+        for n in WINDOWS[WINDOWS.index(self.least) :] if self.items.groups else ():
             if n in self.items.groups:
                 index, latent = self.items.groups[n]
                 some = np.flatnonzero(_pairs(held, 1))
                 share = _pairs(sums, 1)[some] @ latent / np.sqrt(np.maximum(_pairs(energy, 1)[some], 1e-9))[:, None]
                 for k, i in zip(*np.nonzero(share >= 1.0), strict=True):
                     start, own = int(some[k]) * (n // 2), int(index[i])
+                    if (own, n, start) in checked:
+                        continue
+                    checked.add((own, n, start))
                     end = min(start + n, len(w))
                     reach = max(n // 2, len(self.items.words[own]) - (end - start) // 2)
                     self._verify(w[max(0, start - reach) : end + reach], own, float(share[k, i]) * NEAR_SPACE, best)
@@ -305,8 +321,8 @@ class Finder:
                     self._verify(w[max(0, start - slack) : max(0, start + size + slack)], i, None, best)
 
     def _block_sums(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each block of half the shortest window: its vector in the space, its energy, and how many of its words have a vector."""
-        size = WINDOWS[0] // 2
+        """For each block of half the shortest window that is needed: its vector in the space, its energy, and how many of its words have a vector."""
+        size = self.least // 2
         n = -(-len(f) // size)
         sums, held = np.zeros((n, self.latent.shape[1]), np.float32), np.zeros(n, np.int32)
         for start in range(0, len(f), PART):
