@@ -71,6 +71,21 @@ def test_projection_laws(spark):
         assert p.track_id is not None and list(p.members) == sorted(g.id for g in grouped if g.play == p.play)
 
 
+def test_every_event_is_observed(spark):
+    """In queries without SQL: the other ones are held against an SQL that sees three events in five."""
+    import json
+    from types import SimpleNamespace
+
+    from tracklight.queries.history import observations
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, k % 7, start + dt.timedelta(minutes=k), json.dumps({"k": k % 5})) for k in range(1, 31)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, props string")
+    got = observations(SimpleNamespace(events=events)).select("id", "import_source").collect()
+    assert {r.id // 10 for r in got} == set(range(1, 31))
+    assert Counter(r.import_source for r in got if r.id % 10 == 0) == {"spotify_export": 7, "spotify_api": 8, "manual": 8, "lastfm_api": 7}
+
+
 def test_edges_of_the_rules(spark):
     def obs(id, at, ms, reason=None, source="spotify_export", track=1):
         service = {"spotify_export": "spotify", "lastfm_api": "lastfm"}[source]
