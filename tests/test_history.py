@@ -200,6 +200,16 @@ def test_matching_zones(spark):
     assert zones == {1: "accept", 2: "reject", 3: "review", 4: "none"}
 
 
+def test_matching_queries_cover_every_track(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.01"
+    tracks = {r.p_partkey for r in spark.read.parquet(f"{folder}/part.parquet").select("p_partkey").collect()}
+    for name, column in (("er6_title_similarity", "a_track_id"), ("er7_best_by_title", "reference_id"), ("er18_evaluate", "track_id")):
+        rows = entry.queries()[name](spark, folder).select(column).collect()
+        assert {r[0] for r in rows} == tracks and len(rows) == len(tracks), name
+
+
 def test_polling():
     s = polling.State()
     assert polling.backoff(3, key="u1") == polling.backoff(3, key="u1") != polling.backoff(3, key="u2")

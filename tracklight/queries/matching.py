@@ -42,16 +42,18 @@ def _(lib):
 
 @query("er6_title_similarity")
 def _(lib):
-    own = matching.prepare(lib.tracks.where("track_id % 40 = 0").select("track_id", "title", "artist", "duration_ms"))
-    raw = matching.prepare(lib.tracks.where("track_id % 40 = 0").select("track_id", F.when(F.col("track_id") % 80 == 0, F.concat("title", F.lit(" - Live"))).otherwise(F.reverse("title")).alias("title"), "artist", (F.col("duration_ms") + 2500).alias("duration_ms")))
+    own = matching.prepare(lib.tracks.select("track_id", "title", "artist", "duration_ms"))
+    raw = matching.prepare(lib.tracks.select("track_id", F.when(F.col("track_id") % 80 == 0, F.concat("title", F.lit(" - Live"))).otherwise(F.reverse("title")).alias("title"), "artist", (F.col("duration_ms") + 2500).alias("duration_ms")))
     pairs = matching.sided(own, "a").join(matching.sided(raw, "b"), F.col("a_track_id") == F.col("b_track_id")).withColumn("method", F.lit("artist_title"))
     return matching.score(pairs).select("a_track_id", "a_title", "b_title", F.round("title_similarity", 6).alias("title_similarity"), "title_level", "artist_level", "duration_level", "confidence", "zone")
 
 
 @query("er7_best_by_title")
 def _(lib):
-    ref = lib.tracks.where("track_id < 50").select(F.col("track_id").alias("reference_id"), "title")
-    can = lib.tracks.where("track_id < 500").select((F.col("track_id") % 50).alias("reference_id"), F.col("track_id").alias("position"), F.col("track_id").alias("candidate_id"), F.col("title").alias("name"))
+    # every track, with all tracks of its artist and album as candidates, itself among them
+    ref = lib.tracks.select(F.col("track_id").alias("reference_id"), "title")
+    can = lib.tracks.select("artist", "album", F.col("track_id").alias("position"), F.col("track_id").alias("candidate_id"), F.col("title").alias("name"))
+    can = lib.tracks.select("artist", "album", F.col("track_id").alias("reference_id")).join(can, ["artist", "album"]).drop("artist", "album")
     return matching.best_by_title(ref, can, 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -99,8 +101,8 @@ def _(lib):
 
 @query("er18_evaluate")
 def _(lib):
-    matches = lib.tracks.where("track_id % 5 <> 0 and track_id < 400").select("track_id", F.col("track_id").alias("connector_id"), F.when(F.col("track_id") % 5 == 1, F.reverse("title")).otherwise(F.upper("title")).alias("title"), "artist", "duration_ms", F.when(F.col("track_id") % 5 == 2, "isrc").otherwise("artist_title").alias("method"))
-    return matching.evaluate(lib.tracks.where("track_id < 400"), matches)
+    matches = lib.tracks.where("track_id % 5 <> 0").select("track_id", F.col("track_id").alias("connector_id"), F.when(F.col("track_id") % 5 == 1, F.reverse("title")).otherwise(F.upper("title")).alias("title"), "artist", "duration_ms", F.when(F.col("track_id") % 5 == 2, "isrc").otherwise("artist_title").alias("method"))
+    return matching.evaluate(lib.tracks, matches)
 
 
 @query("er19_same_recordings", "select a.track_id as a_id, b.track_id as b_id from tracks a join tracks b on lower(a.title) = lower(b.title) and lower(a.artist) = lower(b.artist) and a.track_id < b.track_id and abs(a.duration_ms - b.duration_ms) <= 10000")
