@@ -220,10 +220,10 @@ TARGET = "select playlist_id, case when position % 7 = 3 and position > 0 then p
 LISTS = f"with current0 as (select playlist_id, position, coalesce(track_id, -1) as track_id from entries where playlist_id % 2 = 1), target0 as ({TARGET}), c as (select *, row_number() over (partition by playlist_id, track_id order by position) as turn from current0), t as (select *, row_number() over (partition by playlist_id, track_id order by position) as turn from target0)"
 
 
-def pair_of_lists(lib) -> tuple[DataFrame, DataFrame]:
+def pair_of_lists(lib, where: str = "true") -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    current = lib.entries.where("playlist_id % 2 = 1").select("playlist_id", F.col("position").cast("long").alias("position"), F.coalesce("track_id", F.lit(-1)).alias("track_id"))
+    current = lib.entries.where(where).select("playlist_id", F.col("position").cast("long").alias("position"), F.coalesce("track_id", F.lit(-1)).alias("track_id"))
     n = F.count(F.lit(1)).over(Window.partitionBy("playlist_id"))
     p = F.col("position")
     swapped = F.when((p % 7 == 3) & (p > 0), p - 1).when((p % 7 == 2) & (F.col("n") > p + 1), p + 1).otherwise(p)
@@ -231,24 +231,29 @@ def pair_of_lists(lib) -> tuple[DataFrame, DataFrame]:
     return current, target
 
 
+def odd_lists(lib) -> tuple[DataFrame, DataFrame]:
+    """Those of LISTS, for queries that are held against it."""
+    return pair_of_lists(lib, "playlist_id % 2 = 1")
+
+
 @query("dif2_matched", f"{LISTS} select coalesce(c.playlist_id, t.playlist_id) as playlist_id, coalesce(c.track_id, t.track_id) as track_id, coalesce(c.turn, t.turn) as turn, c.position as current_position, t.position as target_position from c full join t on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn")
 def _(lib):
-    return D.matched(*pair_of_lists(lib)).withColumn("turn", F.col("turn").cast("long"))
+    return D.matched(*odd_lists(lib)).withColumn("turn", F.col("turn").cast("long"))
 
 
 @query("dif3_removals", f"{LISTS} select c.playlist_id, c.track_id, c.position from c left join t on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn where t.turn is null")
 def _(lib):
-    return D.removals(*pair_of_lists(lib))
+    return D.removals(*odd_lists(lib))
 
 
 @query("dif3_removals_compat", f"{LISTS}, m as (select c.playlist_id, c.track_id, count(*) as n from c left join t on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn where t.turn is null group by 1, 2) select c.playlist_id, c.track_id, c.position from c join m on m.playlist_id = c.playlist_id and m.track_id = c.track_id where c.turn <= m.n")
 def _(lib):
-    return D.removals(*pair_of_lists(lib), compat=True)
+    return D.removals(*odd_lists(lib), compat=True)
 
 
 @query("dif4_additions", f"{LISTS} select t.playlist_id, t.track_id, t.position from t left join c on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn where c.turn is null")
 def _(lib):
-    return D.additions(*pair_of_lists(lib))
+    return D.additions(*odd_lists(lib))
 
 
 @query("dif6_moves")
@@ -273,7 +278,7 @@ def _(lib):
 
 @query("dif11_sync_plan", f"{LISTS}, k as (select coalesce(a.playlist_id, b.playlist_id) as playlist_id, coalesce(a.n, 0) as x, coalesce(b.n, 0) as y from (select playlist_id, track_id, count(*) as n from current0 group by 1, 2) a full join (select playlist_id, track_id, count(*) as n from target0 group by 1, 2) b on b.playlist_id = a.playlist_id and b.track_id = a.track_id), s as (select playlist_id, cast(sum(greatest(y - x, 0)) as bigint) as to_add, cast(sum(greatest(x - y, 0)) as bigint) as to_remove, cast(sum(least(x, y)) as bigint) as unchanged, sum(x) as total from k group by 1), o as (select coalesce(c.playlist_id, t.playlist_id) as playlist_id, bool_and(c.track_id is not distinct from t.track_id) as is_noop from c full join t on t.playlist_id = c.playlist_id and t.position = c.position group by 1) select s.playlist_id, to_add, to_remove, unchanged, is_noop, case when total = 0 then false when to_remove >= total then true else to_remove / total > 0.5 and to_remove > 10 end as flagged from s join o on o.playlist_id = s.playlist_id")
 def _(lib):
-    return D.sync_plan(*pair_of_lists(lib))
+    return D.sync_plan(*odd_lists(lib))
 
 
 @query("dif12_flagged", "select * from (values (0, 0, false), (5, 5, true), (11, 20, true), (10, 19, false), (11, 22, false)) t(removed, total, flagged)")
@@ -284,4 +289,4 @@ def _(lib):
 
 @query("dif13_reorder", f"{LISTS} select t.playlist_id, t.position, t.track_id, c.position as from_position from t left join c on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn")
 def _(lib):
-    return D.reorder(*pair_of_lists(lib))
+    return D.reorder(*odd_lists(lib))
