@@ -78,6 +78,16 @@ def test_deduplicate_keeps_first(tracks, rows):
     assert at(filters.deduplicate(sorters.by_metric(tracks, "title", False))) == want
 
 
+def test_sources_are_whole(spark, monkeypatch):
+    from tracklight.plans import ordered
+
+    monkeypatch.setattr(ordered, "MAX_LIST", 5)
+    df = spark.range(9).withColumnRenamed("id", "track_id")
+    own = ordered.TrackList.source(df, ordered.Key("track_id", True))
+    assert [tuple(r) for r in own.result("track_id").orderBy("position").collect()] == [(k, 8 - k) for k in range(9)]
+    assert ordered.TrackList.source(df, ordered.Key("track_id"), limit=3).df.count() == 3
+
+
 def test_filters_refuse_what_they_cannot_do(tracks):
     for call in (lambda: filters.by_release_year(tracks), lambda: filters.by_play_history(tracks, NOW), lambda: filters.by_preference(tracks), lambda: filters.by_preference(tracks, ["nah"], ["yah"]), lambda: filters.by_tag(tracks, [":x"])):
         with pytest.raises(ValueError):

@@ -2,7 +2,7 @@
 
 A list is a DataFrame and the keys that order it, the newest first. Filters and joins leave the keys alone; a sorter puts
 its key in front, which is what a stable sort does; nothing is sorted until an operator needs positions. Positions come
-from one ordered window, so a list is bounded: MAX_LIST rows, which sources enforce.
+from one ordered window, which is one task, whatever the length of the list: it is whole, but not spread.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The most that a caller's limit may be; lists without one have all their rows.
 MAX_LIST = 1_000_000
 #: Columns that enrichers add start with these; combiners drop them.
 ADDED = ("m_", "x_")
@@ -40,10 +41,10 @@ class TrackList:
     scalars: dict = field(default_factory=dict)
 
     @classmethod
-    def source(cls, df: DataFrame, *keys: Key, limit: int = MAX_LIST, **scalars) -> TrackList:
-        """The first `limit` rows; keys must order them totally."""
+    def source(cls, df: DataFrame, *keys: Key, limit: int | None = None, **scalars) -> TrackList:
+        """All rows, or the first `limit`; keys must order them totally."""
         own = cls(df, keys, scalars)
-        return replace(own, df=own.in_order().limit(min(limit, MAX_LIST)))
+        return own if limit is None else own.head(limit)
 
     def in_order(self) -> DataFrame:
         return self.df.orderBy(*[k.order() for k in self.keys])
