@@ -22,6 +22,7 @@ but one named leaks is replaced.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -37,8 +38,10 @@ BITS, RANK, EXTRA, POWER = 16, 64, 10, 2
 FEATURES = 1 << BITS
 #: Each twice the one before.
 WINDOWS = (4, 8, 16, 32, 64, 128)
-#: Words that are looked up at once; a multiple of half of each window.
+#: About how many words are looked up at once; a longer text is one look-up of its own.
 PART = 1 << 16
+#: Words whose vectors are held at once.
+GATHER = 1 << 12
 PASSAGES = 4096
 NEAR_SPACE, ALL, HALF, ANSWER = 0.5, 0.75, 0.5, 0.8
 #: Words in more than this share of distinct passages have this small weight: they say little about a topic.
@@ -88,16 +91,6 @@ def _pairs(x: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
-class Codes(dict):
-    """Checksums of words met, whose low bits are their numbers; forgotten when there are many."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = out = zlib.crc32(word.encode())
-        return out
-
-
 def grams(codes: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each n words in a row."""
     out = np.zeros(max(0, len(codes) - n + 1), np.uint64)
@@ -242,12 +235,12 @@ class Items:
 
     @classmethod
     def of(cls, rows: list, space: Space) -> Items:
-        out, own, runs, codes = cls(), {}, {}, Codes()
+        out, own, runs = cls(), {}, {}
         for r in sorted(rows, key=lambda r: r.text):
             w = words(r.text)
             if not w:
                 continue
-            c = np.array([codes[x] for x in w], np.uint64)
+            c = np.array([zlib.crc32(x.encode()) for x in w], np.uint64)
             runs.setdefault(min(GRAM, len(w)), []).append((len(out.ids), grams(c, min(GRAM, len(w)))))
             f = (c & np.uint64(FEATURES - 1)).astype(np.int64)
             window = min(WINDOWS, key=lambda n: abs(np.log(n / len(w))))
@@ -266,41 +259,45 @@ class Items:
 
 
 class Finder:
+    """Looks texts up many at a time: their words lie one text after the other, with empty blocks between texts, so that no window reaches from one into the next."""
+
     def __init__(self, space: Space, items: Items) -> None:
         self.items = items
-        #: The shortest window that a passage has: texts are summed in blocks of its half.
-        self.least = min(items.groups, default=WINDOWS[0])
+        #: The shortest and the longest window that a passage has: texts are summed in blocks of half the shortest.
+        self.least, self.most = min(items.groups, default=WINDOWS[0]), max(items.groups, default=WINDOWS[0])
         used = np.flatnonzero(np.abs(space.vectors).sum(1) * space.idf)
         self.row = np.full(FEATURES, -1)
         self.row[used] = np.arange(len(used))
         self.latent = space.vectors[used] * space.idf[used, None].astype(np.float32)
-        self.energy, self.codes = space.idf**2, Codes()
+        self.energy = (space.idf**2).astype(np.float32)
 
     def leaks(self, text: str) -> list[dict]:
-        """item_id, the cosine as a share of a verbatim copy's, and the common subsequence, of each passage in the text, once."""
-        w = words(text)
-        if not w or not self.items.ids:
-            return []
-        codes = np.fromiter(map(self.codes.__getitem__, w), np.uint64, len(w))
-        f = (codes & np.uint64(FEATURES - 1)).astype(np.int64)
-        best: dict[int, tuple[float, float | None]] = {}
-        self._look_up(w, codes, best)
-        sums, energy, held = self._block_sums(f)
-        checked: set[tuple[int, int, int]] = set()
-        for n in WINDOWS[WINDOWS.index(self.least) :] if self.items.groups else ():
-            if n in self.items.groups:
-                index, latent = self.items.groups[n]
-                some = np.flatnonzero(_pairs(held, 1))
-                share = _pairs(sums, 1)[some] @ latent / np.sqrt(np.maximum(_pairs(energy, 1)[some], 1e-9))[:, None]
-                for k, i in zip(*np.nonzero(share >= 1.0), strict=True):
-                    start, own = int(some[k]) * (n // 2), int(index[i])
-                    if (own, n, start) in checked:
-                        continue
-                    checked.add((own, n, start))
-                    end = min(start + n, len(w))
-                    reach = max(n // 2, len(self.items.words[own]) - (end - start) // 2)
-                    self._verify(w[max(0, start - reach) : end + reach], own, float(share[k, i]) * NEAR_SPACE, best)
-            sums, energy, held = _pairs(sums, 2), _pairs(energy, 2), _pairs(held, 2)
+        return self.each([text])[0]
+
+    def each(self, texts: list[str]) -> list[list[dict]]:
+        """For each text, item_id, the cosine as a share of a verbatim copy's, and the common subsequence, of each passage in it, once."""
+        found = [words(t) for t in texts]
+        out: list[list[dict]] = []
+        start = held = 0
+        for k, w in enumerate(found):
+            held += len(w)
+            if held >= PART or k == len(found) - 1:
+                out += self._part(found[start : k + 1])
+                start, held = k + 1, 0
+        return out
+
+    def _part(self, found: list[list[str]]) -> list[list[dict]]:
+        sizes = np.array([len(w) for w in found])
+        best: list[dict[int, tuple[float, float | None]]] = [{} for _ in found]
+        if sizes.sum() and self.items.ids:
+            flat = itertools.chain.from_iterable(found)
+            codes = np.fromiter(map(zlib.crc32, map(str.encode, flat)), np.uint64, sizes.sum())
+            self._look_up(found, np.cumsum(sizes), codes, best)
+            if self.items.groups:
+                self._windows(found, sizes, (codes & np.uint64(FEATURES - 1)).astype(np.int64), best)
+        return [self._named(b) for b in best]
+
+    def _named(self, best: dict[int, tuple[float, float | None]]) -> list[dict]:
         out: dict[int | None, dict] = {}
         for i, (common, share) in best.items():
             for item_id in self.items.ids[i]:
@@ -308,30 +305,75 @@ class Finder:
                     out[item_id] = {"item_id": item_id, "share": share, "common": common}
         return [out[k] for k in sorted(out, key=lambda k: (k is None, k or 0))]
 
-    def _look_up(self, w: list[str], codes: np.ndarray, best: dict[int, tuple[float, float | None]]) -> None:
+    def _look_up(self, found: list[list[str]], ends: np.ndarray, codes: np.ndarray, best: list[dict]) -> None:
         """Verifies the places that have words in a row in common with a passage; of those that would start it within an eighth of its length only the first."""
         for n, known in self.items.grams.items():
-            last: dict[int, int] = {}
-            for i, place, k in known.find(grams(codes, n)):
-                size = len(self.items.words[i])
-                start = k - place
-                if i not in last or abs(start - last[i]) > size // 8:
-                    last[i] = start
+            last: dict[tuple[int, int], int] = {}
+            for i, place, at in known.find(grams(codes, n)):
+                t = int(np.searchsorted(ends, at, "right"))
+                if at + n > ends[t]:
+                    continue
+                w, size = found[t], len(self.items.words[i])
+                start = at - int(ends[t]) + len(w) - place
+                if (t, i) not in last or abs(start - last[t, i]) > size // 8:
+                    last[t, i] = start
                     slack = size // 4
-                    self._verify(w[max(0, start - slack) : max(0, start + size + slack)], i, None, best)
-
-    def _block_sums(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each block of half the shortest window that is needed: its vector in the space, its energy, and how many of its words have a vector."""
-        size = self.least // 2
-        n = -(-len(f) // size)
+                    self._verify(w[max(0, start - slack) : max(0, start + size + slack)], i, None, best[t])
+
+    def _windows(self, found: list[list[str]], sizes: np.ndarray, f: np.ndarray, best: list[dict]) -> None:
+        """Verifies the windows near a passage in the space."""
+        size, wide = self.least // 2, self.most // 2
+        # each text starts at a block of the longest window's half, after an empty one
+        starts = np.concatenate([[0], np.cumsum((-(-sizes // wide) + 1) * wide)])
+        at = np.arange(len(f)) + np.repeat(starts[:-1] - (np.cumsum(sizes) - sizes), sizes)
+        sums, energy, held = self._block_sums(f, at // size, int(starts[-1]) // size)
+        checked: set[tuple[int, int, int]] = set()
+        enough: dict[tuple[int, int], bool] = {}
+        n = self.least
+        while n <= self.most:
+            if n in self.items.groups:
+                index, latent = self.items.groups[n]
+                some = np.flatnonzero(_pairs(held, 1))
+                share = (sums[some] + sums[some + 1]) @ latent
+                share /= np.sqrt(np.maximum(energy[some] + energy[some + 1], 1e-9))[:, None]
+                for k, i in zip(*np.nonzero(share >= 1.0), strict=True):
+                    place, own = int(some[k]) * (n // 2), int(index[i])
+                    if (own, n, place) in checked:
+                        continue
+                    checked.add((own, n, place))
+                    # an empty block and a text's first one are a window of that text
+                    t = min(int(np.searchsorted(starts, place + n // 2, "right")) - 1, len(found) - 1)
+                    if (t, own) not in enough:
+                        enough[t, own] = self._has_half(found[t], own)
+                    if enough[t, own]:
+                        w, start = found[t], max(0, place - int(starts[t]))
+                        end = min(place - int(starts[t]) + n, len(w))
+                        reach = max(n // 2, len(self.items.words[own]) - (end - start) // 2)
+                        self._verify(w[max(0, start - reach) : end + reach], own, float(share[k, i]) * NEAR_SPACE, best[t])
+            sums, energy, held = _pairs(sums, 2), _pairs(energy, 2), _pairs(held, 2)
+            n *= 2
+
+    def _has_half(self, w: list[str], i: int) -> bool:
+        """Whether the text has enough of the passage's words anywhere."""
+        own = self.items.words[i]
+        there = self.items.places[i].keys() & w if len(w) < 1000 else self.items.places[i].keys() & set(w)
+        return sum(x in there for x in own) >= HALF * len(own)
+
+    def _block_sums(self, f: np.ndarray, block: np.ndarray | None = None, n: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of n blocks: its vector in the space, its energy, and how many of its words have a vector; block is that of each word, ascending. Without it, those of one text."""
+        if block is None:
+            size = self.least // 2
+            block, n = np.arange(len(f)) // size, -(-len(f) // size)
         sums, held = np.zeros((n, self.latent.shape[1]), np.float32), np.zeros(n, np.int32)
-        for start in range(0, len(f), PART):
-            rows = self.row[f[start : start + PART]]
+        for start in range(0, len(f), GATHER):
+            rows = self.row[f[start : start + GATHER]]
             at = np.flatnonzero(rows >= 0)
             if len(at):
-                block, first, count = np.unique((at + start) // size, return_index=True, return_counts=True)
-                sums[block], held[block] = np.add.reduceat(self.latent[rows[at]], first, axis=0), count
-        return sums, np.add.reduceat(self.energy[f], np.arange(0, len(f), size)), held
+                own = block[at + start]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                sums[own[first]] += np.add.reduceat(self.latent[rows[at]], first, axis=0)
+                held[own[first]] += np.diff(first, append=len(own)).astype(np.int32)
+        return sums, np.bincount(block, self.energy[f], n), held
 
     def _verify(self, near: list[str], i: int, share: float | None, best: dict[int, tuple[float, float | None]]) -> None:
         if best.get(i, (0,))[0] >= 1 and (share is None or best[i][1] is not None):
@@ -363,7 +405,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = PASSAGES, col
 
         def make(shared=shared):
             own = Finder(*shared.value)
-            return lambda texts: [(own.leaks(t or ""),) for t in texts]
+            return lambda texts: [(found,) for found in own.each([t or "" for t in texts])]
 
         out = add_columns(out, [StructField(names[k], ArrayType(LEAK))], make)
     if n > 1:
