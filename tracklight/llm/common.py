@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; they outlive executors. drop() removes one or all, once no result is to be computed from them any more."""
+    """Tables written to the shared folder to cut lineage; they outlive executors. drop() removes one or all, once no result is to be computed from them any more; keep() all but some."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/tracklight-{uuid.uuid4().hex}"
@@ -47,10 +47,19 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _at(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, store = self._at(name)
+        store.delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        path, store = self._at("")
+        for x in store.listStatus(path):
+            if x.getPath().getName() not in names:
+                store.delete(x.getPath(), True)
 
 
 #: Rows that a task holds as Python values at once.
@@ -140,12 +149,13 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def add_columns(docs: DataFrame, more: list, make: Callable[[], Callable[[list], list[tuple]]], column: str = "text") -> DataFrame:
-    """Adds columns computed from one column; columns of the same name are replaced. make()'s function turns a list of values into a row each."""
+    """Adds columns computed from one column; columns of the same name, in any case, are replaced. make()'s function turns a list of values into a row each."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     names = [f.name for f in more]
-    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
+    taken = {n.lower() for n in names}
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in taken])
     schema = StructType([*kept.schema.fields, *more])
     at, n, kind = kept.columns.index(column), len(kept.columns), to_arrow_schema(schema)
 

@@ -9,8 +9,9 @@ position, stays, and every sentence under any other place of a repeated span is
 Only hashes and places are shuffled for the search: counting combines in each task first, so a passage in a third of all
 documents is no hot key there; the join of places with repeated spans may split hot keys (adaptive skew join).
 
-Null texts stay null and empty ones empty. Texts without a whole span are left alone. Rows with equal doc_id and text are
-copies as any others: spans at the same place of rows with one doc_id count as one place, so such rows stay alike. Rows
+Null texts stay null and empty ones empty. Texts without a whole span are left alone. A place belongs to a doc_id and a
+text (told apart by a 64-bit hash), so rows that share a doc_id but not a text have places of their own; the same span there
+goes from all but the one of smallest hash. Rows with equal doc_id and text count as one place, so such rows stay alike. Rows
 with a null doc_id keep their text and serve as nobody's first place. Extra columns are kept, but ones named n_removed,
 removed_spans or covered are dropped or replaced.
 """
@@ -24,12 +25,14 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tracklight.llm.common import Scratch, map_rows, mix
+from tracklight.llm.common import Scratch, add_columns, fresh, map_rows, mix
 
 SPAN, SPAN_WORDS, PIECE, CUT = 2, 20, 16, 6
 SENTENCE = re.compile(r"[^.!?\n]*[.!?]+|[^.!?\n]+|\n")
 WORD = re.compile(r"\S+")
+SPANS = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
 _P = 0x9E3779B97F4A7C15
 _BACK = pow(_P, -1, 1 << 64)
 
@@ -76,29 +79,33 @@ def spans(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_places(docs: DataFrame) -> DataFrame:
-    """span, doc_id, position (of its first sentence) and length (in sentences)."""
+    """span, doc_id, text_hash, position (of its first sentence) and length (in sentences)."""
 
     def one(cols):
-        out = {"span": [], "doc_id": [], "position": [], "length": []}
-        for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
-            hashes, lengths = spans(text)
-            out["span"].append(hashes)
-            out["doc_id"].append(np.full(len(hashes), doc_id))
-            out["position"].append(np.arange(len(hashes), dtype=np.int32))
-            out["length"].append(lengths)
-        return {k: np.concatenate(v) for k, v in out.items()}
+        found = [spans(text) for text in cols["text"]]
+        sizes = [len(h) for h, _ in found]
+        return {
+            "span": np.concatenate([h for h, _ in found]),
+            "doc_id": np.repeat(np.array(cols["doc_id"], np.int64), sizes),
+            "text_hash": np.repeat(np.array(cols["text_hash"], np.int64), sizes),
+            "position": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
+            "length": np.concatenate([n for _, n in found]),
+        }
 
-    rows = docs.where("doc_id is not null and length(text) > 0").select("doc_id", "text")
-    return map_rows(rows, "span long, doc_id long, position int, length int", lambda: one)
+    rows = docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return map_rows(rows, "span long, doc_id long, text_hash long, position int, length int", lambda: one)
 
 
 def repeated_places(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id and covered (array of struct(position, length)): the places of repeated spans, but for each span's first."""
-    places = scratch.save(span_places(docs), "places")
-    first = places.groupBy("span").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.max(F.struct("doc_id", "position")).alias("last"))
-    again = scratch.save(first.where("first != last").select("span", F.col("first.doc_id").alias("first_doc"), F.col("first.position").alias("first_position")), "repeated")
-    other = places.join(again, "span").where("doc_id != first_doc or position != first_position")
-    return scratch.save(other.groupBy("doc_id").agg(F.collect_set(F.struct("position", "length")).alias("covered")), "covered")
+    """doc_id, text_hash and covered (array of struct(position, length)): the places of repeated spans, but for each span's first."""
+    places, place = scratch.save(span_places(docs), "places"), F.struct("doc_id", "text_hash", "position")
+    first = places.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    again = scratch.save(first.where("first != last").select("span", "first"), "repeated")
+    other = places.join(again, "span").where(place != F.col("first"))
+    out = scratch.save(other.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("position", "length")).alias("covered")), "covered")
+    scratch.drop("places")
+    scratch.drop("repeated")
+    return out
 
 
 def cut(text: str, covered: list[dict]) -> tuple[str, list[dict]]:
@@ -122,16 +129,18 @@ def cut(text: str, covered: list[dict]) -> tuple[str, list[dict]]:
 
 
 def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs with text cut, and n_removed (sentences' spans of characters that went, joined where adjacent) and removed_spans."""
+    """docs with text cut, and n_removed (sentences' spans of characters that went, joined where adjacent) and removed_spans. The scratch table of covered places is read when the result is."""
     scratch = scratch or Scratch(docs.sparkSession)
-    covered = repeated_places(docs, scratch)
     own = docs.drop("n_removed", "removed_spans", "covered")
-    more = "text string, n_removed int, removed_spans array<struct<start: int, end: int>>"
-
-    def one(cols):
-        done = [(t, []) if not c or t is None else cut(t, c) for t, c in zip(cols["text"], cols["covered"], strict=True)]
-        return cols | {"text": [d[0] for d in done], "n_removed": [len(d[1]) for d in done], "removed_spans": [d[1] for d in done]}
-
-    joined = own.join(covered, "doc_id", "left")
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    return map_rows(joined, f"{rest}, {more}", lambda: one).select(*[f"`{c}`" for c in own.columns], "n_removed", "removed_spans")
+    key, text_hash, covered = (fresh(own, n) for n in ("place_doc_id", "text_hash", "covered"))
+    places = repeated_places(docs, scratch).select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("covered").alias(covered))
+    keyed = own.withColumn(key, F.col("doc_id").cast("long")).withColumn(text_hash, F.xxhash64("text"))
+    joined = keyed.join(places, [key, text_hash], "left").select(F.struct(F.col("text").alias("text"), F.col(covered).alias("covered")).alias(covered), *[f"`{c}`" for c in own.columns if c != "text"])
+    more = [StructField(text_hash, StringType()), StructField("n_removed", IntegerType()), StructField("removed_spans", ArrayType(SPANS))]
+
+    def one(rows):
+        found = [(r["text"], []) if not r["covered"] or r["text"] is None else cut(r["text"], r["covered"]) for r in rows]
+        return [(text, len(gone), gone) for text, gone in found]
+
+    out = add_columns(joined, more, lambda: one, covered)
+    return out.select(*[F.col(text_hash).alias("text") if c == "text" else f"`{c}`" for c in own.columns], "n_removed", "removed_spans")
