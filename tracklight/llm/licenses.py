@@ -1,9 +1,10 @@
 """Licence scans by canonical digest lookup.
 
-A text is brought to a canonical form (lower case, equivalent spellings, copyright lines out, everything but letters a-z,
+A text is brought to a canonical form (lower case, equivalent spellings, copyright lines out, everything but letters, marks,
 digits and line ends to single spaces) and hashed whole; digests are joined with those of known licence texts. Each line
-is looked up in the same way, so that a notice that stands alone on its line is found as well. The list of known texts
-is a parameter; the broadcast side of the join is that list, of at most MOST_KNOWN entries, and a longer list is joined by a shuffle.
+is looked up in the same way, so that a notice that stands alone on its line is found as well. The list of known texts is a
+parameter of any length: a document's digests meet it in one join, broadcast up to MOST_KNOWN entries, which is checked, and
+shuffled beyond that, where adaptive execution splits lines that many documents have.
 
 Null texts count as empty; texts without letters or digits match nothing; repeated rows give repeated results; extra
 columns are dropped. Licences come in alphabetical order, without repeats.
@@ -22,10 +23,24 @@ SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"), ("authorised", "authorized"),
     ("merchantibility", "merchantability"), ("whilst", "while"), ("favour", "favor"), ("http://", "https://"), ("&", " and "), ("©", "(c)"),
 )
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*$"
+#: A line that starts with a claim: "copyright", "(c)" or "all rights reserved" as the notice itself, not as a word of the terms.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|all rights reserved)[^\n]*$"
+#: What is no part of the canonical form.
+OTHER = r"[^\p{L}\p{M}\p{N}\n]+"
 
+#: Parts of two of the known texts, fixed values.
+BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 #: Known texts, fixed values: notices in common use, and short licences whole.
 KNOWN = (
+    ("BSD-2-Clause", f"{BSD_TERMS}\n\n{BSD_DISCLAIMER}"),
+    ("BSD-3-Clause", f"{BSD_TERMS}\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n{BSD_DISCLAIMER}"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>"),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nEveryone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    https://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -47,34 +62,35 @@ def canonical_lines(text: Column) -> Column:
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     out = F.regexp_replace(out, COPYRIGHT_LINE, "")
-    return F.regexp_replace(out, r"[^a-z0-9\n]+", " ")
+    return F.regexp_replace(out, OTHER, " ")
 
 
 def canonical_whole(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
+def _digest(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
 def known_digests(spark, known=KNOWN) -> DataFrame:
+    """digest and licenses (in order) of each different known text; texts without letters or digits are none."""
     rows = spark.createDataFrame([(str(k), str(t)) for k, t in known], "license string, text string")
-    return rows.select(F.md5(canonical_whole(canonical_lines(F.col("text"))).cast("binary")).alias("digest"), "license").distinct()
+    whole = rows.select("license", canonical_whole(canonical_lines(F.col("text"))).alias("text")).where("text != ''")
+    return whole.groupBy(_digest(F.col("text")).alias("digest")).agg(F.array_sort(F.collect_set("license")).alias("licenses"))
 
 
 def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     """doc_id, digest (of the whole canonical text), license (of the whole text, or null; the first of several) and notices (of its lines)."""
-    spark = docs.sparkSession
-    table = known_digests(spark, known)
-    form = docs.select("doc_id", canonical_lines(as_text(F.col("text"))).alias("form"))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: x != "")))
+    table = known_digests(docs.sparkSession, known)
     if len(known) <= MOST_KNOWN:
-        names: dict[str, list[str]] = {}
-        for r in table.collect():
-            names.setdefault(r.digest, []).append(r.license)
-        whole = spark.createDataFrame([(d, sorted(n)) for d, n in names.items()] or [("", [""])], "digest string, names array<string>")
-        lookup = F.map_from_entries(F.array(*[F.struct(F.lit(d), F.array(*[F.lit(x) for x in sorted(n)])) for d, n in names.items()])) if names else F.create_map()
-        notices = F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(found, lambda x: lookup[F.md5(x.cast("binary"))]), lambda x: x.isNotNull())))) if names else F.array().cast("array<string>")
-        rows = form.select("doc_id", F.md5(canonical_whole(F.col("form")).cast("binary")).alias("digest"), notices.alias("notices"))
-        return rows.join(F.broadcast(whole), "digest", "left").select("doc_id", "digest", F.element_at("names", 1).alias("license"), "notices")
-    rows = form.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.md5(canonical_whole(F.col("form")).cast("binary")).alias("whole"), found.alias("lines"))
-    keys = rows.select("row", "doc_id", "whole", F.explode_outer(F.array_union(F.array("whole"), F.transform("lines", lambda x: F.md5(x.cast("binary"))))).alias("digest"))
-    hit = keys.join(table, "digest", "left").groupBy("row", "doc_id", "whole")
-    return hit.agg(F.min(F.when(F.col("digest") == F.col("whole"), F.col("license"))).alias("license"), F.array_sort(F.collect_set("license")).alias("notices")).select("doc_id", F.col("whole").alias("digest"), "license", "notices")
+        table = F.broadcast(table)
+    lines = F.array_distinct(F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    form = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical_lines(as_text(F.col("text"))).alias("form"))
+    whole = form.select("row", "doc_id", _digest(canonical_whole(F.col("form"))).alias("whole"), lines.alias("lines"))
+    looked_up = F.transform("lines", lambda x: F.struct(_digest(x).alias("digest"), F.lit(False).alias("is_whole")))
+    keys = whole.select("row", "doc_id", "whole", F.explode(F.concat(F.array(F.struct(F.col("whole").alias("digest"), F.lit(True).alias("is_whole"))), looked_up)).alias("key"))
+    # lines that are nobody's notice end here, so that about one row for each document is shuffled
+    hits = keys.select("row", "doc_id", "whole", "key.*").join(table, "digest", "left").where("is_whole or licenses is not null").groupBy("row", "doc_id", "whole")
+    found = hits.agg(F.first(F.when(F.col("is_whole"), F.get("licenses", F.lit(0))), ignorenulls=True).alias("license"), F.collect_set(F.when(~F.col("is_whole"), F.col("licenses"))).alias("sets"))
+    return found.select("doc_id", F.col("whole").alias("digest"), "license", F.array_sort(F.array_distinct(F.flatten("sets"))).alias("notices"))

@@ -92,7 +92,7 @@ def license_sql() -> str:
         out = f"lower({text})"
         for old, new in licenses.SPELLINGS:
             out = f"replace({out}, {quoted(old)}, {quoted(new)})"
-        return f"regexp_replace(regexp_replace({out}, {quoted(licenses.COPYRIGHT_LINE)}, '', 'g'), '[^a-z0-9\\n]+', ' ', 'g')"
+        return f"regexp_replace(regexp_replace({out}, {quoted(licenses.COPYRIGHT_LINE)}, '', 'g'), {quoted(licenses.OTHER)}, ' ', 'g')"
 
     whole = lambda f: f"md5(trim(regexp_replace({f}, '[ \\n]+', ' ', 'g')))"
     known = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in licenses.KNOWN)
