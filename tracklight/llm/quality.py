@@ -1,13 +1,16 @@
 """Quality by co-training: two classifiers with different views of a document teach each other.
 
-One view is the text's content (shares of kinds of characters, repetition, word lengths), the other the page's metadata
-(language, source, declared and real length, layout of lines). Both are logistic regressions. In each round each adds to
-the other's examples the documents of an unlabelled pool that it is most sure of, as many for either answer as the labels'
-shares ask for. Then each is calibrated on labelled rows that it hasn't seen, and a last regression over the calibrated
-log-odds combines them; a view that adds nothing gets no weight.
-
-Models are fitted on the driver on bounded samples, documented parameters: LABELLED labelled rows and POOL others, chosen
-by hash, of which only feature vectors leave the executors. All documents are scored, over their whole texts.
+One view is the text's content (shares of kinds of characters, repetition, word lengths, layout of lines), the other the
+page's metadata (language, source, declared length) without a look at the text. Both are logistic regressions. In each
+round each adds to the other's examples the documents that it is most sure of among all unlabelled ones, ADD at most, as
+many for either answer as the labels' shares ask for; equal documents count once. Then each view is calibrated on labelled
+rows that it hasn't seen, and a last regression, on other rows, combines the calibrated log-odds; a view that adds nothing
+gets no weight.
+
+Models are fitted on the driver on a bounded sample of LABELLED labelled rows, a documented parameter, chosen by hash, and on
+the pseudo-labels of the rounds. The search for these goes over every document: feature vectors are written to the shared
+folder once and scored in each round where they lie; only the best of each task leave it. All documents are scored, over
+their whole texts.
 
 Null texts count as empty, null languages, sources and lengths as values of their own. Without labels of both kinds every
 document is accepted with probability 1. Rows of labels with nulls teach nothing; of several labels of a document the
@@ -20,41 +23,42 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, BooleanType, StructField
 
-from tracklight.llm.common import add_columns, fresh
+from tracklight.llm.common import Scratch, add_columns, fresh
 
-LABELLED, POOL, ROUNDS, ADD = 12_000, 6_000, 4, 300
-SOURCES, LANGS = 32, 8
+LABELLED, ROUNDS, ADD = 12_000, 4, 300
+#: Log-odds from which a view is sure.
+SURE = 2.0
+SOURCES, LANGS, SIZES = 32, 8, 14
 LEAST = 0.5
+BEST = pa.schema([("view", pa.int32()), ("answer", pa.int32()), ("content", pa.binary()), ("metadata", pa.binary()), ("sure", pa.float64())])
 
 
 def content(text: str) -> list[float]:
+    """Shares of the text, their roots (which tell small shares apart), and lengths on a log scale."""
     raw = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
     n = max(1, int(raw.sum()))
     words = text.split()
     w = max(1, len(words))
-    unique = len(set(words))
     repeated = sum(map(str.__eq__, words, words[1:]))
     lines = [x for x in text.split("\n") if x]
-    letters = max(1, int(raw[65:91].sum() + raw[97:123].sum()))
-    symbols = int(raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum())
+    upper, lower, digits = int(raw[65:91].sum()), int(raw[97:123].sum()), int(raw[48:58].sum())
     stops = int(raw[44] + raw[46])
-    odd = symbols - stops
-    shares = [int(raw[65:91].sum()) / letters, odd / n, stops / w, int(raw[48:58].sum()) / n, repeated / w, 1 - unique / w, int(raw[124]) / w, int(raw[33]) / w, int(raw[128:].sum()) / n]
+    odd = int(raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum()) - stops
+    shares = [upper / max(1, upper + lower), odd / n, odd / w, stops / w, digits / n, repeated / w, 1 - len(set(words)) / w, int(raw[124]) / w, int(raw[33]) / w, int(raw[128:].sum()) / n, 1 - len(set(lines)) / max(1, len(lines))]
     mean = sum(map(len, words)) / w
-    twice = 1 - len(set(lines)) / max(1, len(lines))
-    more = [float(repeated / w > 0.1), float(odd / w > 0.15), float(shares[0] > 0.4), float(shares[6] > 0.1), float(not words)]
-    return [*shares, *[s**0.5 for s in shares[:7]], mean / 10, max(0.0, mean - 12) / 10, twice, unique / w * min(1.0, w / 50), *more, np.log1p(w) / 10]
+    return [*shares, *[max(0.0, s) ** 0.5 for s in shares], mean / 10, max(map(len, words), default=0) ** 0.5 / 10, np.log1p(len(words)) / 10, np.log1p(len(text)) / 10, np.log1p(len(lines)) / 5, float(not words)]
 
 
-def metadata(lang: str | None, source: str | None, declared: int | None, text: str) -> list[float]:
+def metadata(lang: str | None, source: str | None, declared: int | None) -> list[float]:
+    """Language and source as hashed indicators, and the declared length on a log scale and by its order of magnitude."""
     spot = lambda x, n: [float(k == (n - 1 if x is None else zlib.crc32(x.encode()) % (n - 1))) for k in range(n)]
-    size, lines = len(text), text.count("\n") + 1
-    said = float(declared if declared is not None else size)
-    return [np.log1p(max(0.0, said)) / 10, np.log1p(size) / 10, float(abs(said - size) > 0.01 * size), np.log1p(lines) / 5, np.log1p(size / lines) / 10, float(lines == 1), float(declared is None), *spot(lang, LANGS), *spot(source, SOURCES)]
+    said = np.log1p(max(0, declared or 0))
+    return [said / 10, float(declared is None), *[float(k == min(SIZES - 1, int(said))) for k in range(SIZES)], *spot(lang, LANGS), *spot(source, SOURCES)]
 
 
 def add_features(docs: DataFrame) -> DataFrame:
@@ -67,7 +71,7 @@ def add_features(docs: DataFrame) -> DataFrame:
         as_bytes = lambda x: np.array(x, np.float32).tobytes()
 
         def one(views):
-            return [(as_bytes(content(v["text"] or "")), as_bytes(metadata(v["lang"], v["source"], v["n_chars"], v["text"] or ""))) for v in views]
+            return [(as_bytes(content(v["text"] or "")), as_bytes(metadata(v["lang"], v["source"], v["n_chars"]))) for v in views]
 
         return one
 
@@ -110,54 +114,118 @@ class Model:
         return 1 / (1 + np.exp(-self.both.odds(odds)))
 
 
-def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, add: int = ADD) -> Model:
-    """y: 1 good, 0 bad. Every fourth labelled row is held back for calibration."""
+#: Of the surest documents for an answer: their vectors in both views.
+Picked = tuple[np.ndarray, np.ndarray]
+
+
+def surest_of_arrays(pool: Picked):
+    """The function that co_train asks, over a pool in memory."""
+    left = np.arange(len(pool[0]))
+
+    def surest(views, n_good, n_bad):
+        nonlocal left
+        out, gone = [], set()
+        for k in (0, 1):
+            sure = views[k].odds(pool[k][left]) if len(left) else np.zeros(0)
+            order = np.argsort(sure, kind="stable")
+            picked = [left[np.array([i for i in order[:n_bad] if sure[i] < -SURE], int)], left[np.array([i for i in order[::-1][:n_good] if sure[i] > SURE], int)]]
+            gone |= {int(i) for p in picked for i in p}
+            out.append(tuple((pool[0][p], pool[1][p]) for p in picked))
+        left = np.array([i for i in left if i not in gone], int)
+        return out
+
+    return surest
+
+
+def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool, rounds: int = ROUNDS, add: int = ADD) -> Model:
+    """y: 1 good, 0 bad. pool: unlabelled vectors of both views, or a function (views, n_good, n_bad) that gives, for each view, its surest bad and its surest good documents that no earlier call gave. Every eighth labelled row is held back for calibration, and another for the combination."""
+    surest = pool if callable(pool) else surest_of_arrays(pool)
     if not len(y) or y.min() == y.max():
         return Model()
-    back = np.arange(len(y)) % 4 == 3
-    if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
-        back = np.zeros(len(y), bool)
-    fit_on = ~back
+    part = np.arange(len(y)) % 8
+    calibrates, combines = part == 3, part == 7
+    if any(len(set(y[p])) < 2 for p in (calibrates, combines, ~(calibrates | combines))):
+        calibrates = combines = np.zeros(len(y), bool)
+    fit_on = ~(calibrates | combines)
     taught = [[(x[fit_on], y[fit_on])] for x in xs]
-    left = np.arange(len(pool[0]))
     share = y[fit_on].mean()
+    fit = lambda: tuple(Logistic().fit(np.vstack([a for a, _ in t]), np.concatenate([b for _, b in t])) for t in taught)
     for _ in range(rounds):
-        views = [Logistic().fit(np.vstack([a for a, _ in t]), np.concatenate([b for _, b in t])) for t in taught]
-        if not len(left):
+        found = surest(fit(), max(1, round(add * share)), max(1, round(add * (1 - share))))
+        for k, answers in enumerate(found):
+            for answer, picked in enumerate(answers):
+                if len(picked[0]):
+                    taught[1 - k].append((picked[1 - k], np.full(len(picked[0]), float(answer))))
+        if not any(len(p[0]) for answers in found for p in answers):
             break
-        gone = set()
-        for k in (0, 1):
-            odds = views[k].odds(pool[k][left])
-            order = np.argsort(odds, kind="stable")
-            good = [i for i in order[::-1][: max(1, round(add * share))] if odds[i] > 2]
-            bad = [i for i in order[: max(1, round(add * (1 - share)))] if odds[i] < -2]
-            if picked := [*good, *bad]:
-                taught[1 - k].append((pool[1 - k][left[picked]], np.array([1.0] * len(good) + [0.0] * len(bad))))
-                gone |= set(picked)
-        left = np.array([v for i, v in enumerate(left) if i not in gone], int)
-    views = tuple(Logistic().fit(np.vstack([a for a, _ in t]), np.concatenate([b for _, b in t])) for t in taught)
-    on = back if back.any() else fit_on
-    odds = [v.odds(x[on]) for v, x in zip(views, xs, strict=True)]
-    scales = tuple(Logistic().fit(o[:, None], y[on]) for o in odds)
-    both = Logistic().fit(np.column_stack([c.odds(o[:, None]) for c, o in zip(scales, odds, strict=True)]), y[on])
+    views = fit()
+    on = (calibrates, combines) if calibrates.any() else (fit_on, fit_on)
+    odds = [v.odds(x) for v, x in zip(views, xs, strict=True)]
+    scales = tuple(Logistic().fit(o[on[0]][:, None], y[on[0]]) for o in odds)
+    both = Logistic().fit(np.column_stack([c.odds(o[on[1]][:, None]) for c, o in zip(scales, odds, strict=True)]), y[on[1]])
     return Model(views, scales, both)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Broadcasts at most labelled + pool ids, the chosen rows, and collects their features."""
+def _matrix(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(float) if column else np.zeros((0, 1))
+
+
+def _surest_of(rows: DataFrame, used: set[tuple[bytes, bytes]]):
+    """The function that co_train asks: it looks through all rows (content, metadata) but those in used, to which it adds what it gives."""
+
+    def surest(views: tuple[Logistic, Logistic], n_good: int, n_bad: int) -> list[tuple[Picked, Picked]]:
+        shared = rows.sparkSession.sparkContext.broadcast((views, used))
+
+        def best(batches):
+            """For each view and answer the surest of a task's different documents."""
+            own, gone = shared.value
+            held: dict[tuple[int, int], dict[tuple[bytes, bytes], float]] = {(k, a): {} for k in (0, 1) for a in (0, 1)}
+            for batch in batches:
+                pair = [batch.column(k).to_pylist() for k in (0, 1)]
+                for k in (0, 1):
+                    odds = own[k].odds(_matrix(pair[k]))
+                    for answer, n in ((1, n_good), (0, n_bad)):
+                        sure = odds if answer else -odds
+                        mine = held[k, answer]
+                        least = min(mine.values()) if len(mine) >= n else SURE
+                        for i in np.flatnonzero(sure > least):
+                            if (key := (pair[0][i], pair[1][i])) not in gone:
+                                mine[key] = float(sure[i])
+                        if len(mine) > n:
+                            held[k, answer] = dict(sorted(mine.items(), key=lambda x: (-x[1], x[0]))[:n])
+            out = [(k, a, c, m, s) for (k, a), mine in held.items() for (c, m), s in mine.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*out, strict=True) if out else [[]] * 5, BEST, strict=True)], schema=BEST)
+
+        found = rows.select("content", "metadata").mapInArrow(best, "view int, answer int, content binary, metadata binary, sure double").dropDuplicates(["view", "answer", "content", "metadata"])
+        rank = F.row_number().over(Window.partitionBy("view", "answer").orderBy(F.col("sure").desc(), "content", "metadata"))
+        few = found.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("answer") == 1, n_good).otherwise(n_bad)).where(F.col("rank") <= max(n_good, n_bad)).collect()
+        few.sort(key=lambda r: (r.view, r.answer, r.rank))
+        used.update((bytes(r.content), bytes(r.metadata)) for r in few)
+        picked = [[[r for r in few if (r.view, r.answer) == (k, a)] for a in (0, 1)] for k in (0, 1)]
+        answers = [tuple((_matrix([r.content for r in p]), _matrix([r.metadata for r in p])) for p in of_view) for of_view in picked]
+        shared.unpersist()
+        return answers
+
+    return surest
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, scratch: Scratch | None = None) -> Model:
+    """Broadcasts at most `labelled` ids, and collects the features of these rows and of the pseudo-labelled ones."""
+    scratch = scratch or Scratch(docs.sparkSession)
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(*by_hash).limit(labelled)
-    others = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool).select("doc_id", F.lit(None).cast("int").alias("y"))
-    ids = known.select("doc_id", F.col("y").cast("int")).unionByName(others).groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).orderBy(*by_hash).limit(labelled)
+    if known.isEmpty():
+        return Model()
     used = docs.select("doc_id", *[c for c in ("text", "lang", "source", "n_chars") if c in docs.columns])
-    rows = add_features(used.join(F.broadcast(ids), "doc_id")).select("doc_id", "y", "content", "metadata").collect()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.content))
-    view = lambda part, name: np.array([np.frombuffer(r[name], np.float32) for r in part], float)
-    seen, unseen = [r for r in rows if r.y is not None], [r for r in rows if r.y is None]
+    features = scratch.save(add_features(used.join(F.broadcast(known), "doc_id", "left")).select("doc_id", "y", "content", "metadata"), "features")
+    seen = sorted(features.where("y is not null").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.content))
     if not seen:
+        scratch.drop()
         return Model()
-    empty = lambda x: x if len(x) else np.zeros((0, 1))
-    return co_train((view(seen, "content"), view(seen, "metadata")), np.array([float(r.y > 0) for r in seen]), (empty(view(unseen, "content")), empty(view(unseen, "metadata"))))
+    surest = _surest_of(features.where("y is null"), set())
+    out = co_train((_matrix([r.content for r in seen]), _matrix([r.metadata for r in seen])), np.array([float(r.y > 0) for r in seen]), surest)
+    scratch.drop()
+    return out
 
 
 def score(docs: DataFrame, model: Model, least: float = LEAST, columns: tuple[str, str] = ("score", "accepted")) -> DataFrame:
@@ -173,7 +241,7 @@ def score(docs: DataFrame, model: Model, least: float = LEAST, columns: tuple[st
             out = []
             for start in range(0, len(views), 1000):
                 part = views[start : start + 1000]
-                p = own.scores(np.array([content(v["text"] or "") for v in part], np.float32), np.array([metadata(v["lang"], v["source"], v["n_chars"], v["text"] or "") for v in part], np.float32))
+                p = own.scores(np.array([content(v["text"] or "") for v in part], np.float32), np.array([metadata(v["lang"], v["source"], v["n_chars"]) for v in part], np.float32))
                 out += [(float(x), bool(x >= least)) for x in p]
             return out
 
