@@ -1,8 +1,8 @@
 """Secret scans by a trigram inverted index.
 
 From each rule's regular expression comes a Boolean query over the trigrams that any match must hold (`trigram_query`).
-Texts are indexed in segments of about a megabyte, as a search engine's segments are: postings list, for each trigram that
-some query names, the segment's documents holding it. Intersecting and uniting postings gives each rule's candidates,
+Texts are indexed in segments of at most 256 texts or about a megabyte, as a search engine's segments are: postings list, for
+each ASCII trigram that some query names, the segment's documents holding it. Other trigrams aren't indexed and may be anywhere. Intersecting and uniting postings gives each rule's candidates,
 which the regular expression then verifies on their whole texts. A rule without mandatory trigrams scans every text.
 Segments never leave their partition, so nothing is shuffled, and a hot source or text is no special case.
 
@@ -61,18 +61,23 @@ RULES = BASE + MORE
 MOST_ALTERNATIVES = 24
 
 
+def _letter(code: int) -> str:
+    """A character as the index has it: only ASCII letters lose their case."""
+    return chr(code).lower() if code < 128 else chr(code)
+
+
 def _known(node) -> list[str] | None:
     """All strings that a parsed node can match, if they are few."""
     op, arg = node
     if op is C.LITERAL:
-        return [chr(arg).lower()]
+        return [_letter(arg)]
     if op is C.IN:
         found: set[str] = set()
         for kind, value in arg:
             if kind is C.LITERAL:
-                found.add(chr(value).lower())
+                found.add(_letter(value))
             elif kind is C.RANGE and value[1] - value[0] < 4:
-                found |= {chr(x).lower() for x in range(value[0], value[1] + 1)}
+                found |= {_letter(x) for x in range(value[0], value[1] + 1)}
             else:
                 return None
         return sorted(found) if len(found) <= 5 else None
@@ -133,10 +138,11 @@ def named(query) -> set[str]:
 
 
 def answer(query, postings: dict[str, set[int]], all_rows: set[int]) -> set[int]:
+    """The rows that may satisfy a query: those of the postings for an ASCII trigram, all for another one."""
     if query is True:
         return all_rows
     if isinstance(query, str):
-        return postings.get(query, set())
+        return postings.get(query, set()) if query.isascii() else all_rows
     parts = [answer(q, postings, all_rows) for q in query[1]]
     return set.intersection(*parts) if query[0] == "and" else set.union(*parts)
 
