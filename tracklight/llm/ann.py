@@ -1,31 +1,43 @@
 """Nearest neighbours by collision-counting hashing with query-aware windows.
 
 Vectors are scaled to length one, so that the nearest by cosine are the nearest by distance. Each of PROJECTIONS random
-directions gives each vector one number, and each block of vectors keeps those numbers in sorted arrays. A query's window
-lies around its own number and is widened step by step (virtual rehashing, no array is built twice); a vector that is
-inside the windows of at least THRESHOLD of the directions collides often enough to be verified by its exact cosine in
-double precision. Windows stop growing once a block has verified LEAST vectors and SHARE of its own rows, or all.
-
-Every valid row is in one block (rows are dealt by a hash, so a block is bounded and no value is hot); the queries, a
-stated set, meet all blocks in blocks of their own. Each pair of blocks gives its best `k` for each query, and the best of
-those are the result.
+directions gives each vector one number, and each block of vectors keeps those numbers in arrays that are sorted once. A
+query looks at the LOOKED directions in which its own number is farthest out: few vectors lie there, and its neighbours are
+over-represented among them. Its window lies around its own number and is widened step by step (virtual rehashing, each step
+counts only what is new in it); a vector inside the windows of at least THRESHOLD of these directions collides often enough
+to be verified by its exact cosine in double precision. Windows stop growing once a block has verified its part of CANDIDATES
+times the square root of the number of vectors, so the verified share falls as the table grows; a block of fewer is
+verified whole.
+
+Of equal vectors only the k + 1 of smallest ids are looked at, and of equal rows k, as no others can be among a query's k
+nearest; so a vector that a third of all rows repeat is no hot spot. Rows are dealt to blocks by a hash, and blocks are bounded in numbers (BLOCK of
+them). The queries, a stated set, meet all blocks: a task builds a block's arrays once and streams the queries by. Each
+block gives its best k for each query, and the best of those are the result. So memory is bounded, and the work is the
+product of queries and vectors all the same, at a small number of counts for each pair.
 
 Null vectors, zero vectors, and those with null or non-finite components take no part, as neither do rows with a null
-vec_id. Vectors of another dimension are no candidates. Of rows with a query's vec_id none is its candidate, and repeated
-queries are answered once. Ties go to the smaller vec_id. Empty tables give empty results.
+vec_id. Vectors of another dimension are no candidates. Of rows with a query's vec_id none is its candidate; of query rows
+that share a vec_id the one of the smallest vector is asked. Vectors are scaled by a power of two before lengths are taken,
+so that neither tiny nor huge ones lose anything. Equal vectors get equal scores, as a row's sum has one order; ties go to
+the smaller vec_id. Repeated rows are found repeatedly. Extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, THRESHOLD, LEAST, SHARE = 64, 0.75, 200, 0.2
+from tracklight.llm.common import slices
+
+PROJECTIONS, LOOKED, THRESHOLD, CANDIDATES = 512, 64, 0.25, 4.0
 #: The first half-width of a window, and the factor by which it grows; numbers of unit vectors spread with deviation 1.
-HALF, GROWTH = 0.7, 1.2
-BLOCK, QUERY_BLOCK = 4096, 1024
+HALF, GROWTH = 0.7, 1.15
+#: Numbers of a block's vectors, at most; a vector of more is a block of its own.
+BLOCK = 1 << 20
 SEED = 20_240_607
 
 
@@ -34,61 +46,110 @@ def valid(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row times a power of two, which changes no cosine and no bit of one, and its length then."""
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
+    return vectors, np.sqrt((vectors * vectors).sum(1))
+
+
 class Arrays:
     """The sorted arrays of one block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.norms = ids, np.sqrt((vectors * vectors).sum(1))
-        self.vectors = vectors
-        self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
-        values = ((vectors / self.norms[:, None]) @ self.directions).T
+        self.ids = ids
+        self.vectors, self.norms = scaled(vectors)
+        self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS)).astype(np.float32)
+        values = np.ascontiguousarray(self._numbers(self.vectors, self.norms).T)
         self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(values, self.order, 1)
 
-    def nearest(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-        """(query's id, vector's id, cosine) of up to k vectors for each query. All queries' windows widen in step, and each step counts only what is new in them."""
-        lengths, n = np.sqrt((queries * queries).sum(1)), len(self.ids)
-        at = ((queries / lengths[:, None]) @ self.directions).T
-        want, half = min(n, max(LEAST, int(SHARE * n)) + k), HALF
-        counts = np.zeros((len(queries), n), np.uint8)
-        low = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at, strict=True)])
-        high, out, active = low.copy(), [], np.arange(len(queries))
-        while len(active):
-            new_low = np.array([np.searchsorted(s, a[active] - half) for s, a in zip(self.sorted, at, strict=True)])
-            new_high = np.array([np.searchsorted(s, a[active] + half, "right") for s, a in zip(self.sorted, at, strict=True)])
-            for m, q in enumerate(active):
-                rings = [o[a:b] for o, a, b in zip(self.order, new_low[:, m], low[:, q], strict=True)]
-                rings += [o[a:b] for o, a, b in zip(self.order, high[:, q], new_high[:, m], strict=True)]
-                counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.uint8)
-            low[:, active], high[:, active] = new_low, new_high
-            enough = (counts[active] >= THRESHOLD * PROJECTIONS).sum(1) >= want
-            for q in active[enough]:
-                found = np.flatnonzero(counts[q] >= THRESHOLD * PROJECTIONS)
-                found = found[self.ids[found] != own[q]]
-                cosines = (self.vectors[found] @ queries[q]) / (self.norms[found] * lengths[q])
-                out += [(int(own[q]), int(self.ids[found[b]]), float(cosines[b])) for b in np.lexsort((self.ids[found], -cosines))[:k]]
-            active, half = active[~enough], half * GROWTH
+    def _numbers(self, vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        return (vectors / norms[:, None]).astype(np.float32) @ self.directions
+
+    def nearest(self, own: np.ndarray, queries: np.ndarray, k: int, want: int) -> list[tuple[int, int, float]]:
+        """(query's id, vector's id, cosine) of up to k vectors for each query, of at least `want` verified ones."""
+        queries, lengths = scaled(queries)
+        at, out = self._numbers(queries, lengths), []
+        for q, (query_id, query, length) in enumerate(zip(own, queries, lengths, strict=True)):
+            found = self._colliding(at[q], want + 1)
+            found = found[self.ids[found] != query_id]
+            near = self.vectors[found]
+            cosines = (near * query).sum(1) / (self.norms[found] * length)
+            out += [(int(query_id), int(self.ids[found[b]]), float(cosines[b])) for b in np.lexsort((self.ids[found], -cosines))[:k]]
         return out
 
+    def _colliding(self, at: np.ndarray, want: int) -> np.ndarray:
+        """The vectors in the windows of enough directions, once they are `want` or all."""
+        n = len(self.ids)
+        if want >= n:
+            return np.arange(n)
+        looked = np.argsort(-np.abs(at), kind="stable")[:LOOKED]
+        low = np.array([np.searchsorted(self.sorted[j], at[j]) for j in looked])
+        high, counts, half = low.copy(), np.zeros(n, np.int64), HALF
+        while True:
+            rings = []
+            for k, j in enumerate(looked):
+                a, b = np.searchsorted(self.sorted[j], at[j] - half), np.searchsorted(self.sorted[j], at[j] + half, "right")
+                rings += [self.order[j, a : low[k]], self.order[j, high[k] : b]]
+                low[k], high[k] = min(a, low[k]), max(b, high[k])
+            counts += np.bincount(np.concatenate(rings), minlength=n)
+            found = np.flatnonzero(counts >= THRESHOLD * LOOKED)
+            if len(found) >= want:
+                return found
+            half *= GROWTH
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _searched(rows: DataFrame, k: int, share: float) -> DataFrame:
+    """Each block's best for each query, from rows of block, dimension, asks, vec_id and v: a block's vectors come before the queries that meet it."""
+    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, vectors, arrays = None, [], [], None
+        for batch in slices(batches):
+            blocks, dimensions, asks = (batch.column(n).to_pylist() for n in range(3))
+            vec_ids = batch.column(3).to_numpy()
+            numbers = batch.column(4).flatten().to_numpy()
+            ends = np.cumsum(dimensions)
+            keys = list(zip(blocks, dimensions, asks, strict=True))
+            start = 0
+            for end in range(1, len(keys) + 1):
+                if end < len(keys) and keys[end] == keys[start]:
+                    continue
+                block, dimension, ask = keys[start]
+                part = numbers[ends[start] - dimension : ends[end - 1]].reshape(-1, dimension)
+                if (block, dimension) != place:
+                    place, ids, vectors, arrays = (block, dimension), [], [], None
+                if not ask:
+                    ids.append(vec_ids[start:end])
+                    vectors.append(part.copy())
+                elif ids:
+                    arrays = arrays or Arrays(np.concatenate(ids), np.concatenate(vectors))
+                    found = arrays.nearest(vec_ids[start:end], part, k, max(k, int(np.ceil(share * len(arrays.ids)))))
+                    columns = zip(*found, strict=True) if found else ([], [], [])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+                start = end
+
+    dealt = rows.repartition("block", "dimension").sortWithinPartitions("block", "dimension", "asks")
+    return dealt.select("block", "dimension", "asks", "vec_id", "v").mapInArrow(run, FOUND)
+
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score, the cosine, of each query's k nearest found."""
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & valid(F.col("v")))
-    asked = queries.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & valid(F.col("v"))).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_blocks, n_asked = max(1, -(-rows.count() // BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select(F.lit(False).alias("asks"), "vec_id", "v", deal(n_blocks).alias("block"), every(n_asked).alias("query_block"))
-    ask = asked.select(F.lit(True).alias("asks"), "vec_id", "v", every(n_blocks).alias("block"), deal(n_asked).alias("query_block"))
-    both = data.unionByName(ask).withColumn("dimension", F.size("v"))
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        data, ask = pdf[~pdf.asks], pdf[pdf.asks].sort_values("vec_id")
-        if len(data) and len(ask):
-            out = Arrays(data.vec_id.to_numpy(), np.array(data.v.tolist(), float)).nearest(ask.vec_id.to_numpy(), np.array(ask.v.tolist(), float), k)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = both.groupBy("block", "query_block", "dimension").applyInPandas(pair, "query_id long, vec_id long, score double")
+    named = lambda df: df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & valid(F.col("v")))
+    rows = named(vectors)
+    asked = named(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    total, numbers = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    n_blocks = max(1, -(-numbers // BLOCK))
+    share = CANDIDATES / max(1, total) ** 0.5
+    smallest = Window.partitionBy("v").orderBy("vec_id")
+    # k repeats of a row, and k + 1 ids of a vector, are all that can be among a query's k nearest
+    few = rows.groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("times")).withColumn("copy", F.row_number().over(smallest)).where(F.col("copy") <= k + 1)
+    few = few.select("v", "vec_id", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))).alias("repeat"))
+    data = few.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
+    ask = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
+    found = _searched(data.unionByName(ask).withColumn("dimension", F.size("v")), k, share)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
