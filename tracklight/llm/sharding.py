@@ -109,6 +109,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, links: DataFrame | None = None,
     rest = _ranked(rest.withColumn("single", F.col("shard").isNull()), ["single", "key", "doc_id", "text_crc32", "row"], scratch, "rest")
     where = F.size(F.filter(F.array(*[F.lit(u).cast("long") for u in upto]), lambda u: u <= F.col("rank")))
     filled = rest.withColumn("shard", where).withColumn("slot", F.col("rank") - _of([0, *upto[:-1]], F.col("shard")) + _of(kept, F.col("shard")))
+    scratch.keep("ranked", "rest")
     columns = ["doc_id", "size", "text_crc32", "shard", "slot"]
     out = ranked.where(stays).select(*columns).unionByName(filled.select(*columns))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
