@@ -13,20 +13,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.keep_accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
-#: Scratch tables of stages whose results may still be to be written; a later stage removes them.
-_scratch: list[common.Scratch] = []
-
-
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    _scratch.append(common.Scratch(spark))
-    return ngram_join.keep_one(docs, _scratch[-1])
+    return ngram_join.keep_one(docs, common.Scratch(spark))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    while _scratch:
-        _scratch.pop().drop()
     return decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
@@ -36,8 +29,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, and whether they decode to the bytes of its text."""
-    return bpe.encode_checked(docs, vocabulary()).select("doc_id", "lang", "source", "n_chars", "ids", "n_tokens", "decodes")
+    """All documents with their ids, and whether these decode to the bytes of the text."""
+    return bpe.encode_checked(docs, vocabulary())
 
 
 STAGES = [
@@ -53,9 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    between = f"{common.shared_dir(spark)}/pipeline-{common.uuid.uuid4().hex}"
+    """The last stage's rows, which are computed from the table of the stage before when they are asked for. Tables of earlier stages are removed as soon as the next one is written."""
+    docs, between = common.table(spark, sf_dir, "documents"), common.Scratch(spark)
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{between}/{k}")
-        docs = spark.read.parquet(f"{between}/{k}")
+        docs = between.save(stage(spark, docs, sf_dir), str(k))
+        between.keep(str(k))
     return STAGES[-1][1](spark, docs, sf_dir)
