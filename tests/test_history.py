@@ -231,3 +231,46 @@ def test_polling():
     assert polling.after_poll(full, "schedule", True, 3, 1, 50, polling.SOLE_CAP).gap is False
     spring = polling.next_run(dt.datetime(2024, 3, 9, 23, tzinfo=dt.UTC), 30, 7, timezone="America/New_York")
     assert spring == dt.datetime(2024, 3, 10, 11, 30, tzinfo=dt.UTC)
+
+
+def stream(spark, tmp_path, batches):
+    """The plays after these batches, and those of a projection of everything."""
+    everything = []
+    for k, rows in enumerate(batches):
+        everything += rows
+        S.apply_batch(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/ledger", f"{tmp_path}/plays", k)
+    columns = ["play", "track_id", "played_at", "ms_played", "anchor_us"]
+    got = spark.read.parquet(f"{tmp_path}/plays").select(*columns, F.col("day").cast("string"))
+    want = P.project(spark.createDataFrame(everything, SCHEMA)).select(*columns, F.to_date(F.timestamp_micros("anchor_us")).cast("string"))
+    return sorted(map(tuple, got.collect())), sorted(map(tuple, want.collect()))
+
+
+def seen(id, day, clock, track, channel=("lastfm", "lastfm_api"), ms=None):
+    return (id, 1, *channel, f"t{track}", "A", f"S{track}", dt.datetime.fromisoformat(f"2024-01-{day:02d}T{clock}"), ms, '{"reason_end": "trackdone"}', track)
+
+
+EXPORT = ("spotify", "spotify_export")
+
+
+def test_late_data_of_one_day_leave_the_next_alone(spark, tmp_path):
+    first = [seen(1, 1, "23:50:00", 1), seen(2, 2, "00:02:00", 1, EXPORT, 700_000), seen(3, 2, "12:00:00", 2), seen(4, 2, "15:00:00", 3)]
+    got, want = stream(spark, tmp_path, [first, [seen(5, 1, "10:00:00", 4)], [seen(6, 1, "23:59:50", 5)]])
+    assert got == want and len(got) == 5
+
+
+def test_a_day_whose_plays_move_away_is_emptied(spark, tmp_path):
+    first = [seen(1, 3, "00:00:10", 7), seen(2, 2, "09:00:00", 8)]
+    got, want = stream(spark, tmp_path, [first, [seen(3, 3, "00:03:00", 7, EXPORT, 190_000)]])
+    assert got == want and len(got) == 2 and {r[-1] for r in got} == {"2024-01-02"}
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    rows = [seen(1, 1, "23:50:00", 1), seen(2, 2, "12:00:00", 2)]
+    got, want = stream(spark, tmp_path, [rows, [seen(3, 2, "13:00:00", 3)]])
+    S.apply_batch(spark.createDataFrame([seen(3, 2, "13:00:00", 3)], SCHEMA), f"{tmp_path}/ledger", f"{tmp_path}/plays", 1)
+    assert got == want and spark.read.parquet(f"{tmp_path}/plays").count() == 3 and spark.read.parquet(f"{tmp_path}/ledger").count() == 3
+
+
+def test_unresolved_tracks_are_no_common_track(spark):
+    rows = [seen(1, 1, "10:00:00", 1)[:-1] + (None,), seen(2, 1, "10:00:05", 2, EXPORT, 0)[:-1] + (None,)]
+    assert P.project(spark.createDataFrame(rows, SCHEMA)).count() == 2

@@ -132,3 +132,45 @@ def test_pipeline_writes_and_updates_a_playlist(spark, tmp_path):
     with pytest.raises(sinks.EmptyOverwriteError):
         store.update(made["playlist_id"], half.head(0), NOW)
     assert store.create(half, "x", NOW, dry_run=True)["dry_run"]
+
+
+def test_long_lists_are_numbered_over_all_tasks(spark, tmp_path):
+    """Nothing is cut, and no window holds the list."""
+    n = 1_200_000
+    df = spark.range(n).select(F.col("id").alias("track_id"), (F.col("id") * 7919 % n).alias("at"))
+    out = TrackList.source(df, Key("at", True)).result("track_id", "at")
+    assert "Window" not in out._jdf.queryExecution().toString()
+    assert out.where(F.col("position") == n - 1 - F.col("at")).count() == n
+    last = selectors.by_percentage(TrackList.source(df, Key("at")), 50, "last").result("at")
+    assert last.agg(F.min("at"), F.max("at"), F.count(F.lit(1))).first() == (n // 2, n - 1, n // 2)
+
+
+def test_combiners_keep_orders_of_any_keys(spark):
+    of = lambda rows, key: TrackList.source(spark.createDataFrame(rows, "track_id long, x_added_at long, note string"), key)
+    a = of([(1, 5, "p"), (2, None, "q"), (3, 9, "r")], Key("x_added_at", True))
+    b = of([(4, 1, "s"), (1, 2, "t")], Key("track_id", True))
+    both = combiners.concatenate([a, b])
+    assert [r.track_id for r in both.result("track_id").orderBy("position").collect()] == [3, 1, 2, 4, 1] and "x_added_at" not in both.df.columns
+    again = combiners.concatenate([both, a.reverse(), both], dedup=True)
+    assert [r.track_id for r in again.result("track_id").orderBy("position").collect()] == [3, 1, 2, 4]
+    assert [r.track_id for r in combiners.interleave([both, b]).result("track_id").orderBy("position").collect()] == [3, 4, 1, 1, 2, 4, 1]
+    assert [r.track_id for r in combiners.intersect([a, b]).result("track_id").orderBy("position").collect()] == [1]
+
+
+def test_playlist_versions(spark, tmp_path):
+    """A write that breaks off leaves the version before it in force."""
+    store = sinks.PlaylistStore(spark, str(tmp_path))
+    of = lambda ids: TrackList.source(spark.createDataFrame([(k,) for k in ids], "track_id long"), Key("track_id"))
+    made = store.create(of([1, 2]), "p", NOW)["playlist_id"]
+    (tmp_path / f"playlist_id={made}" / "v2").mkdir()
+    assert sorted(r.track_id for r in store.entries(made).collect()) == [1, 2]
+    for k in range(3):
+        store.update(made, of([5 + k]), NOW)
+    assert [r.track_id for r in store.entries(made).collect()] == [7] and len(store._versions(made)) == 2
+
+
+def test_insert_ignore_keeps_the_same_row_whatever_the_order(spark):
+    rows = [(1, "b", 2), (1, "a", 9), (None, "x", 1), (None, None, 1), (2, "c", 3)]
+    old = spark.createDataFrame([(2, "old", 0)], "k long, name string, v long")
+    out = [sorted(sinks.insert_ignore(old, spark.createDataFrame(r, "k long, name string, v long").repartition(3), ["k"]).collect(), key=str) for r in (rows, rows[::-1])]
+    assert out[0] == out[1] and len(out[0]) == 2

@@ -25,6 +25,12 @@ def seconds_between(a: Column, b: Column) -> Column:
     return (micros(a) - micros(b)) / 1_000_000
 
 
+def draw(seed: int, *columns: Column | str) -> Column:
+    """A number from 0 to below 1 that depends on the seed and the columns alone: 48 bits of a digest of their texts, which other engines can form as well."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+
+
 # Tags
 
 

@@ -71,18 +71,42 @@ def pairing(current: DataFrame, target: DataFrame) -> DataFrame:
     return direct.unionByName(rest.select("playlist_id", "track_id", "current_position", "target_position", F.lit(False).alias("direct")))
 
 
+def out_of_order(pairs: DataFrame) -> DataFrame:
+    """The pairs of lists of which some pair comes before its predecessor: only these have to be looked at as a whole."""
+    w = Window.partitionBy("playlist_id").orderBy("first", "target_position")
+    marked = pairs.withColumn("_falls", F.coalesce(F.col("current_position") < F.lag("current_position").over(w), F.lit(False)))
+    return marked.withColumn("_any", F.bool_or("_falls").over(Window.partitionBy("playlist_id"))).where("_any").drop("_falls", "_any")
+
+
 def moves(current: DataFrame, target: DataFrame, compat: bool = False) -> DataFrame:
-    """playlist_id, track_id, old_position and position of the slots outside a longest run that keeps its order. The run is looked for in the target's order, which gives the fewest moves; compat puts slots that match directly first."""
+    """playlist_id, track_id, old_position and position of the slots outside a longest run that keeps its order. The run is looked for in the target's order, which gives the fewest moves; compat puts slots that match directly first.
+
+    A list whose order is changed is held whole by one task, as two integers for each of its slots.
+    """
 
     def outside(rows: list) -> list[tuple]:
         keep = set(longest_increasing([r.current_position for r in rows]))
-        return [(r.playlist_id, r.track_id, r.current_position, r.target_position) for k, r in enumerate(rows) if k not in keep]
+        return [(r.playlist_id, r.current_position, r.target_position) for k, r in enumerate(rows) if k not in keep]
 
     kinds = {f.name: f.dataType.simpleString() for f in current.schema}
-    schema = f"playlist_id {kinds['playlist_id']}, track_id {kinds['track_id']}, current_position {kinds['position']}, target_position {kinds['position']}"
-    found = pairing(current, target).withColumn("first", F.when(F.col("direct") & F.lit(compat), 0).otherwise(1)).drop("direct")
-    found = per_group(found, ["playlist_id"], ["first", "target_position"], outside, schema)
-    return found.select("playlist_id", "track_id", F.col("current_position").alias("old_position"), F.col("target_position").alias("position"))
+    schema = f"playlist_id {kinds['playlist_id']}, old_position {kinds['position']}, position {kinds['position']}"
+    found = pairing(current, target).withColumn("first", F.when(F.col("direct") & F.lit(compat), 0).otherwise(1)).select("playlist_id", "first", "target_position", "current_position")
+    found = per_group(out_of_order(found), ["playlist_id"], ["first", "target_position"], outside, schema)
+    named = target.select("playlist_id", "position", "track_id")
+    return found.join(named, ["playlist_id", "position"]).select("playlist_id", "track_id", "old_position", "position")
+
+
+def longest_runs(current: DataFrame, target: DataFrame) -> DataFrame:
+    """playlist_id, run (the length of a longest run of slots that keep their order) and slots, of lists that have slots in common."""
+    pairs = pairing(current, target)
+    gone = moves(current, target).groupBy("playlist_id").agg(F.count(F.lit(1)).alias("moves"))
+    all_of = pairs.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("slots")).join(gone, "playlist_id", "left")
+    return all_of.select("playlist_id", (F.col("slots") - F.coalesce("moves", F.lit(0))).alias("run"), "slots")
+
+
+def step_of() -> Column:
+    """The order of the kinds of operations: removals, additions, moves."""
+    return F.when(F.col("operation") == "remove", 0).when(F.col("operation") == "add", 1).otherwise(2)
 
 
 def operations(current: DataFrame, target: DataFrame, compat: bool = False) -> DataFrame:
@@ -90,20 +114,33 @@ def operations(current: DataFrame, target: DataFrame, compat: bool = False) -> D
     r = removals(current, target, compat).select("playlist_id", F.lit("remove").alias("operation"), "track_id", "position", F.col("position").alias("old_position"))
     a = additions(current, target, compat).select("playlist_id", F.lit("add").alias("operation"), "track_id", "position", F.lit(None).cast("int").alias("old_position"))
     m = moves(current, target, compat).select("playlist_id", F.lit("move").alias("operation"), "track_id", "position", "old_position")
-    return r.unionByName(a).unionByName(m).withColumn("step", F.when(F.col("operation") == "remove", 0).when(F.col("operation") == "add", 1).otherwise(2))
+    return r.unionByName(a).unionByName(m).withColumn("step", step_of())
+
+
+def shifted(ops: DataFrame) -> DataFrame:
+    """The operations with the positions of moves less the removals below either end; moves that would end below 0 are left out.
+
+    Removals are counted by running sums over a list's slots, not held against each move.
+    """
+    kind = F.col("operation")
+    rows = ops.withColumn("_id", F.struct("operation", "track_id", "position", "old_position"))
+    marks = ops.where(kind == "remove").select("playlist_id", F.col("old_position").alias("at"), F.lit(1).alias("gone"), F.lit(None).cast(rows.schema["_id"].dataType).alias("_id"), F.lit(None).cast("string").alias("end"))
+    ends = [rows.where(kind == "move").select("playlist_id", F.col(c).alias("at"), F.lit(0).alias("gone"), "_id", F.lit(c).alias("end")) for c in ("old_position", "position")]
+    below = Window.partitionBy("playlist_id").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    counted = marks.unionByName(ends[0]).unionByName(ends[1]).withColumn("below", F.coalesce(F.sum("gone").over(below), F.lit(0))).where("end is not null")
+    sums = counted.groupBy("playlist_id", "_id").agg(*[F.max(F.when(F.col("end") == c, F.col("below"))).alias(f"below_{c}") for c in ("old_position", "position")])
+    moved = rows.where(kind == "move").join(sums, ["playlist_id", "_id"])
+    for c in ("old_position", "position"):
+        moved = moved.withColumn(c, (F.col(c) - F.col(f"below_{c}")).cast(ops.schema[c].dataType))
+    return ops.where(kind != "move").unionByName(moved.where("old_position >= 0 and position >= 0").select(*ops.columns))
 
 
 def executable(ops: DataFrame) -> DataFrame:
     """Operations in the order to run them, `sequence` from 1: removals from the highest slot down, additions, then moves, shifted by the removals below either end and from the highest slot down. Moves that would end below 0 are left out."""
-    gone = ops.where("operation = 'remove'").groupBy("playlist_id").agg(F.sort_array(F.collect_list("old_position")).alias("_gone"))
-    out = ops.join(gone, "playlist_id", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast(f"array<{ops.schema['position'].dataType.simpleString()}>")))
-    below = lambda c: F.size(F.filter("_gone", lambda g: g < F.col(c)))
-    is_move = F.col("operation") == "move"
-    out = out.withColumn("_old", F.when(is_move, F.col("old_position") - below("old_position")).otherwise(F.col("old_position"))).withColumn("_new", F.when(is_move, F.col("position") - below("position")).otherwise(F.col("position")))
-    out = out.where(~is_move | ((F.col("_old") >= 0) & (F.col("_new") >= 0)))
-    down = F.when(F.col("operation") == "add", F.col("_new")).otherwise(-F.col("_old"))
-    w = Window.partitionBy("playlist_id").orderBy("step", down, "_new", "track_id")
-    return out.select("playlist_id", F.row_number().over(w).alias("sequence"), "operation", "track_id", F.col("_new").alias("position"), F.col("_old").alias("old_position"))
+    out = shifted(ops)
+    down = F.when(F.col("operation") == "add", F.col("position")).otherwise(-F.col("old_position"))
+    w = Window.partitionBy("playlist_id").orderBy("step", down, "position", "track_id")
+    return out.select("playlist_id", F.row_number().over(w).alias("sequence"), "operation", "track_id", "position", "old_position")
 
 
 def confidence(current: DataFrame, target: DataFrame, compat: bool = False) -> DataFrame:

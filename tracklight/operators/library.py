@@ -106,8 +106,11 @@ class Listing:
     facets: DataFrame | None = None
 
 
-def list_tracks(library, as_of: dt.datetime, f: Filters = Filters(), sort_by: str = "last_played_desc", limit: int = 50, offset: int = 0, cursor: str | None = None, with_facets: bool = False) -> Listing:
-    """A page with likes, preference and tags, the total (not counted again on cursor pages) and the next cursor of a full page. A cursor that is malformed or of another order falls back to the offset."""
+def list_tracks(library, as_of: dt.datetime, f: Filters = Filters(), sort_by: str = "last_played_desc", limit: int = 50, offset: int = 0, cursor: str | None = None, with_facets: bool = False, with_total: bool = True) -> Listing:
+    """A page with likes, preference and tags, the total (not counted on cursor pages, nor without with_total, as that reads the whole library) and the next cursor of a full page. A cursor that is malformed or of another order falls back to the offset.
+
+    The page's rows are collected once, which its limit bounds.
+    """
     column = SORTS.get(sort_by, SORTS["last_played_desc"])[0]
     after = None
     if cursor:
@@ -117,11 +120,13 @@ def list_tracks(library, as_of: dt.datetime, f: Filters = Filters(), sort_by: st
             after = None
         after = after if after and after.column == column else None
     found = matching(with_totals(library.tracks, library.plays), f, library, as_of)
-    total = None if after else found.count()
+    total = found.count() if with_total and not after else None
     if total == 0:
         return Listing(found.limit(0), 0, None)
-    rows = attach(page(found, sort_by, limit, offset, after), library).cache()
-    tail = rows.orderBy(*([F.col(column).desc_nulls_last(), F.col("track_id").desc()] if SORTS.get(sort_by, SORTS["last_played_desc"])[1] else [F.col(column).asc_nulls_last(), "track_id"])).collect()
+    order = [F.col(column).desc_nulls_last(), F.col("track_id").desc()] if SORTS.get(sort_by, SORTS["last_played_desc"])[1] else [F.col(column).asc_nulls_last(), "track_id"]
+    own = attach(page(found, sort_by, limit, offset, after), library).orderBy(*order)
+    tail = own.collect()
+    rows = own.sparkSession.createDataFrame(tail, own.schema)
     following = None
     if len(tail) == limit:
         value = tail[-1][column]

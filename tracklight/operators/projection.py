@@ -4,7 +4,8 @@ Three steps, each a shuffle by a key that bounds its groups. Within a channel, r
 segments of an interrupted listen join; both reach only so far in time, so a (user, channel, track) is cut into runs at
 longer gaps, and a run of one row needs no work. Across channels, observations of one track (or of equal normal names) that
 start close together become one play, nearest pairs first and one observation of a channel in each play; no pair crosses a
-gap of 180 s, so a user's time is cut there, and again runs of one row need no work. Fields of a play are then picked from
+gap of 180 s, so a user's time is cut there, and again runs of one row need no work. Runs of two are decided by expressions;
+longer ones, few, go through an Arrow function, a run at a time. Fields of a play are then picked from
 its members by aggregates. The result depends on the set of observations alone.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from tracklight.functions.scalars import micros
 from tracklight.functions.text import normalize
 from tracklight.operators.grouped import per_group
+from tracklight.sources.scratch import shared_folder
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,32 @@ def _of_channel(field: str, kind: str) -> Column:
     return out
 
 
+def bridge_key(artist: Column, title: Column) -> Column:
+    """What two services' names of one track have in common."""
+    return F.concat_ws("::", normalize(artist), normalize(title))
+
+
+def pair_tolerance(a: Column, b: Column) -> Column:
+    """Seconds that two observations of one play may start apart: few if both starts are known (normalizable), else more."""
+    return F.when(a & b, F.lit(TOLERANCE)).otherwise(F.lit(WIDE_TOLERANCE))
+
+
+def one_observation(delta_us: Column, a_ms: Column, b_ms: Column) -> Column:
+    """Whether two rows of a channel and track, the second delta_us after the first, are writes of one play: the same instant, or the same known time listened a moment apart."""
+    known = F.coalesce((a_ms > 0) & (a_ms == b_ms), F.lit(False))
+    return (delta_us == 0) | known & (delta_us <= F.least(F.lit(JITTER * US), a_ms * 1000))
+
+
+def duplicate_pairs(observations: DataFrame) -> DataFrame:
+    """a_id and b_id of with_start's rows that are writes of one play, the earlier first."""
+    from tracklight.operators.joins import range_join
+
+    side = lambda s: observations.select(F.col("id").alias(f"{s}_id"), "user_id", "channel", "track_identifier", F.col("played_at").alias(f"{s}_at"), F.col("at_us").alias(f"{s}_us"), F.col("ms_played").alias(f"{s}_ms"))
+    found = range_join(side("a"), side("b"), ["user_id", "channel", "track_identifier"], "a_at", "b_at", 0, JITTER)
+    delta = F.col("b_us") - F.col("a_us")
+    return found.where((delta > 0) | (F.col("a_id") < F.col("b_id"))).where(one_observation(delta, F.col("a_ms"), F.col("b_ms"))).select("a_id", "b_id")
+
+
 def with_channel(observations: DataFrame, strict: bool = True) -> DataFrame:
     """Adds channel, priority, stamps_end, quality and completed; an unknown channel is an error when run, or null."""
     channel = _of_channel("name", "string")
@@ -86,6 +114,29 @@ def _runs(df: DataFrame, keys: list[str], at: str, gap_us: int) -> DataFrame:
     return out.withColumn("run_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys, "run")))
 
 
+def _binned_runs(df: DataFrame, keys: list[str], at: str, gap_us: int) -> DataFrame:
+    """The same for keys that may have very many rows; df is read twice.
+
+    Rows in a bin as wide as the gap belong together, and bins in a row do if the last row of one is near the first of the
+    next. So what one task numbers in order are a key's bins, of which there are no more than time has.
+    """
+    own = df.withColumn("_bin", F.floor(F.col(at) / gap_us))
+    bins = own.groupBy(*keys, "_bin").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_bin")
+    near = (F.lag("_bin").over(w) == F.col("_bin") - 1) & (F.col("_first") - F.lag("_last").over(w) <= gap_us)
+    numbered = bins.withColumn("run", F.sum(F.when(near, 0).otherwise(1)).over(w))
+    numbered = numbered.withColumn("run_rows", F.sum("_n").over(Window.partitionBy(*keys, "run"))).alias("b")
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_bin")]
+    return own.alias("o").join(numbered, same).select(*[f"o.`{c}`" for c in df.columns], "run", "run_rows")
+
+
+def _with_other(df: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
+    """For rows of runs of one or two: is_first, and a and b, the first row and the second, as structs of fields; b is null alone."""
+    w, row = Window.partitionBy(*keys, "run").orderBy(*order), F.struct(*fields)
+    before, after = F.lag(row).over(w), F.lead(row).over(w)
+    return df.withColumns({"is_first": before.isNull(), "a": F.coalesce(before, row), "b": F.when(before.isNull(), after).otherwise(row)})
+
+
 UNIT = "id long, unit long, role string, unit_ms long, unit_at_us long, unit_start_us long"
 
 
@@ -132,16 +183,32 @@ def _merge_run(rows: list) -> list[tuple]:
     return out
 
 
+def _merge_two(rows: DataFrame) -> DataFrame:
+    """What _merge_run says of runs of one row and of two."""
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    single = F.col("b").isNull()
+    twins = ~single & one_observation(b("at_us") - a("at_us"), a("ms"), b("ms"))
+    near = (F.abs(b("start_us") - a("end_us")) <= ISLAND_GAP * US) & (b("end_us") - a("start_us") <= ISLAND_SPAN * US)
+    goes_on = F.coalesce(~single & (a("finished") == F.lit(False)) & near & a("ms").isNotNull() & b("ms").isNotNull(), F.lit(False))
+    a_heads = F.col("is_first") | goes_on & ~twins
+    a_heads = F.when(twins, F.coalesce(a("ms"), F.lit(0)) >= F.coalesce(b("ms"), F.lit(0))).otherwise(a_heads)
+    head = lambda c: F.when(a_heads, a(c)).otherwise(b(c))
+    whole = goes_on & ~twins
+    ms = F.when(whole, a("ms") + b("ms")).otherwise(head("ms"))
+    at = F.when(whole & a("stamps_end"), a("start_us") + (a("ms") + b("ms")) * 1000).when(whole, a("start_us")).otherwise(head("at_us"))
+    role = F.when(F.col("id") == head("id"), "unit").when(twins, "duplicate").otherwise("segment")
+    return rows.select("id", head("id").alias("unit"), role.alias("role"), ms.alias("unit_ms"), at.alias("unit_at_us"), head("start_us").alias("unit_start_us"))
+
+
 def same_channel(observations: DataFrame) -> DataFrame:
     """id, unit, role (unit, segment or duplicate), and the unit's ms, stamp and start, of with_start's rows. Unknown channels stay single."""
     keys = ["user_id", "channel_key", "track_identifier"]
-    df = observations.withColumn("channel_key", F.coalesce("channel", "service"))
+    df = observations.withColumn("channel_key", F.coalesce("channel", F.concat_ws("?", F.lit(""), "service")))
     df = _runs(df, keys, "at_us", (MOST_SHIFT + ISLAND_GAP) * US)
-    alone = df.where("run_rows = 1 or channel is null").select("id", F.col("id").alias("unit"), F.lit("unit").alias("role"), F.col("ms_played").alias("unit_ms"), F.col("at_us").alias("unit_at_us"), F.col("start_us").alias("unit_start_us"))
-
-    rows = df.where("run_rows > 1 and channel is not null").select(*keys, "run", "id", "at_us", "start_us", "end_us", F.col("ms_played").alias("ms"), "finished", "stamps_end")
-    several = per_group(rows, [*keys, "run"], ["at_us", "id"], _merge_run, UNIT)
-    return alone.unionByName(several)
+    rows = df.select(*keys, F.when(F.col("channel").isNull(), -F.col("id")).otherwise(F.col("run")).alias("run"), F.when(F.col("channel").isNull(), 1).otherwise(F.col("run_rows")).alias("run_rows"), "at_us", "id", "start_us", "end_us", F.col("ms_played").alias("ms"), "finished", "stamps_end")
+    few = _merge_two(_with_other(rows.where("run_rows <= 2"), keys, ["at_us", "id"], ["id", "at_us", "start_us", "end_us", "ms", "finished", "stamps_end"]))
+    more = per_group(rows.where("run_rows > 2").drop("run_rows"), [*keys, "run"], ["at_us", "id"], _merge_run, UNIT)
+    return few.unionByName(more)
 
 
 def islands(observations: DataFrame) -> DataFrame:
@@ -153,11 +220,12 @@ def _pair_run(rows: list) -> list[tuple]:
     """(id, play) for the rows of one run, in order of start and id: nearest pairs first; two sets of observations join if they share no channel."""
     pairs = []
     for i, a in enumerate(rows):
-        for b in rows[i + 1 :]:
+        for j in range(i + 1, len(rows)):
+            b = rows[j]
             delta = b.start_us - a.start_us
             if delta > WIDE_TOLERANCE * US:
                 break
-            if a.channel == b.channel or not (a.resolved_track_id == b.resolved_track_id or a.bridge == b.bridge):
+            if a.channel == b.channel or not (a.resolved_track_id is not None and a.resolved_track_id == b.resolved_track_id or a.bridge == b.bridge):
                 continue
             if delta <= (TOLERANCE if a.normalizable and b.normalizable else WIDE_TOLERANCE) * US:
                 x, y = sorted((a, b), key=lambda r: (r.priority, r.id))
@@ -173,21 +241,33 @@ def _pair_run(rows: list) -> list[tuple]:
     return [(k, min(g, key=rank.get)) for k, g in group.items()]
 
 
+def _pair_two(rows: DataFrame) -> DataFrame:
+    """What _pair_run says of runs of one row and of two."""
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    alike = F.coalesce(a("resolved_track_id") == b("resolved_track_id"), F.lit(False)) | (a("bridge") == b("bridge"))
+    near = b("start_us") - a("start_us") <= pair_tolerance(a("normalizable"), b("normalizable")) * US
+    one = F.coalesce((a("channel") != b("channel")) & alike & near, F.lit(False))
+    winner = F.least(F.struct(a("priority"), a("id").alias("id")), F.struct(b("priority"), b("id").alias("id"))).getField("id")
+    return rows.select("id", F.when(one, winner).otherwise(F.col("id")).alias("play"))
+
+
 def group(observations: DataFrame) -> DataFrame:
     """Every observation with role and play, the id of the play's winner (lowest priority, then lowest id).
 
     observations: id, user_id, service, import_source, track_identifier, artist_name, track_name, played_at, ms_played,
     metadata (JSON) and resolved_track_id.
     """
+    shared_folder(observations.sparkSession)
     full = with_start(with_channel(observations))
-    units = same_channel(full)
+    # what several branches read is written once
+    units = same_channel(full).checkpoint()
     heads = full.join(units.where("role = 'unit'").select("id", "unit_ms", "unit_start_us"), "id")
-    heads = heads.withColumns({"start_us": F.col("unit_start_us"), "bridge": F.concat_ws("::", normalize(F.col("artist_name")), normalize(F.col("track_name")))})
-    cut = _runs(heads, ["user_id"], "start_us", WIDE_TOLERANCE * US)
-    alone = cut.where("run_rows = 1").select("id", F.col("id").alias("play"))
-    rows = cut.where("run_rows > 1").select("user_id", "run", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable")
-    several = per_group(rows, ["user_id", "run"], ["start_us", "id"], _pair_run, "id long, play long")
-    plays = alone.unionByName(several).withColumnRenamed("id", "unit")
+    heads = heads.withColumns({"start_us": F.col("unit_start_us"), "bridge": bridge_key(F.col("artist_name"), F.col("track_name"))})
+    heads = heads.select("user_id", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable").checkpoint()
+    rows = _binned_runs(heads, ["user_id"], "start_us", WIDE_TOLERANCE * US)
+    few = _pair_two(_with_other(rows.where("run_rows <= 2"), ["user_id"], ["start_us", "id"], ["id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable"]))
+    more = per_group(rows.where("run_rows > 2").drop("run_rows"), ["user_id", "run"], ["start_us", "id"], _pair_run, "id long, play long")
+    plays = few.unionByName(more).withColumnRenamed("id", "unit")
     return units.join(plays, "unit").select("id", "unit", "role", "play", "unit_ms", "unit_start_us")
 
 
@@ -219,7 +299,7 @@ def project(observations: DataFrame) -> DataFrame:
         (F.count_distinct(of_unit(F.col("resolved_track_id"))) > 1).alias("divergent"),
         F.sort_array(F.collect_set("id")).alias("members"),
     )
-    losers = F.transform(F.slice("_members", 2, 100), lambda x: F.struct(F.concat(F.lit("merged_from_"), x.channel).alias("key"), x.context.alias("value")))
+    losers = F.transform(F.slice("_members", F.lit(2), F.size("_members")), lambda x: F.struct(F.concat(F.lit("merged_from_"), x.channel).alias("key"), x.context.alias("value")))
     known = F.filter("_members", lambda x: x.ms.isNotNull())
     return plays.select(
         "play", "user_id", "track_id", "service", "import_source",
@@ -272,7 +352,7 @@ def apply_plan(new: DataFrame, stored: DataFrame, edges: DataFrame) -> DataFrame
         same = same & value.eqNullSafe(F.col(f"_{c}"))
     action = F.when(F.col("play_id").isNull(), "insert").when(same, "keep").otherwise("update")
     kept = both.select(F.col("play"), "play_id", action.alias("action"))
-    rest = joined.where(F.size("_held") > 1).select("play", F.explode(F.slice("_held", 2, 1000)).alias("play_id"))
+    rest = joined.where(F.size("_held") > 1).select("play", F.explode(F.slice("_held", F.lit(2), F.size("_held"))).alias("play_id"))
     moved = new.select(F.explode("members").alias("observation_id")).distinct()
     elsewhere = edges.join(moved, "observation_id", "left_anti").select("play_id").distinct()
     gone = rest.join(elsewhere, "play_id", "left_anti").select("play", "play_id", F.lit("delete").alias("action"))
@@ -294,6 +374,12 @@ def listened_enough(ms: Column, duration_ms: Column) -> Column:
     return ms.isNull() | (ms >= 240_000) | F.coalesce((duration_ms < 480_000) & (ms >= half), F.lit(False))
 
 
+def admission(observations: DataFrame, tracks: DataFrame) -> DataFrame:
+    """id, unit and admitted: an interrupted listen is judged as a whole, by the time of all its segments, and all of them share its verdict. tracks has track_id and duration_ms."""
+    durations = observations.select("id", F.col("resolved_track_id").alias("track_id")).join(tracks.select("track_id", "duration_ms"), "track_id", "left").select(F.col("id").alias("unit"), "duration_ms")
+    return islands(observations).join(durations, "unit", "left").select("id", "unit", listened_enough(F.col("unit_ms"), F.col("duration_ms")).alias("admitted"))
+
+
 def median_ms(values: DataFrame) -> DataFrame:
     """The median of completed plays of each track, rounded half to even."""
     return values.groupBy("track_id").agg(F.bround(F.expr("percentile(ms_played, 0.5)"), 0).cast("long").alias("median_ms"))

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from tracklight.functions.scalars import draw
 from tracklight.plans.ordered import Key, TrackList
 
 
@@ -25,9 +26,9 @@ def last(tracks: TrackList, n: int, compat: bool = False) -> TrackList:
 
 
 def sample(tracks: TrackList, n: int, seed: int = 0) -> TrackList:
-    """n rows without replacement in random order, by a hash of the seed, the track and its position."""
+    """n rows without replacement in random order, drawn by the seed, the track and its position."""
     own = tracks.numbered()
-    mixed = own.df.withColumn("_k1", F.xxhash64(F.lit(seed), "track_id", "_pos"))
+    mixed = own.df.withColumn("_k1", draw(seed, "track_id", "_pos"))
     return replace(own, df=mixed, keys=(Key("_k1"), Key("_pos"))).head(n)
 
 
@@ -44,10 +45,7 @@ def by_percentage(tracks: TrackList, percentage: float = 0.0, method: str = "fir
     own = tracks.counted()
     n = F.greatest(F.lit(1), F.bround(F.col("_n") * float(percentage) / 100, 0))
     if method == "random":
-        from pyspark.sql import Window
-
-        order = Window.orderBy(F.xxhash64(F.lit(seed), "track_id", "_pos"), "_pos")
-        df = own.df.withColumn("_k1", F.row_number().over(order) - 1).where(F.col("_k1") < n).drop("_n")
-        return replace(own, df=df, keys=(Key("_k1"),))
+        mixed = replace(own, df=own.df.withColumn("_k1", draw(seed, "track_id", "_pos")), keys=(Key("_k1"), Key("_pos"))).numbered("_pos")
+        return mixed.with_df(mixed.df.where(F.col("_pos") < n).drop("_n"))
     keep = F.col("_pos") < n if method == "first" else F.col("_pos") >= F.col("_n") - n
     return own.with_df(own.df.where(keep).drop("_n"))

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tracklight.functions.scalars import in_window, time_window
+from tracklight.functions.scalars import draw, in_window, time_window
 from tracklight.operators.filters import STATES
 from tracklight.plans.ordered import Key, TrackList
 from dataclasses import replace
@@ -71,6 +71,5 @@ def weighted_shuffle(tracks: TrackList, strength: float = 0.5, seed: int = 0) ->
     if strength == 0:
         return tracks
     own = tracks.counted()
-    draw = F.pmod(F.xxhash64(F.lit(seed), "track_id", "_pos"), F.lit(1 << 30)) / float(1 << 30)
-    mixed = own.df.withColumn("_k1", (1 - strength) * F.col("_pos") / F.col("_n") + strength * draw).drop("_n")
+    mixed = own.df.withColumn("_k1", (1 - strength) * F.col("_pos") / F.col("_n") + strength * draw(seed, "track_id", "_pos")).drop("_n")
     return replace(own, df=mixed, keys=(Key("_k1"), Key("_pos")))

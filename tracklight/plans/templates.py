@@ -1,4 +1,8 @@
-"""Pipelines that come with the library, each a chain or small graph of (type, configuration)."""
+"""Pipelines that come with the library, each a chain or small graph of (type, configuration).
+
+Names, node types, the order of steps and settings are fixed values. For the small test data some are smaller than a user
+would set them: days since a play (1 for 180 and more), numbers of plays, ids of playlists, ages of releases.
+"""
 
 from __future__ import annotations
 

@@ -11,8 +11,12 @@ import datetime as dt
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tracklight.operators import combiners, enrichers, filters, selectors, sorters
 from tracklight.plans.ordered import TrackList
 from tracklight.sources import lists
@@ -49,35 +53,32 @@ def load(path: str | Path) -> Workflow:
 # Configuration. A value of a wrong type counts as absent.
 
 
-def integer(config: dict, key: str, default: int | None = None) -> int | None:
-    v = config.get(key)
-    return default if isinstance(v, bool) or not isinstance(v, (int, float)) else round(v)
-
-
-def number(config: dict, key: str, default: float | None = None) -> float | None:
-    v = config.get(key)
-    return default if isinstance(v, bool) or not isinstance(v, (int, float)) else float(v)
+def _as(kind: type, value):
+    """The value as int, float, bool, str or list of str; None where it isn't one. Truth values are no numbers, empty texts are absent."""
+    if kind is list:
+        parts = value.split(",") if isinstance(value, str) else value if isinstance(value, list) else []
+        return [p.strip() for p in parts if isinstance(p, str) and p.strip()]
+    if kind in (int, float):
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return kind(round(value) if kind is int else value) if number else None
+    return value if isinstance(value, kind) and value != "" else None
 
 
-def flag(config: dict, key: str, default: bool = False) -> bool:
-    v = config.get(key)
-    return v if isinstance(v, bool) else default
+def read(kind: type, config: dict, key: str, default=None):
+    """One declared field of a node's configuration."""
+    value = _as(kind, config.get(key))
+    return default if value is None else value
 
 
-def string(config: dict, key: str, default: str | None = None) -> str | None:
-    v = config.get(key)
-    return v if isinstance(v, str) and v else default
+def reader(kind: type, absent=None) -> Callable:
+    return lambda config, key, default=absent: read(kind, config, key, default)
 
 
-def strings(config: dict, key: str) -> list[str]:
-    v = config.get(key)
-    if isinstance(v, str):
-        v = v.split(",")
-    return [x.strip() for x in v if isinstance(x, str) and x.strip()] if isinstance(v, list) else []
+integer, number, flag, string, strings = reader(int), reader(float), reader(bool, False), reader(str), reader(list)
 
 
 def dates(config: dict) -> dict:
-    return {"start_date": string(config, "start_date"), "end_date": string(config, "end_date"), "not_played_in_days": integer(config, "not_played_in_days"), "played_within_days": integer(config, "played_within_days")}
+    return {k: read(kind, config, k) for k, kind in (("start_date", str), ("end_date", str), ("not_played_in_days", int), ("played_within_days", int))}
 
 
 # Nodes
@@ -306,6 +307,19 @@ def compile(w: Workflow, env: Env, cache: bool = False) -> Compiled:
     return Compiled(results, final, env.written)
 
 
+def metrics_of(compiled: Compiled) -> DataFrame:
+    """metric, track_id and value (as text) of everything that nodes added, each metric of a track once: the value of the last node that has the track."""
+    parts = []
+    for k, t in enumerate(compiled.results.values()):
+        names = [c for c in t.df.columns if c.startswith("m_")]
+        if names:
+            pairs = F.array(*[F.struct(F.lit(c[2:]).alias("metric"), F.col(c).cast("string").alias("value")) for c in names])
+            parts.append(t.df.select("track_id", F.inline(pairs)).withColumn("at", F.lit(k)))
+    if not parts:
+        raise ValueError("no node added a metric")
+    return reduce(DataFrame.unionByName, parts).groupBy("metric", "track_id").agg(F.max_by("value", F.struct("at", "value")).alias("value"))
+
+
 def run_template(name: str, env: Env) -> TrackList:
     """The result list of a bundled pipeline."""
     from tracklight.plans.templates import TEMPLATES

@@ -36,7 +36,7 @@ def placed(order: str, rows: str = "tracks", where: str = "true", columns: str =
 
 
 def load() -> None:
-    from tracklight.queries import analyst, history, library, lists, matching  # noqa: F401
+    from tracklight.queries import analyst, history, library, lists, matching, rules  # noqa: F401
 
 
 load()

@@ -12,35 +12,31 @@ from tracklight.operators import projection as P
 from tracklight.queries import NOW, T, query
 from tracklight.streaming import polling
 
-# Observations: each event is seen by one channel, every third by a second one some seconds later, and every eleventh twice.
+# Observations: each event is seen by one channel, every third by a second one some seconds later, every eleventh twice; every fifth of the export breaks off and goes on five seconds later.
 OBSERVED = f"""with seen as (
   select event_id * 10 as id, user_id % 40 as user_id, case event_id % 4 when 0 then 'spotify' when 1 then 'spotify' when 2 then 'own' else 'lastfm' end as service,
          case event_id % 4 when 0 then 'spotify_export' when 1 then 'spotify_api' when 2 then 'manual' else 'lastfm_api' end as import_source,
-         cast(json_extract_string(props, '$.k') as bigint) as track, ts as played_at, case when event_id % 4 = 3 then null else 60000 + event_id % 7 * 1000 end as ms_played from events where event_id % 2 = 0 or event_id % 5 = 0),
- twice as (select id + 1 as id, user_id, 'lastfm' as service, 'lastfm_api' as import_source, track, played_at - interval 20 second as played_at, cast(null as bigint) as ms_played from seen where id % 30 = 0 and import_source <> 'lastfm_api'),
- again as (select id + 2 as id, user_id, service, import_source, track, played_at, ms_played from seen where id % 110 = 0),
- obs as (select * from seen union all select * from twice union all select * from again)
+         cast(json_extract_string(props, '$.k') as bigint) as track, ts as played_at, case when event_id % 4 = 3 then null else 60000 + event_id % 7 * 1000 end as ms_played, case when event_id % 20 = 0 then 'fwdbtn' else 'trackdone' end as reason from events),
+ twice as (select id + 1 as id, user_id, 'lastfm' as service, 'lastfm_api' as import_source, track, played_at - interval 20 second as played_at, cast(null as bigint) as ms_played, 'trackdone' as reason from seen where id % 30 = 0 and import_source <> 'lastfm_api'),
+ again as (select id + 2 as id, user_id, service, import_source, track, played_at, ms_played, reason from seen where id % 110 = 0),
+ rest as (select id + 3 as id, user_id, service, import_source, track, played_at + interval 35 second as played_at, 30000 as ms_played, 'trackdone' as reason from seen where id % 200 = 0),
+ obs as (select * from seen union all select * from twice union all select * from again union all select * from rest)
 """
 
 
-def observations(lib, where: str = "true") -> DataFrame:
-    e = lib.events.where(where)
+def observations(lib) -> DataFrame:
     k = F.col("event_id") % 4
     pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), k.cast("int"))
-    seen = e.select(
+    seen = lib.events.select(
         (F.col("event_id") * 10).alias("id"), (F.col("user_id") % 40).alias("user_id"), pick("spotify", "spotify", "own", "lastfm").alias("service"), pick("spotify_export", "spotify_api", "manual", "lastfm_api").alias("import_source"),
-        F.get_json_object("props", "$.k").cast("long").alias("track"), F.col("ts").alias("played_at"), F.when(k != 3, 60_000 + F.col("event_id") % 7 * 1000).alias("ms_played"),
+        F.get_json_object("props", "$.k").cast("long").alias("track"), F.col("ts").alias("played_at"), F.when(k != 3, 60_000 + F.col("event_id") % 7 * 1000).alias("ms_played"), F.when(F.col("event_id") % 20 == 0, "fwdbtn").otherwise("trackdone").alias("reason"),
     )
-    twice = seen.where("id % 30 = 0 and import_source <> 'lastfm_api'").select((F.col("id") + 1).alias("id"), "user_id", F.lit("lastfm").alias("service"), F.lit("lastfm_api").alias("import_source"), "track", F.expr("played_at - interval 20 seconds").alias("played_at"), F.lit(None).cast("long").alias("ms_played"))
+    twice = seen.where("id % 30 = 0 and import_source <> 'lastfm_api'").select((F.col("id") + 1).alias("id"), "user_id", F.lit("lastfm").alias("service"), F.lit("lastfm_api").alias("import_source"), "track", F.expr("played_at - interval 20 seconds").alias("played_at"), F.lit(None).cast("long").alias("ms_played"), F.lit("trackdone").alias("reason"))
     again = seen.where("id % 110 = 0").withColumn("id", F.col("id") + 2)
-    all_rows = seen.unionByName(twice).unionByName(again)
+    rest = seen.where("id % 200 = 0").withColumns({"id": F.col("id") + 3, "played_at": F.expr("played_at + interval 35 seconds"), "ms_played": F.lit(30_000).cast("long"), "reason": F.lit("trackdone")})
+    all_rows = seen.unionByName(twice).unionByName(again).unionByName(rest)
     named = F.concat(F.lit("track "), F.col("track"))
-    return all_rows.select("id", "user_id", "service", "import_source", F.col("track").cast("string").alias("track_identifier"), F.lit("An Artist").alias("artist_name"), named.alias("track_name"), "played_at", "ms_played", F.lit('{"reason_end": "trackdone"}').alias("metadata"), F.col("track").alias("resolved_track_id"))
-
-
-def observed(lib) -> DataFrame:
-    """Those of OBSERVED, which sees three events in five; for queries that are held against it."""
-    return observations(lib, "event_id % 2 = 0 or event_id % 5 = 0")
+    return all_rows.select("id", "user_id", "service", "import_source", F.col("track").cast("string").alias("track_identifier"), F.lit("An Artist").alias("artist_name"), named.alias("track_name"), "played_at", "ms_played", F.to_json(F.struct(F.col("reason").alias("reason_end"))).alias("metadata"), F.col("track").alias("resolved_track_id"))
 
 
 ENDS = "import_source in ('spotify_export', 'spotify_api')"
@@ -48,24 +44,24 @@ START = f"epoch_us(played_at) - case when {ENDS} then coalesce(ms_played, 0) * 1
 TOLERANCE = "180"
 
 
-@query("prj1_start_shift", f"{OBSERVED} select id, {START} as start_us, epoch_us(played_at) - case when {ENDS} then coalesce(ms_played, 0) * 1000 else 0 end + coalesce(ms_played, 0) * 1000 as end_us, not ({ENDS} and ms_played is null) as normalizable, case when import_source = 'spotify_export' then true end as finished from obs")
+@query("prj1_start_shift", f"{OBSERVED} select id, {START} as start_us, epoch_us(played_at) - case when {ENDS} then coalesce(ms_played, 0) * 1000 else 0 end + coalesce(ms_played, 0) * 1000 as end_us, not ({ENDS} and ms_played is null) as normalizable, case when import_source = 'spotify_export' then reason = 'trackdone' end as finished from obs")
 def _(lib):
-    return P.with_start(P.with_channel(observed(lib))).select("id", "start_us", "end_us", "normalizable", "finished")
+    return P.with_start(P.with_channel(observations(lib))).select("id", "start_us", "end_us", "normalizable", "finished")
 
 
 @query("prj3_duplicates", f"{OBSERVED} select count(*) as n, count(*) filter (where id % 10 = 2) as twice from obs")
 def _(lib):
-    units = P.same_channel(P.with_start(P.with_channel(observed(lib))))
+    units = P.same_channel(P.with_start(P.with_channel(observations(lib))))
     # every second write of an event is a duplicate of the first, or the other way round
     return units.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "duplicate").alias("twice"))
 
 
-@query("prj4_islands")
+@query("prj4_islands", f"{OBSERVED} select role, count(*) as n, count(distinct unit) as units from (select case id % 10 when 2 then 'duplicate' when 3 then 'segment' else 'unit' end as role, case when id % 10 = 1 then id else id - id % 10 end as unit from obs) r group by role")
 def _(lib):
     return P.islands(observations(lib)).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit").alias("units"))
 
 
-UNITS = f"{OBSERVED}, units as (select *, {START} as start_us from obs where id % 10 <> 2)"
+UNITS = f"{OBSERVED}, units as (select *, {START} as start_us from obs where id % 10 < 2)"
 PAIRS = f"{UNITS} select a.id as a_id, b.id as b_id from units a join units b on a.user_id = b.user_id and a.track = b.track and a.import_source <> b.import_source and b.start_us >= a.start_us and (b.start_us > a.start_us or b.id > a.id) and b.start_us - a.start_us <= 30 * 1000000"
 
 
@@ -73,7 +69,7 @@ PAIRS = f"{UNITS} select a.id as a_id, b.id as b_id from units a join units b on
 def _(lib):
     from tracklight.operators.joins import range_join
 
-    full = P.with_start(P.with_channel(observed(lib))).where("id % 10 <> 2").withColumn("at", F.timestamp_micros("start_us"))
+    full = P.with_start(P.with_channel(observations(lib))).where("id % 10 < 2").withColumn("at", F.timestamp_micros("start_us"))
     side = lambda s: full.select(F.col("id").alias(f"{s}_id"), "user_id", "track_identifier", F.col("channel").alias(f"{s}_channel"), F.col("at").alias(f"{s}_at"))
     found = range_join(side("a"), side("b"), ["user_id", "track_identifier"], "a_at", "b_at", 0, 30)
     return found.where("a_channel <> b_channel and (delta_s > 0 or b_id > a_id)").select("a_id", "b_id")
@@ -92,40 +88,71 @@ def _(lib):
 
 @query("prj8_every_observation_once", f"{OBSERVED} select count(*) as observations, count(*) as members, 0::bigint as mixed from obs")
 def _(lib):
-    obs = observed(lib)
+    obs = observations(lib)
     grouped = P.group(obs).join(P.with_channel(obs).select("id", "channel"), "id")
     plays = grouped.where("role = 'unit'").groupBy("play").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("channel").alias("c"))
     mixed = plays.agg(F.count_if(F.col("n") != F.col("c")).alias("mixed"))
     return grouped.agg(F.count(F.lit(1)).alias("members")).crossJoin(mixed).crossJoin(obs.agg(F.count(F.lit(1)).alias("observations")))
 
 
-@query("prj9_context")
+@query("prj9_context", f"{OBSERVED} select id, '{{\"track_name\":\"track ' || track || '\",\"artist_name\":\"An Artist\"' || case when service = 'spotify' then ',\"reason_end\":\"' || reason || '\"' else '' end || '}}' as context from obs")
 def _(lib):
     return P.with_channel(observations(lib)).select("id", P.play_context().alias("context"))
 
 
 @query("prj10_channels", f"{OBSERVED} select import_source as channel, count(*) as n from (select case import_source when 'lastfm_api' then 'lastfm' else import_source end as import_source from obs) z group by 1")
 def _(lib):
-    return P.with_channel(observed(lib)).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+    return P.with_channel(observations(lib)).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("prj11_affected_days", f"{OBSERVED} select distinct cast(unnest(generate_series(date_trunc('day', played_at - interval 26640 second), date_trunc('day', played_at), interval 1 day)) as date) as day from obs")
+def _(lib):
+    return P.affected_days(observations(lib).select("played_at"))
 
 
-@query("prj11_affected_days", f"{OBSERVED} select distinct cast(unnest(generate_series(date_trunc('day', played_at - interval 26640 second), date_trunc('day', played_at), interval 1 day)) as date) as day from obs where id % 970 = 0")
+# Plans over plays of their own: 0 is new, 1 changed, 2 as it was, 3 holds members of two stored plays, 4 of two of which another play holds on to one.
+@query("prj12_apply_plan", "select play_id as play, case when play_id % 5 = 0 then null else play_id end as play_id, case play_id % 5 when 0 then 'insert' when 1 then 'update' else 'keep' end as action from plays union all select play_id, play_id + 1000000000, 'delete' from plays where play_id % 5 = 3")
 def _(lib):
-    return P.affected_days(observed(lib).where("id % 970 = 0").select("played_at"))
+    far = 1_000_000_000
+    kind = F.col("play") % 5
+    new = lib.plays.select(F.col("play_id").alias("play"), "user_id", "track_id", "service", "import_source", "played_at", "ms_played", F.array("service").alias("source_services"), F.create_map(F.lit("own"), F.col("context")).alias("context"))
+    new = new.withColumn("members", F.array("play", F.col("play") + far))
+    stored = new.where(kind != 0).withColumns({"play_id": F.col("play"), "ms_played": F.when(kind == 1, F.coalesce("ms_played", F.lit(0)) + 1).otherwise(F.col("ms_played"))})
+    second = lambda member: new.where(kind >= 3).select((F.col("play") + member).alias("observation_id"), (F.col("play") + far).alias("play_id"))
+    # of kind 4 the second stored play has a third member, which no new play takes
+    edges = stored.select(F.col("play").alias("observation_id"), "play_id").unionByName(second(far)).unionByName(second(2 * far).where(F.col("play_id") % 5 == 4))
+    return P.apply_plan(new, stored, edges)
+
 
+def differences(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
+    """How many rows only one of two frames has."""
+    both = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(-1))).groupBy(*a.columns).agg(F.sum("_side").alias("_more"))
+    surplus = lambda sign: F.coalesce(F.sum(F.greatest(F.col("_more") * sign, F.lit(0))), F.lit(0))
+    return both.agg(surplus(1).alias(left), surplus(-1).alias(right))
 
-@query("prj12_apply_plan")
+
+@query("prj13_days", "select 0 as missing, 0 as surplus")
 def _(lib):
-    new = P.project(observations(lib)).cache()
-    stored = new.where("play % 20 <> 0").withColumn("play_id", F.col("play")).withColumn("ms_played", F.when(F.col("play") % 70 == 10, 1).otherwise(F.col("ms_played")).cast("long"))
-    edges = stored.select(F.explode("members").alias("observation_id"), "play_id")
-    return P.apply_plan(new, stored, edges).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    """The plays of a week by themselves are those of the whole projection that are anchored in it."""
+    whole = P.project(observations(lib)).select("play", "track_id", "played_at", "ms_played", "anchor_us")
+    days = lib.events.select(F.to_date("ts").alias("day")).where("day between '2024-01-03' and '2024-01-09'").distinct()
+    own = P.project_days(observations(lib), days).select(*whole.columns)
+    anchored = whole.withColumn("day", F.to_date(F.timestamp_micros("anchor_us"))).join(days, "day", "left_semi").select(*whole.columns)
+    return differences(anchored, own, "missing", "surplus").select(F.col("missing").cast("int").alias("missing"), F.col("surplus").cast("int").alias("surplus"))
 
 
-@query("prj13_days")
+@query("str4_late_days", "select 0 as missing, 0 as surplus, 3 as batches")
 def _(lib):
-    days = lib.events.select(F.to_date("ts").alias("day")).where("day < '2024-01-08'").distinct()
-    return P.project_days(observations(lib), days).groupBy(F.to_date("played_at").alias("day")).agg(F.count(F.lit(1)).alias("plays"))
+    """Three batches, each with observations of all days, leave the plays that a projection of everything has."""
+    from tracklight.sources.scratch import folder
+    from tracklight.streaming.projection import apply_batch
+
+    base, obs = folder(lib.spark), observations(lib)
+    columns = ["play", "track_id", "played_at", "ms_played", "anchor_us"]
+    for k in range(3):
+        apply_batch(obs.where(F.pmod(F.hash("id"), F.lit(3)) == k), f"{base}/ledger", f"{base}/plays", k)
+    found = differences(P.project(obs).select(*columns), lib.spark.read.parquet(f"{base}/plays").select(*columns), "missing", "surplus")
+    return found.select(F.col("missing").cast("int").alias("missing"), F.col("surplus").cast("int").alias("surplus"), F.lit(3).alias("batches"))
 
 
 @query("prj14_refresh_aggregates", "select t.track_id, count(p.play_id) as play_count, min(p.played_at) as first_played_at, max(p.played_at) as last_played_at from tracks t left join plays p on p.track_id = t.track_id group by 1")
@@ -217,13 +244,13 @@ def _(lib):
 # Differences of lists
 
 TARGET = "select playlist_id, case when position % 7 = 3 and position > 0 then position - 1 when position % 7 = 2 and n > position + 1 then position + 1 else position end as position, case when playlist_id % 4 = 1 and position % 5 = 4 then track_id + 1 else track_id end as track_id from (select *, count(*) over (partition by playlist_id) as n from current0) z"
-LISTS = f"with current0 as (select playlist_id, position, coalesce(track_id, -1) as track_id from entries where playlist_id % 2 = 1), target0 as ({TARGET}), c as (select *, row_number() over (partition by playlist_id, track_id order by position) as turn from current0), t as (select *, row_number() over (partition by playlist_id, track_id order by position) as turn from target0)"
+LISTS = f"with current0 as (select playlist_id, position, coalesce(track_id, -1) as track_id from entries), target0 as ({TARGET}), c as (select *, row_number() over (partition by playlist_id, track_id order by position) as turn from current0), t as (select *, row_number() over (partition by playlist_id, track_id order by position) as turn from target0)"
 
 
-def pair_of_lists(lib, where: str = "true") -> tuple[DataFrame, DataFrame]:
+def pair_of_lists(lib) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    current = lib.entries.where(where).select("playlist_id", F.col("position").cast("long").alias("position"), F.coalesce("track_id", F.lit(-1)).alias("track_id"))
+    current = lib.entries.select("playlist_id", F.col("position").cast("long").alias("position"), F.coalesce("track_id", F.lit(-1)).alias("track_id"))
     n = F.count(F.lit(1)).over(Window.partitionBy("playlist_id"))
     p = F.col("position")
     swapped = F.when((p % 7 == 3) & (p > 0), p - 1).when((p % 7 == 2) & (F.col("n") > p + 1), p + 1).otherwise(p)
@@ -231,54 +258,96 @@ def pair_of_lists(lib, where: str = "true") -> tuple[DataFrame, DataFrame]:
     return current, target
 
 
-def odd_lists(lib) -> tuple[DataFrame, DataFrame]:
-    """Those of LISTS, for queries that are held against it."""
-    return pair_of_lists(lib, "playlist_id % 2 = 1")
-
-
 @query("dif2_matched", f"{LISTS} select coalesce(c.playlist_id, t.playlist_id) as playlist_id, coalesce(c.track_id, t.track_id) as track_id, coalesce(c.turn, t.turn) as turn, c.position as current_position, t.position as target_position from c full join t on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn")
 def _(lib):
-    return D.matched(*odd_lists(lib)).withColumn("turn", F.col("turn").cast("long"))
+    return D.matched(*pair_of_lists(lib)).withColumn("turn", F.col("turn").cast("long"))
 
 
 @query("dif3_removals", f"{LISTS} select c.playlist_id, c.track_id, c.position from c left join t on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn where t.turn is null")
 def _(lib):
-    return D.removals(*odd_lists(lib))
+    return D.removals(*pair_of_lists(lib))
 
 
 @query("dif3_removals_compat", f"{LISTS}, m as (select c.playlist_id, c.track_id, count(*) as n from c left join t on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn where t.turn is null group by 1, 2) select c.playlist_id, c.track_id, c.position from c join m on m.playlist_id = c.playlist_id and m.track_id = c.track_id where c.turn <= m.n")
 def _(lib):
-    return D.removals(*odd_lists(lib), compat=True)
+    return D.removals(*pair_of_lists(lib), compat=True)
 
 
 @query("dif4_additions", f"{LISTS} select t.playlist_id, t.track_id, t.position from t left join c on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn where c.turn is null")
 def _(lib):
-    return D.additions(*odd_lists(lib))
+    return D.additions(*pair_of_lists(lib))
+
+
+# The pairs of slots, and the length of a longest run that keeps its order: the last slots of the best runs so far, one slot after the other.
+PAIRED = f"{LISTS.replace('with ', 'with recursive ', 1)}, direct as (select c.playlist_id, c.track_id, c.position from c join t on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.position = c.position), c2 as (select *, row_number() over (partition by playlist_id, track_id order by position) as k from c anti join direct using (playlist_id, position)), t2 as (select *, row_number() over (partition by playlist_id, track_id order by position) as k from t anti join direct using (playlist_id, position)), paired as (select playlist_id, position as a, position as b from direct union all select c2.playlist_id, c2.position, t2.position from c2 join t2 on t2.playlist_id = c2.playlist_id and t2.track_id = c2.track_id and t2.k = c2.k), m as (select playlist_id, a as v, row_number() over (partition by playlist_id order by b) as k from paired), r(playlist_id, k, ends) as (select distinct playlist_id, 0::bigint, []::bigint[] from m union all select playlist_id, k + 1, case when p is null then list_append(ends, v) else ends[1:p - 1] || [v] || ends[p + 1:] end from (select r.playlist_id, r.k, r.ends, m.v, list_position(list_transform(r.ends, lambda x: x >= m.v), true) as p from r join m on m.playlist_id = r.playlist_id and m.k = r.k + 1) s), longest as (select playlist_id, max(len(ends)) as run, max(k) as slots from r group by playlist_id)"
+GONE = "(select playlist_id, count(*) as n from c where not exists (select 1 from t where t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn) group by 1)"
+NEW = "(select playlist_id, count(*) as n from t where not exists (select 1 from c where c.playlist_id = t.playlist_id and c.track_id = t.track_id and c.turn = t.turn) group by 1)"
 
 
-@query("dif6_moves")
+@query("dif5_longest_run", f"{PAIRED} select playlist_id, run, slots from longest")
 def _(lib):
-    return D.moves(*pair_of_lists(lib))
+    return D.longest_runs(*pair_of_lists(lib))
 
 
-@query("dif1_operations")
+@query("dif6_moves", f"{PAIRED} select playlist_id, slots - run as moves, true as keeps_order from longest")
+def _(lib):
+    """How many slots of each list move, and whether those that don't are in order."""
+    from pyspark.sql import Window
+
+    current, target = pair_of_lists(lib)
+    pairs = D.pairing(current, target)
+    moved = D.moves(current, target).select("playlist_id", F.col("position").alias("target_position"), F.lit(True).alias("moves"))
+    own = pairs.join(moved, ["playlist_id", "target_position"], "left")
+    w = Window.partitionBy("playlist_id", F.col("moves").isNull()).orderBy("target_position")
+    right = F.col("moves") | F.coalesce(F.col("current_position") > F.lag("current_position").over(w), F.lit(True))
+    return own.withColumn("right", F.coalesce(right, F.col("current_position") > F.lag("current_position").over(w), F.lit(True))).groupBy("playlist_id").agg(F.count_if("moves").alias("moves"), F.bool_and("right").alias("keeps_order"))
+
+
+@query("dif1_operations", f"{PAIRED} select * from (select 'remove' as operation, sum(n)::bigint as n from {GONE} g union all select 'add', sum(n)::bigint from {NEW} g union all select 'move', sum(slots - run)::bigint from longest) o where n > 0")
 def _(lib):
     return D.operations(*pair_of_lists(lib)).groupBy("operation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dif9_executable")
+# Operations of lists of their own: every fifth slot goes, every fifth is added, and the others of a list's odd slots move three down.
+OPS = "with ops as (select playlist_id, case position % 5 when 0 then 'remove' when 1 then 'add' else 'move' end as operation, coalesce(track_id, -1) as track_id, case position % 5 when 0 then position when 1 then position else position + 3 end as position, case when position % 5 = 1 then null else position end as old_position from entries where position % 5 < 2 or position % 2 = 1)"
+
+
+def own_operations(lib) -> DataFrame:
+    at = F.col("position") % 5
+    kind = F.when(at == 0, "remove").when(at == 1, "add").otherwise("move")
+    rows = lib.entries.where("position % 5 < 2 or position % 2 = 1").select("playlist_id", kind.alias("operation"), F.coalesce("track_id", F.lit(-1)).alias("track_id"), F.when(at < 2, F.col("position")).otherwise(F.col("position") + 3).alias("position"), F.when(at != 1, F.col("position")).alias("old_position"))
+    return rows.withColumn("step", D.step_of())
+
+
+@query("dif8_steps", f"{OPS} select playlist_id, operation, position, row_number() over (partition by playlist_id order by case operation when 'remove' then 0 when 'add' then 1 else 2 end, position, track_id) as place from ops")
+def _(lib):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("playlist_id").orderBy("step", "position", "track_id")
+    return own_operations(lib).select("playlist_id", "operation", "position", F.row_number().over(w).alias("place"))
+
+
+EXECUTED = f"{OPS}, g as (select playlist_id, old_position as gone from ops where operation = 'remove'), s as (select o.*, case when operation = 'move' then old_position - (select count(*) from g where g.playlist_id = o.playlist_id and gone < old_position) else old_position end as f, case when operation = 'move' then position - (select count(*) from g where g.playlist_id = o.playlist_id and gone < position) else position end as p from ops o)"
+
+
+@query("dif9_executable", f"{EXECUTED} select playlist_id, row_number() over (partition by playlist_id order by case operation when 'remove' then 0 when 'add' then 1 else 2 end, case when operation = 'add' then p else -f end, p, track_id) as sequence, operation, track_id, p as position, f as old_position from s where operation <> 'move' or f >= 0 and p >= 0")
+def _(lib):
+    return D.executable(own_operations(lib))
+
+
+@query("dif10_shifted_moves", f"{EXECUTED} select playlist_id, track_id, f as old_position, p as position from s where operation = 'move' and f >= 0 and p >= 0")
 def _(lib):
-    return D.executable(D.operations(*pair_of_lists(lib)))
+    return D.shifted(own_operations(lib)).where("operation = 'move'").select("playlist_id", "track_id", "old_position", "position")
 
 
-@query("dif7_confidence")
+@query("dif7_confidence", f"{PAIRED}, k as (select c.playlist_id, count(t.turn) as matched from c left join t on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn group by 1), o as (select k.playlist_id, matched, coalesce(g.n, 0) + coalesce(a.n, 0) + coalesce(l.slots - l.run, 0) as operations from k left join {GONE} g on g.playlist_id = k.playlist_id left join {NEW} a on a.playlist_id = k.playlist_id left join longest l on l.playlist_id = k.playlist_id) select playlist_id, matched, operations, round(case when matched + operations = 0 then 1 else matched / (matched + operations) end, 9) as confidence from o")
 def _(lib):
     return D.confidence(*pair_of_lists(lib)).withColumn("confidence", F.round("confidence", 9))
 
 
 @query("dif11_sync_plan", f"{LISTS}, k as (select coalesce(a.playlist_id, b.playlist_id) as playlist_id, coalesce(a.n, 0) as x, coalesce(b.n, 0) as y from (select playlist_id, track_id, count(*) as n from current0 group by 1, 2) a full join (select playlist_id, track_id, count(*) as n from target0 group by 1, 2) b on b.playlist_id = a.playlist_id and b.track_id = a.track_id), s as (select playlist_id, cast(sum(greatest(y - x, 0)) as bigint) as to_add, cast(sum(greatest(x - y, 0)) as bigint) as to_remove, cast(sum(least(x, y)) as bigint) as unchanged, sum(x) as total from k group by 1), o as (select coalesce(c.playlist_id, t.playlist_id) as playlist_id, bool_and(c.track_id is not distinct from t.track_id) as is_noop from c full join t on t.playlist_id = c.playlist_id and t.position = c.position group by 1) select s.playlist_id, to_add, to_remove, unchanged, is_noop, case when total = 0 then false when to_remove >= total then true else to_remove / total > 0.5 and to_remove > 10 end as flagged from s join o on o.playlist_id = s.playlist_id")
 def _(lib):
-    return D.sync_plan(*odd_lists(lib))
+    return D.sync_plan(*pair_of_lists(lib))
 
 
 @query("dif12_flagged", "select * from (values (0, 0, false), (5, 5, true), (11, 20, true), (10, 19, false), (11, 22, false)) t(removed, total, flagged)")
@@ -289,4 +358,4 @@ def _(lib):
 
 @query("dif13_reorder", f"{LISTS} select t.playlist_id, t.position, t.track_id, c.position as from_position from t left join c on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn")
 def _(lib):
-    return D.reorder(*odd_lists(lib))
+    return D.reorder(*pair_of_lists(lib))

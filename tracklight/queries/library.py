@@ -17,6 +17,7 @@ LIVE = "(select * from mappings where not is_retired) m"
 FILTERS = {
     "query": (L.Filters(query="Red_"), "(title ilike '%red\\_%' escape '\\' or album ilike '%red\\_%' escape '\\')"),
     "words": (L.Filters(query="blue", min_plays=0), "title ilike '%blue%' or album ilike '%blue%'"),
+    "artists": (L.Filters(query="guest 7"), "title ilike '%guest 7%' or album ilike '%guest 7%' or array_to_string(artists, ' ') ilike '%guest 7%'"),
     "liked": (L.Filters(liked=True, preference="star"), "track_id in (select track_id from likes where is_liked) and track_id in (select track_id from preferences where state = 'star')"),
     "unliked": (L.Filters(liked=False, preference="unrated"), "track_id not in (select track_id from likes where is_liked) and track_id not in (select track_id from preferences)"),
     "connector": (L.Filters(connector="spotify", namespace="mood"), f"track_id in (select track_id from {LIVE} where connector = 'spotify') and track_id in (select track_id from tags where tag like 'mood:%')"),
@@ -431,9 +432,9 @@ def _(lib):
     return M.record_misses(own, own, NOW)
 
 
-@query("mut9_ingest", "with inc as (select l_orderkey * 10 + l_linenumber as position, case l_suppkey % 3 when 0 then 'spotify' else 'deezer' end as connector, l_orderkey + case when l_linenumber % 2 = 0 then 10000000 else 0 end as connector_track_id, case when l_partkey % 3 = 0 then 'none' else p_name end as title, lower(p_brand) as artist, case when l_partkey % 5 = 1 then 'USAAA' || lpad(cast(p_partkey as varchar), 7, '0') end as isrc from lineitem join part on p_partkey = l_partkey where l_orderkey % 40 = 0), one as (select connector, connector_track_id, arg_min_null(title, position) as title, arg_min_null(artist, position) as artist, arg_min_null(isrc, position) as isrc from (select position, connector, connector_track_id, min(title) as title, min(artist) as artist, min(isrc) as isrc from inc group by 1, 2, 3) z group by 1, 2), f as (select o.*, (select min(track_id) from mappings m where not is_retired and m.connector = o.connector and m.connector_track_id = o.connector_track_id) as a, (select min(track_id) from tracks t where t.isrc = o.isrc) as b, (select min(track_id) from tracks t where lower(t.title) = o.title and lower(t.artist) = o.artist) as c from one o) select connector, connector_track_id, coalesce(a, b, c) as track_id, case when a is not null then 'mapping' when b is not null then 'isrc' when c is not null then 'identity' else 'created' end as outcome from f")
+@query("mut9_ingest", "with inc as (select l_orderkey * 10 + l_linenumber as position, case l_suppkey % 3 when 0 then 'spotify' else 'deezer' end as connector, l_orderkey + case when l_linenumber % 2 = 0 then 10000000 else 0 end as connector_track_id, case when l_partkey % 3 = 0 then 'none' else p_name end as title, lower(p_brand) as artist, case when l_partkey % 5 = 1 then 'USAAA' || lpad(cast(p_partkey as varchar), 7, '0') end as isrc from lineitem join part on p_partkey = l_partkey), one as (select connector, connector_track_id, arg_min_null(title, position) as title, arg_min_null(artist, position) as artist, arg_min_null(isrc, position) as isrc from (select position, connector, connector_track_id, min(title) as title, min(artist) as artist, min(isrc) as isrc from inc group by 1, 2, 3) z group by 1, 2), f as (select o.*, (select min(track_id) from mappings m where not is_retired and m.connector = o.connector and m.connector_track_id = o.connector_track_id) as a, (select min(track_id) from tracks t where t.isrc = o.isrc) as b, (select min(track_id) from tracks t where lower(t.title) = o.title and lower(t.artist) = o.artist) as c from one o) select connector, connector_track_id, coalesce(a, b, c) as track_id, case when a is not null then 'mapping' when b is not null then 'isrc' when c is not null then 'identity' else 'created' end as outcome from f")
 def _(lib):
-    rows = lib.lineitem.where("l_orderkey % 40 = 0").join(lib.part, F.col("p_partkey") == F.col("l_partkey")).select(
+    rows = lib.lineitem.join(lib.part, F.col("p_partkey") == F.col("l_partkey")).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"),
         F.when(F.col("l_suppkey") % 3 == 0, "spotify").otherwise("deezer").alias("connector"),
         (F.col("l_orderkey") + F.when(F.col("l_linenumber") % 2 == 0, 10_000_000).otherwise(0)).alias("connector_track_id"),

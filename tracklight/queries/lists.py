@@ -272,7 +272,11 @@ def _(lib):
     return ids(sorters.weighted_shuffle(base(lib), 0))
 
 
-@query("srt8_weighted_shuffle")
+DRAW = "(('0x' || substr(md5(concat_ws(':', '{}', track_id, p)), 1, 12))::bigint / 281474976710656)"
+PLACES = "(select *, row_number() over (order by track_id) - 1 as p, count(*) over () as many from tracks) z"
+
+
+@query("srt8_weighted_shuffle", f"select row_number() over (order by 0.5::double * p / many + 0.5::double * {DRAW.format(3)}, p) - 1 as position, track_id from {PLACES}")
 def _(lib):
     return ids(sorters.weighted_shuffle(base(lib), 0.5, seed=3))
 
@@ -291,7 +295,7 @@ for name, sql, make in (
     query(name, sql)(lambda lib, make=make: ids(make(base(lib))))
 
 
-@query("sel3_sample")
+@query("sel3_sample", f"select row_number() over (order by {DRAW.format(5)}, p) - 1 as position, track_id from {PLACES} qualify position < 25")
 def _(lib):
     return ids(selectors.sample(base(lib), 25, seed=5))
 
@@ -299,37 +303,40 @@ def _(lib):
 # Combiners
 
 
-def thirds(lib) -> list[TrackList]:
-    return [TrackList.source(lib.tracks.where(F.col("track_id") % 10 < n), Key("album"), Key("track_id"), limit=500) for n in (3, 5, 7)]
+def three(lib) -> list[TrackList]:
+    """Liked tracks, starred ones, and all."""
+    liked = lib.tracks.join(lib.likes.where("service = 'spotify' and is_liked"), "track_id", "left_semi")
+    starred = lib.tracks.join(lib.preferences.where("state = 'star'"), "track_id", "left_semi")
+    return [TrackList.source(df, Key("album"), Key("track_id")) for df in (liked, starred, lib.tracks)]
 
 
-PARTS = " union all ".join(f"(select {k} as l, track_id, row_number() over (order by album, track_id) - 1 as p from tracks where track_id % 10 < {n} qualify p < 500)" for k, n in enumerate((3, 5, 7)))
+PARTS = " union all ".join(f"(select {k} as l, track_id, row_number() over (order by album, track_id) - 1 as p from tracks where {where})" for k, where in enumerate((f"track_id in (select track_id from {LIKED})", "track_id in (select track_id from preferences where state = 'star')", "true")))
 ONCE = f"(select *, row_number() over (partition by track_id order by {{}}) as k from ({PARTS}) y) z"
 
 
 @query("cmb1_concatenate", f"select row_number() over (order by l, p) - 1 as position, track_id from ({PARTS}) z")
 def _(lib):
-    return ids(combiners.concatenate(thirds(lib)))
+    return ids(combiners.concatenate(three(lib)))
 
 
 @query("cmb1_concatenate_once", f"select row_number() over (order by l, p) - 1 as position, track_id from {ONCE.format('l, p')} where k = 1")
 def _(lib):
-    return ids(combiners.concatenate(thirds(lib), True))
+    return ids(combiners.concatenate(three(lib), True))
 
 
 @query("cmb2_interleave", f"select row_number() over (order by p, l) - 1 as position, track_id from ({PARTS}) z")
 def _(lib):
-    return ids(combiners.interleave(thirds(lib)))
+    return ids(combiners.interleave(three(lib)))
 
 
 @query("cmb2_interleave_stop", f"select row_number() over (order by p, l) - 1 as position, track_id from ({PARTS}) z where p < (select min(n) from (select count(*) as n from ({PARTS}) y group by l) x)")
 def _(lib):
-    return ids(combiners.interleave(thirds(lib), stop_on_empty=True))
+    return ids(combiners.interleave(three(lib), stop_on_empty=True))
 
 
 @query("cmb3_intersect", f"with parts as ({PARTS}) select row_number() over (order by p) - 1 as position, track_id from parts where l = 0 and track_id in (select track_id from parts where l = 1) and track_id in (select track_id from parts where l = 2)")
 def _(lib):
-    return ids(combiners.intersect(thirds(lib)))
+    return ids(combiners.intersect(three(lib)))
 
 
 # Sinks
@@ -346,10 +353,10 @@ def _(lib):
     return lib.spark.createDataFrame([(sinks.render("Gems {track_count} {datetime}", 25, NOW),)], "name string")
 
 
-@query("snk5_reconcile", "with old as (select track_id, arg_max(added_at, playlist_id * 100 + position) as kept from entries where track_id is not null and playlist_id % 2 = 0 group by track_id) select n.playlist_id, n.position, n.track_id, coalesce(o.kept, n.added_at) as added_at from entries n left join old o on o.track_id = n.track_id where n.playlist_id % 501 = 1")
+@query("snk5_reconcile", "with old as (select track_id, arg_max(added_at, playlist_id * 1000000 + position) as kept from entries where track_id is not null and playlist_id % 2 = 0 group by track_id) select n.playlist_id, n.position, n.track_id, coalesce(o.kept, n.added_at) as added_at from entries n left join old o on o.track_id = n.track_id")
 def _(lib):
-    old = lib.entries.where("playlist_id % 2 = 0").withColumn("position", F.col("playlist_id") * 100 + F.col("position"))
-    return sinks.reconcile(old, lib.entries.where("playlist_id % 501 = 1")).select("playlist_id", "position", "track_id", "added_at")
+    old = lib.entries.where("playlist_id % 2 = 0").withColumn("position", F.col("playlist_id") * 1_000_000 + F.col("position"))
+    return sinks.reconcile(old, lib.entries).select("playlist_id", "position", "track_id", "added_at")
 
 
 SHIFTED = "select playlist_id, position, case when position % 3 = 0 then track_id + 1 else track_id end as track_id, added_at from entries"
@@ -401,5 +408,37 @@ SOLD = {
 }
 for name, (source, sql) in SOLD.items():
     query(name, sql)(template(source))
-for source in ("mood_playlist", "rediscovery_candidates", "discovery_mix_composition", "latest_discovery_mix", "recent_discovery_mix", "likely_suspects", "sort_by_global_playcount", "sort_by_user_playcount", "sort_lingering_by_playcount"):
-    query(f"wf_{source}")(template(source))
+FRESH = f"(select track_id, arg_max(value, (collected_at, value)) as value from metrics where metric_type = 'lastfm_{{}}_playcount' and collected_at >= {T} - interval 24 hour group by track_id)"
+LISTED = "(select t.track_id, artists, release_date, e.position as at, u.value as u, g.value as g, coalesce(l.is_liked, false) as liked from entries e join tracks t on t.track_id = e.track_id left join {u} u on u.track_id = t.track_id left join {g} g on g.track_id = t.track_id left join likes l on l.track_id = t.track_id and l.service = 'spotify' where e.playlist_id = {n}) s"
+
+
+def listed(n: int) -> str:
+    return LISTED.format(n=n, u=FRESH.format("user"), g=FRESH.format("global"))
+
+
+def mix(playlists: range, excluded: range, max_age_days: int, each: int) -> str:
+    """The discovery pipelines: recent tracks of some playlists, without the tracks of others and the artists of the last of these."""
+    tops = " union all ".join(f"select {k} as l, * from (select *, row_number() over (order by at) as turn from {listed(p)} where {AGE} <= {max_age_days}) z where turn <= {each}" for k, p in enumerate(playlists))
+    known = f"select track_id from entries where playlist_id between {excluded[0]} and {excluded[-1]} and track_id is not null"
+    strange = f"not list_has_any(list_transform(artists, lambda a: lower(a)), (select coalesce(list(distinct lower(a)), []) from (select unnest(artists) as a from {listed(excluded[-1])}) y))"
+    return f"with tops as ({tops}), once as (select * from tops qualify row_number() over (partition by track_id order by l, turn) = 1) select row_number() over (order by g desc nulls last, l, turn) - 1 as position, track_id from once where track_id not in ({known}) and {strange}"
+
+
+RECENT = f"(select track_id, min(rank) as k from (select track_id, row_number() over (order by played_at desc, play_id desc) as rank from plays where played_at >= {T} - interval 90 day) r where rank <= 6000 group by track_id)"
+COMPOSED = f"""with old as (select track_id, row_number() over (order by liked_at desc nulls last, track_id) as turn from (select * from {LIKED_HISTORY} order by liked_at desc nulls last, track_id limit 2000) s where n between 2 and 110 and coalesce(last_at < {T} - interval 1 day, true)),
+  new as (select s.track_id, row_number() over (order by k) as turn from (select r.* from {RECENT} r join tracks t on t.track_id = r.track_id order by k limit 3000) s join {TOTALS} p on p.track_id = s.track_id where p.n between 1 and 115 and p.last_at >= {T} - interval 90 day),
+  once as (select * from (select *, 0 as l from old union all select *, 1 from new) m qualify row_number() over (partition by track_id order by turn, l) = 1)
+  select row_number() over (order by coalesce({WINDOW_N.format(90)}, 0), turn, l) - 1 as position, o.track_id from once o left join {TOTALS} p on p.track_id = o.track_id qualify position < 40"""
+BY_METRIC = {
+    "mood_playlist": f"with s as (select *, row_number() over (order by last_at desc nulls last, track_id desc) as r from {HISTORY} where track_id in (select track_id from preferences where state = 'yah')), k as (select track_id, row_number() over (order by r) - 1 as p, count(*) over () as many from s where r <= 1000 and track_id in (select track_id from tags where tag = 'mood:chill')) select row_number() over (order by (1 - 0.8::double) * p / many + 0.8::double * {DRAW.format(1)}, p) - 1 as position, track_id from k qualify position < 60",
+    "rediscovery_candidates": f"with k as (select track_id, row_number() over (order by coalesce(release_date, TIMESTAMP '0001-01-01'), liked_at desc nulls last, track_id) - 1 as p from {LIKED_HISTORY} where n between 1 and 102) select row_number() over (order by {DRAW.format(1)}, p) - 1 as position, track_id from k qualify position < 50",
+    "discovery_mix_composition": COMPOSED,
+    "latest_discovery_mix": mix(range(10, 19), range(20, 24), 600, 5),
+    "recent_discovery_mix": mix(range(30, 39), range(40, 44), 400, 4),
+    "likely_suspects": f"select row_number() over (order by g desc nulls last, at) - 1 as position, track_id from {listed(5)} where not liked",
+    "sort_by_global_playcount": f"select row_number() over (order by g desc nulls last, at) - 1 as position, track_id from {listed(6)}",
+    "sort_by_user_playcount": f"select row_number() over (order by u desc nulls last, at) - 1 as position, track_id from {listed(7)} where u >= 1",
+    "sort_lingering_by_playcount": f"select row_number() over (order by u desc nulls last, at) - 1 as position, track_id from {listed(4)} where u >= 1",
+}
+for source, sql in BY_METRIC.items():
+    query(f"wf_{source}", sql)(template(source))

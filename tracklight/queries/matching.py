@@ -148,9 +148,9 @@ def _(lib):
     return rows.select("isrc", scalars.isrc_year(F.col("isrc")).alias("year"))
 
 
-@query("er29_same_identity", "with m as (select distinct track_id, connector, connector_track_id from mappings where not is_retired and connector_track_id % 10 = 0) select distinct a_id, b_id from (select a.track_id as a_id, b.track_id as b_id from tracks a join tracks b on a.isrc = b.isrc and a.track_id < b.track_id union all select a.track_id, b.track_id from m a join m b on a.connector = b.connector and a.connector_track_id = b.connector_track_id and a.track_id < b.track_id) z")
+@query("er29_same_identity", "with m as (select distinct track_id, connector, connector_track_id from mappings where not is_retired) select distinct a_id, b_id from (select a.track_id as a_id, b.track_id as b_id from tracks a join tracks b on a.isrc = b.isrc and a.track_id < b.track_id union all select a.track_id, b.track_id from m a join m b on a.connector = b.connector and a.connector_track_id = b.connector_track_id and a.track_id < b.track_id) z")
 def _(lib):
-    ids = lib.mappings.where("not is_retired and connector_track_id % 10 = 0").select(F.col("track_id").alias("id"), "connector", F.col("connector_track_id").alias("identifier"))
+    ids = lib.mappings.where("not is_retired").select(F.col("track_id").alias("id"), "connector", F.col("connector_track_id").alias("identifier"))
     return matching.same_identity(lib.tracks.select(F.col("track_id").alias("id"), "isrc"), ids)
 
 

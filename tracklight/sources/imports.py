@@ -78,3 +78,22 @@ def import_windows(fetch, ledger_path: str, spark: SparkSession, start: dt.datet
         save_checkpoint(b)
         done += 1
     return done
+
+
+def two_phase(observations: DataFrame, resolve, ledger: str, plays: str, batch_id: int) -> dict[str, int]:
+    """Ingests observations into the ledger, resolves their tracks and projects the days that they touch.
+
+    resolve(DataFrame of connector and track_identifier) gives resolved_track_id for those it knows: each different
+    identifier is asked for once, all in one join instead of chunk by chunk. What it doesn't know is kept, unresolved, for a
+    later import of the same rows and is no play. Gives how many rows came, were resolved and are unresolved.
+    """
+    from tracklight.streaming.projection import apply_batch
+
+    asked = observations.select("connector", "track_identifier").distinct()
+    known = resolve(asked).select("connector", "track_identifier", "resolved_track_id")
+    rows = observations.drop("resolved_track_id").join(known, ["connector", "track_identifier"], "left")
+    missing = rows.where("resolved_track_id is null").select(*observations.columns)
+    apply_batch(rows.where("resolved_track_id is not null").select(*observations.columns), ledger, plays, batch_id)
+    missing.write.mode("overwrite").parquet(f"{ledger}-unresolved/batch={batch_id}")
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count("resolved_track_id").alias("known")).first()
+    return {"observations": counts.n, "resolved": counts.known, "unresolved": counts.n - counts.known}

@@ -1,4 +1,4 @@
-"""Destinations of ordered lists, and keyed writes. Tables are parquet folders: a write replaces a table's folder, or one partition of it, from a plan over its old rows."""
+"""Destinations of ordered lists, and keyed writes. Tables are parquet folders; a playlist's folder has versions, the newest whole one of which counts."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklight.plans.ordered import TrackList
+from tracklight.plans.ordered import Key, TrackList
+from tracklight.sources.scratch import folder
 
 
 class EmptyOverwriteError(ValueError):
@@ -58,9 +59,18 @@ def rewrite_entries(existing: DataFrame, new: DataFrame) -> DataFrame:
     return sure.unionByName(rest)
 
 
+def first_of_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, the same whatever the order of the rows."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})).alias("_rest"))
+    return one.select(*[F.col(c) if c in keys else F.col(f"_rest.{c}").alias(c) for c in rows.columns])
+
+
 def insert_ignore(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows, each key once, that the table doesn't hold; nulls in keys are equal."""
-    own = rows.dropDuplicates(keys)
+    """The rows, each key once, that the table doesn't hold; nulls in keys are equal. Of several rows of a key the one stays whose other columns come first as text."""
+    own = first_of_key(rows, keys)
     match = [own[k].eqNullSafe(existing[k]) for k in keys]
     return own.join(existing, match, "left_anti")
 
@@ -75,22 +85,65 @@ def upsert(existing: DataFrame, rows: DataFrame, keys: list[str], update_where:
     return both.select(*[F.when(take, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in existing.columns])
 
 
+def staged_insert(spark: SparkSession, table: str, rows: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Appends to a table (a folder) the rows whose keys it doesn't hold, and gives how many were streamed and how many inserted. Rows are staged first, so that they are computed once, and the table is only read against them."""
+    staging = folder(spark)
+    rows.write.parquet(f"{staging}/rows")
+    staged = spark.read.schema(rows.schema).parquet(f"{staging}/rows")
+    there = _there(spark, table)
+    new = insert_ignore(spark.read.schema(rows.schema).parquet(table) if there else staged.limit(0), staged, keys)
+    new.write.parquet(f"{staging}/new")
+    fresh = spark.read.schema(rows.schema).parquet(f"{staging}/new")
+    counts = staged.count(), fresh.count()
+    fresh.write.mode("append").parquet(table)
+    _remove(spark, staging)
+    return counts
+
+
+def _store(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p, store = _store(spark, path)
+    return store.exists(p)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p, store = _store(spark, path)
+    store.delete(p, True)
+
+
 class PlaylistStore:
     """Playlists in a folder: one partition of entries for each."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
+    def _versions(self, playlist_id: str) -> list[int]:
+        """Numbers of the versions that were written to their end."""
+        p, store = _store(self.spark, f"{self.folder}/playlist_id={playlist_id}")
+        if not store.exists(p):
+            return []
+        names = [x.getPath().getName() for x in store.listStatus(p)]
+        whole = [n for n in names if n.startswith("v") and store.exists(_store(self.spark, f"{self.folder}/playlist_id={playlist_id}/{n}/_SUCCESS")[0])]
+        return sorted(int(n[1:]) for n in whole)
+
     def entries(self, playlist_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/playlist_id={playlist_id}")
+        """The newest version's rows."""
+        found = self._versions(playlist_id)
+        if not found:
+            raise ValueError(f"no such playlist: {playlist_id}")
+        return self.spark.read.parquet(f"{self.folder}/playlist_id={playlist_id}/v{found[-1]}")
 
     def _write(self, playlist_id: str, rows: DataFrame) -> None:
-        version = f"{self.folder}/_new-{uuid.uuid4().hex}"
-        rows.write.parquet(version)
-        self.spark.read.parquet(version).write.mode("overwrite").parquet(f"{self.folder}/playlist_id={playlist_id}")
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(version)
-        path.getFileSystem(conf).delete(path, True)
+        """A new version beside the old one, which counts once it is written whole; the one before stays, those before that go."""
+        known = self._versions(playlist_id)
+        number = known[-1] + 1 if known else 1
+        rows.write.mode("overwrite").parquet(f"{self.folder}/playlist_id={playlist_id}/v{number}")
+        for old in known[:-1]:
+            _remove(self.spark, f"{self.folder}/playlist_id={playlist_id}/v{old}")
 
     def create(self, tracks: TrackList, name: str, now: dt.datetime, description: str = "", dry_run: bool = False) -> dict:
         """A new playlist of the list's rows."""
@@ -108,9 +161,8 @@ class PlaylistStore:
         current = self.entries(playlist_id)
         new = tracks.result("track_id").withColumn("added_at", F.lit(now).cast("timestamp_ntz"))
         if append:
-            w = Window.orderBy("_part", "position")
             rows = current.withColumn("_part", F.lit(0)).unionByName(appendable(current, new).withColumn("_part", F.lit(1)))
-            rows = rows.withColumn("position", F.row_number().over(w) - 1).drop("_part")
+            rows = TrackList.source(rows.withColumnRenamed("position", "_c0"), Key("_part"), Key("_c0")).numbered("position").df.drop("_part")
         else:
             if new.isEmpty():
                 raise EmptyOverwriteError(playlist_id)

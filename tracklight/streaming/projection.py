@@ -1,7 +1,10 @@
 """The play projection as a stream: new observations arrive as files; each micro-batch recomputes the days that it can touch.
 
 Late data may be of any age, so there is no watermark: a batch names its days, and plays anchored in them are projected
-anew from the ledger and replace those days' partition. A batch that runs twice gives the same tables.
+anew from the ledger and take the place of those that were anchored there. Plays are partitioned by the day of their anchor
+(their earliest start), the same day by which they are projected, so that a batch never touches a play of another day; a
+touched day that has no play any more is removed. The ledger is partitioned by the day of the stamp, so that a batch reads
+the days around its own and no others. A batch that runs twice gives the same tables.
 """
 
 from __future__ import annotations
@@ -10,31 +13,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracklight.operators.projection import affected_days, project, project_days
+from tracklight.operators.projection import REACH, affected_days, project, project_days
+from tracklight.sources.scratch import folder
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """A table's rows, or none where it isn't there yet."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.schema(like.schema).parquet(path) if p.getFileSystem(conf).exists(p) else like.limit(0)
+    p, store = _path(spark, path)
+    return spark.read.schema(like.schema).parquet(path) if store.exists(p) else like.limit(0)
 
 
 def with_day(plays: DataFrame) -> DataFrame:
-    return plays.withColumn("context", F.to_json("context")).withColumn("day", F.to_date("played_at"))
+    """The plays as they are stored: day is that of the anchor."""
+    return plays.withColumn("context", F.to_json("context")).withColumn("day", F.to_date(F.timestamp_micros("anchor_us")))
+
+
+def touched_days(stamps: DataFrame) -> DataFrame:
+    """The days in which a play can be anchored that these observations (played_at) join, or take members from."""
+    later = stamps.select((F.col("played_at") + F.expr(f"interval {int(REACH.total_seconds())} seconds")).alias("played_at"))
+    return affected_days(stamps.select("played_at")).union(affected_days(later)).distinct()
+
+
+def _replace_days(new: DataFrame, days: DataFrame, plays: str) -> None:
+    """Puts the plays of these days in place of those that are there. They are staged first, so that they are computed once; days left without any are removed after that, one folder each."""
+    spark, staging = new.sparkSession, folder(new.sparkSession)
+    new.write.parquet(staging)
+    staged = spark.read.schema(new.schema).parquet(staging)
+    staged.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(plays)
+    left = spark.read.schema(new.schema).parquet(plays).join(F.broadcast(days), "day", "left_semi").select("day").distinct()
+    for r in left.join(staged.select("day").distinct(), "day", "left_anti").collect():
+        p, store = _path(spark, f"{plays}/day={r.day}")
+        store.delete(p, True)
+    p, store = _path(spark, staging)
+    store.delete(p, True)
 
 
 def apply_batch(batch: DataFrame, ledger: str, plays: str, batch_id: int = 0) -> None:
-    """Appends the batch's new observations to the ledger (a folder for each batch, so that a repeated batch replaces itself) and rewrites the days of plays that it touches."""
+    """Appends the batch's new observations to the ledger (by day and batch, so that a repeated batch replaces itself) and rewrites the days of plays that it touches."""
     spark = batch.sparkSession
-    known = _read(spark, ledger, batch.withColumn("batch", F.lit(0)))
-    fresh = batch.dropDuplicates(["id"]).join(known.where(F.col("batch") != batch_id).select("id"), "id", "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-    days = affected_days(spark.read.schema(batch.schema).parquet(f"{ledger}/batch={batch_id}")).cache()
-    everything = spark.read.schema(batch.schema).parquet(ledger)
-    new = with_day(project_days(everything, days))
-    new = new.withColumn("day", F.to_date("played_at"))
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(plays)
+    stamped = batch.dropDuplicates(["id"]).withColumn("day", F.to_date("played_at")).withColumn("batch", F.lit(batch_id))
+    known = _read(spark, ledger, stamped).where(F.col("batch") != batch_id)
+    fresh = stamped.join(known.join(stamped.select("day").distinct(), "day", "left_semi").select("id"), "id", "left_anti")
+    fresh.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(ledger)
+    everything = spark.read.schema(stamped.schema).parquet(ledger)
+    days = touched_days(everything.where(F.col("batch") == batch_id)).cache()
+    # the days on either side too, as in project_days; here they prune the ledger's folders
+    near = days.select(F.explode(F.array(F.date_sub("day", 1), F.col("day"), F.date_add("day", 1))).alias("day")).distinct()
+    observations = everything.join(F.broadcast(near), "day", "left_semi").select(*batch.columns)  # a row for each day
+    _replace_days(with_day(project_days(observations, days)), days, plays)
     days.unpersist()
 
 
