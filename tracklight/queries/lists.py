@@ -409,7 +409,7 @@ SOLD = {
 for name, (source, sql) in SOLD.items():
     query(name, sql)(template(source))
 FRESH = f"(select track_id, arg_max(value, (collected_at, value)) as value from metrics where metric_type = 'lastfm_{{}}_playcount' and collected_at >= {T} - interval 24 hour group by track_id)"
-LISTED = "(select t.track_id, artists, release_date, e.position as at, u.value as u, g.value as g, coalesce(l.is_liked, false) as liked from entries e join tracks t on t.track_id = e.track_id left join {u} u on u.track_id = t.track_id left join {g} g on g.track_id = t.track_id left join likes l on l.track_id = t.track_id and l.service = 'spotify' where e.playlist_id = {n}) s"
+LISTED = "(select t.track_id, artists, release_date, e.position as place, u.value as u, g.value as g, coalesce(l.is_liked, false) as liked from entries e join tracks t on t.track_id = e.track_id left join {u} u on u.track_id = t.track_id left join {g} g on g.track_id = t.track_id left join likes l on l.track_id = t.track_id and l.service = 'spotify' where e.playlist_id = {n}) s"
 
 
 def listed(n: int) -> str:
@@ -418,7 +418,7 @@ def listed(n: int) -> str:
 
 def mix(playlists: range, excluded: range, max_age_days: int, each: int) -> str:
     """The discovery pipelines: recent tracks of some playlists, without the tracks of others and the artists of the last of these."""
-    tops = " union all ".join(f"select {k} as l, * from (select *, row_number() over (order by at) as turn from {listed(p)} where {AGE} <= {max_age_days}) z where turn <= {each}" for k, p in enumerate(playlists))
+    tops = " union all ".join(f"select {k} as l, * from (select *, row_number() over (order by place) as turn from {listed(p)} where {AGE} <= {max_age_days}) z where turn <= {each}" for k, p in enumerate(playlists))
     known = f"select track_id from entries where playlist_id between {excluded[0]} and {excluded[-1]} and track_id is not null"
     strange = f"not list_has_any(list_transform(artists, lambda a: lower(a)), (select coalesce(list(distinct lower(a)), []) from (select unnest(artists) as a from {listed(excluded[-1])}) y))"
     return f"with tops as ({tops}), once as (select * from tops qualify row_number() over (partition by track_id order by l, turn) = 1) select row_number() over (order by g desc nulls last, l, turn) - 1 as position, track_id from once where track_id not in ({known}) and {strange}"
@@ -435,10 +435,10 @@ BY_METRIC = {
     "discovery_mix_composition": COMPOSED,
     "latest_discovery_mix": mix(range(10, 19), range(20, 24), 600, 5),
     "recent_discovery_mix": mix(range(30, 39), range(40, 44), 400, 4),
-    "likely_suspects": f"select row_number() over (order by g desc nulls last, at) - 1 as position, track_id from {listed(5)} where not liked",
-    "sort_by_global_playcount": f"select row_number() over (order by g desc nulls last, at) - 1 as position, track_id from {listed(6)}",
-    "sort_by_user_playcount": f"select row_number() over (order by u desc nulls last, at) - 1 as position, track_id from {listed(7)} where u >= 1",
-    "sort_lingering_by_playcount": f"select row_number() over (order by u desc nulls last, at) - 1 as position, track_id from {listed(4)} where u >= 1",
+    "likely_suspects": f"select row_number() over (order by g desc nulls last, place) - 1 as position, track_id from {listed(5)} where not liked",
+    "sort_by_global_playcount": f"select row_number() over (order by g desc nulls last, place) - 1 as position, track_id from {listed(6)}",
+    "sort_by_user_playcount": f"select row_number() over (order by u desc nulls last, place) - 1 as position, track_id from {listed(7)} where u >= 1",
+    "sort_lingering_by_playcount": f"select row_number() over (order by u desc nulls last, place) - 1 as position, track_id from {listed(4)} where u >= 1",
 }
 for source, sql in BY_METRIC.items():
     query(f"wf_{source}", sql)(template(source))
