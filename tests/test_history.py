@@ -180,14 +180,12 @@ def test_differences_rebuild_the_target(spark):
 def test_every_list_is_compared(spark):
     from types import SimpleNamespace
 
-    from tracklight.queries.history import odd_lists, pair_of_lists
+    from tracklight.queries.history import pair_of_lists
 
     rows = [(p, k, 10 * p + k) for p in (1, 2, 3, 4) for k in range(9)]
     lib = SimpleNamespace(entries=spark.createDataFrame(rows, "playlist_id long, position long, track_id long"))
     for side in pair_of_lists(lib):
         assert {r.playlist_id for r in side.collect()} == {1, 2, 3, 4}
-    for side in odd_lists(lib):
-        assert {r.playlist_id for r in side.collect()} == {1, 3}
 
 
 def test_longest_increasing():
