@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tracklight.functions.scalars import micros
 from tracklight.functions.text import normalize
 from tracklight.operators.grouped import per_group
-from tracklight.sources.scratch import shared_folder
+from tracklight.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -257,13 +257,12 @@ def group(observations: DataFrame) -> DataFrame:
     observations: id, user_id, service, import_source, track_identifier, artist_name, track_name, played_at, ms_played,
     metadata (JSON) and resolved_track_id.
     """
-    shared_folder(observations.sparkSession)
     full = with_start(with_channel(observations))
     # what several branches read is written once
-    units = same_channel(full).checkpoint()
+    units = written(same_channel(full))
     heads = full.join(units.where("role = 'unit'").select("id", "unit_ms", "unit_start_us"), "id")
     heads = heads.withColumns({"start_us": F.col("unit_start_us"), "bridge": bridge_key(F.col("artist_name"), F.col("track_name"))})
-    heads = heads.select("user_id", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable").checkpoint()
+    heads = written(heads.select("user_id", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable"))
     rows = _binned_runs(heads, ["user_id"], "start_us", WIDE_TOLERANCE * US)
     few = _pair_two(_with_other(rows.where("run_rows <= 2"), ["user_id"], ["start_us", "id"], ["id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable"]))
     more = per_group(rows.where("run_rows > 2").drop("run_rows"), ["user_id", "run"], ["start_us", "id"], _pair_run, "id long, play long")
