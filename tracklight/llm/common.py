@@ -66,14 +66,14 @@ class Scratch:
 SLICE = 256
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            yield batch.slice(start, SLICE)
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
-    """Applies make()'s function to the columns of each slice of an Arrow batch, as lists; make runs once in each task."""
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], rows: int = SLICE) -> DataFrame:
+    """Applies make()'s function to the columns of each slice of an Arrow batch, of so many rows, as lists; make runs once in each task."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -81,7 +81,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for part in slices(batches):
+        for part in slices(batches, rows):
             out = one({n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kind], schema=kind)
 
@@ -148,8 +148,8 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
         yield texts[start:]
 
 
-def add_columns(docs: DataFrame, more: list, make: Callable[[], Callable[[list], list[tuple]]], column: str = "text") -> DataFrame:
-    """Adds columns computed from one column; columns of the same name, in any case, are replaced. make()'s function turns a list of values into a row each."""
+def add_columns(docs: DataFrame, more: list, make: Callable[[], Callable[[list], list[tuple]]], column: str | list[str] = "text", rows: int = SLICE) -> DataFrame:
+    """Adds columns computed from one column, or from several as tuples; columns of the same name, in any case, are replaced. make()'s function turns a list of values into a row each."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -157,13 +157,14 @@ def add_columns(docs: DataFrame, more: list, make: Callable[[], Callable[[list],
     taken = {n.lower() for n in names}
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in taken])
     schema = StructType([*kept.schema.fields, *more])
-    at, n, kind = kept.columns.index(column), len(kept.columns), to_arrow_schema(schema)
+    at = kept.columns.index(column) if isinstance(column, str) else [kept.columns.index(c) for c in column]
+    n, kind = len(kept.columns), to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for part in slices(batches):
-            rows = one(part.column(at).to_pylist())
-            extra = [pa.array([r[k] for r in rows], type=kind.field(n + k).type) for k in range(len(names))]
+        for part in slices(batches, rows):
+            found = one(part.column(at).to_pylist() if isinstance(at, int) else list(zip(*[part.column(k).to_pylist() for k in at], strict=True)))
+            extra = [pa.array([r[k] for r in found], type=kind.field(n + k).type) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*[part.column(k).cast(kind.field(k).type) for k in range(n)], *extra], schema=kind)
 
     return kept.mapInArrow(run, schema)

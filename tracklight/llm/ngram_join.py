@@ -25,15 +25,13 @@ their class is null, and they have no links. Extra columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import NEAR, Scratch, fresh, map_rows, mix, shingles, slices
+from tracklight.llm.common import NEAR, Scratch, fresh, map_rows, mix, shingles
+from tracklight.llm.graph import components, in_groups
 
 COORDINATES, RUNS, BUCKET, DEPTH, BLOCK = 64, 12, 96, 10, 256
 #: The share of links that are to be found.
@@ -143,27 +141,6 @@ def blocks(found: DataFrame, reps: DataFrame) -> DataFrame:
 ROW = "path long, a int, b int, own int, rep long, n int, copies long, sig binary, paths array<long>"
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """The rows of each task, from rows sorted by path, a and b."""
-    held: dict[str, list] = {}
-    last = None
-    for batch in slices(batches):
-        cols = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
-        keys = list(zip(cols["path"], cols["a"], cols["b"], strict=True))
-        start = 0
-        for k in range(1, len(keys) + 1):
-            if k == len(keys) or keys[k] != keys[start]:
-                if keys[start] != last:
-                    if held:
-                        yield held
-                    held, last = {n: [] for n in cols}, keys[start]
-                for n, v in cols.items():
-                    held[n] += v[start:k]
-                start = k
-    if held:
-        yield held
-
-
 def candidates(g: dict[str, list]) -> np.ndarray:
     """Which pairs of a task's rows have similar signatures and meet in no bucket before this one; upper triangle."""
     m, sig = len(g["rep"]), _signatures(g["sig"])
@@ -236,24 +213,8 @@ def recaptured(g: dict[str, list], like: np.ndarray) -> tuple[int, int, int]:
 
 
 def _in_tasks(rows: DataFrame, schema: str, one) -> DataFrame:
-    """Applies one to each task's rows. Rows are dealt by task; a partition is sorted, and read one task at a time."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    kind = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches):
-        out, held = {f.name: [] for f in kind}, 0
-        for g in _groups(batches):
-            for n, v in one(g).items():
-                out[n] += v
-            held = len(next(iter(out.values())))
-            if held > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kind], schema=kind)
-                out = {f.name: [] for f in kind}
-        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kind], schema=kind)
-
-    return rows.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b").mapInArrow(run, schema)
+    """Applies one to each task's rows."""
+    return in_groups(rows, ["path", "a", "b"], schema, one)
 
 
 def _needed(g):
@@ -281,22 +242,6 @@ def _linked(g):
     return out | {name: [n, *[0] * (len(rows) - 1)] if len(rows) else [] for name, n in zip(("even", "odd", "both"), counts, strict=True)}
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node and label, the smallest node of its component, for edges (u, v) in both directions. Labels spread and then jump to their labels' labels."""
-    labels = scratch.save(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("label")), "labels-0")
-    k = 0
-    while True:
-        k += 1
-        around = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        nearer = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = nearer.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
-        new = scratch.save(jump.select("node", "old", F.least("label", "next").alias("label")), f"labels-{k}")
-        scratch.drop(f"labels-{k - 1}")
-        labels = new.select("node", "label")
-        if new.where("label != old").isEmpty():
-            return labels
-
-
 def _compare(docs: DataFrame, reps: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The links within buckets: rep, root, links, and the counts of recaptured, of each task's sets."""
     needed = scratch.save(_in_tasks(blocks(found, reps), ROW, _needed), f"needed-{name}")

@@ -76,9 +76,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "offending")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklight.llm import fim
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fim.digests(fim.transform(docs, scratch=Scratch(spark)).drop("text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklight.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scratch=Scratch(spark))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklight.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_license_scans, op3_quality_classifier, op4_secret_scans, op5_substring_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_byte_bpe, op9_nearest_neighbours, op10_toxicity)
+    for f in (op1_sharding, op2_license_scans, op3_quality_classifier, op4_secret_scans, op5_substring_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_byte_bpe, op9_nearest_neighbours, op10_toxicity, op11_fill_in_middle, op12_whitening, op13_simhash)
 }
 
 
@@ -104,4 +123,13 @@ def license_sql() -> str:
         from forms f left join found n on n.r = f.r"""
 
 
-ORACLE: dict[str, str] = {"op2_license_scans": license_sql()}
+#: Lengths and places are in code points there too.
+FILL_IN_MIDDLE_SQL = """with texts as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+    drawn as (select doc_id, t, length(t) as n, cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2, cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from texts),
+    cut as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from drawn),
+    parts as (select *, substring(t, 1, a) as p, substring(t, a + 1, b - a) as m, substring(t, b + 1, n - b) as s from cut)
+    select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+        sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(case form when 'plain' then t else p || m || s end) as restored_sha256
+    from parts"""
+
+ORACLE: dict[str, str] = {"op2_license_scans": license_sql(), "op11_fill_in_middle": FILL_IN_MIDDLE_SQL}
