@@ -1,12 +1,11 @@
 """The play projection: observations of several channels become one history of plays.
 
-Three steps, each a shuffle by a key that bounds its groups. Within a channel, repeated writes of one play collapse and the
-segments of an interrupted listen join; both reach only so far in time, so a (user, channel, track) is cut into runs at
-longer gaps, and a run of one row needs no work. Across channels, observations of one track (or of equal normal names) that
-start close together become one play, nearest pairs first and one observation of a channel in each play; no pair crosses a
-gap of 180 s, so a user's time is cut there, and again runs of one row need no work. Runs of two are decided by expressions;
-longer ones, few, go through an Arrow function, a run at a time. Fields of a play are then picked from
-its members by aggregates. The result depends on the set of observations alone.
+Within a channel, repeated writes of one play collapse and the segments of an interrupted listen join. Windows by (user, channel,
+track) mark rows that are near another one and rows that go on with the one before; only rows a moment apart, and chains of
+segments longer than a listen may be, go through an Arrow function, each such run by itself. Across channels, observations of
+one track (or of equal normal names) that start close together become one play, nearest pairs first and one observation of a
+channel in each play: a join by bins of time finds the pairs, and rounds of joins take all that are nearest at both sides. Fields
+of a play are then picked from its members by aggregates. The result depends on the set of observations alone.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from tracklight.functions.scalars import micros
 from tracklight.functions.text import normalize
 from tracklight.operators.grouped import per_group
-from tracklight.sources.scratch import written
+from tracklight.sources.scratch import Scope
 
 
 @dataclass(frozen=True)
@@ -107,41 +106,13 @@ def with_start(observations: DataFrame) -> DataFrame:
     return out.withColumns({"start_us": F.col("at_us") - F.col("_shift"), "finished": finished}).withColumn("end_us", F.col("start_us") + F.coalesce("ms_played", F.lit(0)) * 1000).drop("_shift")
 
 
-def _runs(df: DataFrame, keys: list[str], at: str, gap_us: int) -> DataFrame:
-    """Adds run, a number within the keys that rises at gaps, and run_rows, its size."""
-    w = Window.partitionBy(*keys).orderBy(at, "id")
-    out = df.withColumn("run", F.sum(F.when(F.col(at) - F.lag(at).over(w) > gap_us, 1).otherwise(0)).over(w))
-    return out.withColumn("run_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys, "run")))
+#: What an observation brings to the merge within its channel.
+SEGMENT = ("id", "at_us", "start_us", "end_us", "ms", "finished", "stamps_end")
+CHANNEL_KEYS = ("user_id", "channel_key", "track_identifier")
 
 
-def _binned_runs(df: DataFrame, keys: list[str], at: str, gap_us: int) -> DataFrame:
-    """The same for keys that may have very many rows; df is read twice.
-
-    Rows in a bin as wide as the gap belong together, and bins in a row do if the last row of one is near the first of the
-    next. So what one task numbers in order are a key's bins, of which there are no more than time has.
-    """
-    own = df.withColumn("_bin", F.floor(F.col(at) / gap_us))
-    bins = own.groupBy(*keys, "_bin").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_bin")
-    near = (F.lag("_bin").over(w) == F.col("_bin") - 1) & (F.col("_first") - F.lag("_last").over(w) <= gap_us)
-    numbered = bins.withColumn("run", F.sum(F.when(near, 0).otherwise(1)).over(w))
-    numbered = numbered.withColumn("run_rows", F.sum("_n").over(Window.partitionBy(*keys, "run"))).alias("b")
-    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_bin")]
-    return own.alias("o").join(numbered, same).select(*[f"o.`{c}`" for c in df.columns], "run", "run_rows")
-
-
-def _with_other(df: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """For rows of runs of one or two: is_first, and a and b, the first row and the second, as structs of fields; b is null alone."""
-    w, row = Window.partitionBy(*keys, "run").orderBy(*order), F.struct(*fields)
-    before, after = F.lag(row).over(w), F.lead(row).over(w)
-    return df.withColumns({"is_first": before.isNull(), "a": F.coalesce(before, row), "b": F.when(before.isNull(), after).otherwise(row)})
-
-
-UNIT = "id long, unit long, role string, unit_ms long, unit_at_us long, unit_start_us long"
-
-
-def _merge_run(rows: list) -> list[tuple]:
-    """(id, unit, role, ms, stamp, start) for the rows of one run, in order of stamp and id; a unit is named by the id that stands for it."""
+def _twins(rows: list) -> list[tuple]:
+    """(id, kept) for rows no two of which in a row are further apart than JITTER: writes of one play are named by the one that is kept."""
     root = list(range(len(rows)))
 
     def find(i: int) -> int:
@@ -157,58 +128,66 @@ def _merge_run(rows: list) -> list[tuple]:
             if delta == 0 or (a.ms and a.ms == b.ms and delta <= min(JITTER * US, a.ms * 1000)):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    clusters: dict[int, list] = {}
+    best: dict[int, object] = {}
     for i, r in enumerate(rows):
-        clusters.setdefault(find(i), []).append(r)
-    twins, kept = {}, []
-    for group in clusters.values():
-        best, *rest = sorted(group, key=lambda r: (-(r.ms or 0), r.at_us, r.id))
-        kept.append(best)
-        twins[best.id] = rest
-    islands: list[list] = []
-    for r in sorted(kept, key=lambda r: (r.at_us, r.id)):
-        last = islands[-1] if islands else None
-        if last and last[-1].finished is False and last[-1].ms is not None and r.ms is not None and abs(r.start_us - last[-1].end_us) <= ISLAND_GAP * US and r.end_us - last[0].start_us <= ISLAND_SPAN * US:
-            last.append(r)
-        else:
-            islands.append([r])
-    out = []
-    for island in islands:
-        head = island[0]
-        ms = head.ms if len(island) == 1 else sum(r.ms or 0 for r in island)
-        at = head.at_us if len(island) == 1 else head.start_us + ms * 1000 if head.stamps_end else head.start_us
-        for r in island:
-            out.append((r.id, head.id, "unit" if r is head else "segment", ms, at, head.start_us))
-            out += [(t.id, head.id, "duplicate", ms, at, head.start_us) for t in twins[r.id]]
+        k = find(i)
+        if k not in best or (-(r.ms or 0), r.at_us, r.id) < (-(best[k].ms or 0), best[k].at_us, best[k].id):
+            best[k] = r
+    return [(r.id, best[find(i)].id) for i, r in enumerate(rows)]
+
+
+def _cut_chain(rows: list) -> list[tuple]:
+    """(id, head) for a chain of segments, each of which goes on with the one before, that is longer than a listen may be."""
+    out, head = [], rows[0]
+    for r in rows:
+        if r.end_us - head.start_us > ISLAND_SPAN * US:
+            head = r
+        out.append((r.id, head.id))
     return out
 
 
-def _merge_two(rows: DataFrame) -> DataFrame:
-    """What _merge_run says of runs of one row and of two."""
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    single = F.col("b").isNull()
-    twins = ~single & one_observation(b("at_us") - a("at_us"), a("ms"), b("ms"))
-    near = (F.abs(b("start_us") - a("end_us")) <= ISLAND_GAP * US) & (b("end_us") - a("start_us") <= ISLAND_SPAN * US)
-    goes_on = F.coalesce(~single & (a("finished") == F.lit(False)) & near & a("ms").isNotNull() & b("ms").isNotNull(), F.lit(False))
-    a_heads = F.col("is_first") | goes_on & ~twins
-    a_heads = F.when(twins, F.coalesce(a("ms"), F.lit(0)) >= F.coalesce(b("ms"), F.lit(0))).otherwise(a_heads)
-    head = lambda c: F.when(a_heads, a(c)).otherwise(b(c))
-    whole = goes_on & ~twins
-    ms = F.when(whole, a("ms") + b("ms")).otherwise(head("ms"))
-    at = F.when(whole & a("stamps_end"), a("start_us") + (a("ms") + b("ms")) * 1000).when(whole, a("start_us")).otherwise(head("at_us"))
-    role = F.when(F.col("id") == head("id"), "unit").when(twins, "duplicate").otherwise("segment")
-    return rows.select("id", head("id").alias("unit"), role.alias("role"), ms.alias("unit_ms"), at.alias("unit_at_us"), head("start_us").alias("unit_start_us"))
-
-
-def same_channel(observations: DataFrame) -> DataFrame:
+def _duplicates(rows: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and twins: id and kept of the others. Only rows within JITTER of the one before or after are looked at together."""
+    w = Window.partitionBy(*CHANNEL_KEYS).orderBy("at_us", "id")
+    gap = JITTER * US
+    apart = F.coalesce(F.col("at_us") - F.lag("at_us").over(w) > gap, F.lit(True)) | F.col("channel").isNull()
+    alone = apart & (F.coalesce(F.lead("at_us").over(w) - F.col("at_us") > gap, F.lit(True)) | F.col("channel").isNull())
+    marked = scope.written(rows.withColumns({"apart": apart, "alone": alone}))
+    close = marked.where(~F.col("alone")).withColumn("run", F.count_if(F.col("apart")).over(w))
+    found = scope.written(per_group(close.select(*CHANNEL_KEYS, "run", "at_us", "id", "ms"), [*CHANNEL_KEYS, "run"], ["at_us", "id"], _twins, "id long, kept long"))
+    twins = found.where("id <> kept")
+    return marked.join(twins.select("id"), "id", "left_anti").drop("apart", "alone"), twins
+
+
+def _chains(kept: DataFrame) -> DataFrame:
+    """Adds chain, a number within the keys, and chain_end, whose rows each go on with the one before."""
+    w = Window.partitionBy(*CHANNEL_KEYS).orderBy("at_us", "id")
+    before = lambda c: F.lag(c).over(w)
+    goes_on = (before("finished") == F.lit(False)) & before("ms").isNotNull() & F.col("ms").isNotNull() & (F.abs(F.col("start_us") - before("end_us")) <= ISLAND_GAP * US)
+    goes_on = F.coalesce(goes_on, F.lit(False)) & F.col("channel").isNotNull()
+    return kept.withColumn("chain", F.count_if(~goes_on).over(w))
+
+
+def same_channel(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
     """id, unit, role (unit, segment or duplicate), and the unit's ms, stamp and start, of with_start's rows. Unknown channels stay single."""
-    keys = ["user_id", "channel_key", "track_identifier"]
-    df = observations.withColumn("channel_key", F.coalesce("channel", F.concat_ws("?", F.lit(""), "service")))
-    df = _runs(df, keys, "at_us", (MOST_SHIFT + ISLAND_GAP) * US)
-    rows = df.select(*keys, F.when(F.col("channel").isNull(), -F.col("id")).otherwise(F.col("run")).alias("run"), F.when(F.col("channel").isNull(), 1).otherwise(F.col("run_rows")).alias("run_rows"), "at_us", "id", "start_us", "end_us", F.col("ms_played").alias("ms"), "finished", "stamps_end")
-    few = _merge_two(_with_other(rows.where("run_rows <= 2"), keys, ["at_us", "id"], ["id", "at_us", "start_us", "end_us", "ms", "finished", "stamps_end"]))
-    more = per_group(rows.where("run_rows > 2").drop("run_rows"), [*keys, "run"], ["at_us", "id"], _merge_run, UNIT)
-    return few.unionByName(more)
+    scope = scope or Scope(observations.sparkSession)
+    keyed = observations.withColumns({"channel_key": F.coalesce("channel", F.concat_ws("?", F.lit(""), "service")), "ms": F.col("ms_played")})
+    kept, twins = _duplicates(keyed.select(*CHANNEL_KEYS, "channel", *SEGMENT), scope)
+    chained, by = _chains(kept), [*CHANNEL_KEYS, "chain"]
+    whole, first = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("at_us", "id")
+    spans = chained.withColumns({"head": F.first("id").over(first), "_too_long": F.max("end_us").over(whole) - F.first("start_us").over(first) > ISLAND_SPAN * US})
+    cut = per_group(spans.where("_too_long and channel is not null").select(*by, *SEGMENT), by, ["at_us", "id"], _cut_chain, "id long, own_head long")
+    parts = scope.written(spans.join(cut, "id", "left").select(*SEGMENT, *CHANNEL_KEYS, F.coalesce("own_head", "head").alias("head")))
+    island = Window.partitionBy(*CHANNEL_KEYS, "head")
+    of_head = lambda c: F.max(F.when(F.col("id") == F.col("head"), F.col(c))).over(island)
+    several = F.count(F.lit(1)).over(island) > 1
+    ms = F.when(several, F.sum(F.coalesce("ms", F.lit(0))).over(island)).otherwise(F.col("ms"))
+    listed = parts.withColumns({"unit_ms": ms, "unit_start_us": of_head("start_us"), "_several": several, "_at": of_head("at_us")})
+    at = F.when(~F.col("_several"), F.col("_at")).when(F.col("stamps_end"), F.col("unit_start_us") + F.col("unit_ms") * 1000).otherwise(F.col("unit_start_us"))
+    role = F.when(F.col("id") == F.col("head"), "unit").otherwise("segment")
+    units = listed.select("id", F.col("head").alias("unit"), role.alias("role"), "unit_ms", at.alias("unit_at_us"), "unit_start_us")
+    copies = twins.join(units.withColumnRenamed("id", "kept"), "kept").select("id", "unit", F.lit("duplicate").alias("role"), "unit_ms", "unit_at_us", "unit_start_us")
+    return units.unionByName(copies)
 
 
 def islands(observations: DataFrame) -> DataFrame:
@@ -216,58 +195,73 @@ def islands(observations: DataFrame) -> DataFrame:
     return same_channel(with_start(with_channel(observations, strict=False)))
 
 
-def _pair_run(rows: list) -> list[tuple]:
-    """(id, play) for the rows of one run, in order of start and id: nearest pairs first; two sets of observations join if they share no channel."""
-    pairs = []
-    for i, a in enumerate(rows):
-        for j in range(i + 1, len(rows)):
-            b = rows[j]
-            delta = b.start_us - a.start_us
-            if delta > WIDE_TOLERANCE * US:
-                break
-            if a.channel == b.channel or not (a.resolved_track_id is not None and a.resolved_track_id == b.resolved_track_id or a.bridge == b.bridge):
-                continue
-            if delta <= (TOLERANCE if a.normalizable and b.normalizable else WIDE_TOLERANCE) * US:
-                x, y = sorted((a, b), key=lambda r: (r.priority, r.id))
-                pairs.append((delta, x.priority, y.priority, x.id, y.id))
-    group = {r.id: frozenset([r.id]) for r in rows}
-    channels = {r.id: frozenset([r.channel]) for r in rows}
-    for *_, x, y in sorted(pairs):
-        if not channels[x] & channels[y]:
-            both, all_channels = group[x] | group[y], channels[x] | channels[y]
-            for k in both:
-                group[k], channels[k] = both, all_channels
-    rank = {r.id: (r.priority, r.id) for r in rows}
-    return [(k, min(g, key=rank.get)) for k, g in group.items()]
-
-
-def _pair_two(rows: DataFrame) -> DataFrame:
-    """What _pair_run says of runs of one row and of two."""
+def candidate_pairs(heads: DataFrame) -> DataFrame:
+    """Pairs of units that can be one play: x and y (the first by priority and id), delta_us, and their priorities.
+
+    heads: id, user_id, start_us, channel, priority, resolved_track_id, bridge and normalizable. A unit meets those of its
+    bin of time and of the next by an equi-join on one of two keys; a pair that shares both keys comes by its names only.
+    """
+    width = WIDE_TOLERANCE * US
+    keys = F.array(F.struct(F.lit("names").alias("by"), F.col("bridge").alias("key")), F.struct(F.lit("track").alias("by"), F.col("resolved_track_id").cast("string").alias("key")))
+    own = heads.withColumn("_bin", F.floor(F.col("start_us") / width)).withColumn("_key", F.explode(keys)).where("_key.key is not null")
+    fields = ["id", "start_us", "channel", "priority", "bridge", "normalizable"]
+    side = lambda s, bins: own.select("user_id", "_key", bins.alias("_bin"), F.struct(*fields).alias(s))
+    met = side("a", F.explode(F.array("_bin", F.col("_bin") + 1))).join(side("b", F.col("_bin")), ["user_id", "_key", "_bin"])
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    alike = F.coalesce(a("resolved_track_id") == b("resolved_track_id"), F.lit(False)) | (a("bridge") == b("bridge"))
-    near = b("start_us") - a("start_us") <= pair_tolerance(a("normalizable"), b("normalizable")) * US
-    one = F.coalesce((a("channel") != b("channel")) & alike & near, F.lit(False))
-    winner = F.least(F.struct(a("priority"), a("id").alias("id")), F.struct(b("priority"), b("id").alias("id"))).getField("id")
-    return rows.select("id", F.when(one, winner).otherwise(F.col("id")).alias("play"))
+    delta = b("start_us") - a("start_us")
+    later = (delta > 0) | (delta == 0) & (b("id") > a("id"))
+    once = (F.col("_key.by") == "names") | ~F.coalesce(a("bridge") == b("bridge"), F.lit(False))
+    found = met.where(later & once & (a("channel") != b("channel")) & (delta <= pair_tolerance(a("normalizable"), b("normalizable")) * US))
+    end = lambda s: F.struct(F.col(f"{s}.priority").alias("priority"), F.col(f"{s}.id").alias("id"), F.call_function("shiftleft", F.lit(1), F.col(f"{s}.priority")).alias("channels"))
+    return found.select(delta.alias("delta_us"), F.least(end("a"), end("b")).alias("x"), F.greatest(end("a"), end("b")).alias("y"))
 
 
-def group(observations: DataFrame) -> DataFrame:
+def nearest_first(pairs: DataFrame, scope: Scope) -> DataFrame:
+    """unit and play for each unit that joins another one's play: what a walk over all pairs, nearest first, joins if both sides share no channel.
+
+    Rounds of joins do it: a pair that is the nearest of all left ones at both of its sides is the next that a walk would take
+    there, whatever happens elsewhere, so all of these join at once. Pairs whose sides now share a channel, or are one, go; they
+    could never come back. Priorities number the channels, so a side's channels are bits, and no side has more
+    units than there are channels. A side is named by its first unit, by priority and id.
+    """
+    side = lambda s: F.struct(F.col(f"{s}.priority").alias("priority"), F.col(f"{s}.id").alias("id"))
+    order = F.struct("delta_us", F.col("x.priority").alias("px"), F.col("y.priority").alias("py"), F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    live = pairs.select(order.alias("pair"), side("x").alias("cx"), side("y").alias("cy"), F.col("x.channels").alias("mx"), F.col("y.channels").alias("my"))
+    live, joined = scope.written(live), None
+    while not live.isEmpty():
+        ends = live.select("pair", F.explode(F.array(F.struct(F.col("cx").alias("c"), F.col("mx").alias("m")), F.struct(F.col("cy").alias("c"), F.col("my").alias("m")))).alias("end"))
+        nearest = ends.groupBy("end.c").agg(F.min("pair").alias("pair"), F.max("end.m").alias("m"))
+        taken = nearest.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("stays"), F.max("c").alias("goes"), F.bit_or("m").alias("m")).where("n = 2")
+        taken = scope.written(taken.select("stays", "goes", "m"))
+        joined = taken if joined is None else joined.unionByName(taken)
+        moved = taken.select(F.explode(F.array("stays", "goes")).alias("c"), F.col("stays").alias("to"), "m")
+        for s in ("x", "y"):
+            live = live.join(moved.select(F.col("c").alias(f"c{s}"), F.col("to").alias(f"to{s}"), F.col("m").alias(f"new{s}")), f"c{s}", "left")
+        live = live.select("pair", *[F.coalesce(f"to{s}", f"c{s}").alias(f"c{s}") for s in "xy"], *[F.coalesce(f"new{s}", f"m{s}").alias(f"m{s}") for s in "xy"])
+        live = scope.written(live.where((F.col("cx") != F.col("cy")) & (F.col("mx").bitwiseAND(F.col("my")) == 0)))
+    if joined is None:
+        return pairs.select(F.col("x.id").alias("unit"), F.col("x.id").alias("play")).limit(0)
+    up = joined.select(F.col("goes.id").alias("unit"), F.col("stays.id").alias("play"))
+    for _ in range(len(CHANNELS).bit_length() - 1):  # a play of all channels is joined in as many steps less one; each pass doubles them
+        further = up.select(F.col("unit").alias("play"), F.col("play").alias("_up"))
+        up = up.join(further, "play", "left").select("unit", F.coalesce("_up", "play").alias("play"))
+    return up
+
+
+def group(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
     """Every observation with role and play, the id of the play's winner (lowest priority, then lowest id).
 
     observations: id, user_id, service, import_source, track_identifier, artist_name, track_name, played_at, ms_played,
-    metadata (JSON) and resolved_track_id.
+    metadata (JSON) and resolved_track_id. The result reads tables of the scope, which its owner drops when it has been read.
     """
+    scope = scope or Scope(observations.sparkSession)
     full = with_start(with_channel(observations))
-    # what several branches read is written once
-    units = written(same_channel(full))
+    units = scope.written(same_channel(full, scope))
     heads = full.join(units.where("role = 'unit'").select("id", "unit_ms", "unit_start_us"), "id")
     heads = heads.withColumns({"start_us": F.col("unit_start_us"), "bridge": bridge_key(F.col("artist_name"), F.col("track_name"))})
-    heads = written(heads.select("user_id", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable"))
-    rows = _binned_runs(heads, ["user_id"], "start_us", WIDE_TOLERANCE * US)
-    few = _pair_two(_with_other(rows.where("run_rows <= 2"), ["user_id"], ["start_us", "id"], ["id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable"]))
-    more = per_group(rows.where("run_rows > 2").drop("run_rows"), ["user_id", "run"], ["start_us", "id"], _pair_run, "id long, play long")
-    plays = few.unionByName(more).withColumnRenamed("id", "unit")
-    return units.join(plays, "unit").select("id", "unit", "role", "play", "unit_ms", "unit_start_us")
+    heads = heads.select("user_id", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable")
+    plays = nearest_first(candidate_pairs(heads), scope)
+    return units.join(plays, "unit", "left").select("id", "unit", "role", F.coalesce("play", "unit").alias("play"), "unit_ms", "unit_start_us")
 
 
 def play_context() -> Column:
@@ -279,10 +273,10 @@ def play_context() -> Column:
     return F.when(F.col("service") == "spotify", spotify).when(F.col("service") == "lastfm", lastfm).otherwise(F.to_json(F.struct(*common)))
 
 
-def project(observations: DataFrame) -> DataFrame:
+def project(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
     """The plays: play, user_id, track_id, service, import_source, played_at (of the best stamp), ms_played (the first known by priority), source_services (in order of priority), context (the others' under merged_from_<channel>), members, divergent and anchor_us (the earliest start)."""
     facts = with_channel(observations).withColumn("context", play_context())
-    full = group(observations).join(facts, "id")
+    full = group(observations, scope).join(facts, "id")
     is_unit = F.col("role") == "unit"
     of_unit = lambda c: F.when(is_unit, c)
     rank = of_unit(F.struct("priority", "id"))
@@ -325,9 +319,9 @@ def around(observations: DataFrame, days: DataFrame) -> DataFrame:
     return observations.withColumn("day", F.to_date("played_at")).join(near, "day", "left_semi").drop("day")
 
 
-def project_days(observations: DataFrame, days: DataFrame) -> DataFrame:
+def project_days(observations: DataFrame, days: DataFrame, scope: Scope | None = None) -> DataFrame:
     """The plays anchored (by the earliest start) in these days."""
-    plays = project(around(observations, days)).withColumn("day", F.to_date(F.timestamp_micros("anchor_us")))
+    plays = project(around(observations, days), scope).withColumn("day", F.to_date(F.timestamp_micros("anchor_us")))
     return plays.join(days, "day", "left_semi").drop("day")
 
 

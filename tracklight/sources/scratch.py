@@ -29,8 +29,23 @@ def folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tracklight-{uuid.uuid4().hex}"
 
 
+class Scope:
+    """Tables in the shared folder that one computation needs in between, each computed once however often it is read; drop() removes them all."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.n = spark, folder(spark), 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, which is computed once however often it is read."""
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder, in a scope of its own."""
+    return Scope(df.sparkSession).written(df)
