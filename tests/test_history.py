@@ -218,16 +218,105 @@ def test_stream_equals_rebuild(spark, tmp_path):
     assert got == want
 
 
-def test_apply_plan(spark):
-    rows, _ = generated(7)
-    new = P.project(spark.createDataFrame(rows, SCHEMA)).cache()
-    stored = new.withColumn("play_id", F.col("play") + 5000)
-    edges = stored.select(F.explode("members").alias("observation_id"), "play_id")
-    assert {r.action for r in P.apply_plan(new, stored, edges).collect()} == {"keep"}
-    assert {r.action for r in P.apply_plan(new, stored.limit(0), edges.limit(0)).collect()} == {"insert"}
-    double = edges.unionByName(edges.withColumn("play_id", F.col("play_id") + 90_000))
-    kinds = Counter(r.action for r in P.apply_plan(new, stored, double).collect())
-    assert kinds["keep"] == kinds["delete"] == new.count()
+PLAN_NEW = "play long, user_id long, track_id long, service string, import_source string, played_at timestamp_ntz, ms_played long, source_services array<string>, context string, members array<long>, start_us long"
+PLAN_STORED = "play_id long, user_id long, track_id long, service string, import_source string, played_at timestamp_ntz, ms_played long, source_services array<string>, context string"
+
+
+def plain_plan(new, stored, edges):
+    """A walk over the projected plays in order of their start."""
+    identity = lambda p, at=None: (p["track_id"], p["service"], at or p["played_at"], p["ms_played"])
+    held_by, by_id, moved = dict(edges), {p["play_id"]: p for p in stored}, {}
+    used = {q for o, q in edges}
+    loose = {}
+    for p in sorted(stored, key=lambda p: -p["play_id"]):
+        if p["play_id"] not in used:
+            loose[identity(p)] = p["play_id"]
+    taken, first, out, doubtful = set(), {}, {}, set()
+    for g in sorted(new, key=lambda g: (g["start_us"], g["play"])):
+        links = {held_by[m] for m in g["members"] if m in held_by} - taken
+        same = lambda q: all(by_id[q][c] == g[c] for c in ("track_id", "service", "played_at", "ms_played", "source_services", "import_source")) and json.loads(by_id[q]["context"]) == json.loads(g["context"])
+        if links:
+            target = min(links)
+            action = "merge" if len(links) > 1 else "keep" if same(target) else "update"
+            doubtful |= links - {target}
+        elif identity(g) in first:
+            target, action = first[identity(g)], "claim"
+        else:
+            target = loose.pop(identity(g), None)
+            if target is None and g["ms_played"]:
+                target = loose.pop(identity(g, g["played_at"] + dt.timedelta(milliseconds=min(g["ms_played"], 21_600_000))), None)
+            target, action = (g["play"] + 10_000, "insert") if target is None else (target, "adopt" if same(target) else "heal")
+        taken.add(target)
+        first.setdefault(identity(g), target)
+        out[g["play"]] = (target, action)
+        moved |= dict.fromkeys(g["members"], target)
+    after = {o: moved.get(o, q) for o, q in edges} | moved
+    return out, {q for q in doubtful if q not in after.values()}, after
+
+
+def random_plan(seed):
+    r, base = random.Random(seed), seed * 100_000
+    at = lambda: NOW + dt.timedelta(minutes=r.randrange(4))
+    fields = lambda: {"user_id": seed, "track_id": base + r.randrange(3), "service": "own", "import_source": r.choice(["manual", "manual", "m2"]), "played_at": at(), "ms_played": r.choice([None, 60_000, 60_000, 120_000]), "source_services": ["own"], "context": r.choice(['{"a": 1, "b": 2}', '{"b":2,"a":1}'])}
+    n = r.randint(1, 9)
+    observed = [base + 50 + k for k in range(2 * n)]
+    r.shuffle(observed)
+    new = []
+    for k in range(n):
+        own = fields()
+        new.append({"play": base + k, **own, "members": [observed.pop() for _ in range(r.randint(1, 2))], "start_us": int(own["played_at"].timestamp()) * 1_000_000 + r.randrange(2)})
+    stored = [{"play_id": base + 500 + k, **fields()} for k in range(r.randint(0, 8))]
+    some = [p["play_id"] for p in stored if r.random() < 0.6]
+    edges = [(o, r.choice(some)) for o in range(base + 50, base + 50 + 2 * n + 2) if some and r.random() < 0.6]
+    return new, stored, edges
+
+
+def test_plans_equal_a_walk(spark):
+    from tracklight.operators import apply
+    from tracklight.sources.scratch import Scope
+
+    parts = [random_plan(k) for k in range(1, 250)]
+    new, stored, edges = ([x for p in parts for x in p[i]] for i in range(3))
+    frames = spark.createDataFrame([tuple(x.values()) for x in new], PLAN_NEW), spark.createDataFrame([tuple(x.values()) for x in stored], PLAN_STORED), spark.createDataFrame(edges, "observation_id long, play_id long")
+    scope = Scope(spark)
+    steps = apply.plan(*frames, scope, F.col("play") + 10_000)
+    plays, moved = map(scope.written, apply.execute(steps, *frames))
+    got = steps.collect()
+    walks = [plain_plan(*p) for p in parts]
+    assert {r.play: (r.play_id, r.action) for r in got if r.play is not None} == {k: v for w in walks for k, v in w[0].items()}
+    assert {r.play_id for r in got if r.action == "delete"} == {q for w in walks for q in w[1]}
+    assert {r.action for r in got} == set(apply.ACTIONS)
+    assert {r.observation_id: r.play_id for r in moved.collect()} == {o: q for w in walks for o, q in w[2].items()}
+    again = apply.plan(frames[0], plays, moved, scope, F.col("play") + 10_000)
+    assert {r.action for r in again.collect()} <= {"keep", "claim"}
+    counted = {r.track_id: r.play_count for r in apply.affected_aggregates(steps, frames[0], frames[1], plays).collect()}
+    want = Counter(r.track_id for r in plays.collect())
+    assert counted == {t: want.get(t, 0) for t in counted} and {x["track_id"] for x in new} <= set(counted)
+    scope.drop()
+
+
+def test_contexts_keep_types_and_unknown_keys(spark):
+    from tracklight.operators.contexts import canonical, nested, with_context
+
+    uri = "spotify:track:" + "a" * 22
+    rows = [
+        (1, "spotify", "spotify_export", uri, '{"shuffle": false, "skipped": null, "odd": {"x": [1, 2.5]}, "start_shift_ms": 3}'),
+        (2, "spotify", "spotify_api", uri, '{"context_type": "album", "duration_ms": 7, "start_shift_ms": 3, "shuffle": true, "track_name": "own"}'),
+        (3, "own", "manual", "t", "[1]"), (4, "lastfm", None, "t", '{"mbid": "m", "loved": true, "odd": "x"}'), (5, "elsewhere", None, "t", None), (6, "spotify", None, "t", "broken"),
+    ]
+    df = spark.createDataFrame([(*r, "Song", "Artist") for r in rows], "id long, service string, import_source string, track_identifier string, metadata string, track_name string, artist_name string")
+    got = {r.id: json.loads(r.context) for r in with_context(df).collect()}
+    common = {"track_name": "Song", "artist_name": "Artist", "album_name": None, "architecture_version": "connector_plays_deferred_resolution"}
+    behaviour = dict.fromkeys(["platform", "country", "reason_start", "reason_end", "shuffle", "skipped", "offline", "spotify_track_uri"])
+    export = common | behaviour | {"incognito_mode": False, "resolution_method": "spotify_connector_play_resolver"}
+    assert got[1] == export | {"shuffle": False, "spotify_track_id": "a" * 22, "odd": {"x": [1, 2.5]}, "start_shift_ms": 3}
+    assert got[2] == common | {"track_name": "own", "spotify_track_uri": None, "spotify_track_id": None, "context_type": "album", "context_uri": None, "duration_ms": 7, "resolution_method": "spotify_connector_play_resolver", "shuffle": True}
+    assert got[3] == got[5] == common | {"resolution_method": "play_projection"}
+    assert got[4]["mbid"] == "m" and got[4]["loved"] is True and got[4]["lastfm_track_url"] is None and got[4]["odd"] == "x"
+    assert got[6] == export | {"spotify_track_id": None}
+    one = spark.createDataFrame([('{"b": 1, "a": {"y": 1, "x": null}}', "m", '{"c": [2]}')], "own string, key string, value string")
+    r = one.select(nested(F.col("own"), F.array(F.struct("key", "value"))).alias("n"), canonical(F.col("own")).alias("c"), canonical(F.lit('{"a":{"x":null,"y":1},"b":1}')).alias("d"), canonical(F.lit("{}")).alias("e")).first()
+    assert json.loads(r.n) == {"b": 1, "a": {"y": 1, "x": None}, "m": {"c": [2]}} and r.c == r.d and r.e is None
 
 
 def test_export_import(spark, tmp_path):

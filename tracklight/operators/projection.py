@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tracklight.functions.scalars import micros
 from tracklight.functions.text import normalize
+from tracklight.operators.contexts import nested, with_context
 from tracklight.operators.grouped import per_group
 from tracklight.sources.scratch import Scope
 
@@ -264,29 +265,23 @@ def group(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
     return units.join(plays, "unit", "left").select("id", "unit", "role", F.coalesce("play", "unit").alias("play"), "unit_ms", "unit_start_us")
 
 
-def play_context() -> Column:
-    """What a play keeps of an observation, by its service; nulls are left out."""
-    m = lambda k: F.get_json_object("metadata", f"$.{k}")
-    common = [F.col("track_name").alias("track_name"), F.col("artist_name").alias("artist_name")]
-    spotify = F.to_json(F.struct(*common, m("track_uri").alias("track_uri"), m("reason_start").alias("reason_start"), m("reason_end").alias("reason_end"), m("platform").alias("platform")))
-    lastfm = F.to_json(F.struct(*common, m("mbid").alias("mbid"), m("track_url").alias("track_url")))
-    return F.when(F.col("service") == "spotify", spotify).when(F.col("service") == "lastfm", lastfm).otherwise(F.to_json(F.struct(*common)))
-
-
 def project(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
-    """The plays: play, user_id, track_id, service, import_source, played_at (of the best stamp), ms_played (the first known by priority), source_services (in order of priority), context (the others' under merged_from_<channel>), members, divergent and anchor_us (the earliest start)."""
-    facts = with_channel(observations).withColumn("context", play_context())
+    """The plays: play, user_id, track_id, service, import_source, played_at (of the best stamp), ms_played (the first known by priority), source_services (in order of priority), context (JSON, with the others' under merged_from_<channel>), members, divergent, start_us (of the winner) and anchor_us (the earliest start); import_batch_id too, if observations have it."""
+    facts = with_context(with_channel(observations))
     full = group(observations, scope).join(facts, "id")
     is_unit = F.col("role") == "unit"
     of_unit = lambda c: F.when(is_unit, c)
     rank = of_unit(F.struct("priority", "id"))
     ordered = F.array_sort(F.collect_list(of_unit(F.struct("priority", "id", "service", "channel", "context", F.col("unit_ms").alias("ms")))))
+    batch = [F.min_by("import_batch_id", rank).alias("import_batch_id")] if "import_batch_id" in observations.columns else []
     plays = full.groupBy("play").agg(
         F.first("user_id").alias("user_id"),
         F.min_by("resolved_track_id", rank).alias("track_id"),
         F.min_by("service", rank).alias("service"),
         F.min_by("import_source", rank).alias("import_source"),
+        *batch,
         F.min_by("unit_start_us", of_unit(F.struct(-F.col("quality"), "priority", "id"))).alias("_at"),
+        F.min_by("unit_start_us", rank).alias("start_us"),
         F.min(of_unit(F.col("unit_start_us"))).alias("anchor_us"),
         ordered.alias("_members"),
         (F.count_distinct(of_unit(F.col("resolved_track_id"))) > 1).alias("divergent"),
@@ -295,12 +290,12 @@ def project(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
     losers = F.transform(F.slice("_members", F.lit(2), F.size("_members")), lambda x: F.struct(F.concat(F.lit("merged_from_"), x.channel).alias("key"), x.context.alias("value")))
     known = F.filter("_members", lambda x: x.ms.isNotNull())
     return plays.select(
-        "play", "user_id", "track_id", "service", "import_source",
+        "play", "user_id", "track_id", "service", "import_source", *["import_batch_id"] * len(batch),
         F.timestamp_micros("_at").cast("timestamp_ntz").alias("played_at"),
         F.get(known, F.lit(0)).getField("ms").alias("ms_played"),
         F.array_distinct(F.transform("_members", lambda x: x.service)).alias("source_services"),
-        F.map_concat(F.create_map(F.lit("own"), F.get("_members", F.lit(0)).getField("context")), F.map_from_entries(losers)).alias("context"),
-        "members", "divergent", "anchor_us",
+        nested(F.get("_members", F.lit(0)).getField("context"), losers).alias("context"),
+        "members", "divergent", "start_us", "anchor_us",
     )
 
 
@@ -325,33 +320,6 @@ def project_days(observations: DataFrame, days: DataFrame, scope: Scope | None =
     return plays.join(days, "day", "left_semi").drop("day")
 
 
-COMPARED = ("user_id", "track_id", "service", "import_source", "played_at", "ms_played", "source_services", "context")
-
-
-def apply_plan(new: DataFrame, stored: DataFrame, edges: DataFrame) -> DataFrame:
-    """action and play_id for each new play and each stored one that loses its place.
-
-    edges (observation_id, play_id) say which stored plays hold a new play's members: none, it is inserted; one, it is
-    updated if a compared field differs; several, the lowest id is kept and the rest go, if no other edge holds them.
-    stored has play_id, and the compared fields.
-    """
-    links = new.select("play", F.explode("members").alias("observation_id")).join(edges, "observation_id").groupBy("play").agg(F.sort_array(F.collect_set("play_id")).alias("_held"))
-    joined = new.join(links, "play", "left").withColumn("play_id", F.get("_held", F.lit(0)))
-    old = stored.select("play_id", *[F.col(c).alias(f"_{c}") for c in COMPARED if c != "context"], F.to_json("context").alias("_context"))
-    both = joined.join(old, "play_id", "left")
-    same = F.lit(True)
-    for c in COMPARED:
-        value = F.to_json("context") if c == "context" else F.col(c)
-        same = same & value.eqNullSafe(F.col(f"_{c}"))
-    action = F.when(F.col("play_id").isNull(), "insert").when(same, "keep").otherwise("update")
-    kept = both.select(F.col("play"), "play_id", action.alias("action"))
-    rest = joined.where(F.size("_held") > 1).select("play", F.explode(F.slice("_held", F.lit(2), F.size("_held"))).alias("play_id"))
-    moved = new.select(F.explode("members").alias("observation_id")).distinct()
-    elsewhere = edges.join(moved, "observation_id", "left_anti").select("play_id").distinct()
-    gone = rest.join(elsewhere, "play_id", "left_anti").select("play", "play_id", F.lit("delete").alias("action"))
-    return kept.unionByName(gone)
-
-
 def refresh_aggregates(tracks: DataFrame, plays: DataFrame) -> DataFrame:
     """play_count, first_played_at and last_played_at of every track, 0 and null without plays."""
     found = plays.groupBy("track_id").agg(F.count(F.lit(1)).alias("play_count"), F.min("played_at").alias("first_played_at"), F.max("played_at").alias("last_played_at"))

@@ -95,9 +95,45 @@ def _(lib):
     return grouped.agg(F.count(F.lit(1)).alias("members")).crossJoin(mixed).crossJoin(obs.agg(F.count(F.lit(1)).alias("observations")))
 
 
-@query("prj9_context", f"{OBSERVED} select id, '{{\"track_name\":\"track ' || track || '\",\"artist_name\":\"An Artist\"' || case when service = 'spotify' then ',\"reason_end\":\"' || reason || '\"' else '' end || '}}' as context from obs")
-def _(lib):
-    return P.with_channel(observations(lib)).select("id", P.play_context().alias("context"))
+# Observations with metadata of every kind, the channels' own builders and the fallbacks of services and of none.
+TOLD = """with told as (select event_id as id, case event_id % 7 when 0 then 'spotify' when 1 then 'spotify' when 2 then 'spotify' when 3 then 'own' when 4 then 'lastfm' when 5 then 'lastfm' else 'elsewhere' end as service,
+  case event_id % 7 when 0 then 'spotify_export' when 1 then 'spotify_api' when 2 then null when 3 then 'manual' when 4 then 'lastfm_api' when 5 then 'odd' else 'radio' end as import_source,
+  concat('spotify:track:', lpad(cast(event_id as varchar(20)), 22, 'x')) as track_identifier, concat('Song ', cast(user_id as varchar(20))) as track_name, 'An Artist' as artist_name, case when event_id % 3 = 0 then null else 'An Album' end as album_name,
+  concat('{"mood":{"b":[1,null,"x"],"a":true}', case when event_id % 2 = 0 then concat(',"track_uri":"spotify:track:', lpad(cast(user_id as varchar(20)), 22, 'y'), '"') else ',"track_uri":7' end, case when event_id % 5 = 0 then ',"incognito_mode":null' when event_id % 5 = 1 then ',"incognito_mode":true' else '' end,
+    ',"reason_end":"trackdone","shuffle":false,"mbid":"m","loved":"0","context_type":"album","duration_ms":', cast(1000 + event_id as varchar(20)), ',"start_shift_ms":5', case when event_id % 4 = 0 then ',"album_name":"told","platform":"ios"' else '' end, '}') as metadata from events)"""
+
+_KEYS = {
+    "export": (("platform", "country", "reason_start", "reason_end", "shuffle", "skipped", "offline", "incognito_mode"), ("track_uri",)),
+    "recent": (("context_type", "context_uri", "duration_ms"), ("track_uri", "start_shift_ms")),
+    "scrobble": (("lastfm_track_url", "lastfm_artist_url", "lastfm_album_url", "mbid", "artist_mbid", "album_mbid", "streamable", "loved"), ()),
+    "plain": ((), ()),
+}
+
+
+def _context_sql() -> str:
+    """A row for each key of each context: names, the builder's keys, its own words, and what passes through."""
+    kind = "case when service = 'spotify' and import_source = 'spotify_api' then 'recent' when service = 'spotify' then 'export' when service = 'lastfm' then 'scrobble' else 'plain' end"
+    own = []
+    for k, (named, consumed) in _KEYS.items():
+        fixed = [("track_name", "to_json(track_name)"), ("artist_name", "to_json(artist_name)"), ("album_name", "to_json(album_name)")]
+        fixed += [("resolution_method", {"export": "'\"spotify_connector_play_resolver\"'", "recent": "'\"spotify_connector_play_resolver\"'", "scrobble": "'\"lastfm_connector_play_resolver\"'", "plain": "'\"play_projection\"'"}[k]), ("architecture_version", "'\"connector_plays_deferred_resolution\"'")]
+        fixed += [(n, f"coalesce(cast(metadata->'$.{n}' as varchar), " + ("case when json_exists(metadata, '$.incognito_mode') then 'null' else 'false' end)" if n == "incognito_mode" else "'null')")) for n in named]
+        if k in ("export", "recent"):
+            fixed += [("spotify_track_uri", "coalesce(cast(metadata->'$.track_uri' as varchar), 'null')")]
+            fixed += [("spotify_track_id", "case when id % 2 = 0 then to_json(substr(metadata->>'$.track_uri', 15)) else " + ("to_json(substr(track_identifier, 15))" if k == "export" else "'null'") + " end")]
+        taken = ", ".join(f"'{x}'" for x in (*named, *consumed, ""))
+        passing = f"select id, key, cast(metadata->concat('$.', key) as varchar) as value from (select *, unnest(json_keys(metadata)) as key from kinds where kind = '{k}') z where key not in ({taken})"
+        values = " union all ".join(f"select id, '{n}' as key, coalesce(cast({v} as varchar), 'null') as value from kinds where kind = '{k}'" for n, v in fixed)
+        own.append(f"select id, key, value from ({passing}) p union all select v.id, v.key, v.value from ({values}) v anti join ({passing}) q on q.id = v.id and q.key = v.key")
+    return f"{TOLD}, kinds as (select *, {kind} as kind from told) select id, key, replace(value, '{{\"b\":[1,null,\"x\"],\"a\":true}}', '{{\"a\":true,\"b\":[1,null,\"x\"]}}') as value from ({' union all '.join(own)}) w"
+
+
+@query("prj9_context", _context_sql())
+def _(lib):
+    from tracklight.operators.contexts import as_object, with_context
+
+    told = lib.sql(f"{TOLD} select * from told")
+    return with_context(told).select("id", F.explode(as_object(F.col("context")))).select("id", "key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value"))
 
 
 @query("prj10_channels", f"{OBSERVED} select import_source as channel, count(*) as n from (select case import_source when 'lastfm_api' then 'lastfm' else import_source end as import_source from obs) z group by 1")
@@ -110,18 +146,59 @@ def _(lib):
     return P.affected_days(observations(lib).select("played_at"))
 
 
-# Plans over plays of their own: 0 is new, 1 changed, 2 as it was, 3 holds members of two stored plays, 4 of two of which another play holds on to one.
-@query("prj12_apply_plan", "select play_id as play, case when play_id % 5 = 0 then null else play_id end as play_id, case play_id % 5 when 0 then 'insert' when 1 then 'update' else 'keep' end as action from plays union all select play_id, play_id + 1000000000, 'delete' from plays where play_id % 5 = 3")
-def _(lib):
-    far = 1_000_000_000
-    kind = F.col("play") % 5
-    new = lib.plays.select(F.col("play_id").alias("play"), "user_id", "track_id", "service", "import_source", "played_at", "ms_played", F.array("service").alias("source_services"), F.create_map(F.lit("own"), F.col("context")).alias("context"))
-    new = new.withColumn("members", F.array("play", F.col("play") + far))
-    stored = new.where(kind != 0).withColumns({"play_id": F.col("play"), "ms_played": F.when(kind == 1, F.coalesce("ms_played", F.lit(0)) + 1).otherwise(F.col("ms_played"))})
-    second = lambda member: new.where(kind >= 3).select((F.col("play") + member).alias("observation_id"), (F.col("play") + far).alias("play_id"))
-    # of kind 4 the second stored play has a third member, which no new play takes
-    edges = stored.select(F.col("play").alias("observation_id"), "play_id").unionByName(second(far)).unionByName(second(2 * far).where(F.col("play_id") % 5 == 4))
-    return P.apply_plan(new, stored, edges)
+FAR = 1_000_000_000
+_FAR = f"{FAR}::bigint"
+# Plans over plays of their own, by the last digit: 0 is new, 1 changed, 2 as it was; 3 holds members of two stored plays, 4 of two of which a third observation
+# holds on to one; 5 and 6 find a stored play without edges, of the same time or of the listen's end (6 is new where no time listened is known); 7 comes twice, and
+# so does 8, whose second comes later and differs but has the first one's edge.
+PLANNED = f"""select play_id as play, case play_id % 10 when 0 then play_id + 5 * {_FAR} when 5 then play_id + 2 * {_FAR} when 6 then case when ms_played > 0 then play_id + 2 * {_FAR} else play_id + 5 * {_FAR} end when 7 then play_id + 5 * {_FAR} else play_id end as play_id,
+    case play_id % 10 when 0 then 'insert' when 1 then 'update' when 2 then 'keep' when 3 then 'merge' when 4 then 'merge' when 5 then 'adopt' when 6 then case when ms_played > 0 then 'heal' else 'insert' end when 7 then 'insert' when 8 then 'keep' else 'keep' end as action from plays
+  union all select play_id + 3 * {_FAR}, case when play_id % 10 = 7 then play_id + 5 * {_FAR} else play_id + 8 * {_FAR} end, case when play_id % 10 = 7 then 'claim' else 'insert' end from plays where play_id % 10 in (7, 8)
+  union all select null, play_id + {_FAR}, 'delete' from plays where play_id % 10 = 3"""
+
+
+def planned(lib) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Projected plays, stored ones and edges."""
+    kind, at = F.col("play") % 10, F.col("played_at").cast("timestamp_ntz")
+    own = lib.plays.select(F.col("play_id").alias("play"), "user_id", F.col("play_id").alias("track_id"), "service", "import_source", at.alias("played_at"), F.col("ms_played").cast("long").alias("ms_played"), F.array("service").alias("source_services"), "context")
+    own = own.withColumns({"members": F.array("play", F.col("play") + FAR), "start_us": F.unix_micros(F.col("played_at").cast("timestamp"))})
+    again = own.where(kind.isin(7, 8)).withColumns({"members": F.array(F.col("play") + 3 * FAR), "start_us": F.col("start_us") + 1, "play": F.col("play") + 3 * FAR, "ms_played": F.when(kind == 8, F.coalesce("ms_played", F.lit(0)) + 1).otherwise(F.col("ms_played"))})
+    fields = ["user_id", "track_id", "service", "import_source", "played_at", "ms_played", "source_services", "context"]
+    linked = own.where(kind.isin(1, 2, 3, 4, 8, 9)).withColumn("ms_played", F.when(kind == 1, F.coalesce("ms_played", F.lit(0)) + 1).otherwise(F.col("ms_played"))).select(F.col("play").alias("play_id"), *fields)
+    second = own.where(kind.isin(3, 4)).select((F.col("play") + FAR).alias("play_id"), *fields)
+    end = F.timestamp_micros(F.col("start_us") + F.coalesce("ms_played", F.lit(0)) * 1000).cast("timestamp_ntz")
+    loose = own.where((kind == 5) | (kind == 6) & (F.col("ms_played") > 0)).withColumn("played_at", F.when(kind == 6, end).otherwise(F.col("played_at"))).select((F.col("play") + 2 * FAR).alias("play_id"), *fields)
+    edge = lambda rows, o, p: rows.select((F.col("play") + o).alias("observation_id"), (F.col("play") + p).alias("play_id"))
+    edges = edge(own.where(kind.isin(1, 2, 3, 4, 8, 9)), 0, 0).unionByName(edge(own.where(kind.isin(3, 4)), FAR, FAR)).unionByName(edge(own.where(kind == 4), 2 * FAR, FAR)).unionByName(edge(own.where(kind == 8), 3 * FAR, 0))
+    return own.unionByName(again), linked.unionByName(second).unionByName(loose), edges
+
+
+@query("prj12_apply_plan", PLANNED)
+def _(lib):
+    from tracklight.operators.apply import plan
+    from tracklight.sources.scratch import Scope
+
+    return plan(*planned(lib), Scope(lib.spark), F.col("play") + 5 * FAR)
+
+
+# What is stored after the plan: a play for each identity, whatever it was before.
+@query("prj12_executed", f"""with done as (select * from ({PLANNED}) p)
+  select d.play_id, p.play_id as track_id, case when d.play_id > 7 * {_FAR} then coalesce(p.ms_played, 0) + 1 else p.ms_played end as ms_played, p.played_at,
+    case p.play_id % 10 when 4 then 2 when 7 then 3 when 8 then case when d.play_id > 7 * {_FAR} then 1 else 2 end else 2 end as edges, 'keep,claim' as again
+  from (select distinct play_id from done where action <> 'delete') d join plays p on p.play_id = d.play_id % {_FAR}
+  union all select play_id + {_FAR}, play_id, ms_played, played_at, 1, 'left' from plays where play_id % 10 = 4""")
+def _(lib):
+    """Stored plays and their edges after the plan, and what a second plan would do."""
+    from tracklight.operators.apply import execute, plan
+    from tracklight.sources.scratch import Scope
+
+    (new, stored, edges), scope = planned(lib), Scope(lib.spark)
+    steps = plan(new, stored, edges, scope, F.col("play") + 5 * FAR)
+    plays, edges = map(scope.written, execute(steps, new, stored, edges))
+    again = plan(new, plays, edges, scope, F.col("play") + 5 * FAR).groupBy("play_id").agg(F.array_sort(F.collect_set("action")).alias("actions"))
+    said = F.when(F.size(F.array_except("actions", F.array(F.lit("keep"), F.lit("claim")))) == 0, "keep,claim").when(F.col("actions").isNull(), "left").otherwise(F.array_join("actions", ","))
+    counts = edges.groupBy("play_id").agg(F.count(F.lit(1)).alias("edges"))
+    return plays.join(counts, "play_id", "left").join(again, "play_id", "left").select("play_id", "track_id", "ms_played", "played_at", "edges", said.alias("again"))
 
 
 def differences(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:

@@ -30,7 +30,7 @@ def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 def with_day(plays: DataFrame) -> DataFrame:
     """The plays as they are stored: day is that of the anchor."""
-    return plays.withColumn("context", F.to_json("context")).withColumn("day", F.to_date(F.timestamp_micros("anchor_us")))
+    return plays.withColumn("day", F.to_date(F.timestamp_micros("anchor_us")))
 
 
 def touched_days(stamps: DataFrame) -> DataFrame:
