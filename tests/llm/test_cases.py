@@ -64,13 +64,37 @@ def test_licenses_do_not_depend_on_the_length_of_the_list(spark, documents, monk
     assert sorted(licenses.scan(documents(texts)).collect()) == rows
     by = {r.doc_id: r for r in rows}
     n = len(whole)
-    assert [by[k].license for k in range(n)] == list(whole) and not any(by[k].notices for k in range(n))
+    assert [by[k].license for k in range(n)] == list(whole) and [by[k].notices for k in range(n)] == [[k] for k in whole]
     assert by[n].notices == ["MIT"] and by[n].license is None and by[n + 1].license == "MIT" and by[n + 1].notices == ["MIT"] and by[n + 2][1:] == by[n + 1][1:]
     assert by[n + 5].digest != by[n + 6].digest != by[n + 3].digest == by[n + 4].digest
     assert licenses.scan(documents(texts), known=()).where("license is not null or size(notices) > 0").count() == 0
     assert licenses.scan(documents(texts).limit(0)).count() == 0
 
 
+def test_whole_files_and_readmes(spark, documents):
+    """Titles, years, wrapped lines, and texts inside other ones; full texts from a table."""
+    import glob
+    import textwrap
+
+    body = dict((k, t) for k, t in licenses.KNOWN if "\n\n" in t)
+    wrapped = lambda t, n=72: "\n\n".join(textwrap.fill(p, n) for p in t.split("\n\n"))
+    named = {"MIT": "The MIT License (MIT)", "ISC": "ISC License", "BSD-3-Clause": "BSD 3-Clause License", "BSD-2-Clause": 'BSD 2-Clause "Simplified" License', "Zlib": "zlib License", "Apache-2.0": "Apache License, Version 2.0, January 2004"}
+    files = {k: f"{t}\n\nCopyright (c) 2019-2024, A. B.\nAll rights reserved.\n\n{wrapped(body[k])}\n" for k, t in named.items()}
+    readme = f"# A tool\n\nIt does things.\n\n## License\n\nMIT License\n\nCopyright 2020 C\n\n{wrapped(body['MIT'], 50)}\n\n## Thanks\n\nTo all."
+    broken = wrapped(body["MIT"]).replace("\n\n", "\n\nSomething else.\n\n", 1)
+    notice = "/*\n * " + wrapped(body["Apache-2.0"], 60).replace("\n", "\n * ") + "\n */\n\nint main() {}"
+    rows = sorted(licenses.scan(documents([*files.values(), readme, broken, notice, "MIT License", "Licensed under the MIT License."])).collect())
+    n = len(files)
+    assert [r.license for r in rows[:n]] == list(files) and all(k in r.notices for k, r in zip(files, rows))
+    assert rows[n].license is None and rows[n].notices == ["MIT"] and rows[n + 1].notices == [] and rows[n + 2].notices == ["Apache-2.0"]
+    assert rows[n + 3].license is None and rows[n + 4].license == "MIT"
+    full = [(p.rsplit("/")[-1], open(p).read()) for p in sorted(glob.glob("/usr/share/common-licenses/*-[0-9]*"))[:6]]
+    if full:
+        known = spark.createDataFrame(full, "license string, text string")
+        got = sorted(licenses.scan(documents([t for _, t in full] + ["Intro.\n\n" + t for _, t in full]), known).collect())
+        assert [r.license for r in got[: len(full)]] == [k for k, _ in full] and [r.notices for r in got[len(full) :]] == [[k] for k, _ in full]
+
+
 # Quality
 
 
@@ -231,6 +255,17 @@ def test_changed_passages_against_an_exhaustive_search(spark, documents):
     assert all(exhaustive(texts[k], items[i]) >= decontamination.HALF for k, i in got)
 
 
+def test_short_passages_are_mentions(spark, documents):
+    """They delete no document, unless they stand by themselves and have three words at least."""
+    bench = spark.createDataFrame([(1, "the"), (2, "Rain falls"), (3, "Yes"), (4, "it is the case"), (5, prose(5, 20))], "item_id long, text string")
+    texts = ["The rain falls on it.", "yes", "Yes", "We say: it is the case again.", "A start. It is the case! An end.", "x\nit is the case\ny", "before " + prose(5, 20) + " after"]
+    found = decontamination.find_leaks(documents(texts), bench).collect()
+    rows = {r.doc_id: {(x.item_id, x.mention) for x in r.leaks} for r in found}
+    assert rows[0] == {(1, True), (2, True)} and rows[1] == rows[2] == {(3, True)} and (4, True) in rows[3]
+    assert (4, False) in rows[4] and (4, False) in rows[5] and (5, False) in rows[6]
+    assert {r.doc_id for r in decontamination.decontaminate(documents(texts), bench).collect()} == {0, 1, 2, 3}
+
+
 def test_decontamination_of_empty_tables(spark, empty):
     bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
     assert decontamination.find_leaks(empty, bench).count() == decontamination.decontaminate(empty, bench.limit(0)).count() == 0

@@ -11,6 +11,10 @@ copies are found as well as verbatim ones, and windows that only share a topic a
 row in common with a passage (all words of a shorter one) are verified too, whatever their vectors say, so no verbatim copy
 depends on the space: neither one of frequent words nor one of a passage whose vector there is 0.
 
+A passage of fewer than GRAM words says little: its words may come together by chance. It is a leak where it stands as a whole
+sentence or line of the text, and a mention elsewhere; one of fewer than LEAST words is a mention always. Mentions
+are listed, but no document goes for them.
+
 The executors get the space (FEATURES x RANK numbers at most) and PASSAGES passages at a time, however large the
 benchmark is; texts are scanned once for each such block and never shuffled.
 
@@ -30,7 +34,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tracklight.llm.common import add_columns, fresh, map_rows
 
@@ -48,9 +52,12 @@ NEAR_SPACE, ALL, HALF, ANSWER = 0.5, 0.75, 0.5, 0.8
 COMMON, FREQUENT = 0.1, 0.25
 #: Words in a row that make a place a candidate.
 GRAM = 8
+#: Words that a passage must have to be a leak.
+LEAST = 3
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SEED = 7
 WORD = re.compile(r"\w+")
+SENTENCE, LINE = re.compile(r"[.!?\n]+"), re.compile(r"\n+")
 
 
 def words(text: str) -> list[str]:
@@ -274,6 +281,10 @@ class Finder:
     def leaks(self, text: str) -> list[dict]:
         return self.each([text])[0]
 
+    def _stands(self, text: str) -> set[tuple[str, ...]]:
+        """The sentences and lines of a text, as words."""
+        return {tuple(words(x)) for split in (SENTENCE, LINE) for x in split.split(text)}
+
     def each(self, texts: list[str]) -> list[list[dict]]:
         """For each text, item_id, the cosine as a share of a verbatim copy's, and the common subsequence, of each passage in it, once."""
         found = [words(t) for t in texts]
@@ -282,11 +293,11 @@ class Finder:
         for k, w in enumerate(found):
             held += len(w)
             if held >= PART or k == len(found) - 1:
-                out += self._part(found[start : k + 1])
+                out += self._part(found[start : k + 1], texts[start : k + 1])
                 start, held = k + 1, 0
         return out
 
-    def _part(self, found: list[list[str]]) -> list[list[dict]]:
+    def _part(self, found: list[list[str]], texts: list[str]) -> list[list[dict]]:
         sizes = np.array([len(w) for w in found])
         best: list[dict[int, tuple[float, float | None]]] = [{} for _ in found]
         if sizes.sum() and self.items.ids:
@@ -295,14 +306,17 @@ class Finder:
             self._look_up(found, np.cumsum(sizes), codes, best)
             if self.items.groups:
                 self._windows(found, sizes, (codes & np.uint64(FEATURES - 1)).astype(np.int64), best)
-        return [self._named(b) for b in best]
+        return [self._named(b, t) for b, t in zip(best, texts, strict=True)]
 
-    def _named(self, best: dict[int, tuple[float, float | None]]) -> list[dict]:
+    def _named(self, best: dict[int, tuple[float, float | None]], text: str) -> list[dict]:
         out: dict[int | None, dict] = {}
+        stands = self._stands(text) if any(LEAST <= len(self.items.words[i]) < GRAM for i in best) else set()
         for i, (common, share) in best.items():
+            own = self.items.words[i]
+            mention = len(own) < LEAST or len(own) < GRAM and tuple(own) not in stands
             for item_id in self.items.ids[i]:
-                if item_id not in out or out[item_id]["common"] < common:
-                    out[item_id] = {"item_id": item_id, "share": share, "common": common}
+                if item_id not in out or (not out[item_id]["mention"], out[item_id]["common"]) < (not mention, common):
+                    out[item_id] = {"item_id": item_id, "share": share, "common": common, "mention": mention}
         return [out[k] for k in sorted(out, key=lambda k: (k is None, k or 0))]
 
     def _look_up(self, found: list[list[str]], ends: np.ndarray, codes: np.ndarray, best: list[dict]) -> None:
@@ -386,11 +400,11 @@ class Finder:
                 best[i] = max(common, held), share
 
 
-LEAK = StructType([StructField("item_id", LongType()), StructField("share", DoubleType()), StructField("common", DoubleType())])
+LEAK = StructType([StructField("item_id", LongType()), StructField("share", DoubleType()), StructField("common", DoubleType()), StructField("mention", BooleanType())])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = PASSAGES, column: str = "leaks") -> DataFrame:
-    """Adds leaks (or another column), an array of struct(item_id, share, common): the benchmark passages that the text holds. share is null for those found by words in a row only."""
+    """Adds leaks (or another column), an array of struct(item_id, share, common, mention): the benchmark passages that the text holds. share is null for those found by words in a row only; mention is true for short ones that are no leak."""
     named = benchmark.where("length(text) > 0").select(F.col("item_id").cast("long").alias("item_id"), "text")
     passages = named.groupBy("text").agg(F.collect_set("item_id").alias("item_ids"), F.max(F.col("item_id").isNull()).alias("unnamed"))
     space = latent_space(passages)
@@ -411,14 +425,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = PASSAGES, col
     if n > 1:
         out = out.withColumn(column, F.concat(*[f"`{x}`" for x in names])).drop(*names[1:])
         # the texts of one item_id may lie in several blocks
-        ordered = F.array_sort(F.transform(column, lambda x: F.struct(x.item_id.isNull().alias("unnamed"), x.item_id.alias("item_id"), (-x.common).alias("less"), x.share.alias("share"), x.common.alias("common"))))
+        ordered = F.array_sort(F.transform(column, lambda x: F.struct(x.item_id.isNull().alias("unnamed"), x.item_id.alias("item_id"), x.mention.alias("mention"), (-x.common).alias("less"), x.share.alias("share"), x.common.alias("common"))))
         out = out.withColumn(column, ordered)
         first = F.filter(column, lambda x, k: (k == 0) | ~x.item_id.eqNullSafe(F.get(f"`{column}`", k - 1).item_id))
-        out = out.withColumn(column, F.transform(first, lambda x: F.struct(x.item_id.alias("item_id"), x.share.alias("share"), x.common.alias("common"))))
+        out = out.withColumn(column, F.transform(first, lambda x: F.struct(x.item_id.alias("item_id"), x.share.alias("share"), x.common.alias("common"), x.mention.alias("mention"))))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a leak."""
+    """The rows of docs without a leak; mentions stay."""
     column = fresh(docs, "leaks")
-    return find_leaks(docs, benchmark, column=column).where(F.size(column) == 0).select(*[f"`{c}`" for c in docs.columns])
+    return find_leaks(docs, benchmark, column=column).where(~F.exists(column, lambda x: ~x.mention)).select(*[f"`{c}`" for c in docs.columns])

@@ -1,13 +1,15 @@
 """Licence scans by canonical digest lookup.
 
-A text is brought to a canonical form (lower case, equivalent spellings, copyright lines out, everything but letters, marks,
-digits and line ends to single spaces) and hashed whole; digests are joined with those of known licence texts. Each line
-is looked up in the same way, so that a notice that stands alone on its line is found as well. The list of known texts is a
-parameter of any length: a document's digests meet it in one join, broadcast up to MOST_KNOWN entries, which is checked, and
-shuffled beyond that, where adaptive execution splits lines that many documents have.
-
-Null texts count as empty; texts without letters or digits match nothing; repeated rows give repeated results; extra
-columns are dropped. Licences come in alphabetical order, without repeats.
+A text is brought to a canonical form (lower case, equivalent spellings, copyright lines and licences' titles out, everything but
+letters, marks, digits and line ends to single spaces) and hashed whole; digests are joined with those of known licence texts. Each
+line is looked up in the same way, and each paragraph (what blank lines part): all paragraphs of a known text in a row are that
+text, wherever they stand, however their lines are wrapped. The known texts are a parameter, a list or a table of any size: a
+document's digests meet them in one join, broadcast up to MOST_KNOWN entries, which is counted, and shuffled beyond that, where
+adaptive execution splits lines that many documents have.
+
+Null texts count as empty; texts without letters or digits match nothing, and known ones without are left out; very long texts
+are looked up whole, by all of their lines and paragraphs; repeated rows give repeated results; an empty table gives no rows, and
+without known texts nothing is found; extra columns are dropped. Licences come in alphabetical order, without repeats.
 """
 
 from __future__ import annotations
@@ -23,8 +25,13 @@ SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"), ("authorised", "authorized"),
     ("merchantibility", "merchantability"), ("whilst", "while"), ("favour", "favor"), ("http://", "https://"), ("&", " and "), ("©", "(c)"),
 )
-#: A line that starts with a claim: "copyright", "(c)" or "all rights reserved" as the notice itself, not as a word of the terms.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|all rights reserved)[^\n]*$"
+#: Words of the terms that a wrapped line may start with, fixed values; KEPT takes the place of "copyright" there until claims are out.
+WRAPPED_LINE = r"(?m)^([^\p{L}\p{N}\n]*)copyright +(notices?|holders?|owners?|laws?|interest|licenses?|statements?|and|or|in|to|of|treaty|permission)\b"
+KEPT = "zz9copyright"
+#: A line that starts with a claim: "copyright", "(c)" and a year, or "all rights reserved" as the notice itself, not as a word of the terms.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\) *([0-9]{4}|copyright)|all rights reserved)[^\n]*$"
+#: A line that is the title of a licence and nothing else, with or without version and year. Names are fixed values.
+TITLE_LINE = r"(?m)^[^\p{L}\p{N}\n]*(the +)?((new|simplified|revised|modified|[0-4]-clause|zero-clause) +)?(mit|isc|bsd|zlib|zlib/libpng|apache|mozilla public|boost software|gnu( lesser| affero)? general public|eclipse public)( +[0-4]-clause)?( +\"[a-z]+\")? +license( *\([^()\n]{1,30}\))?([ ,-]+version +[0-9.]+)?([ ,-]+[a-z0-9 ,]{0,20}[0-9]{4})?[^\p{L}\p{N}\n]*$"
 #: What is no part of the canonical form.
 OTHER = r"[^\p{L}\p{M}\p{N}\n]+"
 
@@ -61,7 +68,9 @@ def canonical_lines(text: Column) -> Column:
     out = F.lower(text)
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "")
+    out = F.regexp_replace(out, WRAPPED_LINE, f"$1{KEPT} $2")
+    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, ""), TITLE_LINE, "")
+    out = F.replace(out, F.lit(KEPT), F.lit("copyright"))
     return F.regexp_replace(out, OTHER, " ")
 
 
@@ -69,28 +78,47 @@ def canonical_whole(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
+def paragraphs(lines: Column) -> Column:
+    """The paragraphs of a canonical form, in order, each in one line."""
+    return F.filter(F.transform(F.split(lines, r"\n *\n"), canonical_whole), lambda x: x != "")
+
+
 def _digest(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def known_digests(spark, known=KNOWN) -> DataFrame:
-    """digest and licenses (in order) of each different known text; texts without letters or digits are none."""
-    rows = spark.createDataFrame([(str(k), str(t)) for k, t in known], "license string, text string")
-    whole = rows.select("license", canonical_whole(canonical_lines(F.col("text"))).alias("text")).where("text != ''")
-    return whole.groupBy(_digest(F.col("text")).alias("digest")).agg(F.array_sort(F.collect_set("license")).alias("licenses"))
+def known_digests(known: DataFrame) -> DataFrame:
+    """For the digest of each different known text licenses (in order), and for that of each paragraph (part) the places where it stands: the text, its number there and how many there are."""
+    forms = known.select("license", canonical_lines(F.col("text")).alias("form")).withColumn("text", canonical_whole(F.col("form"))).where("text != ''")
+    texts = forms.withColumn("digest", _digest(F.col("text"))).groupBy("digest").agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.min_by("form", "form").alias("form"))
+    parts = texts.select(F.col("digest").alias("whole"), "licenses", F.posexplode(paragraphs(F.col("form"))).alias("at", "part"), F.size(paragraphs(F.col("form"))).alias("of"))
+    placed = parts.groupBy(_digest(F.col("part")).alias("digest")).agg(F.collect_list(F.struct("whole", "at", "of", "licenses")).alias("places"))
+    none = F.lit(None)
+    whole = texts.select("digest", F.lit(False).alias("part"), "licenses", none.cast(placed.schema["places"].dataType).alias("places"))
+    return whole.unionByName(placed.select("digest", F.lit(True).alias("part"), none.cast("array<string>").alias("licenses"), "places"))
 
 
 def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
-    """doc_id, digest (of the whole canonical text), license (of the whole text, or null; the first of several) and notices (of its lines)."""
-    table = known_digests(docs.sparkSession, known)
-    if len(known) <= MOST_KNOWN:
+    """doc_id, digest (of the whole canonical text), license (of the whole text, or null; the first of several) and notices (of its lines and of its paragraphs in a row). known: pairs of licence and text, or a table of these columns."""
+    spark = docs.sparkSession
+    if not isinstance(known, DataFrame):
+        known = spark.createDataFrame([(str(k), str(t)) for k, t in known], "license string, text string")
+    table = known_digests(known)
+    if known.count() <= MOST_KNOWN:
         table = F.broadcast(table)
     lines = F.array_distinct(F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     form = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical_lines(as_text(F.col("text"))).alias("form"))
-    whole = form.select("row", "doc_id", _digest(canonical_whole(F.col("form"))).alias("whole"), lines.alias("lines"))
-    looked_up = F.transform("lines", lambda x: F.struct(_digest(x).alias("digest"), F.lit(False).alias("is_whole")))
-    keys = whole.select("row", "doc_id", "whole", F.explode(F.concat(F.array(F.struct(F.col("whole").alias("digest"), F.lit(True).alias("is_whole"))), looked_up)).alias("key"))
-    # lines that are nobody's notice end here, so that about one row for each document is shuffled
-    hits = keys.select("row", "doc_id", "whole", "key.*").join(table, "digest", "left").where("is_whole or licenses is not null").groupBy("row", "doc_id", "whole")
-    found = hits.agg(F.first(F.when(F.col("is_whole"), F.get("licenses", F.lit(0))), ignorenulls=True).alias("license"), F.collect_set(F.when(~F.col("is_whole"), F.col("licenses"))).alias("sets"))
-    return found.select("doc_id", F.col("whole").alias("digest"), "license", F.array_sort(F.array_distinct(F.flatten("sets"))).alias("notices"))
+    whole = form.select("row", "doc_id", _digest(canonical_whole(F.col("form"))).alias("whole"), lines.alias("lines"), paragraphs(F.col("form")).alias("parts"))
+    key = lambda digest, kind, at: F.struct(digest.alias("digest"), (F.lit(kind) == 2).alias("part"), F.lit(kind).alias("kind"), at.alias("place"))
+    keys = F.concat(F.array(key(F.col("whole"), 0, F.lit(0))), F.transform("lines", lambda x: key(_digest(x), 1, F.lit(0))), F.transform("parts", lambda x, k: key(_digest(x), 2, k)))
+    # lines and paragraphs that are nobody's notice end here, so that about one row for each document is shuffled
+    met = whole.select("row", "doc_id", "whole", F.explode(keys).alias("key")).select("row", "doc_id", "whole", "key.*").join(table, ["digest", "part"], "left")
+    met = met.where("kind = 0 or licenses is not null or places is not null")
+    hits = met.select("row", "doc_id", "whole", "kind", "place", "licenses", F.explode_outer("places").alias("known"))
+    # paragraphs in a row of one text have one start
+    runs = hits.groupBy("row", "doc_id", "whole", "kind", F.col("known.whole").alias("text"), (F.col("place") - F.col("known.at")).alias("start")).agg(
+        F.first("known.of").alias("of"), F.count_distinct("known.at").alias("n"), F.first("known.licenses").alias("own"), F.collect_set("licenses").alias("sets")
+    )
+    found = F.when((F.col("kind") == 2) & (F.col("n") == F.col("of")), F.col("own")).when(F.col("kind") == 1, F.flatten("sets"))
+    out = runs.groupBy("row", "doc_id", "whole").agg(F.first(F.when(F.col("kind") == 0, F.get(F.flatten("sets"), F.lit(0))), ignorenulls=True).alias("license"), F.collect_set(found).alias("sets"))
+    return out.select("doc_id", F.col("whole").alias("digest"), "license", F.array_sort(F.array_distinct(F.flatten("sets"))).alias("notices"))

@@ -54,7 +54,9 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from tracklight.llm import decontamination
 
     found = decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", (F.size("leaks") > 0).alias("leaked"), F.col("leaks.item_id").alias("items"))
+    sure = F.filter("leaks", lambda x: ~x.mention)
+    mentioned = F.filter("leaks", lambda x: x.mention)
+    return found.select("doc_id", (F.size(sure) > 0).alias("leaked"), F.transform(sure, lambda x: x.item_id).alias("items"), F.transform(mentioned, lambda x: x.item_id).alias("mentions"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +104,7 @@ QUERIES = {
 
 
 def license_sql() -> str:
-    """The canonical form, whole and by line, and the lookup of its digest, in the other engine's SQL."""
+    """The canonical form, whole, by line and by paragraph, and the lookup of its digests, in the other engine's SQL."""
     from tracklight.llm import licenses
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -111,15 +113,25 @@ def license_sql() -> str:
         out = f"lower({text})"
         for old, new in licenses.SPELLINGS:
             out = f"replace({out}, {quoted(old)}, {quoted(new)})"
-        return f"regexp_replace(regexp_replace({out}, {quoted(licenses.COPYRIGHT_LINE)}, '', 'g'), {quoted(licenses.OTHER)}, ' ', 'g')"
+        out = f"regexp_replace({out}, {quoted(licenses.WRAPPED_LINE)}, {quoted(chr(92) + '1' + licenses.KEPT + ' ' + chr(92) + '2')}, 'g')"
+        for line in (licenses.COPYRIGHT_LINE, licenses.TITLE_LINE):
+            out = f"regexp_replace({out}, {quoted(line)}, '', 'g')"
+        return f"regexp_replace(replace({out}, {quoted(licenses.KEPT)}, 'copyright'), {quoted(licenses.OTHER)}, ' ', 'g')"
 
-    whole = lambda f: f"md5(trim(regexp_replace({f}, '[ \\n]+', ' ', 'g')))"
+    one_line = lambda f: f"trim(regexp_replace({f}, '[ \\n]+', ' ', 'g'))"
+    parts = lambda f: f"list_filter(list_transform(regexp_split_to_array({f}, '\\n *\\n'), lambda x: {one_line('x')}), lambda x: x <> '')"
     known = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in licenses.KNOWN)
-    return f"""with known as (select distinct {whole(form("text"))} as digest, license from (values {known}) v(license, text)),
+    return f"""with known as (select license, {form("text")} as form from (values {known}) v(license, text)),
+        texts as (select md5({one_line("form")}) as digest, min(form) as form from known where {one_line("form")} <> '' group by 1),
+        names as (select distinct md5({one_line("form")}) as digest, license from known),
+        pieces as (select digest as whole, len(p) as n, i as at, md5(p[i]) as digest from (select digest, p, unnest(range(1, len(p) + 1)) as i from (select digest, {parts("form")} as p from texts) a) b),
         forms as (select doc_id, row_number() over () as r, {form("coalesce(text, '')")} as form from documents),
         lines as (select distinct r, md5(line) as digest from (select r, trim(unnest(string_split(form, chr(10)))) as line from forms) z where line <> ''),
-        found as (select l.r, string_agg(distinct k.license, ',' order by k.license) as notices from lines l join known k on k.digest = l.digest group by l.r)
-        select f.doc_id, {whole("f.form")} as digest, (select min(license) from known k where k.digest = {whole("f.form")}) as license, coalesce(n.notices, '') as notices
+        own as (select r, i as at, md5(p[i]) as digest from (select r, p, unnest(range(1, len(p) + 1)) as i from (select r, {parts("form")} as p from forms) a) b),
+        runs as (select o.r, p.whole from own o join pieces p on p.digest = o.digest group by o.r, p.whole, o.at - p.at having count(distinct p.at) = any_value(p.n)),
+        hits as (select r, digest from lines union select r, whole from runs),
+        found as (select h.r, string_agg(distinct k.license, ',' order by k.license) as notices from hits h join names k on k.digest = h.digest group by h.r)
+        select f.doc_id, md5({one_line("f.form")}) as digest, (select min(license) from names k where k.digest = md5({one_line("f.form")})) as license, coalesce(n.notices, '') as notices
         from forms f left join found n on n.r = f.r"""
 
 
