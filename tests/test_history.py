@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tracklight.functions import text
 from tracklight.operators import diff as D
 from tracklight.operators import matching
 from tracklight.operators import projection as P
-from tracklight.sources import imports
+from tracklight.sources import imports, scratch
 from tracklight.streaming import polling
 from tracklight.streaming import projection as S
 
@@ -214,7 +215,7 @@ def test_stream_equals_rebuild(spark, tmp_path):
         S.start(spark, f"{tmp_path}/in", df.schema, f"{tmp_path}/ledger", f"{tmp_path}/plays", f"{tmp_path}/cp").awaitTermination(60)
     S.rebuild(df, f"{tmp_path}/whole")
     columns = ["play", "track_id", "played_at", "ms_played"]
-    got, want = ({tuple(r) for r in spark.read.parquet(f"{tmp_path}/{n}").select(*columns).collect()} for n in ("plays", "whole"))
+    got, want = ({tuple(r) for r in S.read_plays(spark, f"{tmp_path}/{n}").select(*columns).collect()} for n in ("plays", "whole"))
     assert got == want
 
 
@@ -421,7 +422,7 @@ def stream(spark, tmp_path, batches):
         everything += rows
         S.apply_batch(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/ledger", f"{tmp_path}/plays", k)
     columns = ["play", "track_id", "played_at", "ms_played", "anchor_us"]
-    got = spark.read.parquet(f"{tmp_path}/plays").select(*columns, F.col("day").cast("string"))
+    got = S.read_plays(spark, f"{tmp_path}/plays").select(*columns, F.col("day").cast("string"))
     want = P.project(spark.createDataFrame(everything, SCHEMA)).select(*columns, F.to_date(F.timestamp_micros("anchor_us")).cast("string"))
     return sorted(map(tuple, got.collect())), sorted(map(tuple, want.collect()))
 
@@ -449,9 +450,58 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     rows = [seen(1, 1, "23:50:00", 1), seen(2, 2, "12:00:00", 2)]
     got, want = stream(spark, tmp_path, [rows, [seen(3, 2, "13:00:00", 3)]])
     S.apply_batch(spark.createDataFrame([seen(3, 2, "13:00:00", 3)], SCHEMA), f"{tmp_path}/ledger", f"{tmp_path}/plays", 1)
-    assert got == want and spark.read.parquet(f"{tmp_path}/plays").count() == 3 and spark.read.parquet(f"{tmp_path}/ledger").count() == 3
+    assert got == want and S.read_plays(spark, f"{tmp_path}/plays").count() == 3 and spark.read.parquet(f"{tmp_path}/ledger").count() == 3
 
 
 def test_unresolved_tracks_are_no_common_track(spark):
     rows = [seen(1, 1, "10:00:00", 1)[:-1] + (None,), seen(2, 1, "10:00:05", 2, EXPORT, 0)[:-1] + (None,)]
     assert P.project(spark.createDataFrame(rows, SCHEMA)).count() == 2
+
+
+def test_readers_see_a_batch_whole_or_not(spark, tmp_path, monkeypatch):
+    """A batch that breaks off before its commit changes nothing, and leaves no tables of its own; running it again does."""
+    plays, ledger = f"{tmp_path}/plays", f"{tmp_path}/ledger"
+    df = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    assert S.read_plays(spark, plays).count() == 0
+    S.apply_batch(df(seen(1, 1, "10:00:00", 1), seen(2, 2, "10:00:00", 2)), ledger, plays, 0)
+    before, second = S.read_plays(spark, plays).cache(), df(seen(3, 2, "11:00:00", 3))
+    own, folders = S._commit, lambda: {p.name for p in Path(scratch.shared_folder(spark)).glob("tracklight-*")}
+    there = folders()
+    monkeypatch.setattr(S, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        S.apply_batch(second, ledger, plays, 1)
+    assert S.read_plays(spark, plays).count() == before.count() == 2 and folders() == there
+    monkeypatch.setattr(S, "_commit", own)
+    S.apply_batch(second, ledger, plays, 1)
+    assert {r.play for r in S.read_plays(spark, plays).collect()} == {1, 2, 3} and folders() == there
+    S.apply_batch(df(seen(4, 1, "12:00:00", 4)), ledger, plays, 2)
+    versions = {p.name for p in (tmp_path / "plays" / "data").glob("version=*/day=*")}
+    assert S.read_plays(spark, plays).count() == 4 and versions == {"day=2024-01-01", "day=2024-01-02"}
+
+
+def test_an_import_goes_on_where_it_broke_off(spark, tmp_path):
+    rows = [seen(k, 1 + k % 3, f"{10 + k % 9}:00:00", k) for k in range(1, 25)]
+    obs = spark.createDataFrame(rows, SCHEMA).withColumn("connector", F.col("service"))
+    asked = []
+
+    def resolver(most, known):
+        def resolve(ids):
+            if most is not None and len(asked) >= most:
+                raise OSError("the service is gone")
+            asked.append({r.track_identifier for r in ids.collect()})
+            return ids.where(F.substring("track_identifier", 2, 9).cast("int") <= known).withColumn("resolved_track_id", F.substring("track_identifier", 2, 9).cast("long"))
+
+        return resolve
+
+    ledger, plays = f"{tmp_path}/ledger", f"{tmp_path}/plays"
+    with pytest.raises(OSError):
+        imports.two_phase(obs, resolver(2, 20), ledger, plays, 0, chunk=5)
+    assert S.read_plays(spark, plays).count() == 0 and len(asked) == 2
+    first = imports.two_phase(obs, resolver(None, 20), ledger, plays, 0, chunk=5)
+    assert first == {"observations": 24, "resolved": 20, "unresolved": 4} and sum(map(len, asked)) == 24 == len(set().union(*asked))
+    assert imports.two_phase(obs, resolver(None, 20), ledger, plays, 0, chunk=5) == first and S.read_plays(spark, plays).count() == 20
+    asked.clear()
+    more = spark.createDataFrame([seen(99, 2, "23:00:00", 99)], SCHEMA).withColumn("connector", F.col("service"))
+    second = imports.two_phase(more, resolver(None, 23), ledger, plays, 1, chunk=5)
+    assert second == {"observations": 1, "resolved": 3, "unresolved": 2} and set().union(*asked) == {"t21", "t22", "t23", "t24", "t99"}
+    assert {r.track_id for r in S.read_plays(spark, plays).collect()} == set(range(1, 24))

@@ -158,3 +158,25 @@ def decode_cursor(text: str) -> Cursor:
     if not isinstance(column, str) or isinstance(value, (dict, list)) or not isinstance(id, (int, str)):
         raise ValueError(f"not a cursor: {text!r}")
     return Cursor(column, value, id)
+
+
+def encode_cursors(column: str, value: Column, id: Column) -> Column:
+    """The cursor of each row, as encode_cursor writes it."""
+    own = lambda x: F.coalesce(F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'^\{"x":(.*)\}$', 1), F.lit(""))
+    said = lambda x: F.when(own(x) == "", "null").otherwise(own(x))
+    text = F.concat(F.lit(f'{{"c": {json.dumps(column)}, "v": '), said(value), F.lit(', "id": '), said(id), F.lit("}"))
+    return F.translate(F.base64(text.cast("binary")), "+/", "-_")
+
+
+def decode_cursors(text: Column) -> Column:
+    """A struct of column, value and id (texts), or null for a malformed cursor, wrong types included."""
+    raw = F.try_parse_json(F.try_to_binary(F.translate(text, "-_", "+/"), F.lit("base64")).cast("string"))
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(raw, f"$.{k}", "variant"))
+    good = (kind("c") == "STRING") & kind("id").isin("STRING", "BIGINT") & kind("v").isNotNull() & ~kind("v").rlike("^(ARRAY|OBJECT)")
+    got = lambda k: F.try_variant_get(raw, f"$.{k}", "string")
+    return F.when(F.coalesce(good, F.lit(False)), F.struct(got("c").alias("column"), got("v").alias("value"), got("id").alias("id")))
+
+
+def config_digests(config: Column) -> Column:
+    """12 hex digits that change with any setting of a JSON object and not with its order."""
+    return F.substring(F.sha2(F.to_json(F.parse_json(config)).cast("binary"), 256), 1, 12)

@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklight.functions.scalars import Cursor, decode_cursor, encode_cursor, seconds_between, tag_namespace
+from tracklight.functions.scalars import Cursor, decode_cursor, encode_cursor, micros, seconds_between, tag_namespace
+from tracklight.sources.scratch import Scope
 
 # Listing
 
@@ -262,18 +263,23 @@ def unsynced_likes(likes: DataFrame, source: str, target: str, is_liked: bool =
     return own.join(there, "track_id", "left").where(F.col("_there").isNull() | (F.col("_there") != is_liked)).drop("_there")
 
 
-def supersession_chains(edges: DataFrame, depth: int = 32) -> DataFrame:
-    """Each mapping's chain of successors: mapping_id, hop (from 1) and successor. Each round follows all chains one step; cycles end at the depth."""
-    step = edges.where("superseded_by is not null").select("mapping_id", "superseded_by")
-    following = step.select(F.col("mapping_id").alias("_from"), F.col("superseded_by").alias("_to"))
-    frontier = step.select("mapping_id", F.lit(1).alias("hop"), F.col("superseded_by").alias("successor"))
-    out = frontier
-    for hop in range(2, depth + 1):
-        frontier = frontier.join(following, frontier.successor == following["_from"]).where("_to != mapping_id").select("mapping_id", F.lit(hop).alias("hop"), F.col("_to").alias("successor"))
-        if hop % 8 == 0 and frontier.isEmpty():
-            break
-        out = out.unionByName(frontier)
-    return out
+def supersession_chains(edges: DataFrame, depth: int = 32, scope: Scope | None = None) -> DataFrame:
+    """Each mapping's chain of successors: mapping_id, hop (from 1) and successor. A chain has depth mappings at most, its own included, and names each once: a cycle ends before its first repeat.
+
+    Paths double: in each round every path goes on with that of its last mapping, so a chain takes as many rounds as its length has bits.
+    """
+    scope = scope or Scope(edges.sparkSession)
+    step = edges.where("superseded_by is not null and superseded_by <> mapping_id").select("mapping_id", "superseded_by")
+    paths, reach = scope.written(step.select("mapping_id", F.array("superseded_by").alias("path"))), 1
+    while reach < depth - 1 and not paths.where(F.size("path") == reach).isEmpty():
+        further = paths.select(F.col("mapping_id").alias("_last"), F.col("path").alias("_more"))
+        both = paths.withColumn("_last", F.element_at("path", -1)).join(further, "_last", "left")
+        whole = F.concat(F.array("mapping_id"), "path", F.coalesce("_more", F.array().cast(paths.schema["path"].dataType)))
+        seen = both.withColumn("_whole", whole)
+        again = F.filter(F.sequence(F.lit(1), F.size("_whole")), lambda i: F.array_position("_whole", F.element_at("_whole", i)) < i)
+        end = F.least(F.coalesce(F.get(again, F.lit(0)) - 1, F.size("_whole")), F.lit(depth))
+        paths, reach = scope.written(seen.select("mapping_id", F.slice("_whole", F.lit(2), (end - 1).cast("int")).alias("path"))), 2 * reach
+    return paths.select("mapping_id", F.posexplode("path").alias("hop", "successor")).withColumn("hop", F.col("hop") + 1)
 
 
 def desired_preferences(items: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -308,6 +314,12 @@ def histogram_bucket(since: dt.datetime | None, until: dt.datetime | None) -> st
     return "day" if days <= 90 else "week" if days <= 730 else "month"
 
 
+def histogram_buckets(since: Column, until: Column) -> Column:
+    """histogram_bucket of ranges in columns."""
+    days = F.floor((micros(until) - micros(since)) / (86_400 * 1_000_000))
+    return F.when(days <= 90, "day").when(days <= 730, "week").otherwise("month")
+
+
 def adaptive_histogram(plays: DataFrame, since=None, until=None, **narrow) -> DataFrame:
     """A histogram whose buckets suit its range; an open range takes the plays' own."""
     if since is None or until is None:

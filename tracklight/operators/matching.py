@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +20,29 @@ def prepare(records: DataFrame) -> DataFrame:
     return own.join(titles, "title", "left").join(artists, "artist", "left")
 
 
+def _settled(df: DataFrame, columns: dict) -> DataFrame:
+    """Adds columns that are computed once: expressions over them don't contain theirs, which would grow beyond what Spark compiles."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def score(pairs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Adds similarities, levels, match_weight, confidence and zone to pairs with columns a_ and b_ of prepare's records, duration_ms and method."""
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
     present = lambda c: (a(c) != "") & (b(c) != "")
     title = F.when(present("title"), scoring.title_similarity(a("title"), b("title"), a("title_normalized"), b("title_normalized"), a("title_key"), b("title_key"), s))
     artist = F.when(present("artist"), scoring.artist_similarity(a("artist_normalized"), b("artist_normalized"), a("artist_key"), b("artist_key"), s))
-    out = pairs.withColumns({"title_similarity": title, "artist_similarity": artist, "duration_diff_ms": scoring.duration_difference(a("duration_ms"), b("duration_ms"))})
+    out = _settled(pairs, {"title_similarity": title, "artist_similarity": artist, "duration_diff_ms": scoring.duration_difference(a("duration_ms"), b("duration_ms"))})
     t, r = F.col("title_similarity"), F.col("artist_similarity")
     matched = F.coalesce(F.col("method").isin("isrc", "mbid"), F.lit(False))
     phonetic = (a("artist_key") == b("artist_key")) & (a("artist_key") != "") & (a("artist_normalized") != b("artist_normalized"))
-    out = out.withColumns(
+    out = _settled(
+        out,
         {
             "title_level": scoring.title_level(t, t == s.variation, t == s.phonetic, s),
             "artist_level": scoring.artist_level(r, F.coalesce(phonetic, F.lit(False)), s),
             "duration_level": scoring.duration_level(F.col("duration_diff_ms")),
             "isrc_level": scoring.isrc_level(matched, scoring.isrc_suspect(F.col("duration_diff_ms"))),
-        }
+        },
     )
     out = out.withColumn("match_weight", scoring.weight(F.col("title_level"), F.col("artist_level"), F.col("duration_level"), F.col("isrc_level")))
     out = out.withColumn("confidence", scoring.confidence(F.col("match_weight")))
@@ -90,3 +98,35 @@ def survivors(records: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("group_id").orderBy(isrc_year(F.col("isrc")).desc_nulls_last(), F.col("created_at").desc_nulls_last(), "id")
     return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("group_id", "id")
+
+
+def resolve_inward(requests: DataFrame, mapped: DataFrame, candidates: DataFrame, unwritten: DataFrame, held: DataFrame, create: Callable[[DataFrame], DataFrame], s: Settings = DEFAULT) -> DataFrame:
+    """id, track_id and outcome of each different identifier that is asked for: a cascade in which every step looks at what the ones before left.
+
+    existing: it has a live mapping (mapped: id, track_id). reused: the best of its canonical candidates is accepted by its
+    score (candidates: id, track_id, the a_ columns of prepare's canonical records, the b_ ones of what the service says, and method).
+    failed: such a mapping couldn't be written (unwritten: id); no second track is made for it. suppressed: the service said lately
+    that it knows nothing (held: id). created: what create gives a track_id for, of the identifiers (id) that are left;
+    the others failed. requests' id must be in the form that mapped has; null ones are left out.
+    """
+    ids = requests.where("id is not null").select("id").distinct()
+    existing = ids.join(mapped.groupBy("id").agg(F.min("track_id").alias("track_id")), "id").withColumn("outcome", F.lit("existing"))
+    missing = ids.join(existing.select("id"), "id", "left_anti")
+    scored = score(candidates.join(missing, "id", "left_semi"), s).where("zone = 'accept'")
+    # dealt by id before the aggregate, which would else be compiled together with the whole score
+    best = scored.select("id", "track_id", "confidence").repartition("id").groupBy("id").agg(F.min_by("track_id", F.struct(-F.col("confidence"), "track_id")).alias("track_id"))
+    lost = unwritten.select("id").distinct().withColumn("_lost", F.lit(True))
+    reused = best.join(lost, "id", "left").select("id", F.when(F.col("_lost").isNull(), F.col("track_id")).alias("track_id"), F.when(F.col("_lost").isNull(), "reused").otherwise("failed").alias("outcome"))
+    left = missing.join(reused.select("id"), "id", "left_anti")
+    suppressed = left.join(held.select("id").distinct(), "id", "left_semi").select("id", F.lit(None).cast(mapped.schema["track_id"].dataType).alias("track_id"), F.lit("suppressed").alias("outcome"))
+    asked = left.join(held.select("id").distinct(), "id", "left_anti")
+    made = asked.join(create(asked).select("id", "track_id"), "id", "left").select("id", "track_id", F.when(F.col("track_id").isNull(), "failed").otherwise("created").alias("outcome"))
+    return existing.unionByName(reused).unionByName(suppressed).unionByName(made)
+
+
+OUTCOMES = ("existing", "reused", "created", "suppressed", "failed")
+
+
+def outcome_counts(resolved: DataFrame) -> DataFrame:
+    """How many identifiers had each outcome, and all of them."""
+    return resolved.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES], F.count(F.lit(1)).alias("asked"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracklight.functions.scalars import draw, in_window, time_window
@@ -23,6 +24,11 @@ def metric_kind(name: str) -> str:
     return "attribute" if name in ATTRIBUTES else "history" if name in HISTORY else "external"
 
 
+def metric_kinds(name: Column) -> Column:
+    """metric_kind of names in a column."""
+    return F.when(name.isin([*ATTRIBUTES]), "attribute").when(name.isin([*HISTORY]), "history").otherwise("external")
+
+
 def by_metric(tracks: TrackList, name: str, reverse: bool = True) -> TrackList:
     """By a track's attribute, or by a metric with missing values last in either direction."""
     if metric_kind(name) == "attribute":

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklight.operators import combiners, enrichers, filters, selectors, sorters
@@ -325,3 +325,21 @@ def run_template(name: str, env: Env) -> TrackList:
     from tracklight.plans.templates import TEMPLATES
 
     return compile(parse(TEMPLATES[name]), env).final
+
+
+def lint(definition: Column | str) -> Column:
+    """The warnings of definitions (JSON) in a column, an array each; what can't be parsed is one warning."""
+    from pyspark.sql.functions import pandas_udf
+
+    def each(texts):
+        def one(text):
+            if text is None:
+                return []
+            try:
+                return warnings(parse(json.loads(text)))
+            except ValueError as e:
+                return [str(e)]
+
+        return texts.map(one)
+
+    return pandas_udf(each, "array<string>")(definition)

@@ -202,9 +202,9 @@ def gaps_sql(table: str, keys: str, id: str) -> str:
     return f"(select *, (epoch_us(played_at) - lag(epoch_us(played_at)) over (partition by {keys} order by played_at, {id})) / 1e6 as gap_s from {table}) g"
 
 
-@query("sqp_c1_gaps", f"select connector, count(gap_s) as gaps, count_if(gap_s <= 30) as le_30, count_if(gap_s <= 180) as le_180, count_if(gap_s <= 360) as le_360 from {gaps_sql('connector_plays', 'connector, identifier', 'id')} where gap_s is not null group by connector")
+@query("sqp_c1_gaps", f"select connector, count(gap_s) as gaps, count_if(gap_s <= 30) as le_30, count_if(gap_s <= 180) as le_180, count_if(gap_s <= 360) as le_360 from {gaps_sql('connector_plays', 'user_id, connector, identifier', 'id')} where gap_s is not null group by connector")
 def _(lib):
-    found = gaps(lib.connector_plays, ["connector", "identifier"], "id").groupBy("connector")
+    found = gaps(lib.connector_plays, ["user_id", "connector", "identifier"], "id").groupBy("connector")
     return found.agg(number().alias("gaps"), *[F.count_if(F.col("gap_s") <= s).alias(f"le_{s}") for s in (30, 180, 360)])
 
 
@@ -295,13 +295,13 @@ def excess(df: DataFrame, service: str, *keys: str) -> DataFrame:
 
 
 for name, table, service, key in (("sqp_e4_exact_duplicates", "track_plays", "service", "track_id"), ("sqp_e4b_ledger_duplicates", "connector_plays", "connector", "identifier")):
-    query(name, f"select {service}, count(*) as duplicates, sum(n - 1)::bigint as excess from (select {service}, count(*) as n from {table} group by {service}, {key}, played_at) g where n >= 2 group by {service}")(lambda lib, table=table, service=service, key=key: excess(getattr(lib, table), service, key, "played_at"))
+    query(name, f"select {service}, count(*) as duplicates, sum(n - 1)::bigint as excess from (select {service}, count(*) as n from {table} group by user_id, {service}, {key}, played_at) g where n >= 2 group by {service}")(lambda lib, table=table, service=service, key=key: excess(getattr(lib, table), service, "user_id", key, "played_at"))
 
 
-@query("sqp_e5_near_duplicates", f"select service, count_if(gap_s <= 30) as le_30, count_if(gap_s >= 31 and gap_s <= 180) as to_180 from {gaps_sql('track_plays', 'service, track_id', 'play_id')} where gap_s is not null group by service")
+@query("sqp_e5_near_duplicates", f"select service, count_if(gap_s <= 30) as le_30, count_if(gap_s >= 31 and gap_s <= 180) as to_180 from {gaps_sql('track_plays', 'user_id, service, track_id', 'play_id')} where gap_s is not null group by service")
 def _(lib):
     gap = F.col("gap_s")
-    return gaps(lib.track_plays, ["service", "track_id"], "play_id").groupBy("service").agg(F.count_if(gap <= 30).alias("le_30"), F.count_if(gap.between(31, 180)).alias("to_180"))
+    return gaps(lib.track_plays, ["user_id", "service", "track_id"], "play_id").groupBy("service").agg(F.count_if(gap <= 30).alias("le_30"), F.count_if(gap.between(31, 180)).alias("to_180"))
 
 
 @query("sqp_f1_json_keys", "select service, key, count(*) as n from (select service, unnest(json_keys(context)) as key from track_plays where play_id % 10 = 0) k group by all")

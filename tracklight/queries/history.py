@@ -222,13 +222,13 @@ def _(lib):
 def _(lib):
     """Three batches, each with observations of all days, leave the plays that a projection of everything has."""
     from tracklight.sources.scratch import folder
-    from tracklight.streaming.projection import apply_batch
+    from tracklight.streaming.projection import apply_batch, read_plays
 
     base, obs = folder(lib.spark), observations(lib)
     columns = ["play", "track_id", "played_at", "ms_played", "anchor_us"]
     for k in range(3):
         apply_batch(obs.where(F.pmod(F.hash("id"), F.lit(3)) == k), f"{base}/ledger", f"{base}/plays", k)
-    found = differences(P.project(obs).select(*columns), lib.spark.read.parquet(f"{base}/plays").select(*columns), "missing", "surplus")
+    found = differences(P.project(obs).select(*columns), read_plays(lib.spark, f"{base}/plays").select(*columns), "missing", "surplus")
     return found.select(F.col("missing").cast("int").alias("missing"), F.col("surplus").cast("int").alias("surplus"), F.lit(3).alias("batches"))
 
 
@@ -273,49 +273,70 @@ def _(lib):
     return new_rows(rows.where("play_id % 3 = 0"), rows.unionByName(rows.where("play_id % 5 = 0"))).select("play_id")
 
 
-@query("imp4_date_range", f"select TIMESTAMP '2024-01-01' as a, {T} as b, 5 as windows")
+ASKED = f"select user_id, case when user_id % 3 = 0 then min(played_at) end as asked_from, case when user_id % 4 = 0 then max(played_at) end as asked_to, case when user_id % 3 < 2 then {{middle}} end as checkpoint from plays group by user_id"
+
+
+@query("imp4_date_range", f"select user_id, a, b, greatest(0, ceil((epoch_us(b) - epoch_us(a)) / (7 * 86400000000.0)))::bigint as windows from (select user_id, coalesce(asked_from, checkpoint, {T} - interval 30 day) as a, coalesce(asked_to, {T}) as b from ({ASKED.format(middle="min(played_at) + interval 3 day")}) z) y")
 def _(lib):
-    from tracklight.sources.imports import date_range, windows
+    """What each user asked for, else from where the last import ended, else the last month; and in how many windows."""
+    from tracklight.sources.imports import date_ranges
+
+    return date_ranges(lib.sql(ASKED.format(middle="min(played_at) + interval 3 days")), NOW).select("user_id", F.col("since").alias("a"), F.col("until").alias("b"), "windows")
 
-    a, b = date_range(None, None, None, NOW)
-    return lib.spark.createDataFrame([(a, b, len(windows(a, b)))], "a timestamp_ntz, b timestamp_ntz, windows int")
 
 
 # Polling
 
 
-@query("str1_decisions", "select * from (values ('never', true, null), ('fresh', false, 'not_due'), ('demand', true, null), ('demand soon', false, 'recently_polled'), ('no scope', false, 'scope_missing')) t(name, polls, reason)")
+# States of polling, a row for each customer: how long ago a poll and another source's play were, in seconds.
+STATES = "select c_custkey as user_id, c_custkey % 5 as empty, case when c_custkey % 4 = 0 then 0 else c_custkey % 9 * 1000 end as interval_s, c_custkey % 7 = 0 as gap, case when c_custkey % 11 = 0 then null else c_custkey * 37 % 20000 end as polled_ago, case when c_custkey % 3 = 0 then c_custkey * 911 % 1000000 end as other_ago, c_custkey % 13 <> 0 as has_scope, case when c_custkey % 2 = 0 then 'demand' else 'schedule' end as trigger from customer"
+CAP = "case when other_ago <= 604800 then 86400 else 7200 end"
+LIVE_S = f"greatest(900, least(case when interval_s = 0 then 1800 else interval_s end, {CAP}))"
+
+
+def states(lib) -> DataFrame:
+    at = lambda c: F.timestamp_micros(F.unix_micros(F.lit(NOW).cast("timestamp")) - F.col(c) * 1_000_000).cast("timestamp_ntz")
+    return lib.sql(STATES).withColumns({"last_polled": at("polled_ago"), "other_seen": at("other_ago")})
+
+
+@query("str1_decisions", f"select user_id, reason is null as polls, reason from (select user_id, case when not has_scope then 'scope_missing' when trigger = 'demand' then case when polled_ago < 600 then 'recently_polled' end when polled_ago < {LIVE_S} then 'not_due' end as reason from ({STATES}) z) y")
 def _(lib):
-    s, ago = polling.State(), lambda m: NOW - dt.timedelta(minutes=m)
-    rows = [("never", *polling.decide(s, "schedule", NOW, None)), ("fresh", *polling.decide(s, "schedule", NOW, ago(29))), ("demand", *polling.decide(s, "demand", NOW, ago(11))), ("demand soon", *polling.decide(s, "demand", NOW, ago(9))), ("no scope", *polling.decide(s, "demand", NOW, None, False))]
-    return lib.spark.createDataFrame(rows, "name string, polls boolean, reason string")
+    return polling.decisions(states(lib), NOW).select("user_id", "polls", "reason")
+
 
 
-@query("str2_after_poll", "select * from (values ('full', 0, 900, true), ('near', 0, 900, false), ('new', 0, 1800, false), ('empty', 1, 3600, false), ('empty twice', 2, 7200, false), ('failed', 0, 1800, false)) t(name, misses, seconds, gap)")
+@query("str2_after_poll", f"""with p as (select *, user_id % 17 <> 0 as ok, user_id * 7 % 53 as seen, user_id % 6 as new, {CAP} as cap, {LIVE_S} as live from ({STATES}) z)
+  select user_id, case when ok and seen < 50 and seen < 30 and new = 0 then empty + 1 when ok then 0 else empty end as misses,
+    greatest(900, least(case when not ok then live when seen >= 50 then 900 when seen >= 30 then live // 2 when new > 0 then 1800 else least(1800 * 2 ^ (empty + 1), 86400) end, cap))::bigint as seconds,
+    case when not ok or seen >= 30 and seen < 50 then gap when seen >= 50 then true else false end as gap from p""")
 def _(lib):
-    step = lambda s, **k: polling.after_poll(s, "schedule", **({"ok": True, "seen": 1, "new": 0, "window": 50, "cap": polling.SOLE_CAP} | k))
-    s = polling.State()
-    states = {"full": step(s, seen=50), "near": step(s, seen=30), "new": step(s, new=1), "empty": step(s), "empty twice": step(step(s)), "failed": step(s, ok=False)}
-    return lib.spark.createDataFrame([(n, x.empty, x.interval, x.gap) for n, x in states.items()], "name string, misses int, seconds int, gap boolean")
+    """The states after a poll each, of a window of 50 plays."""
+    polls = states(lib).withColumns({"ok": F.expr("user_id % 17 <> 0"), "seen": F.expr("user_id * 7 % 53"), "new": F.expr("user_id % 6"), "resumed": F.lit(True)})
+    return polling.after_polls(polls, 50, NOW).select("user_id", F.col("empty").alias("misses"), F.col("interval_s").alias("seconds"), "gap")
 
 
-@query("str3_backoff", "select * from (values (0, 1800), (1, 3600), (3, 14400), (99, 86400)) t(misses, seconds)")
+
+@query("str3_backoff", "select o_orderkey, least(86400, 1800 * 2 ^ least(o_orderkey % 40, 30))::bigint as seconds from orders")
 def _(lib):
-    return lib.spark.createDataFrame([(n, polling.backoff(n)) for n in (0, 1, 3, 99)], "misses int, seconds int")
+    return lib.orders.select("o_orderkey", polling.backoffs(F.col("o_orderkey") % 40).alias("seconds"))
+
 
 
-@query("str5_health", "select 'healthy' as a, 'overdue' as b, true as c, true as d, false as e")
+@query("str5_health", f"select user_id, case when polled_ago <= 2 * {LIVE_S} then 'healthy' when polled_ago is not null then 'overdue' end as health from ({STATES}) z")
 def _(lib):
-    ago = lambda s: NOW - dt.timedelta(seconds=s)
-    row = (polling.health(NOW, ago(3600), 1800), polling.health(NOW, ago(3601), 1800), polling.health(NOW, None, 1) is None, polling.redundant(ago(7 * 86_400), NOW), polling.redundant(None, NOW))
-    return lib.spark.createDataFrame([row], "a string, b string, c boolean, d boolean, e boolean")
+    return polling.healths(states(lib), NOW).select("user_id", "health")
+
+
 
+PLANS = "select o_orderkey, o_orderdate as since, o_orderkey % 60 as minute, o_orderkey % 24 as hour, case when o_orderkey % 3 = 0 then o_orderkey % 7 end as day_of_week, case when o_orderkey % 5 = 0 then 15 + o_orderkey % 90 end as interval_minutes from orders"
 
-@query("str6_next_run", "select * from (values ('daily', TIMESTAMP '2024-03-10 07:30:00'), ('weekly', TIMESTAMP '2024-03-10 16:00:00'), ('interval', TIMESTAMP '2024-03-10 06:45:00')) t(name, moment)")
+
+@query("str6_next_run", f"select o_orderkey, case when interval_minutes is not null then date_trunc('minute', since + interval_minutes * interval 1 minute) else (select min(d) from (select date_trunc('day', since) + k * interval 1 day + hour * interval 1 hour + minute * interval 1 minute as d from range(9) r(k)) y where d > since and (day_of_week is null or dayofweek(d) = day_of_week)) end as moment from ({PLANS}) z")
 def _(lib):
-    now = dt.datetime(2024, 3, 10, 6, 30, 20, tzinfo=dt.UTC)
-    rows = [("daily", polling.next_run(now, 30, 7)), ("weekly", polling.next_run(now, 0, 12, 0, timezone="America/New_York")), ("interval", polling.next_run(now, interval_minutes=15))]
-    return lib.spark.createDataFrame([(n, t.replace(tzinfo=None)) for n, t in rows], "name string, moment timestamp_ntz")
+    """Of each order's schedule the first run after its date: daily, on a weekday, or every so many minutes."""
+    plans = lib.sql(PLANS).withColumns({"since": F.col("since").cast("timestamp_ntz"), "timezone": F.lit("UTC")})
+    return polling.next_runs(plans).select("o_orderkey", F.col("next_run").alias("moment"))
+
 
 
 # Differences of lists
@@ -427,10 +448,13 @@ def _(lib):
     return D.sync_plan(*pair_of_lists(lib))
 
 
-@query("dif12_flagged", "select * from (values (0, 0, false), (5, 5, true), (11, 20, true), (10, 19, false), (11, 22, false)) t(removed, total, flagged)")
+@query("dif12_flagged", f"{LISTS}, n as (select c.playlist_id, count(*) as total, count(*) filter (where t.turn is null) as removed from c left join t on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn group by 1) select playlist_id, removed, total, case when total = 0 then false when removed >= total then true else removed / total > 0.5 and removed > 10 end as flagged from n")
 def _(lib):
-    rows = lib.spark.createDataFrame([(0, 0), (5, 5), (11, 20), (10, 19), (11, 22)], "removed int, total int")
-    return rows.select("removed", "total", D.flagged(F.col("removed"), F.col("total")).alias("flagged"))
+    current, target = pair_of_lists(lib)
+    gone = D.removals(current, target).groupBy("playlist_id").agg(F.count(F.lit(1)).alias("removed"))
+    totals = current.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("total")).join(gone, "playlist_id", "left").withColumn("removed", F.coalesce("removed", F.lit(0)))
+    return totals.select("playlist_id", "removed", "total", D.flagged(F.col("removed"), F.col("total")).alias("flagged"))
+
 
 
 @query("dif13_reorder", f"{LISTS} select t.playlist_id, t.position, t.track_id, c.position as from_position from t left join c on t.playlist_id = c.playlist_id and t.track_id = c.track_id and t.turn = c.turn")

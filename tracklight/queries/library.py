@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tracklight.functions.scalars import Cursor, decode_cursor, encode_cursor
+from tracklight.functions.scalars import Cursor, decode_cursor, decode_cursors, encode_cursor, encode_cursors
 from tracklight.operators import library as L
 from tracklight.operators import mutations as M
 from tracklight.queries import NOW, T, query
@@ -55,16 +55,15 @@ def _(lib):
     return lib.spark.createDataFrame([(found.total, c.column, c.id)], "total long, cursor_column string, cursor_id long")
 
 
-@query("lst4_cursor_round_trip", "select * from (values ('title', 'a', 5), ('bad', null, 0), ('types', null, 0)) t(c, v, id)")
+CURSOR = "replace(replace(base64(encode('{\"c\": \"title\", \"v\": ' || to_json(title)::varchar || ', \"id\": ' || track_id || '}')), '+', '-'), '/', '_')"
+
+
+@query("lst4_cursor_round_trip", f"select track_id, {CURSOR} as cursor, 'title' as c, title as v, track_id::varchar as id from tracks")
 def _(lib):
-    rows = [("title", "a", 5)]
-    assert decode_cursor(encode_cursor(Cursor(*rows[0]))) == Cursor(*rows[0])
-    for name, text in (("bad", "%%%"), ("types", encode_cursor(Cursor(1, 2, 3)))):
-        try:
-            decode_cursor(text)
-        except ValueError:
-            rows.append((name, None, 0))
-    return lib.spark.createDataFrame(rows, "c string, v string, id int")
+    """A cursor for each track, and what it says when it is read."""
+    rows = lib.tracks.select("track_id", encode_cursors("title", F.col("title"), F.col("track_id")).alias("cursor")).withColumn("read", decode_cursors(F.col("cursor")))
+    return rows.select("track_id", "cursor", F.col("read.column").alias("c"), F.col("read.value").alias("v"), F.col("read.id").alias("id"))
+
 
 
 @query("lst6_play_events", "select play_id, played_at from plays where service = 'spotify' and played_at < TIMESTAMP '2024-01-20' and (played_at, play_id) < (TIMESTAMP '2024-01-15 12:00:00', 4000) order by played_at desc, play_id desc limit 31")
@@ -175,12 +174,17 @@ def _(lib):
     return L.stale_identifiers(own, lib.mappings)
 
 
-@query("jn10_supersession", "with recursive edges as (select p_partkey as mapping_id, p_partkey // 3 as superseded_by from part where p_partkey % 3 = 1 and p_partkey > 2), chain as (select mapping_id, 1 as hop, superseded_by as successor from edges union all select c.mapping_id, c.hop + 1, e.superseded_by from chain c join edges e on e.mapping_id = c.successor where c.hop < 32) select mapping_id, hop, successor from chain")
+# One step in three up, and of every hundredth mapping a step back, so that there are cycles that are entered from outside.
+SUPERSEDED = "select p_partkey as mapping_id, case when p_partkey % 100 = 1 then p_partkey * 3 + 1 else p_partkey // 3 end as superseded_by from part where p_partkey % 3 = 1 and p_partkey > 2"
+
+
+@query("jn10_supersession", f"with recursive edges as ({SUPERSEDED}), chain as (select mapping_id, 1 as hop, superseded_by as successor, [mapping_id, superseded_by] as seen from edges where superseded_by <> mapping_id union all select c.mapping_id, c.hop + 1, e.superseded_by, list_append(c.seen, e.superseded_by) from chain c join edges e on e.mapping_id = c.successor where c.hop < 31 and not list_contains(c.seen, e.superseded_by)) select mapping_id, hop, successor from chain")
 def _(lib):
-    edges = lib.part.where("p_partkey % 3 = 1 and p_partkey > 2").select(F.col("p_partkey").alias("mapping_id"), F.floor(F.col("p_partkey") / 3).alias("superseded_by"))
+    edges = lib.part.where("p_partkey % 3 = 1 and p_partkey > 2").select(F.col("p_partkey").alias("mapping_id"), F.expr("case when p_partkey % 100 = 1 then p_partkey * 3 + 1 else p_partkey div 3 end").alias("superseded_by"))
     return L.supersession_chains(edges)
 
 
+
 @query("jn11_playlists_of_track", "select distinct playlist_id from entries where track_id in (5, 6)")
 def _(lib):
     return lib.entries.where(F.col("track_id").isin(5, 6)).select("playlist_id").distinct()
@@ -237,10 +241,14 @@ def _(lib):
     return L.adaptive_histogram(lib.plays)
 
 
-@query("agg3_buckets", "select 'day,week,month,month' as buckets")
+FIRSTS = "select 'plays' as kind, play_id as id, played_at as since from plays union all select 'tags', track_id, tagged_at from tags union all select 'orders', o_orderkey, o_orderdate from orders union all select 'open', track_id, null from tracks"
+
+
+@query("agg3_buckets", f"select kind, id, case when since is null then 'month' when floor((epoch({T}) - epoch(since)) / 86400) <= 90 then 'day' when floor((epoch({T}) - epoch(since)) / 86400) <= 730 then 'week' else 'month' end as bucket from ({FIRSTS}) z")
 def _(lib):
-    d = dt.timedelta
-    return lib.spark.createDataFrame([(",".join([L.histogram_bucket(NOW - d(90), NOW), L.histogram_bucket(NOW - d(730), NOW), L.histogram_bucket(NOW - d(731), NOW), L.histogram_bucket(None, NOW)]),)], "buckets string")
+    """The width of the bars for histories that begin then."""
+    return lib.sql(FIRSTS).select("kind", "id", L.histogram_buckets(F.col("since"), F.lit(NOW).cast("timestamp_ntz")).alias("bucket"))
+
 
 
 @query("agg4_dashboard", f"select 'tracks' as name, count(*) as n from tracks union all select 'plays', count(*) from plays union all select 'playlists', count(distinct playlist_id) from entries union all select 'liked', count(distinct track_id) from likes where is_liked union all select 'plays:' || service, count(*) from plays group by 1 union all select 'mapped:' || connector, count(distinct track_id) from {LIVE} group by 1 union all select 'liked:' || service, count(*) from likes where is_liked group by 1 union all select 'preference:' || state, count(*) from preferences group by 1")
@@ -340,9 +348,9 @@ def band():
     return F.when(F.col("gap") <= 60, "60").when(F.col("gap") <= 600, "600").when(F.col("gap") <= 3600, "3600").otherwise("more").alias("band")
 
 
-@query("win3_gap_bands", GAPS.format(k="service", p="service, user_id"))
+@query("win3_gap_bands", GAPS.format(k="connector", p="user_id, connector, identifier").replace("played_at, play_id", "played_at, id").replace("from plays", "from connector_plays"))
 def _(lib):
-    return L.lags(lib.plays, ["service", "user_id"], "played_at", "play_id").where("gap is not null").groupBy("service", band()).agg(F.count(F.lit(1)).alias("n"))
+    return L.lags(lib.connector_plays, ["user_id", "connector", "identifier"], "played_at", "id").where("gap is not null").groupBy("connector", band()).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("win4_track_gaps", GAPS.format(k="service", p="service, track_id"))
@@ -384,11 +392,18 @@ def _(lib):
     return M.merge_preferences(lib.preferences, merges(lib)).select("track_id", "state", "source")
 
 
-@query("mut2_merge_mappings", f"with a as (select *, first_value(mapping_id) over (partition by track_id, connector, connector_track_id order by moved, is_primary desc, mapping_id) as kept from {moved('mappings')} where not is_retired), b as (select *, kept <> mapping_id as retired from a), c as (select *, not retired and is_primary and row_number() over (partition by track_id, connector, retired order by is_primary desc, moved, mapping_id) = 1 as main from b) select mapping_id, track_id, retired as is_retired, main as is_primary, case when retired then kept end as retired_into from c union all select mapping_id, track_id, is_retired, is_primary, null from {moved('mappings')} where is_retired")
+MERGED = """m as (select l.mapping_id, coalesce(g.winner_id, l.track_id) as track_id, g.winner_id is not null as moved, l.connector, l.connector_track_id, l.is_primary, l.is_retired from mappings l left join (select p_partkey as winner_id, p_partkey + 1 as loser_id from part where p_partkey % 20 = 0) g on g.loser_id = l.track_id),
+  firsts as (select track_id, connector, connector_track_id, min((moved, not is_primary, mapping_id)) as first from m where not is_retired group by 1, 2, 3),
+  alive as (select m.*, f.first[3] as kept from m join firsts f on f.track_id = m.track_id and f.connector = m.connector and f.connector_track_id = m.connector_track_id where not m.is_retired),
+  mains as (select track_id, connector, min((not is_primary, moved, mapping_id)) as main from alive where kept = mapping_id group by 1, 2)"""
+
+
+@query("mut2_merge_mappings", f"with {MERGED} select a.mapping_id, a.track_id, a.kept <> a.mapping_id as is_retired, a.kept = a.mapping_id and a.is_primary and s.main[3] = a.mapping_id as is_primary, case when a.kept <> a.mapping_id then a.kept end as retired_into from alive a join mains s on s.track_id = a.track_id and s.connector = a.connector union all select mapping_id, track_id, is_retired, is_primary, null from m where is_retired")
 def _(lib):
     return M.merge_mappings(lib.mappings, merges(lib)).select("mapping_id", "track_id", "is_retired", "is_primary", "retired_into")
 
 
+
 @query("mut3_merge_metrics", f"select track_id, metric_type, value from {moved('metrics')} qualify row_number() over (partition by track_id, connector, metric_type order by collected_at desc, value desc) = 1")
 def _(lib):
     return M.merge_metrics(lib.metrics, merges(lib)).select("track_id", "metric_type", "value")

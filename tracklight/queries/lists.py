@@ -68,9 +68,11 @@ def _(lib):
     return ids(lists.preferred_tracks(lib.preferences, lib.tracks, lib.plays, "star", 300))
 
 
-@query("src6_default_limit", "select 50000 as unset, 50000 as zero, 7 as given, 1000000 as most")
+@query("src6_default_limit", "select o_orderkey, least(case when o_orderkey % 4 = 0 then 50000 when o_orderkey % 4 = 1 then 50000 else o_orderkey * 1000 end, 1000000) as n from orders")
 def _(lib):
-    return lib.spark.createDataFrame([(lists.limit_of(None), lists.limit_of(0), lists.limit_of(7), lists.limit_of(10**9))], "unset int, zero int, given int, most int")
+    """Limits that were asked for: none, 0, or a number."""
+    return lib.orders.select("o_orderkey", lists.limits(F.expr("case o_orderkey % 4 when 0 then null when 1 then 0 else o_orderkey * 1000 end")).alias("n"))
+
 
 
 # Enrichers
@@ -125,15 +127,21 @@ def _(lib):
     return enrichers.with_misses(lib.tracks, cached, lib.tracks.select("track_id", F.col("track_id").cast("double").alias("value")))
 
 
-@query("enr9_metric_names", "select 'lastfm_user_playcount,lastfm_global_playcount' as names")
+@query("enr9_metric_names", "select track_id, metric_type as name, count(*) as n from metrics where metric_type in ('lastfm_user_playcount', 'lastfm_global_playcount') and connector = 'lastfm' group by 1, 2")
 def _(lib):
-    return lib.spark.createDataFrame([(",".join(enrichers.metric_names("lastfm", ["lastfm_user_playcount", "global_playcount", "unknown"])),)], "names string")
+    """Samples of the metrics that attributes name, with or without the connector in front; unknown ones are left out."""
+    names = enrichers.metric_names("lastfm", ["lastfm_user_playcount", "global_playcount", "unknown"])
+    return lib.metrics.where((F.col("connector") == "lastfm") & F.col("metric_type").isin(names)).groupBy("track_id", F.col("metric_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
 
 
-@query("enr10_registered_metric", "select 'listens' as name, 'lastfm' as connector, 'plays' as field, 12.0::double as hours")
+@query("enr10_registered_metric", f"select t.track_id, u.value from tracks t left join (select track_id, arg_max(value, (collected_at, value)) as value from metrics where metric_type = 'lastfm_user_playcount' and collected_at >= {T} - interval 12 hour group by 1) u on u.track_id = t.track_id")
 def _(lib):
-    enrichers.register_metric("listens", "lastfm", "plays", 12.0)
-    return lib.spark.createDataFrame([("listens", *enrichers.METRICS["listens"])], "name string, connector string, field string, hours double")
+    """A metric that is registered with a freshness of its own."""
+    enrichers.register_metric("listens", "own", "plays", 12.0)
+    samples = lib.metrics.where("metric_type = 'lastfm_user_playcount'").withColumns({"connector": F.lit("own"), "metric_type": F.lit("listens")})
+    return enrichers.external_metrics(base(lib), samples, ["listens"], NOW).df.select("track_id", F.col("m_listens").alias("value"))
+
 
 
 # Filters
@@ -222,12 +230,18 @@ def _(lib):
     return lib.events.select("event_id", lenient_time(text).cast("timestamp_ntz").alias("parsed"))
 
 
-@query("flt15_time_window", "select * from (values (0, null, null), (1, TIMESTAMP '2024-01-21', null), (2, null, TIMESTAMP '2024-01-26'), (3, TIMESTAMP '2024-01-21', TIMESTAMP '2024-01-15'), (4, TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-26')) t(k, after, before)")
+WINDOWS = ((None, None), (21, None), (None, 26), (21, 15), (2, 26))
+
+
+@query("flt15_time_window", " union all ".join(f"select {k} as k, track_id, count(*) as plays from plays where {'true' if a is None else f"played_at >= TIMESTAMP '2024-01-{a:02d}'"} and {'true' if b is None else f"played_at < TIMESTAMP '2024-01-{b:02d}'"} group by 2" for k, (a, b) in enumerate(WINDOWS)))
 def _(lib):
-    from tracklight.functions.scalars import time_window
+    """Plays in the windows that settings name, alone and against each other."""
+    from tracklight.functions.scalars import in_window, time_window
 
     cases = ({}, {"played_within_days": 10, "start_date": "2023-01-01"}, {"not_played_in_days": 5}, {"played_within_days": 10, "not_played_in_days": 5, "end_date": "2024-01-15"}, {"start_date": "2024-01-02T00:00:00+00:00", "not_played_in_days": 5})
-    return lib.spark.createDataFrame([(k, *time_window(NOW, **c)) for k, c in enumerate(cases)], "k int, after timestamp_ntz, before timestamp_ntz")
+    inside = [F.when(in_window(F.col("played_at"), *time_window(NOW, **c)), F.lit(k)) for k, c in enumerate(cases)]
+    return lib.plays.select("track_id", F.explode(F.array_compact(F.array(*inside))).alias("k")).groupBy("k", "track_id").agg(F.count(F.lit(1)).alias("plays"))
+
 
 
 # Sorters
@@ -262,9 +276,12 @@ def _(lib):
     return ids(sorters.by_date(lists.liked_tracks(lib.likes, lib.tracks, "spotify"), "added_at", False))
 
 
-@query("srt1c_metric_kinds", "select * from (values ('title', 'attribute'), ('total_plays', 'history'), ('popularity', 'external')) t(name, kind)")
+@query("srt1c_metric_kinds", "select name, kind, count(*) as n from (select metric_type as name, 'external' as kind from metrics union all select 'title', 'attribute' from tracks union all select 'total_plays', 'history' from plays) z group by 1, 2")
 def _(lib):
-    return lib.spark.createDataFrame([(n, sorters.metric_kind(n)) for n in ("title", "total_plays", "popularity")], "name string, kind string")
+    """What kind each name is that samples, tracks and plays can be sorted by."""
+    names = lib.metrics.select(F.col("metric_type").alias("name")).unionByName(lib.tracks.select(F.lit("title").alias("name"))).unionByName(lib.plays.select(F.lit("total_plays").alias("name")))
+    return names.groupBy("name", sorters.metric_kinds(F.col("name")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
 
 
 @query("srt8_shuffle_none", placed("track_id"))
@@ -348,9 +365,12 @@ def _(lib):
     return sinks.appendable(part(3), part(4)).select("position", "track_id")
 
 
-@query("snk4_render", "select 'Gems 25 2024-01-31 00:00' as name")
+@query("snk4_render", "select playlist_id, 'List ' || playlist_id || ': ' || count(*) || ' 2024-01-31 00:00' as name from entries group by 1")
 def _(lib):
-    return lib.spark.createDataFrame([(sinks.render("Gems {track_count} {datetime}", 25, NOW),)], "name string")
+    """A name for each playlist from its own template."""
+    sizes = lib.entries.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select("playlist_id", sinks.rendered(F.concat(F.lit("List "), "playlist_id", F.lit(": {track_count} {datetime}")), F.col("n"), NOW).alias("name"))
+
 
 
 @query("snk5_reconcile", "with old as (select track_id, arg_max(added_at, playlist_id * 1000000 + position) as kept from entries where track_id is not null and playlist_id % 2 = 0 group by track_id) select n.playlist_id, n.position, n.track_id, coalesce(o.kept, n.added_at) as added_at from entries n left join old o on o.track_id = n.track_id")

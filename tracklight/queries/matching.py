@@ -28,16 +28,31 @@ def _(lib):
     return lib.part.select("p_name").distinct().select(F.col("p_name").alias("s"), text.strip_parentheticals(titled).alias("n"))
 
 
-@query("er4_phonetic_key", "select * from (values ('Björk', 'BJRK'), ('Smith', 'SM0'), ('Smyth', 'SM0'), ('Knight', 'NFT'), ('Philip', 'FLP'), ('Church', 'XRX'), ('42', '')) t(s, k) where s <> 'Knight' and s <> 'Church'")
+# Words with well-known keys, one for each customer in turn.
+SPOKEN = ("Björk", "Smith", "Smyth", "Knight", "Philip", "Church", "42")
+KEYS = ("BJRK", "SM0", "SM0", "NT", "FLP", "XRX", "")
+
+
+def spoken(k) -> "F.Column":
+    return F.get(F.array(*[F.lit(w) for w in SPOKEN]), (k % len(SPOKEN)).cast("int"))
+
+
+def in_turn_sql(values, k: str) -> str:
+    return "case " + k + f" % {len(values)} " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)) + " end"
+
+
+@query("er4_phonetic_key", f"select c_custkey, {in_turn_sql(SPOKEN, 'c_custkey')} as s, {in_turn_sql(KEYS, 'c_custkey')} as k from customer")
 def _(lib):
-    rows = lib.spark.createDataFrame([(s,) for s in ("Björk", "Smith", "Smyth", "Philip", "42")], "s string")
-    return rows.select("s", text.phonetic_key("s").alias("k"))
+    return lib.customer.select("c_custkey", spoken(F.col("c_custkey")).alias("s")).withColumn("k", text.phonetic_key("s"))
+
 
 
-@query("er5_phonetic_matches", "select * from (values ('smith', 'smyth', true), ('red', 'blue', false), ('1', '2', false)) t(a, b, same)")
+@query("er5_phonetic_matches", f"with w as (select c_custkey, {in_turn_sql(KEYS, 'c_custkey')} as a, {in_turn_sql(KEYS, '(c_custkey // 7)')} as b from customer) select c_custkey, a = b and a <> '' as same from w")
 def _(lib):
-    rows = lib.spark.createDataFrame([("smith", "smyth"), ("red", "blue"), ("1", "2")], "a string, b string")
-    return rows.withColumn("x", text.phonetic_key("a")).withColumn("y", text.phonetic_key("b")).select("a", "b", ((F.col("x") == F.col("y")) & (F.col("x") != "")).alias("same"))
+    """Two words for each customer: equal keys match, but empty ones."""
+    rows = lib.customer.select("c_custkey", spoken(F.col("c_custkey")).alias("a"), spoken(F.floor(F.col("c_custkey") / 7)).alias("b"))
+    return rows.withColumn("x", text.phonetic_key("a")).withColumn("y", text.phonetic_key("b")).select("c_custkey", ((F.col("x") == F.col("y")) & (F.col("x") != "")).alias("same"))
+
 
 
 @query("er6_title_similarity")
@@ -85,11 +100,11 @@ def _(lib):
     return out.withColumn("zone", scoring.zone(F.col("confidence"), F.col("method"), F.col("lev") == "missing")).groupBy("confidence", "lev", "zone").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("er9_levels", "select * from (values (1.0, 'exact', 'exact'), (0.85, 'phonetic', 'phonetic'), (0.6, 'variation', 'mismatch'), (0.93, 'high', 'high'), (0.75, 'moderate', 'low'), (0.2, 'mismatch', 'mismatch'), (null, 'missing', 'missing')) t(s, title, artist)")
+@query("er9_levels", "select mapping_id, case when s is null then 'missing' when s >= 1 then 'exact' when mapping_id % 4 = 1 then 'variation' when mapping_id % 4 = 2 then 'phonetic' when s >= 0.9 then 'high' when s >= 0.7 then 'moderate' else 'mismatch' end as title from (select mapping_id, case when confidence % 10 <> 3 then confidence / 100 end as s from track_mappings) z")
 def _(lib):
-    s = F.col("s")
-    rows = lib.spark.createDataFrame([(x,) for x in (1.0, 0.85, 0.6, 0.93, 0.75, 0.2, None)], "s double")
-    return rows.select(s.cast("decimal(3,2)").alias("s"), scoring.title_level(s, s == 0.6, s == 0.85).alias("title"), scoring.artist_level(s, s == 0.85).alias("artist"))
+    s = F.when(F.col("confidence") % 10 != 3, F.col("confidence") / 100)
+    return lib.track_mappings.select("mapping_id", scoring.title_level(s, F.col("mapping_id") % 4 == 1, F.col("mapping_id") % 4 == 2).alias("title"))
+
 
 
 @query("er11_duration_levels", f"select track_id, lev, count(*) as n from (select a.track_id % 10 as track_id, {DIFF} as d, {LEVEL.replace('d is', DIFF + ' is').replace('d <=', DIFF + ' <=')} as lev from tracks a join lineitem b on b.l_partkey = a.track_id) z group by 1, 2")
@@ -120,10 +135,12 @@ def _(lib):
     return lib.tracks.select("track_id", scalars.pair_digest(F.col("title").alias("a"), F.col("artist").alias("b")).alias("digest"))
 
 
-@query("er22_config_digest", "select 12 as length, true as stable, true as sensitive")
+@query("er22_config_digest", "select run_id, substr(sha256('{\"n\":' || workflow_id || ',\"status\":\"' || status || '\"}'), 1, 12) as digest from runs")
 def _(lib):
-    a, b, c = (scalars.config_digest(x) for x in ({"x": 1, "y": 2}, {"y": 2, "x": 1}, {"x": 1, "y": 3}))
-    return lib.spark.createDataFrame([(len(a), a == b, a != c)], "length int, stable boolean, sensitive boolean")
+    """Of each run's settings, whatever the order in which they are written."""
+    config = F.when(F.col("run_id") % 2 == 0, F.format_string('{"n": %d, "status": "%s"}', "workflow_id", "status")).otherwise(F.format_string('{"status":"%s","n":%d}', "status", "workflow_id"))
+    return lib.runs.select("run_id", scalars.config_digests(config).alias("digest"))
+
 
 
 @query("er23_normalize_isrc", "select track_id, case when track_id % 2 = 0 then isrc end as isrc from tracks")
@@ -142,10 +159,11 @@ def _(lib):
     return matching.survivors(lib.tracks.select(F.col("artist").alias("group_id"), F.col("track_id").alias("id"), "isrc", "created_at"))
 
 
-@query("er26_isrc_year", "select * from (values ('USAAA9912345', 1999), ('USAAA1212345', 2012), ('USAAAXX12345', null), (null, null)) t(isrc, year)")
+@query("er26_isrc_year", "select track_id, case when y <= 40 then 2000 + y else 1900 + y end as year from (select track_id, try_cast(substr(code, 6, 2) as int) as y from (select track_id, case track_id % 4 when 0 then 'USAAAXX12345' when 1 then isrc else 'USAAA' || lpad((track_id % 100)::varchar, 2, '0') || '12345' end as code from tracks) a) b")
 def _(lib):
-    rows = lib.spark.createDataFrame([("USAAA9912345",), ("USAAA1212345",), ("USAAAXX12345",), (None,)], "isrc string")
-    return rows.select("isrc", scalars.isrc_year(F.col("isrc")).alias("year"))
+    code = F.when(F.col("track_id") % 4 == 0, "USAAAXX12345").when(F.col("track_id") % 4 == 1, F.col("isrc")).otherwise(F.concat(F.lit("USAAA"), F.lpad((F.col("track_id") % 100).cast("string"), 2, "0"), F.lit("12345")))
+    return lib.tracks.select("track_id", scalars.isrc_year(code).alias("year"))
+
 
 
 @query("er29_same_identity", "with m as (select distinct track_id, connector, connector_track_id from mappings where not is_retired) select distinct a_id, b_id from (select a.track_id as a_id, b.track_id as b_id from tracks a join tracks b on a.isrc = b.isrc and a.track_id < b.track_id union all select a.track_id, b.track_id from m a join m b on a.connector = b.connector and a.connector_track_id = b.connector_track_id and a.track_id < b.track_id) z")
@@ -154,21 +172,46 @@ def _(lib):
     return matching.same_identity(lib.tracks.select(F.col("track_id").alias("id"), "isrc"), ids)
 
 
-@query("er30_resolve_inward", f"with asked as (select distinct o_orderkey as id from orders where o_orderkey % 7 < 3), mapped as (select connector_track_id as id, min(track_id) as track_id from mappings where not is_retired group by 1), held as (select distinct connector_track_id as id from negatives where kind = 'no_match' and check_again > {T}) select a.id, m.track_id, case when m.id is not null then 'existing' when h.id is not null then 'suppressed' else 'created' end as outcome from asked a left join mapped m on m.id = a.id left join held h on h.id = a.id")
-def _(lib):
-    from tracklight.operators.library import live, pending_no_match
+_D = f"case when coalesce(c.duration_ms, 0) = 0 or coalesce(k.duration_ms, 0) = 0 then {_ln(*scoring.DURATION['missing'])} when abs(c.duration_ms - k.duration_ms) <= {scoring.CLOSE_MS} then {_ln(*scoring.DURATION['close'])} when abs(c.duration_ms - k.duration_ms) <= {scoring.NEAR_MS} then {_ln(*scoring.DURATION['near'])} when abs(c.duration_ms - k.duration_ms) <= {scoring.FAR_MS} then {_ln(*scoring.DURATION['moderate'])} else {_ln(*scoring.DURATION['mismatch'])} end"
+_W = f"{_ln(*scoring.TITLE['exact'])} + {_ln(*scoring.ARTIST['exact'])} + {_ln(*scoring.ISRC['absent'])} + {_D}"
+INWARD = f"""with asked as (select distinct id from connector_tracks where connector <> 'musicbrainz'), mapped as (select connector_track_id as id, min(track_id) as track_id from track_mappings where superseded_at is null and mapping_id % 3 = 0 group by 1),
+  reuse as (select c.id, k.track_id from connector_tracks c join canonicals k on k.track_id = c.id // 4 where c.id % 5 <> 1 and round_even(100 / (1 + exp(-({_W}))), 0) >= 85),
+  held as (select distinct connector_track_id as id from negatives where kind = 'no_match' and check_again > {T}),
+  done as (select a.id, coalesce(m.track_id, case when a.id % 17 <> 0 then r.track_id end, case when r.id is null and h.id is null and a.id % 11 <> 0 then a.id + 1000000000 end) as track_id,
+    case when m.id is not null then 'existing' when r.id is not null then case when a.id % 17 = 0 then 'failed' else 'reused' end when h.id is not null then 'suppressed' when a.id % 11 = 0 then 'failed' else 'created' end as outcome from asked a left join mapped m on m.id = a.id left join reuse r on r.id = a.id left join held h on h.id = a.id)"""
+
+
+def resolved_inward(lib):
+    from tracklight.operators.library import pending_no_match
     from tracklight.queries import NOW
 
-    asked = lib.orders.where("o_orderkey % 7 < 3").select(F.col("o_orderkey").alias("id")).distinct()
-    mapped = live(lib.mappings).groupBy(F.col("connector_track_id").alias("id")).agg(F.min("track_id").alias("track_id"))
-    held = lib.negatives.where(pending_no_match(NOW)).select(F.col("connector_track_id").alias("id")).distinct().withColumn("held", F.lit(True))
-    return asked.join(mapped, "id", "left").join(held, "id", "left").select("id", "track_id", F.when(F.col("track_id").isNotNull(), "existing").when(F.col("held"), "suppressed").otherwise("created").alias("outcome"))
+    said = lib.connector_tracks.where("connector <> 'musicbrainz'")
+    mapped = lib.track_mappings.where("superseded_at is null and mapping_id % 3 = 0").select(F.col("connector_track_id").alias("id"), "track_id")
+    own = matching.sided(matching.prepare(lib.canonicals.select("track_id", "title", "artist", "duration_ms")), "a")
+    theirs = matching.sided(matching.prepare(said.select("id", F.when(F.col("id") % 5 == 1, "0000 1111").otherwise(F.col("title")).alias("title"), F.when(F.col("id") % 5 == 1, "2222").otherwise(F.col("artist")).alias("artist"), "duration_ms")), "b")
+    pairs = own.join(theirs, F.col("a_track_id") == F.floor(F.col("b_id") / 4)).withColumns({"id": F.col("b_id"), "track_id": F.col("a_track_id"), "method": F.lit("artist_title")})
+    held = lib.negatives.where(pending_no_match(NOW)).select(F.col("connector_track_id").alias("id"))
+    create = lambda asked: asked.where("id % 11 <> 0").withColumn("track_id", F.col("id") + 1_000_000_000)
+    return matching.resolve_inward(said.select("id"), mapped, pairs, said.where("id % 17 = 0").select("id"), held, create)
+
+
+@query("er30_resolve_inward", f"{INWARD} select id, track_id, outcome from done")
+def _(lib):
+    return resolved_inward(lib)
 
 
-@query("er_ratios", "select * from (values ('new york mets', 'mets york new', 100.0, 100.0), ('a b c', 'a b', 100.0, 75.0), ('', 'x', 0.0, 0.0)) t(a, b, s, o)")
+@query("er30_outcomes", f"{INWARD} select {', '.join(f"count_if(outcome = '{o}') as {o}" for o in matching.OUTCOMES)}, count(*) as asked from done")
 def _(lib):
-    rows = lib.spark.createDataFrame([("new york mets", "mets york new"), ("a b c", "a b"), ("", "x")], "a string, b string")
-    return rows.select("a", "b", F.round(text.token_set_ratio("a", "b"), 1).cast("decimal(4,1)").alias("s"), F.round(text.token_sort_ratio("a", "b"), 1).cast("decimal(4,1)").alias("o"))
+    return matching.outcome_counts(resolved_inward(lib))
+
+
+
+@query("er_ratios", "select track_id, 100.0 as s, round(100.0 * 2 * length(title) / (2 * length(title) + 2), 1) as o from tracks")
+def _(lib):
+    """Words in another order and one more, a letter long, that sorts last."""
+    a, b = F.lower("title"), F.concat(F.array_join(F.reverse(F.split(F.lower("title"), " ")), " "), F.lit(" {"))
+    return lib.tracks.select("track_id", F.round(text.token_set_ratio(a, b), 1).alias("s"), F.round(text.token_sort_ratio(a, b), 1).alias("o"))
+
 
 
 # Scalar functions
@@ -220,10 +263,13 @@ def _(lib):
     return lib.tracks.select("track_id", F.sha2(F.col("title").cast("binary"), 256).alias("h"), F.base64(F.col("title").cast("binary")).alias("b"))
 
 
-@query("fn11_normalize_tag", "select * from (values ('  Mood:  Chill ', 'mood: chill'), ('A_b-9', 'a_b-9'), (':x', null), ('x:', null), ('é', null), ('', null)) t(s, tag)")
+@query("fn11_normalize_tag", "select track_id, tag as was, case (track_id + length(tag)) % 5 when 0 then regexp_replace(tag, ':', ': ') when 1 then tag || '_b-9' end as tag from tags")
 def _(lib):
-    rows = lib.spark.createDataFrame([(s,) for s in ("  Mood:  Chill ", "A_b-9", ":x", "x:", "é", "")], "s string")
-    return rows.select("s", scalars.normalize_tag(F.col("s")).alias("tag"))
+    """Tags with spaces and capitals, and tags that are none: a colon at an end, letters with marks, nothing."""
+    kind = (F.col("track_id") + F.length("tag")) % 5
+    raw = F.when(kind == 0, F.concat(F.lit("  "), F.initcap(F.replace("tag", F.lit(":"), F.lit(":   "))), F.lit(" "))).when(kind == 1, F.concat(F.upper("tag"), F.lit("_B-9"))).when(kind == 2, F.concat("tag", F.lit(":"))).when(kind == 3, F.concat(F.lit("é"), "tag")).otherwise("")
+    return lib.tags.select("track_id", F.col("tag").alias("was"), scalars.normalize_tag(raw).alias("tag"))
+
 
 
 @query("fn12_parse_tag", "select distinct tag, case when tag like '%:%' then split_part(tag, ':', 1) end as namespace, case when tag like '%:%' then substr(tag, strpos(tag, ':') + 1) else tag end as value from tags")
@@ -231,13 +277,19 @@ def _(lib):
     return lib.tags.select("tag").distinct().select("tag", scalars.tag_namespace(F.col("tag")).alias("namespace"), scalars.tag_value(F.col("tag")).alias("value"))
 
 
-@query("fn13_release_date", "select * from (values ('1999', TIMESTAMP '1999-01-01'), ('1999-07', TIMESTAMP '1999-07-01'), ('1999-07-09', TIMESTAMP '1999-07-09'), ('x', null)) t(s, moment)")
+@query("fn13_release_date", "select o_orderkey, case o_orderkey % 4 when 0 then date_trunc('year', o_orderdate) when 1 then date_trunc('month', o_orderdate) when 2 then date_trunc('day', o_orderdate) end::timestamp as moment from orders")
 def _(lib):
-    rows = lib.spark.createDataFrame([(s,) for s in ("1999", "1999-07", "1999-07-09", "x")], "s string")
-    return rows.select("s", scalars.release_date(F.col("s")).cast("timestamp_ntz").alias("moment"))
+    kind = F.col("o_orderkey") % 4
+    text_of = F.when(kind == 0, F.date_format("o_orderdate", "yyyy")).when(kind == 1, F.date_format("o_orderdate", "yyyy-MM")).when(kind == 2, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("x")
+    return lib.orders.select("o_orderkey", scalars.release_date(text_of).cast("timestamp_ntz").alias("moment"))
 
 
-@query("fn14_track_id_from_uri", "select * from (values ('spotify:track:0123456789abcdefABCDEF', '0123456789abcdefABCDEF'), ('spotify:album:0123456789abcdefABCDEF', null), (null, null)) t(uri, id)")
+
+@query("fn14_track_id_from_uri", "select c_custkey, case when c_custkey % 3 = 0 then lpad(c_custkey::varchar, 22, 'a') end as id from customer")
 def _(lib):
-    rows = lib.spark.createDataFrame([("spotify:track:0123456789abcdefABCDEF",), ("spotify:album:0123456789abcdefABCDEF",), (None,)], "uri string")
-    return rows.select("uri", scalars.track_id_from_uri(F.col("uri")).alias("id"))
+    """Of three URIs one is a track's; one is an album's, one too short."""
+    kind, code = F.col("c_custkey") % 3, F.lpad(F.col("c_custkey").cast("string"), 22, "a")
+    uri = F.when(kind == 0, F.concat(F.lit("spotify:track:"), code)).when(kind == 1, F.concat(F.lit("spotify:album:"), code)).otherwise(F.concat(F.lit("spotify:track:"), "c_custkey"))
+    return lib.customer.select("c_custkey", scalars.track_id_from_uri(uri).alias("id"))
+
+

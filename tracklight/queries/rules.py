@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars, scoring
-from tracklight.functions.scalars import Cursor, decode_cursor, encode_cursor
+from tracklight.functions.scalars import Cursor, encode_cursor
 from tracklight.operators import enrichers, filters, mutations, selectors, sorters
 from tracklight.operators import library as L
 from tracklight.operators import projection as P
@@ -17,7 +18,7 @@ from tracklight.plans import workflow as W
 from tracklight.plans.ordered import curried
 from tracklight.plans.templates import chain, graph
 from tracklight.queries import NOW, T, placed, query
-from tracklight.queries.history import OBSERVED, START, observations
+from tracklight.queries.history import OBSERVED, START, STATES, observations, states
 from tracklight.queries.lists import HISTORY, LIKED_HISTORY, base, history, ids
 from tracklight.sources import imports, lists, sinks
 from tracklight.sources.scratch import folder
@@ -164,10 +165,16 @@ def _(lib):
     return P.islands(rows.withColumn("import_source", F.when(at % 70 == 0, "elsewhere").otherwise(F.col("import_source")))).select("id", "unit", "role")
 
 
-@query("prj5b_tolerance", "select * from (values (true, true, 30), (true, false, 180), (false, true, 180), (false, false, 180)) t(a, b, seconds)")
+KNOWN = "({0}.import_source not in ('spotify_export', 'spotify_api') or {0}.ms_played is not null and {0}.id % 70 <> 0)"
+
+
+@query("prj5b_tolerance", f"{OBSERVED} select a.id, case when {KNOWN.format('a')} and {KNOWN.format('b')} then 30 else 180 end as seconds from obs a join obs b on b.id = a.id + 1")
 def _(lib):
-    rows = lib.spark.createDataFrame([(a, b) for a in (True, False) for b in (True, False)], "a boolean, b boolean")
-    return rows.select("a", "b", P.pair_tolerance(F.col("a"), F.col("b")).alias("seconds"))
+    """Of an observation and the next one of its event; some times listened are taken to be unknown."""
+    rows = observations(lib).withColumn("ms_played", F.when(F.col("id") % 70 != 0, F.col("ms_played")))
+    full = P.with_start(P.with_channel(rows)).select("id", "normalizable")
+    second = full.select((F.col("id") - 1).alias("id"), F.col("normalizable").alias("other"))
+    return full.join(second, "id").select("id", P.pair_tolerance(F.col("normalizable"), F.col("other")).alias("seconds"))
 
 
 @query("prj5c_bridge_key", "select p_partkey, replace(lower(p_brand), '#', '') || '::' || lower(p_name) || ' featuring x and y' as bridge from part")
@@ -183,20 +190,15 @@ def _(lib):
 # Listing
 
 
-@query("lst5_decode_cursor", "select * from (values ('good', true), ('no base64', false), ('no JSON', false), ('no id', false), ('list value', false)) t(what, decodes)")
+@query("lst5_decode_cursor", "select track_id, track_id % 5 = 0 as decodes from tracks")
 def _(lib):
-    import base64
+    """Of five cursors four are broken: no base64, no JSON, no id, a value that is a list."""
+    kind, b64 = F.col("track_id") % 5, lambda text: F.base64(text.cast("binary"))
+    good = scalars.encode_cursors("title", F.col("title"), F.col("track_id"))
+    lacks, lists_it = F.concat(F.lit('{"c": "title", "v": '), F.col("track_id"), F.lit("}")), F.concat(F.lit('{"c": "title", "v": ['), F.col("track_id"), F.lit('], "id": 2}'))
+    text = F.when(kind == 0, good).when(kind == 1, F.concat(F.lit("%"), good)).when(kind == 2, b64(F.concat(F.lit("{"), F.col("title")))).when(kind == 3, b64(lacks)).otherwise(b64(lists_it))
+    return lib.tracks.select("track_id", scalars.decode_cursors(text).isNotNull().alias("decodes"))
 
-    b64 = lambda text: base64.urlsafe_b64encode(text.encode()).decode()
-    cases = {"good": encode_cursor(Cursor("title", None, 4)), "no base64": "%", "no JSON": b64("{"), "no id": b64('{"c": "title", "v": 1}'), "list value": b64('{"c": "title", "v": [1], "id": 2}')}
-    rows = []
-    for what, text in cases.items():
-        try:
-            decode_cursor(text)
-            rows.append((what, True))
-        except ValueError:
-            rows.append((what, False))
-    return lib.spark.createDataFrame(rows, "what string, decodes boolean")
 
 
 @query("lst11_cursor_of_another_order", "select (select count(*) from tracks) as total, z.track_id, f.state as preference, (select string_agg(distinct tag, '|' order by tag) from tags g where g.track_id = z.track_id) as tags from (select track_id from tracks order by title nulls last, track_id limit 15 offset 30) z left join preferences f on f.track_id = z.track_id")
@@ -221,48 +223,54 @@ def _(lib):
     return L.latest_runs(lib.runs).select("workflow_id", "run_id", "completed", "runs")
 
 
-@query("mut11_overrides", "with s as (select * from (values ('service_import', 0), ('playlist_assignment', 1), ('manual', 2)) t(name, rank)) select a.name as old, b.name as new, b.rank > a.rank as overrides from s a, s b")
+@query("mut11_overrides", "with s as (select * from (values ('service_import', 0), ('playlist_assignment', 1), ('manual', 2)) t(name, rank)) select p.track_id, p.source as old, b.name as new, b.rank > a.rank as overrides from preferences p join s a on a.name = p.source join s b on b.rank = p.track_id // 3 % 3")
 def _(lib):
-    rows = lib.spark.createDataFrame([(a, b) for a in mutations.SOURCES for b in mutations.SOURCES], "old string, new string")
-    return rows.select("old", "new", mutations.overrides(F.col("old"), F.col("new")).alias("overrides"))
+    new = F.get(F.array(*[F.lit(x) for x in mutations.SOURCES]), (F.floor(F.col("track_id") / 3) % 3).cast("int"))
+    return lib.preferences.select("track_id", F.col("source").alias("old"), new.alias("new")).withColumn("overrides", mutations.overrides(F.col("old"), F.col("new")))
+
 
 
 # Matching
 
 
-@query("er10_artist_levels", "select * from (values (1.0, false, 'exact'), (0.85, true, 'phonetic'), (0.92, false, 'high'), (0.7, false, 'low'), (0.69, false, 'mismatch'), (null, false, 'missing')) t(s, phonetic, level)")
+@query("er10_artist_levels", "select mapping_id, case when s is null then 'missing' when s >= 1 then 'exact' when mapping_id % 4 = 2 then 'phonetic' when s >= 0.9 then 'high' when s >= 0.7 then 'low' else 'mismatch' end as artist from (select mapping_id, case when confidence % 10 <> 3 then confidence / 100 end as s from track_mappings) z")
 def _(lib):
-    rows = lib.spark.createDataFrame([(1.0, False), (0.85, True), (0.92, False), (0.7, False), (0.69, False), (None, False)], "s double, phonetic boolean")
-    return rows.select(F.col("s").cast("decimal(3,2)").alias("s"), "phonetic", scoring.artist_level(F.col("s"), F.col("phonetic")).alias("level"))
+    s = F.when(F.col("confidence") % 10 != 3, F.col("confidence") / 100)
+    return lib.track_mappings.select("mapping_id", scoring.artist_level(s, F.col("mapping_id") % 4 == 2).alias("artist"))
 
 
-@query("er12_isrc_levels", "select * from (values (true, false, 'exact'), (true, true, 'suspect'), (false, false, 'absent'), (false, true, 'absent')) t(matched, suspect, level)")
-def _(lib):
-    rows = lib.spark.createDataFrame([(a, b) for a in (True, False) for b in (True, False)], "matched boolean, suspect boolean")
-    return rows.select("matched", "suspect", scoring.isrc_level(F.col("matched"), F.col("suspect")).alias("level"))
 
 
 def log_ratio(table: dict[str, tuple[float, float]], level: str) -> str:
     return repr(math.log(table[level][0] / table[level][1]))
 
 
-LEVELS = [(t, a, d, i) for t in scoring.TITLE for a in scoring.ARTIST for d in scoring.DURATION for i in scoring.ISRC]
 TABLES = (("title", scoring.TITLE), ("artist", scoring.ARTIST), ("duration", scoring.DURATION), ("isrc", scoring.ISRC))
-GRID = "from " + ", ".join(f"(values {', '.join(f'({chr(39)}{k}{chr(39)}, {log_ratio(v, k)}::double)' for k in v)}) {n}_t({n}, {n}_w)" for n, v in TABLES)
+#: By which number of a line its levels come in turn.
+TURNS = {"title": "l_orderkey", "artist": "l_partkey", "duration": "l_suppkey", "isrc": "l_linenumber"}
+
+
+def level_sql(n: str, table: dict) -> str:
+    return f"case {TURNS[n]} % {len(table)} " + " ".join(f"when {k} then '{v}'" for k, v in enumerate(table)) + f" end as {n}"
+
+
+GRADED = f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, {', '.join(level_sql(n, t) for n, t in TABLES)} from lineitem"
+GRID = f"from ({GRADED}) g " + " ".join(f"join (values {', '.join(f'({chr(39)}{k}{chr(39)}, {log_ratio(v, k)}::double)' for k in v)}) {n}_t({n}, {n}_w) using ({n})" for n, v in TABLES)
 
 
 def levels(lib) -> DataFrame:
-    return lib.spark.createDataFrame(LEVELS, "title string, artist string, duration string, isrc string").withColumn("w", scoring.weight(F.col("title"), F.col("artist"), F.col("duration"), F.col("isrc")))
+    """Every line with levels, and the weight of these."""
+    return lib.sql(GRADED).withColumn("w", scoring.weight(F.col("title"), F.col("artist"), F.col("duration"), F.col("isrc")))
 
 
-@query("er13_match_weight", f"select title, artist, duration, isrc, round(title_w + artist_w + duration_w + isrc_w, 9) as w {GRID}")
+@query("er13_match_weight", f"select l_orderkey, l_linenumber, title, artist, duration, isrc, round(title_w + artist_w + duration_w + isrc_w, 9) as w {GRID}")
 def _(lib):
-    return levels(lib).withColumn("w", F.round("w", 9))
+    return levels(lib).withColumn("w", F.round("w", 9)).drop("l_partkey", "l_suppkey")
 
 
-@query("er14_weight_to_confidence", f"select title, artist, duration, isrc, greatest(0, least(100, round_even(100 / (1 + exp(-(title_w + artist_w + duration_w + isrc_w))), 0)))::int as confidence {GRID}")
+@query("er14_weight_to_confidence", f"select l_orderkey, l_linenumber, title, artist, duration, isrc, greatest(0, least(100, round_even(100 / (1 + exp(-(title_w + artist_w + duration_w + isrc_w))), 0)))::int as confidence {GRID}")
 def _(lib):
-    return levels(lib).select("title", "artist", "duration", "isrc", scoring.confidence(F.col("w")).alias("confidence"))
+    return levels(lib).select("l_orderkey", "l_linenumber", "title", "artist", "duration", "isrc", scoring.confidence(F.col("w")).alias("confidence"))
 
 
 APART = "case when a.duration_ms <> 0 and b.duration_ms <> 0 then abs(a.duration_ms - b.duration_ms) end"
@@ -275,6 +283,14 @@ def isrc_pairs(lib) -> DataFrame:
     return a.join(b, "isrc").withColumn("apart", scoring.duration_difference(F.col("a_ms"), F.col("b_ms")))
 
 
+@query("er12_isrc_levels", f"select a.track_id, b.id as other_id, case when a.isrc is distinct from b.isrc then 'absent' when coalesce({APART} > 10000, false) then 'suspect' else 'exact' end as level from canonicals a join connector_tracks b on b.id // 4 = a.track_id")
+def _(lib):
+    a = lib.canonicals.select("track_id", F.col("isrc").alias("a_isrc"), F.col("duration_ms").alias("a_ms"))
+    pairs = a.join(lib.connector_tracks.select(F.col("id").alias("other_id"), F.floor(F.col("id") / 4).alias("track_id"), "isrc", "duration_ms"), "track_id")
+    suspect = scoring.isrc_suspect(scoring.duration_difference(F.col("a_ms"), F.col("duration_ms")))
+    return pairs.select("track_id", "other_id", scoring.isrc_level(F.col("a_isrc").eqNullSafe(F.col("isrc")), suspect).alias("level"))
+
+
 @query("er15_isrc_suspect", f"select a.track_id, b.id as other_id, coalesce({APART} > 10000, false) as suspect from {PAIRED}")
 def _(lib):
     return isrc_pairs(lib).select("track_id", "other_id", scoring.isrc_suspect(F.col("apart")).alias("suspect"))
@@ -285,10 +301,11 @@ def _(lib):
     return isrc_pairs(lib).select("track_id", "other_id", "apart")
 
 
-@query("er17_zones", "select confidence, method, missing, case when confidence >= 85 then case when missing and method in ('isrc', 'mbid') then 'review' else 'accept' end when confidence < 50 then 'reject' else 'review' end as zone from (select unnest([0, 49, 50, 84, 85, 100]) as confidence) c, (select unnest(['isrc', 'mbid', 'artist_title']) as method) m, (select unnest([true, false]) as missing) d")
+@query("er17_zones", "select m.mapping_id, case when confidence >= 85 then case when coalesce(c.duration_ms, 0) = 0 and method in ('isrc', 'mbid') then 'review' else 'accept' end when confidence < 50 then 'reject' else 'review' end as zone from track_mappings m join connector_tracks c on c.id = m.connector_track_id")
 def _(lib):
-    rows = lib.spark.createDataFrame([(c, m, d) for c in (0, 49, 50, 84, 85, 100) for m in ("isrc", "mbid", "artist_title") for d in (True, False)], "confidence int, method string, missing boolean")
-    return rows.withColumn("zone", scoring.zone(F.col("confidence"), F.col("method"), F.col("missing")))
+    rows = lib.track_mappings.join(lib.connector_tracks.select(F.col("id").alias("connector_track_id"), "duration_ms"), "connector_track_id")
+    return rows.select("mapping_id", scoring.zone(F.col("confidence"), F.col("method"), F.coalesce("duration_ms", F.lit(0)) == 0).alias("zone"))
+
 
 
 @query("er27_looks_dead", "select negative_id from negatives where kind = 'no_match' and misses >= 3 and last_checked_at - created_at >= interval 9 day")
@@ -346,24 +363,32 @@ def _(lib):
     return lib.spark.read.parquet(path).where("played_at >= timestamp_ntz '2024-01-01'").select("track_identifier", "played_at", F.lit(len(saved)).alias("checkpoints"))
 
 
-@query("imp7_two_phase", f"{OBSERVED} select count(*) as observations, count_if(track % 9 <> 0) as resolved, count_if(track % 9 = 0) as unresolved, 0 as missing, 0 as surplus from obs")
+@query("imp7_two_phase", f"{OBSERVED} select count(*) as observations, count_if(track % 9 <> 0) as resolved, count_if(track % 9 = 0) as unresolved, count_if(track % 9 = 1 and id % 20 < 10) as late, 0 as missing, 0 as surplus from obs")
 def _(lib):
-    """Two imports; what the resolver knows becomes the plays that a projection of it has, the rest waits."""
+    """Two imports, each in several chunks; the second one's resolver knows more, so it resolves rows of the first one too. The plays are those of a projection of all that is known, the rest waits."""
     from tracklight.queries.history import differences
+    from tracklight.streaming.projection import read_plays
 
     path, obs = folder(lib.spark), observations(lib).withColumn("connector", F.col("service"))
-    resolve = lambda asked: asked.where("cast(track_identifier as long) % 9 <> 0").withColumn("resolved_track_id", F.col("track_identifier").cast("long"))
-    counts = [imports.two_phase(obs.where(F.col("id") % 20 < 10) if k == 0 else obs.where(F.col("id") % 20 >= 10), resolve, f"{path}/ledger", f"{path}/plays", k) for k in (0, 1)]
+    track = F.col("track_identifier").cast("long")
+    knows = lambda *less: lambda asked: asked.where(~(track % 9).isin(*less)).withColumn("resolved_track_id", track)
+    first = imports.two_phase(obs.where(F.col("id") % 20 < 10), knows(0, 1), f"{path}/ledger", f"{path}/plays", 0, 40)
+    second = imports.two_phase(obs.where(F.col("id") % 20 >= 10), knows(0), f"{path}/ledger", f"{path}/plays", 1, 40)
     columns = ["play", "track_id", "played_at", "ms_played"]
-    found = differences(P.project(obs.where("resolved_track_id % 9 <> 0")).select(*columns), lib.spark.read.parquet(f"{path}/plays").select(*columns), "missing", "surplus")
-    sums = {k: sum(c[k] for c in counts) for k in counts[0]}
+    found = differences(P.project(obs.where("resolved_track_id % 9 <> 0")).select(*columns), read_plays(lib.spark, f"{path}/plays").select(*columns), "missing", "surplus")
+    sums = {"observations": first["observations"] + second["observations"], "resolved": first["resolved"] + second["resolved"], "unresolved": second["unresolved"], "late": first["observations"] - first["resolved"] - lib_open(obs)}
     return found.select(*[F.lit(v).cast("long").alias(k) for k, v in sums.items()], F.col("missing").cast("int").alias("missing"), F.col("surplus").cast("int").alias("surplus"))
 
 
-@query("str7_redundant_observer", "select * from (values (0, true), (7, true), (8, false), (null, false)) t(days, redundant)")
+def lib_open(obs: DataFrame) -> int:
+    """Rows of the first import that no resolver ever knows."""
+    return obs.where("id % 20 < 10 and resolved_track_id % 9 = 0").count()
+
+
+@query("str7_redundant_observer", f"select user_id, coalesce(other_ago <= 604800, false) as redundant from ({STATES}) z")
 def _(lib):
-    rows = [(d, polling.redundant(None if d is None else NOW - dt.timedelta(days=d), NOW)) for d in (0, 7, 8, None)]
-    return lib.spark.createDataFrame(rows, "days int, redundant boolean")
+    return polling.with_caps(states(lib), NOW).select("user_id", "redundant")
+
 
 
 # Plug-ins
@@ -406,7 +431,15 @@ def _(lib):
     return ids(out)
 
 
-@query("ext5_lint", "select * from (values ('t2: nothing upstream adds play_history'), ('t3: nothing upstream adds lastfm_user_playcount')) t(warning)")
+@query("ext5_lint", "select workflow_id, warning from (select distinct workflow_id from runs) r, (values (0, 't2: nothing upstream adds play_history'), (0, 't3: nothing upstream adds lastfm_user_playcount'), (1, 't3: nothing upstream adds lastfm_user_playcount')) t(kind, warning) where workflow_id % 3 = kind")
 def _(lib):
-    w = W.parse(chain("lint", ("source.liked_tracks", {}), ("enricher.tags", {}), ("filter.by_play_history", {"min_plays": 1}), ("sorter.by_metric", {"metric_name": "lastfm_user_playcount"}), ("destination.create_playlist", {"name": "x"})))
-    return lib.spark.createDataFrame([(x,) for x in W.warnings(w)], "warning string")
+    """The warnings of stored definitions, one for each workflow that ever ran: without enrichers, with one of two, with both."""
+    def definition(*more):
+        return json.dumps(chain("lint", ("source.liked_tracks", {}), *more, ("filter.by_play_history", {"min_plays": 1}), ("sorter.by_metric", {"metric_name": "lastfm_user_playcount"}), ("destination.create_playlist", {"name": "x"})))
+
+    plays, metrics = ("enricher.play_history", {"metrics": ["total_plays"]}), ("enricher.lastfm", {})
+    texts = [definition(("enricher.tags", {})), definition(plays), definition(plays, metrics)]
+    defined = F.get(F.array(*[F.lit(x) for x in texts]), (F.col("workflow_id") % 3).cast("int"))
+    return lib.runs.select("workflow_id").distinct().withColumn("definition", defined).select("workflow_id", F.explode(W.lint("definition")).alias("warning"))
+
+

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklight.operators.filters import STATES
@@ -19,6 +19,11 @@ def limit_of(limit: int | None) -> int:
     return min(limit or DEFAULT_LIMIT, MAX_LIST)
 
 
+def limits(asked: Column) -> Column:
+    """limit_of of numbers in a column."""
+    return F.least(F.when(asked > 0, asked).otherwise(F.lit(DEFAULT_LIMIT)), F.lit(MAX_LIST))
+
+
 def playlist(entries: DataFrame, tracks: DataFrame, playlist_id) -> TrackList:
     """A stored playlist's resolved tracks in its order, with when each was added."""
     own = entries.where(F.col("playlist_id") == playlist_id).select("track_id", F.col("position").alias("_k0"), F.col("added_at").alias("x_added_at"))

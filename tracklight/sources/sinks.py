@@ -24,6 +24,13 @@ def render(template: str, track_count: int, now: dt.datetime) -> str:
     return template
 
 
+def rendered(template: Column, track_count: Column, now: dt.datetime) -> Column:
+    """render of templates in a column."""
+    for name, value in {"track_count": track_count.cast("string"), "date": F.lit(f"{now:%Y-%m-%d}"), "time": F.lit(f"{now:%H:%M}"), "datetime": F.lit(f"{now:%Y-%m-%d %H:%M}")}.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template
+
+
 def appendable(current: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates whose track isn't in the current entries; unresolved ones always."""
     known = current.where("track_id is not null").select("track_id").distinct()
@@ -76,9 +83,9 @@ def insert_ignore(existing: DataFrame, rows: DataFrame, keys: list[str]) -> Data
 
 
 def upsert(existing: DataFrame, rows: DataFrame, keys: list[str], update_where: Column | None = None) -> DataFrame:
-    """The whole new table: new keys are added, known ones replaced (where the old row `o` and the new `n` meet update_where)."""
+    """The whole new table: new keys are added, known ones replaced (where the old row `o` and the new `n` meet update_where). Of several new rows of a key the one counts whose other columns come first as text."""
     match = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-    new = rows.dropDuplicates(keys).withColumn("_new", F.lit(1)).alias("n")
+    new = first_of_key(rows, keys).withColumn("_new", F.lit(1)).alias("n")
     both = existing.withColumn("_old", F.lit(1)).alias("o").join(new, match, "full_outer")
     there = F.col("_old").isNotNull()
     take = F.col("_new").isNotNull() & (~there | (F.lit(True) if update_where is None else F.coalesce(update_where, F.lit(False))))

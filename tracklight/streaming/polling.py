@@ -1,4 +1,4 @@
-"""When to poll a source of recent plays: an adaptive interval for each user. Driver-side decisions; states are small rows."""
+"""When to poll a source of recent plays: an adaptive interval for each user, for one user's state and for tables of states."""
 
 from __future__ import annotations
 
@@ -7,6 +7,11 @@ import hashlib
 from dataclasses import dataclass, replace
 from zoneinfo import ZoneInfo
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tracklight.functions.scalars import seconds_between
+
 #: Fixed values in seconds, but for the share and the factor.
 BASE, LEAST, SOLE_CAP, REDUNDANT_CAP, DEMAND_AGE = 1800, 900, 7200, 86_400, 600
 REDUNDANCY = dt.timedelta(days=7)
@@ -104,3 +109,57 @@ def next_run(now: dt.datetime, minute: int = 0, hour: int = 0, day_of_week: int
         if at > now:
             return at
     raise AssertionError("a week has every day")
+
+
+# Tables of states: user_id, empty, interval_s, gap, trigger, last_polled, other_seen and has_scope, a row for each user.
+
+
+def backoffs(misses: Column, base: int = BASE, cap: int = REDUNDANT_CAP) -> Column:
+    """backoff of numbers of misses, without jitter."""
+    return F.least(F.lit(cap), base * F.pow(F.lit(2.0), F.least(misses, F.lit(40)))).cast("long")
+
+
+def _age(at: str, now: dt.datetime) -> Column:
+    return seconds_between(F.lit(now).cast("timestamp_ntz"), F.col(at))
+
+
+def with_caps(states: DataFrame, now: dt.datetime) -> DataFrame:
+    """Adds redundant, cap_s and live_s, the interval in force."""
+    seen = F.coalesce(_age("other_seen", now) <= REDUNDANCY.total_seconds(), F.lit(False))
+    capped = states.withColumn("redundant", seen).withColumn("cap_s", F.when(F.col("redundant"), REDUNDANT_CAP).otherwise(SOLE_CAP))
+    return capped.withColumn("live_s", F.greatest(F.lit(LEAST), F.least(F.when(F.col("interval_s") == 0, BASE).otherwise(F.col("interval_s")), F.col("cap_s"))))
+
+
+def decisions(states: DataFrame, now: dt.datetime) -> DataFrame:
+    """Adds polls and reason: who is polled now, and why not."""
+    age, demand = _age("last_polled", now), F.col("trigger") == "demand"
+    reason = F.when(~F.col("has_scope"), "scope_missing").when(demand & (age < DEMAND_AGE), "recently_polled").when(~demand & (age < F.col("live_s")), "not_due")
+    return with_caps(states, now).withColumn("reason", reason).withColumn("polls", F.col("reason").isNull())
+
+
+def after_polls(polls: DataFrame, window: int, now: dt.datetime) -> DataFrame:
+    """The states after a poll each (ok, seen, new and resumed beside the state)."""
+    full, near = F.col("seen") >= window, F.col("seen") >= max(1, round(window * NEAR_FULL))
+    nothing = F.col("ok") & ~near & (F.col("new") == 0)
+    next_s = F.when(~F.col("ok"), F.col("live_s")).when(full, LEAST).when(near, F.floor(F.col("live_s") / 2)).when(F.col("new") > 0, BASE).otherwise(backoffs(F.col("empty") + 1))
+    gap = F.when(~F.col("ok") | near & ~full, F.col("gap")).when(full, F.col("gap") | F.col("resumed")).otherwise(False)
+    empty = F.when(nothing, F.col("empty") + 1).when(F.col("ok"), 0).otherwise(F.col("empty"))
+    return with_caps(polls, now).withColumns({"interval_s": F.greatest(F.lit(LEAST), F.least(next_s, F.col("cap_s"))).cast("long"), "gap": gap, "empty": empty.cast("long")})
+
+
+def healths(states: DataFrame, now: dt.datetime) -> DataFrame:
+    """Adds health: healthy, overdue, or null for who was never polled."""
+    age = _age("last_polled", now)
+    return with_caps(states, now).withColumn("health", F.when(age <= F.col("live_s") * SLACK, "healthy").when(age.isNotNull(), "overdue"))
+
+
+def next_runs(plans: DataFrame) -> DataFrame:
+    """Adds next_run, in UTC, to schedules: since (UTC), minute, hour, day_of_week (0 is Sunday, or null), interval_minutes (or null) and timezone."""
+    minute = lambda t: F.date_trunc("minute", t.cast("timestamp_ntz"))
+    local = F.from_utc_timestamp(F.col("since").cast("timestamp"), F.col("timezone"))
+    day = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.date_add(F.to_date(local), k))
+    fits = F.filter(day, lambda d: F.col("day_of_week").isNull() | (F.dayofweek(d) - 1 == F.col("day_of_week") % 7))
+    at = F.transform(fits, lambda d: F.to_utc_timestamp(F.timestamp_seconds(F.unix_seconds(d.cast("timestamp")) + F.col("hour") * 3600 + F.col("minute") * 60), F.col("timezone")))
+    clock = F.array_min(F.filter(at, lambda t: t > F.col("since").cast("timestamp")))
+    every = F.timestamp_seconds(F.unix_seconds(F.col("since").cast("timestamp")) + F.col("interval_minutes") * 60)
+    return plans.withColumn("next_run", minute(F.when(F.col("interval_minutes").isNotNull(), every).otherwise(clock)).cast("timestamp_ntz"))

@@ -2,9 +2,13 @@
 
 Late data may be of any age, so there is no watermark: a batch names its days, and plays anchored in them are projected
 anew from the ledger and take the place of those that were anchored there. Plays are partitioned by the day of their anchor
-(their earliest start), the same day by which they are projected, so that a batch never touches a play of another day; a
-touched day that has no play any more is removed. The ledger is partitioned by the day of the stamp, so that a batch reads
-the days around its own and no others. A batch that runs twice gives the same tables.
+(their earliest start), the same day by which they are projected, so that a batch never touches a play of another day. The
+ledger is partitioned by the day of the stamp, so that a batch reads the days around its own and no others. A batch that runs
+twice gives the same tables.
+
+A batch writes its days as a new version beside the old ones, and a manifest that says which version of each day counts;
+renaming that file into place is the commit. So a reader sees the plays before a batch or after it, whole, and a batch that
+breaks off leaves what was there. Versions that neither this manifest nor the one before names are removed.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracklight.operators.projection import REACH, affected_days, project, project_days
-from tracklight.sources.scratch import folder
+from tracklight.sources.scratch import Scope
+from tracklight.sources.sinks import first_of_key
 
 
 def _path(spark: SparkSession, path: str):
@@ -39,34 +44,71 @@ def touched_days(stamps: DataFrame) -> DataFrame:
     return affected_days(stamps.select("played_at")).union(affected_days(later)).distinct()
 
 
-def _replace_days(new: DataFrame, days: DataFrame, plays: str) -> None:
-    """Puts the plays of these days in place of those that are there. They are staged first, so that they are computed once; days left without any are removed after that, one folder each."""
-    spark, staging = new.sparkSession, folder(new.sparkSession)
-    new.write.parquet(staging)
-    staged = spark.read.schema(new.schema).parquet(staging)
-    staged.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(plays)
-    left = spark.read.schema(new.schema).parquet(plays).join(F.broadcast(days), "day", "left_semi").select("day").distinct()
-    for r in left.join(staged.select("day").distinct(), "day", "left_anti").collect():
-        p, store = _path(spark, f"{plays}/day={r.day}")
-        store.delete(p, True)
-    p, store = _path(spark, staging)
-    store.delete(p, True)
+def _manifests(spark: SparkSession, plays: str) -> list[int]:
+    """The numbers of the manifests that were put in place."""
+    p, store = _path(spark, f"{plays}/manifests")
+    names = [x.getPath().getName() for x in store.listStatus(p)] if store.exists(p) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _manifest(spark: SparkSession, plays: str, number: int) -> dict[str, int]:
+    """The version of each day."""
+    rows = spark.read.text(f"{plays}/manifests/{number}").collect()  # a line for each day of history
+    return {day: int(version) for day, version in (r.value.split() for r in rows)}
+
+
+def _commit(spark: SparkSession, plays: str, number: int, days: dict[str, int]) -> None:
+    p, store = _path(spark, f"{plays}/manifests/_new-{number}")
+    out = store.create(p, True)
+    out.write(bytearray("".join(f"{d} {v}\n" for d, v in sorted(days.items())).encode()))
+    out.close()
+    if not store.rename(p, _path(spark, f"{plays}/manifests/{number}")[0]):
+        raise RuntimeError(f"another batch has committed version {number} of {plays}")
+
+
+def _put(new: DataFrame, plays: str, replaced: list[str] | None) -> None:
+    """Makes the plays (with day) the ones of their days; replaced names the days whose earlier plays go, all of them by default."""
+    spark, known = new.sparkSession, _manifests(new.sparkSession, plays)
+    number = known[-1] + 1 if known else 1
+    new.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{plays}/data/version={number}")
+    p, store = _path(spark, f"{plays}/data/version={number}")
+    written = {n.removeprefix("day=") for n in (x.getPath().getName() for x in store.listStatus(p)) if n.startswith("day=")}
+    before = _manifest(spark, plays, known[-1]) if known else {}
+    days = {d: v for d, v in before.items() if replaced is not None and d not in replaced} | dict.fromkeys(written, number)
+    _commit(spark, plays, number, days)
+    kept = {(d, v) for m in (days, before) for d, v in m.items()}
+    for d, v in {x for m in known[:-1] for x in _manifest(spark, plays, m).items()} - kept:
+        store.delete(_path(spark, f"{plays}/data/version={v}/day={d}")[0], True)
+    for m in known[:-1]:
+        store.delete(_path(spark, f"{plays}/manifests/{m}")[0], True)
+
+
+def read_plays(spark: SparkSession, plays: str) -> DataFrame:
+    """The plays that the newest manifest names; none, without columns, before the first one."""
+    known = _manifests(spark, plays)
+    days = _manifest(spark, plays, known[-1]) if known else {}
+    if not days:
+        return spark.createDataFrame([], "day date")
+    current = spark.createDataFrame(list(days.items()), "day string, version int").select(F.to_date("day").alias("day"), "version")
+    return spark.read.option("basePath", f"{plays}/data").parquet(*[f"{plays}/data/version={v}" for v in sorted(set(days.values()))]).join(F.broadcast(current), ["day", "version"], "left_semi").drop("version")
 
 
 def apply_batch(batch: DataFrame, ledger: str, plays: str, batch_id: int = 0) -> None:
-    """Appends the batch's new observations to the ledger (by day and batch, so that a repeated batch replaces itself) and rewrites the days of plays that it touches."""
-    spark = batch.sparkSession
-    stamped = batch.dropDuplicates(["id"]).withColumn("day", F.to_date("played_at")).withColumn("batch", F.lit(batch_id))
-    known = _read(spark, ledger, stamped).where(F.col("batch") != batch_id)
-    fresh = stamped.join(known.join(stamped.select("day").distinct(), "day", "left_semi").select("id"), "id", "left_anti")
-    fresh.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(ledger)
-    everything = spark.read.schema(stamped.schema).parquet(ledger)
-    days = touched_days(everything.where(F.col("batch") == batch_id)).cache()
-    # the days on either side too, as in project_days; here they prune the ledger's folders
-    near = days.select(F.explode(F.array(F.date_sub("day", 1), F.col("day"), F.date_add("day", 1))).alias("day")).distinct()
-    observations = everything.join(F.broadcast(near), "day", "left_semi").select(*batch.columns)  # a row for each day
-    _replace_days(with_day(project_days(observations, days)), days, plays)
-    days.unpersist()
+    """Appends the batch's new observations to the ledger (by day and batch, so that a repeated batch replaces itself) and puts the days of plays that it touches. Its own tables are removed."""
+    spark, scope = batch.sparkSession, Scope(batch.sparkSession)
+    try:
+        stamped = first_of_key(batch, ["id"]).withColumn("day", F.to_date("played_at")).withColumn("batch", F.lit(batch_id))
+        known = _read(spark, ledger, stamped).where(F.col("batch") != batch_id)
+        fresh = stamped.join(known.join(stamped.select("day").distinct(), "day", "left_semi").select("id"), "id", "left_anti")
+        fresh.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(ledger)
+        everything = spark.read.schema(stamped.schema).parquet(ledger)
+        days = scope.written(touched_days(everything.where(F.col("batch") == batch_id)))
+        # the days on either side too, as in project_days; here they prune the ledger's folders
+        near = days.select(F.explode(F.array(F.date_sub("day", 1), F.col("day"), F.date_add("day", 1))).alias("day")).distinct()
+        observations = everything.join(F.broadcast(near), "day", "left_semi").select(*batch.columns)  # a row for each day
+        _put(with_day(project_days(observations, days, scope)), plays, [str(r.day) for r in days.collect()])
+    finally:
+        scope.drop()
 
 
 def start(spark: SparkSession, incoming: str, schema, ledger: str, plays: str, checkpoint: str) -> StreamingQuery:
@@ -76,5 +118,9 @@ def start(spark: SparkSession, incoming: str, schema, ledger: str, plays: str, c
 
 
 def rebuild(observations: DataFrame, plays: str) -> None:
-    """The whole history, by day."""
-    with_day(project(observations)).write.mode("overwrite").partitionBy("day").parquet(plays)
+    """The whole history, by day, in place of what is there."""
+    scope = Scope(observations.sparkSession)
+    try:
+        _put(with_day(project(observations, scope)), plays, None)
+    finally:
+        scope.drop()
