@@ -178,7 +178,7 @@ def same_channel(observations: DataFrame, scope: Scope | None = None) -> DataFra
     whole, first = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("at_us", "id")
     spans = chained.withColumns({"head": F.first("id").over(first), "_too_long": F.max("end_us").over(whole) - F.first("start_us").over(first) > ISLAND_SPAN * US})
     cut = per_group(spans.where("_too_long and channel is not null").select(*by, *SEGMENT), by, ["at_us", "id"], _cut_chain, "id long, own_head long")
-    parts = scope.written(spans.join(cut, "id", "left").select(*SEGMENT, *CHANNEL_KEYS, F.coalesce("own_head", "head").alias("head")))
+    parts = spans.join(cut, "id", "left").select(*SEGMENT, *CHANNEL_KEYS, F.coalesce("own_head", "head").alias("head"))
     island = Window.partitionBy(*CHANNEL_KEYS, "head")
     of_head = lambda c: F.max(F.when(F.col("id") == F.col("head"), F.col(c))).over(island)
     several = F.count(F.lit(1)).over(island) > 1
@@ -186,7 +186,7 @@ def same_channel(observations: DataFrame, scope: Scope | None = None) -> DataFra
     listed = parts.withColumns({"unit_ms": ms, "unit_start_us": of_head("start_us"), "_several": several, "_at": of_head("at_us")})
     at = F.when(~F.col("_several"), F.col("_at")).when(F.col("stamps_end"), F.col("unit_start_us") + F.col("unit_ms") * 1000).otherwise(F.col("unit_start_us"))
     role = F.when(F.col("id") == F.col("head"), "unit").otherwise("segment")
-    units = listed.select("id", F.col("head").alias("unit"), role.alias("role"), "unit_ms", at.alias("unit_at_us"), "unit_start_us")
+    units = scope.written(listed.select("id", F.col("head").alias("unit"), role.alias("role"), "unit_ms", at.alias("unit_at_us"), "unit_start_us"))
     copies = twins.join(units.withColumnRenamed("id", "kept"), "kept").select("id", "unit", F.lit("duplicate").alias("role"), "unit_ms", "unit_at_us", "unit_start_us")
     return units.unionByName(copies)
 
@@ -257,10 +257,10 @@ def group(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
     """
     scope = scope or Scope(observations.sparkSession)
     full = with_start(with_channel(observations))
-    units = scope.written(same_channel(full, scope))
+    units = same_channel(full, scope)
     heads = full.join(units.where("role = 'unit'").select("id", "unit_ms", "unit_start_us"), "id")
     heads = heads.withColumns({"start_us": F.col("unit_start_us"), "bridge": bridge_key(F.col("artist_name"), F.col("track_name"))})
-    heads = heads.select("user_id", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable")
+    heads = scope.written(heads.select("user_id", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable"))
     plays = nearest_first(candidate_pairs(heads), scope)
     return units.join(plays, "unit", "left").select("id", "unit", "role", F.coalesce("play", "unit").alias("play"), "unit_ms", "unit_start_us")
 
