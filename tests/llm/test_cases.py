@@ -42,7 +42,20 @@ def test_sharding_cuts_no_more_links_than_it_must(spark):
     moved = sharding.shard(docs, 8, links=links).collect()
     still = sharding.shard(docs, 8, links=links, rounds=0).collect()
     assert sorted(Counter(x.shard for x in moved).values()) == [50] * 8
-    assert cut(still) > 0.8 and cut(moved) < 0.25
+    assert cut(still) > 0.8 and cut(moved) < 0.1
+
+
+@pytest.mark.parametrize("size", [2, 4, 20])
+def test_groups_that_fit_are_not_cut(spark, size):
+    """All rows in groups of equal size, of which each shard holds a whole number."""
+    docs = rows_of(spark, [(k, f"text {k}") for k in range(1600)])
+    links = spark.createDataFrame([(k, k * 7919 % 1600 // size) for k in range(1600)], "doc_id long, key long")
+    rows = sharding.shard(docs, 8, links=links).collect()
+    assert sorted(Counter(x.shard for x in rows).values()) == [200] * 8
+    home = defaultdict(set)
+    for x in rows:
+        home[x.doc_id * 7919 % 1600 // size].add(x.shard)
+    assert all(len(v) == 1 for v in home.values())
 
 
 def test_sharding_of_shared_ids_and_more_columns(spark, empty):

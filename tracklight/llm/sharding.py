@@ -3,16 +3,17 @@
 Law of the sizes: `rows`; the shards' counts differ by one at most. Documents are linked by equal texts, or by any table
 of (doc_id, key) pairs in which equal keys link documents. Each linked row starts in a shard of its own; in each round the
 rows of a key vote for the shard that holds most of them, each row follows its heaviest key, and a shard takes no more
-rows than it has room for (a key's rows move or wait together, by a hash against the room's share of the demand). A key
+rows than it has room for (a key's rows move or wait together, by a hash against the room's share of the demand). A last
+round has no quota, so that every key comes together; what is too much in a shard then leaves it key by key, in order, and
+fills the room of others in the same order, so that a key is cut only where a shard is full, once for each shard at most. A key
 with more rows than a quarter of a shard is split into blocks of about that size, so that it is spread over as few shards
-as its size needs and no task or vote gathers it. At the end rows over quota leave, and rows without links fill up each
-shard exactly.
+as its size needs and no task or vote gathers it. Rows without links fill up each shard exactly.
 
 Everything is DataFrame operations on slim rows: texts are read once and never shuffled. What reaches the driver are
 counts for each shard; the table of row offsets that is broadcast has a row for each partition of a sort.
 
 Null texts have size 16 and a null checksum and link to nothing; empty texts are equal texts. Repeated rows are placed
-each. With fewer rows than shards some shards stay empty. Extra columns are ignored.
+each. With fewer rows than shards some shards stay empty, and an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,10 +57,10 @@ def _spread(*cols) -> Column:
 
 
 def propagate(members: DataFrame, rows: DataFrame, quota: list[int], rounds: int, scratch: Scratch) -> DataFrame:
-    """row and shard of each of rows (row), moved in rounds along members (row, key)."""
+    """row and shard of each of rows (row), moved in rounds along members (row, key); the round after the last has no quota."""
     shards = len(quota)
     labels = scratch.save(rows.select("row", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")), "labels-0")
-    for k in range(1, rounds + 1):
+    for k in range(1, rounds + 2 if rounds else 1):
         votes = members.join(labels, "row").groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
         prefer = votes.groupBy("key").agg(F.max(F.struct("n", F.xxhash64("key", "shard").alias("tie"), "shard")).alias("best")).select("key", F.col("best.n").alias("weight"), F.col("best.shard").alias("target"))
         heaviest = members.join(prefer, "key").groupBy("row").agg(F.max(F.struct("weight", "key", "target")).alias("best"))
@@ -67,8 +68,8 @@ def propagate(members: DataFrame, rows: DataFrame, quota: list[int], rounds: int
         move = wish.where("shard != target")
         load, demand, leaving = _by_shard(wish, "shard", shards), _by_shard(move, "target", shards), _by_shard(move, "shard", shards)
         if not sum(demand):
-            break
-        share = [min(1.0, max(0.0, quota[s] - load[s] + 0.5 * leaving[s]) / max(1, demand[s])) for s in range(shards)]
+            break  # every key is together
+        share = [min(1.0, max(0.0, quota[s] - load[s] + 0.5 * leaving[s]) / max(1, demand[s])) if k <= rounds else 1.0 for s in range(shards)]
         goes = (F.col("shard") != F.col("target")) & (_spread("key", F.lit(k)) < _of(share, F.col("target"), "double"))
         labels = scratch.save(wish.select("row", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard")), f"labels-{k}")
         scratch.drop(f"wish-{k}")
