@@ -110,7 +110,7 @@ class Listing:
 def list_tracks(library, as_of: dt.datetime, f: Filters = Filters(), sort_by: str = "last_played_desc", limit: int = 50, offset: int = 0, cursor: str | None = None, with_facets: bool = False, with_total: bool = True) -> Listing:
     """A page with likes, preference and tags, the total (not counted on cursor pages, nor without with_total, as that reads the whole library) and the next cursor of a full page. A cursor that is malformed or of another order falls back to the offset.
 
-    The page's rows are collected once, which its limit bounds.
+    The page's rows are collected once, which its limit bounds; so are the facets' values.
     """
     column = SORTS.get(sort_by, SORTS["last_played_desc"])[0]
     after = None
@@ -120,10 +120,15 @@ def list_tracks(library, as_of: dt.datetime, f: Filters = Filters(), sort_by: st
         except ValueError:
             after = None
         after = after if after and after.column == column else None
-    found = matching(with_totals(library.tracks, library.plays), f, library, as_of)
-    total = found.count() if with_total and not after else None
+    found, counted, scope = matching(with_totals(library.tracks, library.plays), f, library, as_of), with_total and not after, None
+    if counted or with_facets:
+        # what the total, the page and the facets are read from, so that plays are read once
+        scope = Scope(library.spark)
+        found = scope.written(found)
+    total = found.count() if counted else None
     if total == 0:
-        return Listing(found.limit(0), 0, None)
+        scope.drop()
+        return Listing(library.spark.createDataFrame([], found.schema), 0, None)
     order = [F.col(column).desc_nulls_last(), F.col("track_id").desc()] if SORTS.get(sort_by, SORTS["last_played_desc"])[1] else [F.col(column).asc_nulls_last(), "track_id"]
     own = attach(page(found, sort_by, limit, offset, after), library).orderBy(*order)
     tail = own.collect()
@@ -132,7 +137,13 @@ def list_tracks(library, as_of: dt.datetime, f: Filters = Filters(), sort_by: st
     if len(tail) == limit:
         value = tail[-1][column]
         following = encode_cursor(Cursor(column, value.isoformat(" ") if isinstance(value, dt.datetime) else value, tail[-1].track_id))
-    return Listing(rows, total, following, facets(found, library) if with_facets else None)
+    shown = None
+    if with_facets:
+        shown = facets(found, library)
+        shown = own.sparkSession.createDataFrame(shown.collect(), shown.schema)  # a row for each value
+    if scope:
+        scope.drop()
+    return Listing(rows, total, following, shown)
 
 
 def attach(rows: DataFrame, library) -> DataFrame:
@@ -146,14 +157,15 @@ def attach(rows: DataFrame, library) -> DataFrame:
 
 
 def facets(found: DataFrame, library) -> DataFrame:
-    """facet, value and n over the tracks found: preference (unrated among them), liked by any service, and connectors."""
-    ids = found.select("track_id")
-    rated = ids.join(library.preferences.select("track_id", "state"), "track_id", "left").groupBy(F.coalesce("state", F.lit("unrated")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    liked = library.likes.where("is_liked").select("track_id").distinct().withColumn("liked", F.lit(True))
-    likes = ids.join(liked, "track_id", "left").groupBy(F.when(F.col("liked"), "true").otherwise("false").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    connectors = live(library.mappings).join(ids, "track_id", "left_semi").groupBy(F.col("connector").alias("value")).agg(F.count_distinct("track_id").alias("n"))
-    parts = (("preference", rated), ("liked", likes), ("connector", connectors))
-    return reduce(DataFrame.unionByName, [p.select(F.lit(k).alias("facet"), "value", "n") for k, p in parts])
+    """facet, value and n over the tracks found: preference (unrated among them), liked by any service, and connectors. The tracks are read once: each gives a row for each of its values."""
+    states = library.preferences.groupBy("track_id").agg(F.collect_list("state").alias("_states"))
+    liked = library.likes.where("is_liked").select("track_id").distinct().withColumn("_liked", F.lit(True))
+    mapped = live(library.mappings).groupBy("track_id").agg(F.collect_set("connector").alias("_connectors"))
+    rows = found.select("track_id").join(states, "track_id", "left").join(liked, "track_id", "left").join(mapped, "track_id", "left")
+    of = lambda facet, values: F.transform(values, lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))
+    none = F.array().cast("array<string>")
+    said = F.concat(of("preference", F.coalesce("_states", F.array(F.lit("unrated")))), of("liked", F.array(F.when(F.col("_liked"), "true").otherwise("false"))), of("connector", F.coalesce("_connectors", none)))
+    return rows.select(F.inline(said)).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Event lists
