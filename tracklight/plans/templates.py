@@ -60,14 +60,14 @@ TEMPLATES: dict[str, dict] = {
     "common_ground": graph(
         "common_ground",
         a=("source.playlist", {"playlist_id": 1}, []),
-        b=("source.liked_tracks", {"connector_filter": "spotify"}, []),
-        both=("combiner.intersect_playlists", {}, ["b", "a"]),
+        b=("source.playlist", {"playlist_id": 2}, []),
+        both=("combiner.intersect_playlists", {}, ["a", "b"]),
         fits=("filter.by_duration", {"min_ms": 60_000, "max_ms": 600_000}, ["both"]),
         turned=("sorter.reverse", {}, ["fits"]),
         out=("destination.create_playlist", {"name": "Common Ground"}, ["turned"]),
     ),
     "current_obsessions": chain("current_obsessions", LIKED, HISTORY, plays(min_plays=8, played_within_days=30), ("sorter.by_play_history", {"played_within_days": 30}), first(20), create("Obsessions")),
-    "decade_deep_cuts": chain("decade_deep_cuts", LIKED, ("enricher.play_history", {"metrics": ["total_plays"]}), ("filter.by_release_year", {"min_year": 2010, "max_year": 2023}), plays(max_plays=400, include_missing=True), ("sorter.by_play_history", {"reverse": False}), first(30), create("Deep Cuts")),
+    "decade_deep_cuts": chain("decade_deep_cuts", LIKED, ("enricher.play_history", {"metrics": ["total_plays"]}), ("filter.by_release_year", {"min_year": 2010, "max_year": 2019, "include_missing": False}), plays(max_plays=4, include_missing=True), ("sorter.by_play_history", {"reverse": False}), first(30), create("Deep Cuts")),
     "latest_discovery_mix": discovery("latest_discovery_mix", range(10, 19), range(20, 24), 600, 5),
     "recent_discovery_mix": discovery("recent_discovery_mix", range(30, 39), range(40, 44), 400, 4),
     "sort_by_release_date": chain("sort_by_release_date", ("source.playlist", {"playlist_id": 3}), ("sorter.by_release_date", {}), create("By Release")),

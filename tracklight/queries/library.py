@@ -15,7 +15,7 @@ TOTALS = "(select track_id, count(*) as play_count, max(played_at) as last_playe
 LISTED = f"(select t.*, coalesce(p.play_count, 0) as play_count, p.last_played_at, p.first_played_at from tracks t left join {TOTALS} p on p.track_id = t.track_id) h"
 LIVE = "(select * from mappings where not is_retired) m"
 FILTERS = {
-    "query": (L.Filters(query="Red_"), "(title ilike '%red\\_%' escape '\\' or album ilike '%red\\_%' escape '\\')"),
+    "query": (L.Filters(query="Brand#1"), "array_to_string(artists, '|') ilike '%brand#1%'"),
     "words": (L.Filters(query="blue", min_plays=0), "title ilike '%blue%' or album ilike '%blue%'"),
     "artists": (L.Filters(query="guest 7"), "title ilike '%guest 7%' or album ilike '%guest 7%' or array_to_string(artists, ' ') ilike '%guest 7%'"),
     "liked": (L.Filters(liked=True, preference="star"), "track_id in (select track_id from likes where is_liked) and track_id in (select track_id from preferences where state = 'star')"),

@@ -407,15 +407,39 @@ def _(lib):
 # Bundled pipelines
 
 
+class Instead:
+    """A library with some tables in place of its own."""
+
+    def __init__(self, lib, **own) -> None:
+        self.lib, self.own = lib, own
+
+    def __getattr__(self, name: str):
+        return self.own[name] if name in self.own else getattr(self.lib, name)
+
+
+def shared(lib) -> Instead:
+    """Playlist 2 is all liked tracks, so that playlist 1 has tracks in common with it."""
+    liked = lib.likes.where("service = 'spotify' and is_liked").select(F.lit(2).cast("long").alias("playlist_id"), F.col("track_id").cast("long").alias("position"), "track_id", F.col("liked_at").alias("added_at"))
+    return Instead(lib, entries=lib.entries.where("playlist_id <> 2").unionByName(liked))
+
+
+def earlier(lib) -> Instead:
+    """Tracks are eight years older, so that they are of the 2010s."""
+    return Instead(lib, tracks=lib.tracks.withColumn("release_date", F.expr("release_date - interval 8 years")))
+
+
+DATA = {"common_ground": shared, "decade_deep_cuts": earlier}
+
+
 def template(name: str):
-    return lambda lib: run_template(name, Env(lib, NOW, seed=1)).result("track_id")
+    return lambda lib: run_template(name, Env(DATA.get(name, lambda x: x)(lib), NOW, seed=1)).result("track_id")
 
 
 WINDOW_N = f"case when last_at >= {T} - interval {{}} day then n else 0 end"
 SOLD = {
-    "wf_common_ground": ("common_ground", "select row_number() over (order by p desc) - 1 as position, track_id from (select track_id, duration_ms, row_number() over (order by liked_at desc nulls last, track_id) as p from " + LIKED_HISTORY + ") z where track_id in (select track_id from entries where playlist_id = 1) and duration_ms between 60000 and 600000"),
+    "wf_common_ground": ("common_ground", f"select row_number() over (order by e.position desc) - 1 as position, t.track_id from entries e join tracks t on t.track_id = e.track_id where e.playlist_id = 1 and t.track_id in (select track_id from {LIKED}) and t.duration_ms between 60000 and 600000"),
     "wf_current_obsessions": ("current_obsessions", placed(WINDOW_N.format(30) + " desc, liked_at desc, track_id", LIKED_HISTORY, f"n >= 8 and last_at >= {T} - interval 30 day", limit=20)),
-    "wf_decade_deep_cuts": ("decade_deep_cuts", placed("n, liked_at desc, track_id", LIKED_HISTORY, "year(release_date) between 2010 and 2023 and n <= 400", limit=30)),
+    "wf_decade_deep_cuts": ("decade_deep_cuts", placed("n, liked_at desc, track_id", LIKED_HISTORY, "year(release_date - interval 8 year) between 2010 and 2019 and n <= 4", limit=30)),
     "wf_forgotten_favorites": ("forgotten_favorites", placed("first_at nulls last, liked_at desc, track_id", LIKED_HISTORY, f"n >= 5 and last_at < {T} - interval 1 day", limit=30)),
     "wf_hidden_gems": ("hidden_gems", placed("n desc, liked_at desc, track_id", LIKED_HISTORY, f"n >= 3 and last_at < {T} - interval 1 day", limit=25)),
     "wf_liked_tracks_hidden_gems": ("liked_tracks_hidden_gems", placed("n, liked_at desc, track_id", LIKED_HISTORY, f"n >= 3 and last_at < {T} - interval 1 day", limit=25)),
