@@ -407,6 +407,12 @@ def test_neighbours_recall_and_scores(spark):
         hits += len({v for v, _, _ in found[q]} & set(np.argsort(-s)[:5].tolist()))
         assert [k for _, _, k in found[q]] == [1, 2, 3, 4, 5] and all(abs(c - s[v]) < 1e-12 for v, c, _ in found[q])
     assert hits >= 0.9 * 150 and set(found) == set(range(0, 1500, 50))
+    assert ann.recall(df, df.where("vec_id % 50 = 0"), asked=30) == pytest.approx(hits / 150, abs=0.02)
+    exact = {(r.query_id, r.rank): r.vec_id for r in ann.search(df, df.where("vec_id % 300 = 0"), exact=True).collect()}
+    for q in range(0, 1500, 300):
+        s = unit @ unit[q]
+        s[q] = -2
+        assert [exact[q, k + 1] for k in range(5)] == np.argsort(-s)[:5].tolist()
 
 
 def test_neighbours_ties_few_rows_and_blocks(spark, monkeypatch):

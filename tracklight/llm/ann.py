@@ -5,9 +5,11 @@ directions gives each vector one number, and each block of vectors keeps those n
 query looks at the LOOKED directions in which its own number is farthest out: few vectors lie there, and its neighbours are
 over-represented among them. Its window lies around its own number and is widened step by step (virtual rehashing, each step
 counts only what is new in it); a vector inside the windows of at least THRESHOLD of these directions collides often enough
-to be verified by its exact cosine in double precision. Windows stop growing once a block has verified its part of CANDIDATES
-times the square root of the number of vectors, so the verified share falls as the table grows; a block of fewer is
-verified whole.
+to be verified by its exact cosine in double precision. Windows grow until no nearer vector is likely to be left out: in a direction
+where the query's number is a, a vector of cosine c has c a and a normal deviate of variance 1 - c^2 for its own, so the chance is
+known with which one as near as the query's k-th best so far would have collided often enough, and that must be CONFIDENCE.
+There is no budget of candidates and no size at which this changes. With exact=True every vector is verified; `recall` compares
+both on some of the queries.
 
 Of equal vectors only the k + 1 of smallest ids are looked at, and of equal rows k, as no others can be among a query's k
 nearest; so a vector that a third of all rows repeat is no hot spot. Rows are dealt to blocks by a hash, and blocks are bounded in numbers (BLOCK of
@@ -24,6 +26,7 @@ the smaller vec_id. Repeated rows are found repeatedly. Extra columns are ignore
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +36,11 @@ from pyspark.sql import functions as F
 
 from tracklight.llm.common import slices
 
-PROJECTIONS, LOOKED, THRESHOLD, CANDIDATES = 512, 64, 0.25, 4.0
+PROJECTIONS, LOOKED, THRESHOLD = 512, 64, 0.25
+#: The chance with which a vector as near as the k-th found has been verified.
+CONFIDENCE = 0.98
 #: The first half-width of a window, and the factor by which it grows; numbers of unit vectors spread with deviation 1.
-HALF, GROWTH = 0.7, 1.15
+HALF, GROWTH = 0.3, 1.15
 #: Numbers of a block's vectors, at most; a vector of more is a block of its own.
 BLOCK = 1 << 20
 SEED = 20_240_607
@@ -66,26 +71,27 @@ class Arrays:
     def _numbers(self, vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
         return (vectors / norms[:, None]).astype(np.float32) @ self.directions
 
-    def nearest(self, own: np.ndarray, queries: np.ndarray, k: int, want: int) -> list[tuple[int, int, float]]:
-        """(query's id, vector's id, cosine) of up to k vectors for each query, of at least `want` verified ones."""
+    def nearest(self, own: np.ndarray, queries: np.ndarray, k: int, exact: bool) -> list[tuple[int, int, float]]:
+        """(query's id, vector's id, cosine) of up to k vectors for each query."""
         queries, lengths = scaled(queries)
         at, out = self._numbers(queries, lengths), []
         for q, (query_id, query, length) in enumerate(zip(own, queries, lengths, strict=True)):
-            found = self._colliding(at[q], want + 1)
-            found = found[self.ids[found] != query_id]
-            near = self.vectors[found]
-            cosines = (near * query).sum(1) / (self.norms[found] * length)
+            found, cosines = np.zeros(0, np.int64), np.zeros(0)
+            for more, half, looked in [(np.arange(len(self.ids)), np.inf, None)] if exact else self._colliding(at[q]):
+                more = more[self.ids[more] != query_id]
+                found = np.concatenate([found, more])
+                cosines = np.concatenate([cosines, (self.vectors[more] * query).sum(1) / (self.norms[more] * length)])
+                if len(found) >= k and half < np.inf and collides(np.abs(at[q][looked]), float(np.partition(cosines, -k)[-k]), half) >= CONFIDENCE:
+                    break
             out += [(int(query_id), int(self.ids[found[b]]), float(cosines[b])) for b in np.lexsort((self.ids[found], -cosines))[:k]]
         return out
 
-    def _colliding(self, at: np.ndarray, want: int) -> np.ndarray:
-        """The vectors in the windows of enough directions, once they are `want` or all."""
+    def _colliding(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, float, np.ndarray]]:
+        """As windows grow, the vectors that have come to be in those of enough directions, the half-width and the directions; at last all that are left."""
         n = len(self.ids)
-        if want >= n:
-            return np.arange(n)
         looked = np.argsort(-np.abs(at), kind="stable")[:LOOKED]
         low = np.array([np.searchsorted(self.sorted[j], at[j]) for j in looked])
-        high, counts, half = low.copy(), np.zeros(n, np.int64), HALF
+        high, counts, known, half = low.copy(), np.zeros(n, np.int64), np.zeros(n, bool), HALF
         while True:
             rings = []
             for k, j in enumerate(looked):
@@ -93,16 +99,27 @@ class Arrays:
                 rings += [self.order[j, a : low[k]], self.order[j, high[k] : b]]
                 low[k], high[k] = min(a, low[k]), max(b, high[k])
             counts += np.bincount(np.concatenate(rings), minlength=n)
-            found = np.flatnonzero(counts >= THRESHOLD * LOOKED)
-            if len(found) >= want:
-                return found
+            found = (counts >= THRESHOLD * LOOKED) & ~known
+            known |= found
+            if known.all() or (high - low).min() == n:
+                yield np.flatnonzero(found | ~known), np.inf, looked
+                return
+            yield np.flatnonzero(found), half, looked
             half *= GROWTH
 
 
+def collides(at: np.ndarray, cosine: float, half: float) -> float:
+    """The chance with which a vector of this cosine with the query is within half of the query's numbers (their sizes: at) in THRESHOLD of the directions: they are independent, and their sum is close to normal."""
+    spread = math.sqrt(max(1 - cosine * cosine, 1e-12))
+    share = np.array([math.erf((half - (1 - cosine) * a) / (spread * math.sqrt(2))) - math.erf((-half - (1 - cosine) * a) / (spread * math.sqrt(2))) for a in at]) / 2
+    deviation = math.sqrt(max(float((share * (1 - share)).sum()), 1e-12))
+    return 0.5 * (1 + math.erf((float(share.sum()) - THRESHOLD * len(at) + 0.5) / (deviation * math.sqrt(2))))
+
+
 FOUND = "query_id long, vec_id long, score double"
 
 
-def _searched(rows: DataFrame, k: int, share: float) -> DataFrame:
+def _searched(rows: DataFrame, k: int, exact: bool) -> DataFrame:
     """Each block's best for each query, from rows of block, dimension, asks, vec_id and v: a block's vectors come before the queries that meet it."""
     kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -127,7 +144,7 @@ def _searched(rows: DataFrame, k: int, share: float) -> DataFrame:
                     vectors.append(part.copy())
                 elif ids:
                     arrays = arrays or Arrays(np.concatenate(ids), np.concatenate(vectors))
-                    found = arrays.nearest(vec_ids[start:end], part, k, max(k, int(np.ceil(share * len(arrays.ids)))))
+                    found = arrays.nearest(vec_ids[start:end], part, k, exact)
                     columns = zip(*found, strict=True) if found else ([], [], [])
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
                 start = end
@@ -136,20 +153,28 @@ def _searched(rows: DataFrame, k: int, share: float) -> DataFrame:
     return dealt.select("block", "dimension", "asks", "vec_id", "v").mapInArrow(run, FOUND)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", column: str = "embedding", exact: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id and score, the cosine, of each query's k nearest found."""
     named = lambda df: df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & valid(F.col("v")))
     rows = named(vectors)
     asked = named(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    total, numbers = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    numbers = rows.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-numbers // BLOCK))
-    share = CANDIDATES / max(1, total) ** 0.5
     smallest = Window.partitionBy("v").orderBy("vec_id")
     # k repeats of a row, and k + 1 ids of a vector, are all that can be among a query's k nearest
     few = rows.groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("times")).withColumn("copy", F.row_number().over(smallest)).where(F.col("copy") <= k + 1)
     few = few.select("v", "vec_id", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))).alias("repeat"))
     data = few.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
     ask = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
-    found = _searched(data.unionByName(ask).withColumn("dimension", F.size("v")), k, share)
+    found = _searched(data.unionByName(ask).withColumn("dimension", F.size("v")), k, exact)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def recall(vectors: DataFrame, queries: DataFrame, k: int = 5, asked: int = 50, **named) -> float:
+    """The share of the k nearest that a search finds, over this many of the queries (by a hash of their ids), against a search that verifies every vector; 1 without any."""
+    id_column = named.get("id_column", "vec_id")
+    some = queries.orderBy(F.xxhash64(id_column), id_column).limit(asked)
+    found, truth = (search(vectors, some, k, exact=e, **named).select("query_id", "vec_id", "rank") for e in (False, True))
+    hits = truth.join(found.select("query_id", "vec_id").distinct(), ["query_id", "vec_id"], "left_semi").count()
+    return hits / total if (total := truth.count()) else 1.0
