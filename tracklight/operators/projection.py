@@ -326,6 +326,22 @@ def refresh_aggregates(tracks: DataFrame, plays: DataFrame) -> DataFrame:
     return tracks.select("track_id").join(found, "track_id", "left").withColumn("play_count", F.coalesce("play_count", F.lit(0)))
 
 
+def day_aggregates(plays: DataFrame) -> DataFrame:
+    """play_count, first_played_at and last_played_at of each track and day (of plays with a day, or of played_at)."""
+    day = F.col("day") if "day" in plays.columns else F.to_date("played_at")
+    return plays.groupBy("track_id", day.alias("day")).agg(F.count(F.lit(1)).alias("play_count"), F.min("played_at").alias("first_played_at"), F.max("played_at").alias("last_played_at"))
+
+
+def merged_aggregates(totals: DataFrame, by_day: DataFrame, plays: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The aggregates of tracks, and those by day, after these days (day) got these plays in place of the ones before. Only tracks that a replaced or a new day has are summed anew, from their days and not from their plays; a track without plays any more has no row."""
+    fresh = day_aggregates(plays)
+    gone = by_day.join(days, "day", "left_semi")
+    now = by_day.join(days, "day", "left_anti").unionByName(fresh)
+    touched = gone.select("track_id").union(fresh.select("track_id")).distinct()
+    again = now.join(touched, "track_id", "left_semi").groupBy("track_id").agg(F.sum("play_count").alias("play_count"), F.min("first_played_at").alias("first_played_at"), F.max("last_played_at").alias("last_played_at"))
+    return totals.join(touched, "track_id", "left_anti").unionByName(again), now
+
+
 # Admission
 
 
