@@ -7,7 +7,9 @@ ranks as the token that it makes, so the merges are derived from the ranks thems
 Decoding looks up the characters of each id and reverses the byte table, so a character whose bytes lie in several tokens
 comes out whole, and ids that end inside a character still give their exact bytes.
 
-Nulls count as empty texts; an empty text has no ids. Repeated rows give repeated results, other columns are kept.
+Nulls count as empty texts; an empty text has no ids. Very long texts are encoded whole, a bounded number of characters at once
+otherwise. Repeated rows give repeated results, an empty table none. Other columns are kept, but those named as a result (ids,
+n_tokens, decodes, bytes, starts, ends and so on, in any case) are replaced.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ never emitted. Classes are the connected components of all edges.
 
 Texts are shuffled once, for the documents that have a candidate; otherwise slim rows are.
 
-Null and empty texts have no shingles, link to nothing and are classes of their own; texts of less than five words are
+doc_id is an integer; it is cast to long. Of very long texts all shingles are hashed, one text at a time; an empty table gives
+no rows. Null and empty texts have no shingles, link to nothing and are classes of their own; texts of less than five words are
 one shingle. Repeated rows are copies of each other. Rows that share a doc_id but not a text are told apart by class_no, and by
 text_hash where that is null; class_id, a doc_id, can't tell their classes apart. Rows with a null doc_id take no part:
 their class is null, and they have no links. Extra columns are dropped.

@@ -12,7 +12,7 @@ the pseudo-labels of the rounds. The search for these goes over every document:
 folder once and scored in each round where they lie; only the best of each task leave it. All documents are scored, over
 their whole texts.
 
-Null texts count as empty, null languages, sources and lengths as values of their own. Without labels of both kinds every
+Very long texts are read whole, a document at a time, and an empty table gives no rows. Null texts count as empty, null languages, sources and lengths as values of their own. Without labels of both kinds every
 document is accepted with probability 1. Rows of labels with nulls teach nothing; of several labels of a document the
 highest holds. Repeated rows get equal scores; columns stay, but those named content, metadata, score or accepted are replaced.
 """

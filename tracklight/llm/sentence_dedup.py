@@ -9,6 +9,7 @@ position, stays, and every sentence under any other place of a repeated span is
 Only hashes and places are shuffled for the search: counting combines in each task first, so a passage in a third of all
 documents is no hot key there; the join of places with repeated spans may split hot keys (adaptive skew join).
 
+doc_id is an integer; it is cast to long. Very long texts are cut whole, one at a time; an empty table gives no rows.
 Null texts stay null and empty ones empty. Texts without a whole span are left alone. A place belongs to a doc_id and a
 text (told apart by a 64-bit hash), so rows that share a doc_id but not a text have places of their own; the same span there
 goes from all but the one of smallest hash. Rows with equal doc_id and text count as one place, so such rows stay alike. Rows
