@@ -1,4 +1,10 @@
-"""A corpus pipeline: quality, near copies, benchmark leaks, secrets, tokens. Each stage's result is written and read again as the next one's documents."""
+"""A corpus pipeline: quality, near copies, benchmark leaks, secrets, tokens. Each stage's result is written and read again as the next one's documents.
+
+Null and empty texts count as empty in every stage: they are judged like others, are no near copies of each other, leak and hide
+nothing and have no tokens. Rows with a null doc_id stay in all stages but the first, which judges them like others. Repeated rows are
+copies, of which one stays. Very long texts are worked off whole. Empty tables give empty results. Columns of documents stay as
+they are, others too, but those that the last stage adds (ids, n_tokens, decodes) are replaced.
+"""
 
 from __future__ import annotations
 
