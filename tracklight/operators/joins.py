@@ -1,6 +1,6 @@
 """Joins by ranges of time, which Spark has no operator of its own for.
 
-Times fall into bins as wide as the range reaches; a row meets the rows of its bin and its neighbours by an equi-join, and
+Times fall into bins as wide as the range, so that a row's range lies in one bin or two; it meets their rows by an equi-join, and
 the exact condition follows. Rows without a partner are added back where they are to stay.
 """
 
@@ -14,10 +14,10 @@ from tracklight.functions.scalars import micros
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, before_s: float, after_s: float, condition: Column | None = None) -> DataFrame:
     """Pairs of equal keys with right_time - left_time from -before_s to after_s seconds, and delta_s. Columns other than keys must differ in name."""
-    width = int(max(1, before_s, after_s) * 1_000_000)
-    bin = lambda c: F.floor(micros(F.col(c)) / width)
-    l = left.withColumn("_bin", F.explode(F.array(bin(left_time) - 1, bin(left_time), bin(left_time) + 1)))
-    both = l.join(right.withColumn("_bin", bin(right_time)), [*keys, "_bin"]).drop("_bin")
+    width = int(max(1, before_s + after_s) * 1_000_000)
+    bin = lambda c, shift_s=0: F.floor((micros(F.col(c)) + int(shift_s * 1_000_000)) / width)
+    bins = F.array_distinct(F.array(bin(left_time, -before_s), bin(left_time, after_s)))
+    both = left.withColumn("_bin", F.explode(bins)).join(right.withColumn("_bin", bin(right_time)), [*keys, "_bin"]).drop("_bin")
     delta = (micros(F.col(right_time)) - micros(F.col(left_time))) / 1_000_000
     out = both.withColumn("delta_s", delta).where(F.col("delta_s").between(-before_s, after_s))
     return out if condition is None else out.where(condition)
