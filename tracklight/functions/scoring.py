@@ -31,19 +31,22 @@ class Settings:
 DEFAULT = Settings()
 
 
+def varies(long: Column, short: Column) -> Column:
+    """Whether what a lower-case title has beside the one it holds has a version marker."""
+    rest = F.trim(F.regexp_replace(F.replace(long, short, F.lit("")), r"^[- ()\[\]]+|[- ()\[\]]+$", ""))
+    return rest.rlike("|".join(text.VARIATIONS))
+
+
 def title_similarity(a: Column, b: Column, norm_a: Column, norm_b: Column, key_a: Column, key_b: Column, s: Settings = DEFAULT) -> Column:
     """1 for equal titles, `variation` where one holds the other and a version marker, 1 for equal normal forms, `phonetic` for equal non-empty keys, else the word-set ratio.
 
     Normal forms and keys are passed in, so that each text is normalised once and not once a pair.
     """
     low_a, low_b = F.lower(a), F.lower(b)
-    marker = "|".join(text.VARIATIONS)
-    rest = lambda long, short: F.trim(F.regexp_replace(F.replace(long, short, F.lit("")), r"^[- ()\[\]]+|[- ()\[\]]+$", ""))
-    held = lambda long, short: F.contains(long, short) & rest(long, short).rlike(marker)
-    varies = F.when(F.contains(low_b, low_a), held(low_b, low_a)).otherwise(held(low_a, low_b))
+    varies_ = F.when(F.contains(low_b, low_a), varies(low_b, low_a)).otherwise(F.contains(low_a, low_b) & varies(low_a, low_b))
     return (
         F.when(low_a == low_b, F.lit(s.identical))
-        .when(varies, F.lit(s.variation))
+        .when(varies_, F.lit(s.variation))
         .when(norm_a == norm_b, F.lit(s.identical))
         .when((key_a == key_b) & (key_a != ""), F.lit(s.phonetic))
         .otherwise(text.token_set_ratio(norm_a, norm_b) / 100)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklight.functions import scoring
 from tracklight.functions.scoring import DEFAULT, Settings
-from tracklight.functions.text import normalize, phonetic_key, strip_parentheticals
+from tracklight.functions.text import VARIATIONS, normalize, phonetic_key, strip_parentheticals
+from tracklight.sources.scratch import Scope
 
 
 def prepare(records: DataFrame) -> DataFrame:
@@ -62,12 +63,12 @@ def evaluate(tracks: DataFrame, matches: DataFrame, s: Settings = DEFAULT) -> Da
 
 
 def best_by_title(references: DataFrame, candidates: DataFrame, least: float = 0.0, s: Settings = DEFAULT) -> DataFrame:
-    """reference_id, candidate_id and similarity of each reference's best candidate (reference_id, position, candidate_id, name), the first on ties, if similar enough."""
+    """reference_id, candidate_id and similarity of each reference's best candidate (reference_id, position, candidate_id, name), the first on ties (of equal positions the smallest candidate_id), if similar enough."""
     ref = references.select("reference_id", F.col("title").alias("a_title"), normalize(F.col("title")).alias("a_n"), phonetic_key("title").alias("a_k"))
     can = candidates.where("name is not null").select("reference_id", "position", "candidate_id", F.col("name").alias("b_title"), normalize(F.col("name")).alias("b_n"), phonetic_key("name").alias("b_k"))
     c = F.col
     both = ref.join(can, "reference_id").withColumn("similarity", scoring.title_similarity(c("a_title"), c("b_title"), c("a_n"), c("b_n"), c("a_k"), c("b_k"), s))
-    w = Window.partitionBy("reference_id").orderBy(c("similarity").desc(), "position")
+    w = Window.partitionBy("reference_id").orderBy(c("similarity").desc(), "position", "candidate_id")
     return both.withColumn("_n", F.row_number().over(w)).where((c("_n") == 1) & (c("similarity") >= least)).select("reference_id", "candidate_id", "similarity")
 
 
@@ -130,3 +131,132 @@ OUTCOMES = ("existing", "reused", "created", "suppressed", "failed")
 def outcome_counts(resolved: DataFrame) -> DataFrame:
     """How many identifiers had each outcome, and all of them."""
     return resolved.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES], F.count(F.lit(1)).alias("asked"))
+
+
+# The best title of a catalogue
+
+#: Similarities that are asked for one after the other; who found one so high is done.
+STEPS = (1.0, 0.85, 0.7, 0.5)
+SLACK = 1e-9
+#: By how many of its first letters a title is looked for in titles that may hold it.
+HELD = 6
+
+
+def _numbered(texts: DataFrame, width: int) -> DataFrame:
+    """The runs of width letters of each text (n, padded), numbered where they repeat, so that a set of them is a multiset of runs."""
+    text = F.col("padded")
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda k: F.substring(text, k, F.lit(width)))
+    counted = texts.select("n", F.explode(runs).alias("run")).groupBy("n", "run").agg(F.count(F.lit(1)).alias("times"))
+    numbered = counted.select("n", "run", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    return numbered.select("n", F.concat_ws("\0", "run", F.col("time").cast("string")).alias("feature"), F.lit(1).alias("weight"))
+
+
+def _features(titles: DataFrame) -> dict[str, DataFrame]:
+    """Of each different n: w (words), p (pairs of letters) and l (letters), as n, feature and weight.
+
+    With a blank on either side of each word, letters and pairs number as many as the joined words have letters, and one more.
+    """
+    words = F.array_distinct(F.filter(F.split("n", r"(?U)\s+"), lambda w: w != ""))
+    own = titles.select("n").distinct().select("n", words.alias("words")).where(F.size("words") > 0)
+    own = own.select("n", "words", F.concat(F.lit(" "), F.array_join(F.array_sort("words"), " "), F.lit(" ")).alias("padded"))
+    word = own.select("n", F.explode("words").alias("feature")).withColumn("weight", F.length("feature") + 1)
+    return {"w": word, "p": _numbered(own, 2), "l": _numbered(own.withColumn("padded", F.substr("padded", F.lit(2))), 1)}
+
+
+def _postings(features: DataFrame) -> DataFrame:
+    """n, feature, ahead (what the title's rarer features weigh) and total (what all do)."""
+    counts = features.groupBy("feature").agg(F.count(F.lit(1)).alias("_titles"))
+    w = Window.partitionBy("n")
+    order = w.orderBy("_titles", "feature").rowsBetween(Window.unboundedPreceding, -1)
+    return features.join(counts, "feature").select("n", "feature", F.coalesce(F.sum("weight").over(order), F.lit(0)).alias("ahead"), F.sum("weight").over(w).alias("total"))
+
+
+def _meet(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    return a.join(b, on).select("a_no", "b_no")
+
+
+def _by_features(a: DataFrame, b: DataFrame, postings: dict[str, DataFrame], keys: list[str], t: float) -> DataFrame:
+    """Pairs that may have a word-set ratio of t or more, none left out.
+
+    The ratio is the best of three. Two compare the words in common with all words of one side, which they must then make up
+    t / (2 - t) of: they meet in a word that is among that side's rarest, so many that the others weigh less. One compares the
+    letters of both sides: an insertion or deletion changes one letter, or three pairs of letters, so sides with so few of them
+    share so much that they meet among the rarest of both.
+    """
+    share = t / (2 - t)
+    at = lambda df, kind: df.join(postings[kind], "n").select("*", F.length("n").alias("_length"))
+    rare = lambda df, least: df.where(F.col("total") - F.col("ahead") >= least - SLACK)
+    x, y, on = at(a, "w"), at(b, "w"), [*keys, "feature"]
+    out = _meet(rare(x, share * F.col("total")), y, on).unionByName(_meet(x, rare(y, share * F.col("total")), on))
+    if t == 1:
+        return out  # as many letters in common as there are means the same words
+    kind, rate = ("p", (3 * t - 2) / (2 - t)) if t >= 0.7 else ("l", share)
+    both = [rare(at(side, kind), rate * (F.col("total") - 1) + 1).select(*keys, "feature", no, F.col("total").alias(f"_{no}")) for side, no in ((a, "a_no"), (b, "b_no"))]
+    near = both[0].join(both[1], on).where(F.least("_a_no", "_b_no") - 1 >= share * (F.greatest("_a_no", "_b_no") - 1) - SLACK)
+    return out.unionByName(near.select("a_no", "b_no"))
+
+
+def _holding(long: DataFrame, short: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of which long's title holds short's and a version marker beside it: the short one is looked up by its first letters, an empty one by none."""
+    low, held = F.col("low"), F.col("held")
+    places, no = F.sequence(F.lit(1), F.length(low)), [c for c in short.columns if c.endswith("_no")]
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(HELD)), lambda k: F.transform(places, lambda p: F.substring(low, p, k))))
+    # what is left when the held title is cut out still has the marker's letters in their order
+    marked = "|".join(".*".join(m) for m in VARIATIONS)
+    by = long.where(low.rlike(f"(?s){marked}")).withColumn("_start", F.explode(F.array_distinct(F.array_append(runs, F.lit("")))))
+    starts = short.select(*keys, *no, low.alias("held"), F.substring(low, 1, HELD).alias("_start"))
+    return by.join(starts, [*keys, "_start"]).where(F.contains(low, held) & scoring.varies(low, held)).select("a_no", "b_no")
+
+
+def best_in_catalogue(references: DataFrame, catalogue: DataFrame, keys: list[str], least: float = 0.0, s: Settings = DEFAULT) -> DataFrame:
+    """reference_id, candidate_id and similarity, as best_by_title gives them, where a reference's (reference_id, title, keys)
+    candidates are all rows of a catalogue (candidate_id, position, name, keys) with equal keys; but not all of them are looked at.
+
+    Equal titles of equal keys are one, of which the first position counts. Similarities are asked for from high to low (STEPS):
+    each time, inverted indexes of words, of pairs of letters or of letters give all pairs that may be so similar, these are
+    scored, and references that found one are done. So a pair of little similarity is scored only for references that have
+    nothing better; below 0.5 these meet most titles of their keys. Null titles, names and keys have no match; of empty titles
+    the rules are best_by_title's. Further columns play no part. The result lies in a table in the shared folder.
+    """
+    scope, work = Scope(references.sparkSession), Scope(references.sparkSession)
+    outer, keys = keys, [f"_key{k}" for k in range(len(keys))]
+    keyed = lambda df, *own: df.select(*own, *[F.col(k).alias(inner) for k, inner in zip(outer, keys, strict=True)])
+    references, catalogue = keyed(references, "reference_id", "title"), keyed(catalogue, "candidate_id", "position", "name")
+    prepared = lambda df, title: df.select(*keys, title).where(F.col(title).isNotNull()).distinct().select(*keys, F.col(title).alias("title"), F.lower(title).alias("low"), normalize(F.col(title)).alias("n"), phonetic_key(title).alias("k"))
+    firsts = catalogue.where("name is not null").groupBy(*keys, F.col("name").alias("title")).agg(F.min(F.struct("position", "candidate_id")).alias("first"))
+    a = work.written(prepared(references, "title").withColumn("a_no", F.monotonically_increasing_id()))
+    b = work.written(prepared(catalogue, "name").join(firsts, [*keys, "title"]).withColumn("b_no", F.monotonically_increasing_id()))
+    features = _features(a.select("n").unionByName(b.select("n")))
+    postings = {kind: work.written(_postings(rows)) for kind, rows in features.items()}
+    slim = ["title", "n", "k"]
+    left, found, open_ = work.written(a), [], True
+    for t in [*[t for t in STEPS if t > least], max(least, SLACK)]:
+        own, all_ = left.drop("title"), b.drop("title", "first")
+        pairs = _by_features(own.select(*keys, "n", "a_no"), all_.select(*keys, "n", "b_no"), postings, keys, t)
+        same = [c for c, value in (("low", s.identical), ("n", s.identical), ("k", s.phonetic)) if value >= t]
+        for c in same:
+            pairs = pairs.unionByName(_meet(own.where(F.col(c) != "") if c == "k" else own, all_.select(*keys, c, "b_no"), [*keys, c]))
+        if s.variation >= t:
+            x, y = own.select(*keys, "low", "a_no"), all_.select(*keys, "low", "b_no")
+            pairs = pairs.unionByName(_holding(x, y, keys)).unionByName(_holding(y, x, keys))
+        pairs = work.written(pairs.distinct())
+        sides = [df.select(no, *more, *[F.col(c).alias(f"{side}_{c}") for c in slim]) for df, no, side, more in ((a, "a_no", "a", []), (b, "b_no", "b", ["first"]))]
+        both, c = pairs.join(sides[0], "a_no").join(sides[1], "b_no"), F.col
+        scored = both.select("a_no", "first", scoring.title_similarity(c("a_title"), c("b_title"), c("a_n"), c("b_n"), c("a_k"), c("b_k"), s).alias("similarity")).where(c("similarity") >= (t if t in (least, SLACK) else t - SLACK))
+        best = scored.groupBy("a_no").agg(F.min_by(F.struct("first.candidate_id", "similarity"), F.struct(-c("similarity"), "first")).alias("best"))
+        found.append(work.written(best.select("a_no", "best.candidate_id", "best.similarity")))
+        left = work.written(left.join(found[-1], "a_no", "left_anti"))
+        if left.isEmpty():
+            open_ = False
+            break
+    if open_ and least <= 0:
+        # nothing in common with any candidate: the first of all
+        any_ = b.groupBy(*keys).agg(F.min("first").alias("first"))
+        found.append(left.join(any_, keys).select("a_no", "first.candidate_id", F.lit(0.0).alias("similarity")))
+    every = found[0]
+    for rows in found[1:]:
+        every = every.unionByName(rows)
+    named = a.select(*keys, "title", "a_no").join(every, "a_no").drop("a_no")
+    out = scope.written(references.select("reference_id", "title", *keys).join(named, [*keys, "title"]).select("reference_id", "candidate_id", "similarity"))
+    work.drop()
+    return out

@@ -66,10 +66,18 @@ def _(lib):
 @query("er7_best_by_title")
 def _(lib):
     # every track, with all tracks of its artist and album as candidates, itself among them
-    ref = lib.tracks.select(F.col("track_id").alias("reference_id"), "title")
+    ref = lib.tracks.select(F.col("track_id").alias("reference_id"), "title", "artist", "album")
     can = lib.tracks.select("artist", "album", F.col("track_id").alias("position"), F.col("track_id").alias("candidate_id"), F.col("title").alias("name"))
-    can = lib.tracks.select("artist", "album", F.col("track_id").alias("reference_id")).join(can, ["artist", "album"]).drop("artist", "album")
-    return matching.best_by_title(ref, can, 0.3).withColumn("similarity", F.round("similarity", 6))
+    return matching.best_in_catalogue(ref, can, ["artist", "album"], 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("er7_best_other_title")
+def _(lib):
+    # every track's title without its last word, against all tracks of its artist whose number differs in parity
+    odd = F.col("track_id") % 2
+    ref = lib.tracks.select(F.col("track_id").alias("reference_id"), F.regexp_replace("title", r"\s+\S+$", "").alias("title"), "artist", odd.alias("odd"))
+    can = lib.tracks.select("artist", (1 - odd).alias("odd"), F.col("track_id").alias("position"), F.col("track_id").alias("candidate_id"), F.col("title").alias("name"))
+    return matching.best_in_catalogue(ref, can, ["artist", "odd"], 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 def _ln(m: float, u: float) -> str:
