@@ -10,6 +10,8 @@ from tracklight.functions.scalars import Cursor, decode_cursor, decode_cursors,
 from tracklight.operators import library as L
 from tracklight.operators import mutations as M
 from tracklight.queries import NOW, T, query
+from tracklight.sources.clustered import ClusteredCopy
+from tracklight.sources.scratch import folder
 
 TOTALS = "(select track_id, count(*) as play_count, max(played_at) as last_played_at, min(played_at) as first_played_at from plays group by track_id)"
 LISTED = f"(select t.*, coalesce(p.play_count, 0) as play_count, p.last_played_at, p.first_played_at from tracks t left join {TOTALS} p on p.track_id = t.track_id) h"
@@ -42,6 +44,27 @@ for name, (cursor, where, order) in SEEKS.items():
     query(f"lst2_seek_{name}", f"select track_id from {LISTED} where {where} order by {order} limit 30")(lambda lib, c=cursor, s="title_asc" if "title" in name else "duration_desc": L.page(L.with_totals(lib.tracks, lib.plays), s, 30, after=c).select("track_id"))
 
 
+def copied(lib, sort_by: str) -> ClusteredCopy:
+    copy = ClusteredCopy(lib.spark, folder(lib.spark), sort_by)
+    copy.put(L.with_totals(lib.tracks, lib.plays), 16)
+    return copy
+
+
+DEEP = "(select count(*) * 3 // 4 from tracks)"
+
+
+@query("lst2_deep_page", f"select track_id, last_played_at from (select *, row_number() over (order by {ORDERS['last_played_desc']}) as place from {LISTED}) z where place > {DEEP} and place <= {DEEP} + 50")
+def _(lib):
+    """A page three quarters down the whole library, from a copy in its order."""
+    copy = copied(lib, "last_played_desc")
+    return copy.page(50, copy.total() * 3 // 4).select("track_id", "last_played_at")
+
+
+@query("lst2_deep_seek", f"select track_id, title from {LISTED} where title > 'red' or (title = 'red' and track_id > 10) or title is null order by {ORDERS['title_asc']} limit 50")
+def _(lib):
+    return copied(lib, "title_asc").page(50, after=Cursor("title", "red", 10)).select("track_id", "title")
+
+
 @query("lst3", f"select h.track_id, h.title, h.play_count, h.track_id in (select track_id from likes where is_liked) as liked, f.state as preference, (select string_agg(distinct tag, '|' order by tag) from tags g where g.track_id = h.track_id) as tags from {LISTED} left join preferences f on f.track_id = h.track_id where h.play_count >= 1 order by h.last_played_at desc nulls last, h.track_id desc limit 50")
 def _(lib):
     found = L.matching(L.with_totals(lib.tracks, lib.plays), L.Filters(min_plays=1), lib, NOW)
