@@ -56,6 +56,19 @@ def _(lib):
     return units.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "duplicate").alias("twice"))
 
 
+#: The rule of equal writes, as a walk over the links of each channel and track: what is reached from a row is one write with it.
+CLOSURE = """edges as (select a.id as x, b.id as y from obs a join obs b on a.user_id = b.user_id and a.service = b.service and a.import_source = b.import_source and a.track = b.track and a.id <> b.id and b.played_at between a.played_at - interval 3 second and a.played_at + interval 3 second
+  where a.played_at = b.played_at or (a.ms_played > 0 and a.ms_played = b.ms_played and abs(epoch_us(a.played_at) - epoch_us(b.played_at)) <= least(3000000, a.ms_played * 1000))),
+ reached(x, y) as (select x, y from edges union select r.x, e.y from reached r join edges e on e.x = r.y),
+ clusters as (select x, y from reached union select x, x from edges)"""
+
+
+@query("prj3_duplicate_ids", f"{OBSERVED.replace('with ', 'with recursive ', 1)}, {CLOSURE} select x as id from (select c.x, c.y, row_number() over (partition by c.x order by o.ms_played desc nulls last, o.played_at, o.id) as place from clusters c join obs o on o.id = c.y) z where place = 1 and x <> y")
+def _(lib):
+    """All rows of which another write is kept."""
+    return P.same_channel(P.with_start(P.with_channel(observations(lib)))).where("role = 'duplicate'").select("id")
+
+
 @query("prj4_islands", f"{OBSERVED} select role, count(*) as n, count(distinct unit) as units from (select case id % 10 when 2 then 'duplicate' when 3 then 'segment' else 'unit' end as role, case when id % 10 = 1 then id else id - id % 10 end as unit from obs) r group by role")
 def _(lib):
     return P.islands(observations(lib)).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit").alias("units"))
