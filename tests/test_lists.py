@@ -10,7 +10,7 @@ from tracklight.operators import combiners, filters, selectors, sorters
 from tracklight.plans import workflow as W
 from tracklight.plans.ordered import Key, TrackList
 from tracklight.plans.templates import TEMPLATES, chain
-from tracklight.sources import sinks
+from tracklight.sources import lists, sinks
 from tracklight.sources.standin import Library
 
 NOW = dt.datetime(2024, 1, 31)
@@ -88,6 +88,18 @@ def test_sources_are_whole(spark, monkeypatch):
     assert ordered.TrackList.source(df, ordered.Key("track_id"), limit=3).df.count() == 3
 
 
+def test_liked_tracks_without_a_limit_are_all(spark, monkeypatch):
+    """The default limit once cut them, and what pipelines made of them."""
+    monkeypatch.setattr(lists, "DEFAULT_LIMIT", 5)
+    monkeypatch.setattr(lists, "MAX_LIST", 7)
+    tracks = spark.range(9).withColumnRenamed("id", "track_id").withColumn("title", F.lit("t"))
+    likes = tracks.select("track_id", F.lit("spotify").alias("service"), F.lit(True).alias("is_liked"), F.lit(NOW).cast("timestamp_ntz").alias("liked_at"))
+    for limit, n in ((None, 9), (0, 9), (4, 4), (8, 7)):
+        assert lists.liked_tracks(likes, tracks, "spotify", limit=limit).result("track_id").count() == n
+        assert lists.liked_tracks(likes, tracks, "spotify", "random", limit=limit).df.count() == n
+    assert lists.liked_tracks(likes, tracks, "spotify", compat=True).df.count() == 5
+
+
 def test_filters_refuse_what_they_cannot_do(tracks):
     for call in (lambda: filters.by_release_year(tracks), lambda: filters.by_play_history(tracks, NOW), lambda: filters.by_preference(tracks), lambda: filters.by_preference(tracks, ["nah"], ["yah"]), lambda: filters.by_tag(tracks, [":x"])):
         with pytest.raises(ValueError):
