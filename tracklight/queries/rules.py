@@ -14,6 +14,7 @@ from tracklight.functions.scalars import Cursor, encode_cursor
 from tracklight.operators import enrichers, filters, mutations, selectors, sorters
 from tracklight.operators import library as L
 from tracklight.operators import projection as P
+from tracklight.operators.joins import block_join
 from tracklight.plans import workflow as W
 from tracklight.plans.ordered import curried
 from tracklight.plans.templates import chain, graph
@@ -280,7 +281,7 @@ PAIRED = "canonicals a join connector_tracks b on b.isrc = a.isrc"
 def isrc_pairs(lib) -> DataFrame:
     a = lib.canonicals.select("track_id", "isrc", F.col("duration_ms").alias("a_ms"))
     b = lib.connector_tracks.select(F.col("id").alias("other_id"), "isrc", F.col("duration_ms").alias("b_ms"))
-    return a.join(b, "isrc").withColumn("apart", scoring.duration_difference(F.col("a_ms"), F.col("b_ms")))
+    return block_join(a, b, ["isrc"], "track_id", "other_id").withColumn("apart", scoring.duration_difference(F.col("a_ms"), F.col("b_ms")))
 
 
 @query("er12_isrc_levels", f"select a.track_id, b.id as other_id, case when a.isrc is distinct from b.isrc then 'absent' when coalesce({APART} > 10000, false) then 'suspect' else 'exact' end as level from canonicals a join connector_tracks b on b.id // 4 = a.track_id")
