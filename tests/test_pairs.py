@@ -34,6 +34,8 @@ def test_identity_pairs_are_all_and_once(spark, small_blocks):
     shared |= {(a, b) for (a, *x), (b, *y) in itertools.product(held, held) if x[1] is not None and x == y and a < b}
     got = matching.same_identity(spark.createDataFrame(codes, "id long, isrc string"), spark.createDataFrame(held, "id long, connector string, identifier long"))
     assert sorted(map(tuple, got.collect())) == sorted(shared)
+    # no pair of equal codes is looked for among the others
+    assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
 
 
 def test_a_code_that_many_have_is_no_one_tasks(spark, small_blocks):

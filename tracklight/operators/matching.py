@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracklight.functions import scoring
 from tracklight.functions.scoring import DEFAULT, Settings
 from tracklight.functions.text import VARIATIONS, normalize, phonetic_key, strip_parentheticals
+from tracklight.operators.joins import pairs_within
 from tracklight.sources.scratch import Scope
 
 
@@ -85,12 +86,19 @@ def same_recordings(records: DataFrame, most_ms: int = 10_000) -> DataFrame:
 
 
 def same_identity(records: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """Pairs (a_id < b_id) with an equal ISRC or any shared (connector, identifier): a union of two equi-joins."""
-    def pairs(df: DataFrame, keys: list[str]) -> DataFrame:
-        a, b = df.withColumnRenamed("id", "a_id"), df.withColumnRenamed("id", "b_id")
-        return a.join(b, keys).where("a_id < b_id").select("a_id", "b_id")
+    """Pairs (a_id < b_id) with an equal ISRC or any shared (connector, identifier): a union of two equi-joins, each pair once.
 
-    return pairs(records.where("isrc is not null").select("id", "isrc").distinct(), ["isrc"]).unionByName(pairs(identifiers.select("id", "connector", "identifier").distinct(), ["connector", "identifier"])).distinct()
+    Pairs of equal ISRCs grow with the square of what has one, so they are never shuffled to find the ones that came twice: a pair
+    counts by its first common ISRC alone, and identifiers give only pairs that have none.
+    """
+    coded = records.where("isrc is not null").groupBy("id").agg(F.sort_array(F.collect_set("isrc")).alias("isrcs"))
+    by_isrc = pairs_within(coded.select("id", F.explode("isrcs").alias("isrc"), F.when(F.size("isrcs") > 1, F.col("isrcs")).alias("several")), ["isrc"])
+    first = F.get(F.array_intersect("a.several", "b.several"), F.lit(0))
+    by_isrc = by_isrc.where(F.col("a.several").isNull() | F.col("b.several").isNull() | (first == F.col("isrc")))
+    held = identifiers.where("connector is not null and identifier is not null").select("id", "connector", "identifier").distinct().join(coded, "id", "left")
+    by_identifier = pairs_within(held, ["connector", "identifier"]).where(~F.coalesce(F.arrays_overlap("a.isrcs", "b.isrcs"), F.lit(False)))
+    ids = [F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")]
+    return by_isrc.select(*ids).unionByName(by_identifier.select(*ids).distinct())
 
 
 def survivors(records: DataFrame) -> DataFrame:
