@@ -150,6 +150,41 @@ def test_a_thousand_crowded_users_equal_a_plain_version(spark):
     assert len({p for _, _, p in got.values()}) < len({u for u, _, _ in got.values()}) < len(got)
 
 
+def test_repeated_events_are_writes_of_one_play(spark):
+    """Tables repeated with shifted keys: users of one number hear the same at the same time, besides what the queries' observations repeat."""
+    from types import SimpleNamespace
+
+    from tracklight.queries.history import observations
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    copies = events.crossJoin(spark.range(6).withColumnRenamed("id", "copy")).withColumns({"event_id": F.col("event_id") + F.col("copy") * 1000, "user_id": F.col("user_id") + F.col("copy") * 1500}).drop("copy")
+    obs = observations(SimpleNamespace(events=copies))
+    by_key = {}
+    for r in P.with_start(P.with_channel(obs)).collect():
+        by_key.setdefault((r.user_id, r.channel, r.track_identifier), []).append(r)
+    want = {k: v for own in by_key.values() for k, v in plain_units(own).items()}
+    got = {r.id: (r.unit, r.role) for r in P.islands(obs).collect()}
+    assert got == want
+    assert Counter(role for _, role in got.values())["duplicate"] > sum(k % 10 == 2 for k in got)
+
+
+def test_twins_are_found_in_one_pass():
+    """Each row is looked at a few times, however many are writes of one play."""
+    looked = Counter()
+
+    class Row:
+        def __init__(self, id):
+            self.id, self.ms = id, 60_000
+
+        @property
+        def at_us(self):
+            looked["rows"] += 1
+            return 0
+
+    assert {kept for _, kept in P._twins([Row(k) for k in range(500)])} == {0}
+    assert looked["rows"] < 500 * 20
+
+
 def test_no_run_is_held_whole(spark):
     """A user without any gap: pairs and chains are the largest groups."""
     rows = [(2 * k + s, 1, *c, f"t{k % 50}", "A", f"S{k % 50}", NOW + dt.timedelta(seconds=20 * k + s), None if s else 20_000, "{}", k % 50) for k in range(3000) for s, c in enumerate((("own", "manual"), ("lastfm", "lastfm_api")))]

@@ -118,17 +118,21 @@ def _twins(rows: list) -> list[tuple]:
 
     def find(i: int) -> int:
         while root[i] != i:
+            root[i] = root[root[i]]
             i = root[i]
         return i
 
-    for i, a in enumerate(rows):
-        for j in range(i + 1, len(rows)):
-            b, delta = rows[j], rows[j].at_us - a.at_us
-            if delta > JITTER * US:
-                break
-            if delta == 0 or (a.ms and a.ms == b.ms and delta <= min(JITTER * US, a.ms * 1000)):
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
+    # rows of one stamp, and of one time listened, are linked one after the other: what links two of them links those between
+    of_ms: dict[int, int] = {}
+    for i, b in enumerate(rows):
+        links = [i - 1] if i and rows[i - 1].at_us == b.at_us else []
+        if b.ms and b.ms > 0:
+            if b.ms in of_ms and b.at_us - rows[of_ms[b.ms]].at_us <= min(JITTER * US, b.ms * 1000):
+                links.append(of_ms[b.ms])
+            of_ms[b.ms] = i
+        for j in links:
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
     best: dict[int, object] = {}
     for i, r in enumerate(rows):
         k = find(i)
