@@ -100,6 +100,13 @@ def test_liked_tracks_without_a_limit_are_all(spark, monkeypatch):
     assert lists.liked_tracks(likes, tracks, "spotify", compat=True).df.count() == 5
 
 
+def test_only_columns_asked_for_are_sorted(spark):
+    """A sort, and a window before it, carried every column of the list."""
+    df = spark.createDataFrame([(k, k % 3) for k in range(9)], "at long, track_id long").withColumn("wide", F.raise_error(F.concat(F.lit("was carried, "), "at")).cast("string"))
+    own = filters.deduplicate(TrackList.source(df, Key("at", True)))
+    assert [tuple(r) for r in own.result("track_id").orderBy("position").collect()] == [(0, 2), (1, 1), (2, 0)]
+
+
 def test_filters_refuse_what_they_cannot_do(tracks):
     for call in (lambda: filters.by_release_year(tracks), lambda: filters.by_play_history(tracks, NOW), lambda: filters.by_preference(tracks), lambda: filters.by_preference(tracks, ["nah"], ["yah"]), lambda: filters.by_tag(tracks, [":x"])):
         with pytest.raises(ValueError):
