@@ -540,3 +540,15 @@ def test_an_import_goes_on_where_it_broke_off(spark, tmp_path):
     second = imports.two_phase(more, resolver(None, 23), ledger, plays, 1, chunk=5)
     assert second == {"observations": 1, "resolved": 3, "unresolved": 2} and set().union(*asked) == {"t21", "t22", "t23", "t24", "t99"}
     assert {r.track_id for r in S.read_plays(spark, plays).collect()} == set(range(1, 24))
+
+
+def test_writes_of_one_stamp_are_joined_by_windows_alone(spark, monkeypatch):
+    """Only stamps a moment apart go through Arrow, however often a play was written."""
+    sent, per_group = [], P.per_group
+    monkeypatch.setattr(P, "per_group", lambda df, *more: sent.append(df.count()) or per_group(df, *more))
+    at = dt.datetime(2024, 1, 1, 12)
+    rows = [(k, 1, "spotify", "spotify_api", "a", "A", "T", at, 1000 * (k % 3), "{}", 1) for k in range(20)]
+    rows += [(100 + k, 1, "spotify", "spotify_api", "b", "A", "U", at + dt.timedelta(seconds=k), 90_000, "{}", 2) for k in range(2)]
+    got = {r.id: (r.unit, r.role) for r in P.islands(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: (2, "unit" if k == 2 else "duplicate") for k in range(20)} | {100: (100, "unit"), 101: (100, "duplicate")}
+    assert sent == [2, 0]

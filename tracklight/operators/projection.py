@@ -1,8 +1,8 @@
 """The play projection: observations of several channels become one history of plays.
 
 Within a channel, repeated writes of one play collapse and the segments of an interrupted listen join. Windows by (user, channel,
-track) mark rows that are near another one and rows that go on with the one before; only rows a moment apart, and chains of
-segments longer than a listen may be, go through an Arrow function, each such run by itself. Across channels, observations of
+track) join rows of one stamp, and mark rows that are near another stamp and rows that go on with the one before; only rows a moment
+apart, and chains of segments longer than a listen may be, go through an Arrow function, each such run by itself. Across channels, observations of
 one track (or of equal normal names) that start close together become one play, nearest pairs first and one observation of a
 channel in each play: a join by bins of time finds the pairs, and rounds of joins take all that are nearest at both sides. Fields
 of a play are then picked from its members by aggregates. The result depends on the set of observations alone.
@@ -151,21 +151,30 @@ def _cut_chain(rows: list) -> list[tuple]:
     return out
 
 
-def _duplicates(rows: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame]:
-    """The rows that stay, and twins: id and kept of the others. Only rows within JITTER of the one before or after are looked at together."""
-    w = Window.partitionBy(*CHANNEL_KEYS).orderBy("at_us", "id")
-    gap = JITTER * US
-    apart = F.coalesce(F.col("at_us") - F.lag("at_us").over(w) > gap, F.lit(True)) | F.col("channel").isNull()
-    alone = apart & (F.coalesce(F.lead("at_us").over(w) - F.col("at_us") > gap, F.lit(True)) | F.col("channel").isNull())
-    marked = scope.written(rows.withColumns({"apart": apart, "alone": alone}))
-    close = marked.where(~F.col("alone")).withColumn("run", F.count_if(F.col("apart")).over(w))
-    found = scope.written(per_group(close.select(*CHANNEL_KEYS, "run", "at_us", "id", "ms"), [*CHANNEL_KEYS, "run"], ["at_us", "id"], _twins, "id long, kept long"))
-    twins = found.where("id <> kept")
-    return marked.join(twins.select("id"), "id", "left_anti").drop("apart", "alone"), twins
+def _duplicates(rows: DataFrame, scope: Scope) -> DataFrame:
+    """The rows with kept, the write of the same play that stays.
+
+    Rows of one stamp are writes of one play, of which a window names the one that stays; only those of stamps within JITTER
+    of another stamp go through Arrow.
+    """
+    ms, gap = F.coalesce("ms", F.lit(0)), JITTER * US
+    w = Window.partitionBy(*CHANNEL_KEYS).orderBy("at_us", ms.desc(), "id")
+    stamp = Window.partitionBy(*CHANNEL_KEYS, "at_us")
+    since, until = F.col("at_us") - F.lag("at_us").over(w), F.lead("at_us").over(w) - F.col("at_us")
+    own = rows.withColumns({"_since": since, "_until": until, "_first": F.first("id").over(stamp.orderBy(ms.desc(), "id"))})
+    own = own.withColumn("_apart", F.coalesce(F.col("_since") > gap, F.lit(True)))
+    near = F.coalesce(F.col("_since").between(1, gap), F.lit(False)) | F.coalesce(F.col("_until").between(1, gap), F.lit(False))
+    known = F.col("channel").isNotNull() & F.col("at_us").isNotNull()
+    own = own.withColumns({"near": F.bool_or(near).over(stamp) & known, "run": F.count_if("_apart").over(w)})
+    marked = own.withColumn("first", F.when(known, F.col("_first")).otherwise(F.col("id"))).withColumn("run", F.when(F.col("near"), F.col("run")))
+    marked = scope.written(marked.drop("_since", "_until", "_first", "_apart"))
+    found = scope.written(per_group(marked.where("near").select(*CHANNEL_KEYS, "run", "at_us", "id", "ms"), [*CHANNEL_KEYS, "run"], ["at_us", "id"], _twins, "id long, kept long"))
+    alone, close = marked.where("not near").withColumn("kept", F.col("first")), marked.where("near").join(found, "id")
+    return alone.unionByName(close).drop("near", "run", "first")
 
 
 def _chains(kept: DataFrame) -> DataFrame:
-    """Adds chain, a number within the keys, and chain_end, whose rows each go on with the one before."""
+    """Adds chain, a number within the keys, whose rows each go on with the one before."""
     w = Window.partitionBy(*CHANNEL_KEYS).orderBy("at_us", "id")
     before = lambda c: F.lag(c).over(w)
     goes_on = (before("finished") == F.lit(False)) & before("ms").isNotNull() & F.col("ms").isNotNull() & (F.abs(F.col("start_us") - before("end_us")) <= ISLAND_GAP * US)
@@ -173,25 +182,36 @@ def _chains(kept: DataFrame) -> DataFrame:
     return kept.withColumn("chain", F.count_if(~goes_on).over(w))
 
 
+def _listens(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Adds unit, role and what the unit has to segments whose keys by make one listen, the first of which is its head."""
+    whole, first = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("at_us", "id")
+    head = lambda c: F.first(c).over(first)
+    several = F.count(F.lit(1)).over(whole) > 1
+    ms = F.when(several, F.sum(F.coalesce("ms", F.lit(0))).over(whole)).otherwise(F.col("ms"))
+    out = parts.withColumns({"unit": head("id"), "unit_ms": ms, "unit_start_us": head("start_us"), "_several": several, "_at": head("at_us")})
+    at = F.when(~F.col("_several"), F.col("_at")).when(F.col("stamps_end"), F.col("unit_start_us") + F.col("unit_ms") * 1000).otherwise(F.col("unit_start_us"))
+    return out.withColumns({"role": F.when(F.col("id") == F.col("unit"), "unit").otherwise("segment"), "unit_at_us": at}).drop("_several", "_at")
+
+
 def same_channel(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
-    """id, unit, role (unit, segment or duplicate), and the unit's ms, stamp and start, of with_start's rows. Unknown channels stay single."""
+    """id, unit, role (unit, segment or duplicate), and the unit's ms, stamp and start, of with_start's rows. Unknown channels stay single.
+
+    Channel and track keys are dealt once for the writes of one play and once for the listens of those that stay; chains that
+    are too long alone are dealt again.
+    """
     scope = scope or Scope(observations.sparkSession)
     keyed = observations.withColumns({"channel_key": F.coalesce("channel", F.concat_ws("?", F.lit(""), "service")), "ms": F.col("ms_played")})
-    kept, twins = _duplicates(keyed.select(*CHANNEL_KEYS, "channel", *SEGMENT), scope)
-    chained, by = _chains(kept), [*CHANNEL_KEYS, "chain"]
-    whole, first = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("at_us", "id")
-    spans = chained.withColumns({"head": F.first("id").over(first), "_too_long": F.max("end_us").over(whole) - F.first("start_us").over(first) > ISLAND_SPAN * US})
-    cut = per_group(spans.where("_too_long and channel is not null").select(*by, *SEGMENT), by, ["at_us", "id"], _cut_chain, "id long, own_head long")
-    parts = spans.join(cut, "id", "left").select(*SEGMENT, *CHANNEL_KEYS, F.coalesce("own_head", "head").alias("head"))
-    island = Window.partitionBy(*CHANNEL_KEYS, "head")
-    of_head = lambda c: F.max(F.when(F.col("id") == F.col("head"), F.col(c))).over(island)
-    several = F.count(F.lit(1)).over(island) > 1
-    ms = F.when(several, F.sum(F.coalesce("ms", F.lit(0))).over(island)).otherwise(F.col("ms"))
-    listed = parts.withColumns({"unit_ms": ms, "unit_start_us": of_head("start_us"), "_several": several, "_at": of_head("at_us")})
-    at = F.when(~F.col("_several"), F.col("_at")).when(F.col("stamps_end"), F.col("unit_start_us") + F.col("unit_ms") * 1000).otherwise(F.col("unit_start_us"))
-    role = F.when(F.col("id") == F.col("head"), "unit").otherwise("segment")
-    units = scope.written(listed.select("id", F.col("head").alias("unit"), role.alias("role"), "unit_ms", at.alias("unit_at_us"), "unit_start_us"))
-    copies = twins.join(units.withColumnRenamed("id", "kept"), "kept").select("id", "unit", F.lit("duplicate").alias("role"), "unit_ms", "unit_at_us", "unit_start_us")
+    rows = _duplicates(keyed.select(*CHANNEL_KEYS, "channel", *SEGMENT), scope)
+    chained, by = _chains(rows.where("id = kept").drop("kept")), [*CHANNEL_KEYS, "chain"]
+    long = F.col("channel").isNotNull() & (F.max("end_us").over(Window.partitionBy(*by)) - F.first("start_us").over(Window.partitionBy(*by).orderBy("at_us", "id")) > ISLAND_SPAN * US)
+    unit = ["id", "unit", "role", "unit_ms", "unit_at_us", "unit_start_us"]
+    listed = _listens(chained.withColumn("_long", F.coalesce(long, F.lit(False))), by)
+    listed = scope.written(listed.select(*unit, F.when(F.col("_long"), F.struct(*by, *[c for c in SEGMENT if c != "id"])).alias("of_long")))
+    cut = listed.where("of_long is not null").select("id", "of_long.*")
+    heads = per_group(cut, by, ["at_us", "id"], _cut_chain, "id long, head long")
+    cut = scope.written(_listens(cut.join(heads, "id"), [*CHANNEL_KEYS, "head"]).select(*unit))
+    units = listed.where("of_long is null").select(*unit).unionByName(cut)
+    copies = rows.where("id <> kept").select("id", "kept").join(units.withColumnRenamed("id", "kept"), "kept").select("id", "unit", F.lit("duplicate").alias("role"), "unit_ms", "unit_at_us", "unit_start_us")
     return units.unionByName(copies)
 
 
@@ -209,7 +229,8 @@ def candidate_pairs(heads: DataFrame) -> DataFrame:
     width = WIDE_TOLERANCE * US
     keys = F.array(F.struct(F.lit("names").alias("by"), F.col("bridge").alias("key")), F.struct(F.lit("track").alias("by"), F.col("resolved_track_id").cast("string").alias("key")))
     own = heads.withColumn("_bin", F.floor(F.col("start_us") / width)).withColumn("_key", F.explode(keys)).where("_key.key is not null")
-    fields = ["id", "start_us", "channel", "priority", "bridge", "normalizable"]
+    # names are compared only where a pair was met by its track
+    fields = ["id", "start_us", "channel", "priority", F.when(F.col("_key.by") == "track", F.col("bridge")).alias("bridge"), "normalizable"]
     side = lambda s, bins: own.select("user_id", "_key", bins.alias("_bin"), F.struct(*fields).alias(s))
     met = side("a", F.explode(F.array("_bin", F.col("_bin") + 1))).join(side("b", F.col("_bin")), ["user_id", "_key", "_bin"])
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
@@ -253,6 +274,18 @@ def nearest_first(pairs: DataFrame, scope: Scope) -> DataFrame:
     return up
 
 
+def _heads(observations: DataFrame, units: DataFrame) -> DataFrame:
+    """The units' observations, as they were, with unit_ms and unit_start_us."""
+    return observations.join(units.where("role = 'unit'").select("id", "unit_ms", "unit_start_us"), "id")
+
+
+def _plays(heads: DataFrame, scope: Scope) -> DataFrame:
+    """unit and play of each of _heads' rows that joins another one's play."""
+    full = with_start(with_channel(heads)).withColumns({"start_us": F.col("unit_start_us"), "bridge": bridge_key(F.col("artist_name"), F.col("track_name"))})
+    slim = scope.written(full.select("user_id", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable"))
+    return nearest_first(candidate_pairs(slim), scope)
+
+
 def group(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
     """Every observation with role and play, the id of the play's winner (lowest priority, then lowest id).
 
@@ -260,23 +293,24 @@ def group(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
     metadata (JSON) and resolved_track_id. The result reads tables of the scope, which its owner drops when it has been read.
     """
     scope = scope or Scope(observations.sparkSession)
-    full = with_start(with_channel(observations))
-    units = same_channel(full, scope)
-    heads = full.join(units.where("role = 'unit'").select("id", "unit_ms", "unit_start_us"), "id")
-    heads = heads.withColumns({"start_us": F.col("unit_start_us"), "bridge": bridge_key(F.col("artist_name"), F.col("track_name"))})
-    heads = scope.written(heads.select("user_id", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable"))
-    plays = nearest_first(candidate_pairs(heads), scope)
+    units = same_channel(with_start(with_channel(observations)), scope)
+    plays = _plays(_heads(observations, units), scope)
     return units.join(plays, "unit", "left").select("id", "unit", "role", F.coalesce("play", "unit").alias("play"), "unit_ms", "unit_start_us")
 
 
 def project(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
-    """The plays: play, user_id, track_id, service, import_source, played_at (of the best stamp), ms_played (the first known by priority), source_services (in order of priority), context (JSON, with the others' under merged_from_<channel>), members, divergent, start_us (of the winner) and anchor_us (the earliest start); import_batch_id too, if observations have it."""
-    facts = with_context(with_channel(observations))
-    full = group(observations, scope).join(facts, "id")
-    is_unit = F.col("role") == "unit"
-    of_unit = lambda c: F.when(is_unit, c)
-    rank = of_unit(F.struct("priority", "id"))
-    ordered = F.array_sort(F.collect_list(of_unit(F.struct("priority", "id", "service", "channel", "context", F.col("unit_ms").alias("ms")))))
+    """The plays: play, user_id, track_id, service, import_source, played_at (of the best stamp), ms_played (the first known by priority), source_services (in order of priority), context (JSON, with the others' under merged_from_<channel>), members, divergent, start_us (of the winner) and anchor_us (the earliest start); import_batch_id too, if observations have it.
+
+    Only units bring facts to a play, so only theirs are dealt, once to their ids and once to their plays; contexts, which are long, are built there.
+    """
+    scope = scope or Scope(observations.sparkSession)
+    units = same_channel(with_start(with_channel(observations)), scope)
+    heads = scope.written(_heads(observations, units))
+    members = units.groupBy("unit").agg(F.collect_set("id").alias("members"))
+    full = with_channel(heads).join(members, F.col("id") == F.col("unit")).join(_plays(heads, scope), "unit", "left").withColumn("play", F.coalesce("play", "unit"))
+    full = with_context(full.repartition("play"))
+    rank = F.struct("priority", "id")
+    ordered = F.array_sort(F.collect_list(F.struct("priority", "id", "service", "channel", "context", F.col("unit_ms").alias("ms"))))
     batch = [F.min_by("import_batch_id", rank).alias("import_batch_id")] if "import_batch_id" in observations.columns else []
     plays = full.groupBy("play").agg(
         F.first("user_id").alias("user_id"),
@@ -284,12 +318,12 @@ def project(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
         F.min_by("service", rank).alias("service"),
         F.min_by("import_source", rank).alias("import_source"),
         *batch,
-        F.min_by("unit_start_us", of_unit(F.struct(-F.col("quality"), "priority", "id"))).alias("_at"),
+        F.min_by("unit_start_us", F.struct(-F.col("quality"), "priority", "id")).alias("_at"),
         F.min_by("unit_start_us", rank).alias("start_us"),
-        F.min(of_unit(F.col("unit_start_us"))).alias("anchor_us"),
+        F.min("unit_start_us").alias("anchor_us"),
         ordered.alias("_members"),
-        (F.count_distinct(of_unit(F.col("resolved_track_id"))) > 1).alias("divergent"),
-        F.sort_array(F.collect_set("id")).alias("members"),
+        F.coalesce(F.min("resolved_track_id") < F.max("resolved_track_id"), F.lit(False)).alias("divergent"),
+        F.sort_array(F.flatten(F.collect_list("members"))).alias("members"),
     )
     losers = F.transform(F.slice("_members", F.lit(2), F.size("_members")), lambda x: F.struct(F.concat(F.lit("merged_from_"), x.channel).alias("key"), x.context.alias("value")))
     known = F.filter("_members", lambda x: x.ms.isNotNull())
