@@ -552,3 +552,22 @@ def test_writes_of_one_stamp_are_joined_by_windows_alone(spark, monkeypatch):
     got = {r.id: (r.unit, r.role) for r in P.islands(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {k: (2, "unit" if k == 2 else "duplicate") for k in range(20)} | {100: (100, "unit"), 101: (100, "duplicate")}
     assert sent == [2, 0]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_resolve_inward_joins_little_by_id(spark):
+    """What is known of an identifier comes by one aggregate, not by a join for each kind of it."""
+    ids = lambda *k: spark.createDataFrame([(i,) for i in k], "id long")
+    columns = ["track_id", "title", "artist", "duration_ms", "title_normalized", "title_key", "artist_normalized", "artist_key"]
+    row = [9, "Song", "Artist", 200_000, "song", "SNK", "artist", "ARTST"]
+    kinds = ["long", "string", "string", "long", *["string"] * 4]
+    schema = ", ".join(f"{side}_{c} {k}" for side in "ab" for c, k in zip(columns, kinds, strict=True))
+    candidates = spark.createDataFrame([(*row, *row, k, 9, "artist_title") for k in (2, 3)], f"{schema}, id long, track_id long, method string")
+    mapped = spark.createDataFrame([(1, 7), (1, 5), (8, 1), (6, None)], "id long, track_id long")
+    out = matching.resolve_inward(ids(1, 1, 2, 3, 4, 5, 6, None), mapped, candidates, ids(3, 3, 5), ids(4, 4, 2), lambda asked: asked.withColumn("track_id", asked.id + 100))
+    want = [(1, 5, "existing"), (2, 9, "reused"), (3, None, "failed"), (4, None, "suppressed"), (5, 105, "created"), (6, None, "existing")]
+    assert sorted(map(tuple, out.collect())) == want
+    assert _plan(out).count("Join ") <= 1

@@ -118,17 +118,25 @@ def resolve_inward(requests: DataFrame, mapped: DataFrame, candidates: DataFrame
     that it knows nothing (held: id). created: what create gives a track_id for, of the identifiers (id) that are left;
     the others failed. requests' id must be in the form that mapped has; null ones are left out.
     """
-    ids = requests.where("id is not null").select("id").distinct()
-    existing = ids.join(mapped.groupBy("id").agg(F.min("track_id").alias("track_id")), "id").withColumn("outcome", F.lit("existing"))
-    missing = ids.join(existing.select("id"), "id", "left_anti")
-    scored = score(candidates.join(missing, "id", "left_semi"), s).where("zone = 'accept'")
+    scope, kind = Scope(requests.sparkSession), mapped.schema["track_id"].dataType
+    # one aggregate by id for all that is known of an identifier, not a join for each: the sorts of joins in a row share a task's memory
+    told = {"_asked": requests.select("id"), "_lost": unwritten.select("id"), "_held": held.select("id")}
+    rows = mapped.select("id", F.col("track_id").alias("_mapped"), F.lit("_mapped").alias("_of"))
+    for name, said in told.items():
+        rows = rows.unionByName(said.select("id", F.lit(None).cast(kind).alias("_mapped"), F.lit(name).alias("_of")))
+    has = lambda name: F.max(F.col("_of") == name)
+    known = rows.where("id is not null").groupBy("id").agg(F.min("_mapped").alias("_mapped"), has("_mapped").alias("_live"), *[has(name).alias(name) for name in told])
+    known = scope.written(known.where("_asked").drop("_asked"))
+    existing = known.where("_live").select("id", F.col("_mapped").alias("track_id"), F.lit("existing").alias("outcome"))
+    missing = known.where("not _live")
+    scored = score(candidates.join(missing.select("id"), "id", "left_semi"), s).where("zone = 'accept'")
     # dealt by id before the aggregate, which would else be compiled together with the whole score
     best = scored.select("id", "track_id", "confidence").repartition("id").groupBy("id").agg(F.min_by("track_id", F.struct(-F.col("confidence"), "track_id")).alias("track_id"))
-    lost = unwritten.select("id").distinct().withColumn("_lost", F.lit(True))
-    reused = best.join(lost, "id", "left").select("id", F.when(F.col("_lost").isNull(), F.col("track_id")).alias("track_id"), F.when(F.col("_lost").isNull(), "reused").otherwise("failed").alias("outcome"))
-    left = missing.join(reused.select("id"), "id", "left_anti")
-    suppressed = left.join(held.select("id").distinct(), "id", "left_semi").select("id", F.lit(None).cast(mapped.schema["track_id"].dataType).alias("track_id"), F.lit("suppressed").alias("outcome"))
-    asked = left.join(held.select("id").distinct(), "id", "left_anti")
+    found = scope.written(missing.drop("_mapped", "_live").join(best.withColumn("_best", F.lit(True)), "id", "left"))
+    reused = found.where("_best").select("id", F.when(~F.col("_lost"), F.col("track_id")).alias("track_id"), F.when(~F.col("_lost"), "reused").otherwise("failed").alias("outcome"))
+    left = found.where("_best is null").select("id", "_held")
+    suppressed = left.where("_held").select("id", F.lit(None).cast(kind).alias("track_id"), F.lit("suppressed").alias("outcome"))
+    asked = left.where("not _held").select("id")
     made = asked.join(create(asked).select("id", "track_id"), "id", "left").select("id", "track_id", F.when(F.col("track_id").isNull(), "failed").otherwise("created").alias("outcome"))
     return existing.unionByName(reused).unionByName(suppressed).unionByName(made)
 
