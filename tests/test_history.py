@@ -314,7 +314,7 @@ def test_plans_equal_a_walk(spark):
     parts = [random_plan(k) for k in range(1, 250)]
     new, stored, edges = ([x for p in parts for x in p[i]] for i in range(3))
     frames = spark.createDataFrame([tuple(x.values()) for x in new], PLAN_NEW), spark.createDataFrame([tuple(x.values()) for x in stored], PLAN_STORED), spark.createDataFrame(edges, "observation_id long, play_id long")
-    scope = Scope(spark)
+    scope = scratch.Scope(spark)
     steps = apply.plan(*frames, scope, F.col("play") + 10_000)
     plays, moved = map(scope.written, apply.execute(steps, *frames))
     got = steps.collect()
@@ -571,3 +571,14 @@ def test_resolve_inward_joins_little_by_id(spark):
     want = [(1, 5, "existing"), (2, 9, "reused"), (3, None, "failed"), (4, None, "suppressed"), (5, 105, "created"), (6, None, "existing")]
     assert sorted(map(tuple, out.collect())) == want
     assert _plan(out).count("Join ") <= 1
+
+
+def test_copies_of_a_write_are_kept_as_ids(spark):
+    """Of five writes of one stamp four are written with nothing but whose copies they are."""
+    rows = [(k, 1, "spotify", "spotify_export", "t", "a", "n", dt.datetime(2024, 1, 1), 60_000, "{}", 7) for k in range(5)]
+    obs = spark.createDataFrame(rows, SCHEMA)
+    scope = scratch.Scope(spark)
+    units = P.same_channel(P.with_start(P.with_channel(obs)), scope).select("id", "unit", "role")
+    assert sorted(map(tuple, units.collect())) == [(0, 0, "unit"), *[(k, 0, "duplicate") for k in range(1, 5)]]
+    assert [r.id for r in spark.read.parquet(f"{scope.root}/1").where("of is not null").collect()] == [0]
+    scope.drop()

@@ -1,6 +1,7 @@
 """Ordered lists against a plain Python model, pipelines, validation and sinks."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -193,3 +194,13 @@ def test_insert_ignore_keeps_the_same_row_whatever_the_order(spark):
     old = spark.createDataFrame([(2, "old", 0)], "k long, name string, v long")
     out = [sorted(sinks.insert_ignore(old, spark.createDataFrame(r, "k long, name string, v long").repartition(3), ["k"]).collect(), key=str) for r in (rows, rows[::-1])]
     assert out[0] == out[1] and len(out[0]) == 2
+
+
+def test_first_of_key_deals_rows_without_their_text(spark):
+    rows = [(k % 7, f"n{k % 3}", None if k % 5 else k) for k in range(40)]
+    df = spark.createDataFrame(rows, "k long, name string, v long")
+    out = sinks.first_of_key(df, ["k"])
+    below = out._jdf.queryExecution().executedPlan().toString().split("Exchange")[1:]
+    assert len(below) == 1 and "to_json" not in below[0]
+    text = lambda r: json.dumps({"name": r[1], "v": r[2]}, separators=(",", ":"))
+    assert sorted(map(tuple, out.collect())) == [min((r for r in rows if r[0] == k), key=text) for k in range(7)]

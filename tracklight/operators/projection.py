@@ -152,7 +152,7 @@ def _cut_chain(rows: list) -> list[tuple]:
 
 
 def _duplicates(rows: DataFrame, scope: Scope) -> DataFrame:
-    """The rows with kept, the write of the same play that stays.
+    """The rows with kept, the write of the same play that stays; a row that another one's write stays for may lack its other columns.
 
     Rows of one stamp are writes of one play, of which a window names the one that stays; only those of stamps within JITTER
     of another stamp go through Arrow.
@@ -167,7 +167,10 @@ def _duplicates(rows: DataFrame, scope: Scope) -> DataFrame:
     known = F.col("channel").isNotNull() & F.col("at_us").isNotNull()
     own = own.withColumns({"near": F.bool_or(near).over(stamp) & known, "run": F.count_if("_apart").over(w)})
     marked = own.withColumn("first", F.when(known, F.col("_first")).otherwise(F.col("id"))).withColumn("run", F.when(F.col("near"), F.col("run")))
-    marked = scope.written(marked.drop("_since", "_until", "_first", "_apart"))
+    # of a row that is sure to be another one's copy only their ids are looked at again
+    of = F.when(F.col("near") | (F.col("id") == F.col("first")), F.struct(*[c for c in rows.columns if c != "id"])).alias("of")
+    marked = scope.written(marked.select("id", "first", "near", "run", of))
+    marked = marked.select("id", "first", "near", "run", "of.*")
     found = scope.written(per_group(marked.where("near").select(*CHANNEL_KEYS, "run", "at_us", "id", "ms"), [*CHANNEL_KEYS, "run"], ["at_us", "id"], _twins, "id long, kept long"))
     alone, close = marked.where("not near").withColumn("kept", F.col("first")), marked.where("near").join(found, "id")
     return alone.unionByName(close).drop("near", "run", "first")

@@ -71,8 +71,10 @@ def first_of_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
     if not rest:
         return rows.distinct()
-    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})).alias("_rest"))
-    return one.select(*[F.col(c) if c in keys else F.col(f"_rest.{c}").alias(c) for c in rows.columns])
+    own, all_of = Window.partitionBy(*keys), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})
+    # rows are dealt as they are; the text is made after that, and only where a key has several
+    many = rows.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_text", F.when(F.col("_n") > 1, all_of))
+    return many.withColumn("_n", F.row_number().over(own.orderBy("_text"))).where("_n = 1").select(*rows.columns)
 
 
 def insert_ignore(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

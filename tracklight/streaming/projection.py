@@ -99,7 +99,8 @@ def apply_batch(batch: DataFrame, ledger: str, plays: str, batch_id: int = 0) ->
     try:
         stamped = first_of_key(batch, ["id"]).withColumn("day", F.to_date("played_at")).withColumn("batch", F.lit(batch_id))
         known = _read(spark, ledger, stamped).where(F.col("batch") != batch_id)
-        fresh = stamped.join(known.join(stamped.select("day").distinct(), "day", "left_semi").select("id"), "id", "left_anti")
+        own = batch.select(F.to_date("played_at").alias("day")).distinct()
+        fresh = stamped.join(known.join(own, "day", "left_semi").select("id"), "id", "left_anti")
         fresh.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(ledger)
         everything = spark.read.schema(stamped.schema).parquet(ledger)
         days = scope.written(touched_days(everything.where(F.col("batch") == batch_id)))
