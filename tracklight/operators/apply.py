@@ -23,13 +23,14 @@ COMPARED = ("track_id", "service", "played_at", "ms_played", "context", "source_
 ACTIONS = ("insert", "claim", "adopt", "heal", "keep", "update", "merge", "delete")
 
 
-def in_turn(options: DataFrame, scope: Scope) -> DataFrame:
-    """taker and target: each taker in order of turn (an ordered column, different for each taker) gets its first option (by choice) that none before it got. options: taker, turn, choice, target, each target once for a taker.
+def in_turn(options: DataFrame, scope: Scope, kept: bool = False) -> DataFrame:
+    """taker, turn and target: each taker in order of turn (an ordered column, different for each taker) gets its first option (by choice) that none before it got. options: taker, turn, choice, target, each target once for a taker; kept says that they are a table already.
 
     In a round all those get their best left option that come first among all left takers who could still have it. Nobody
     before them can get it, so a walk in order would give the same.
     """
-    live, out = scope.written(options.select("taker", "turn", "choice", "target")), None
+    live, out = options.select("taker", "turn", "choice", "target"), None
+    live = live if kept else scope.written(live)
     while not live.isEmpty():
         best = live.groupBy("taker").agg(F.min_by(F.struct("target", "turn"), F.struct("choice", "target")).alias("b"))
         first = live.groupBy("target").agg(F.min("turn").alias("_first"))
@@ -51,19 +52,21 @@ def plan(new: DataFrame, stored: DataFrame, edges: DataFrame, scope: Scope, new_
     of an inserted play from new's row, its play by default.
     """
     turn = F.struct("start_us", "play")
-    own = scope.written(new.withColumns({"turn": turn, "_new_id": F.col("play") if new_id is None else new_id}))
+    own = scope.written(new.withColumn("_new_id", F.col("play") if new_id is None else new_id)).withColumn("turn", turn)
     members = own.select("play", "turn", F.explode("members").alias("observation_id"))
     links = scope.written(members.join(edges, "observation_id").select("play", "turn", "play_id").distinct())
-    linked = scope.written(in_turn(links.select(F.col("play").alias("taker"), "turn", F.col("play_id").alias("choice"), F.col("play_id").alias("target")), scope))
+    linked = in_turn(links.select(F.col("play").alias("taker"), "turn", F.lit(0).alias("choice"), F.col("play_id").alias("target")), scope, kept=True)
     taken = linked.select(F.col("target").alias("play_id"), F.col("turn").alias("_taken"))
     # what was still to be had when it was a play's turn
     held = links.join(taken, "play_id", "left").where(F.col("_taken").isNull() | (F.col("_taken") >= F.col("turn")))
     held = held.join(linked.select(F.col("taker").alias("play"), "target"), "play")
     counts = held.groupBy("play").agg(F.count(F.lit(1)).alias("n"), F.first("target").alias("target"))
 
-    alike = Window.partitionBy("_identity").orderBy("turn")
-    ranked = own.select("play", "turn", "ms_played", *[c for c in IDENTITY if c != "ms_played"], "_new_id", _identity(own).alias("_identity")).withColumn("_before", F.first("play").over(alike))
+    # dealt by the identity's fields and by play, each of which is sent once
+    alike = Window.partitionBy(*IDENTITY).orderBy("start_us", "play")
+    ranked = own.select("play", "start_us", *IDENTITY, "_new_id").withColumn("_before", F.first("play").over(alike))
     unlinked = scope.written(ranked.join(counts.select("play"), "play", "left_anti"))
+    unlinked = unlinked.withColumns({"turn": turn, "_identity": _identity(unlinked)})
     firsts = unlinked.where(F.col("_before") == F.col("play"))
     loose = stored.join(links.select("play_id"), "play_id", "left_anti").join(edges.select("play_id"), "play_id", "left_anti")
     loose = loose.groupBy(_identity(loose).alias("_identity")).agg(F.min("play_id").alias("target"))
@@ -73,7 +76,7 @@ def plan(new: DataFrame, stored: DataFrame, edges: DataFrame, scope: Scope, new_
     for c in IDENTITY:
         same = same & F.col(f"ask.key.{c}").eqNullSafe(F.col(f"_identity.{c}"))
     options = asked.join(loose, same).select(F.col("play").alias("taker"), "turn", F.col("ask.choice").alias("choice"), "target")
-    adopted = scope.written(in_turn(options, scope)).select(F.col("taker").alias("play"), F.col("target").alias("_adopted"))
+    adopted = in_turn(options, scope).select(F.col("taker").alias("play"), F.col("target").alias("_adopted"))
     settled = firsts.join(adopted, "play", "left").select("play", F.coalesce("_adopted", "_new_id").alias("play_id"), F.when(F.col("_adopted").isNull(), "insert").otherwise("adopt").alias("_kind"))
     settled = settled.unionByName(counts.select("play", F.col("target").alias("play_id"), F.when(F.col("n") == 1, "keep").otherwise("merge").alias("_kind")))
     settled = scope.written(settled)
@@ -86,10 +89,13 @@ def plan(new: DataFrame, stored: DataFrame, edges: DataFrame, scope: Scope, new_
     equal = F.lit(True)
     for c in fields:
         equal = equal & F.col(f"_old.{c}").eqNullSafe(F.col(f"_now.{c}"))
-    compared = settled.join(now, "play").join(old, "play_id", "left")
+    # only what is kept or adopted can be as it was
+    matters = F.col("_kind").isin("keep", "adopt")
+    compared = settled.where(matters).join(now, "play").join(old, "play_id", "left")
     changed = ~F.coalesce(F.col("_old").isNotNull() & equal, F.lit(False))
     action = F.when((F.col("_kind") == "keep") & changed, "update").when((F.col("_kind") == "adopt") & changed, "heal").otherwise(F.col("_kind"))
-    done = scope.written(compared.select("play", "play_id", action.alias("action")).unionByName(claims.select("play", "play_id", F.col("_kind").alias("action"))))
+    others = settled.where(~matters).unionByName(claims).select("play", "play_id", F.col("_kind").alias("action"))
+    done = scope.written(compared.select("play", "play_id", action.alias("action")).unionByName(others))
     # a candidate to go whose last edge leads elsewhere afterwards
     rest = held.where(F.col("play_id") != F.col("target")).select("play_id").distinct().join(done.select("play_id"), "play_id", "left_anti")
     outside = edges.join(members.select("observation_id"), "observation_id", "left_anti").select("play_id")
