@@ -9,12 +9,21 @@ from __future__ import annotations
 from collections import namedtuple
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 ROWS_OUT = 10_000
 
 
+#: Rows that a task is dealt where their number is known.
+ROWS_A_TASK = 500_000
+
+
+def shuffle_partitions(spark: SparkSession, rows: int = 0) -> int:
+    """Twice as many partitions as the session shuffles to, or more for very many rows. A number that is named isn't coalesced, as few bytes can be very many rows, and one that is not the session's is dealt by itself, in a stage of its own."""
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+
 def per_group(df: DataFrame, keys: list[str], order: list[str], function: Callable[[list], Iterable[tuple]], schema: str) -> DataFrame:
     """The tuples that function gives for each group's rows (named tuples, in order), as rows of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklight.operators.grouped import shuffle_partitions
+
 #: From weakest to strongest, fixed values.
 SOURCES = ("service_import", "playlist_assignment", "manual")
 STATES = ("nah", "hmm", "yah", "star")
@@ -57,9 +59,11 @@ def merge_preferences(preferences: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def merge_metrics(metrics: DataFrame, merges: DataFrame) -> DataFrame:
-    """The newest sample of each metric wins."""
-    w = Window.partitionBy("track_id", "connector", "metric_type").orderBy(F.col("collected_at").desc(), F.col("value").desc())
-    return repoint(metrics, merges).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The newest sample of each metric wins. Samples are dealt before they are sorted, so that no task sorts them beside the work that made them."""
+    keys = ["track_id", "connector", "metric_type"]
+    w = Window.partitionBy(*keys).orderBy(F.col("collected_at").desc(), F.col("value").desc())
+    dealt = repoint(metrics, merges).repartition(shuffle_partitions(metrics.sparkSession), *keys)
+    return dealt.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def merge_mappings(mappings: DataFrame, merges: DataFrame) -> DataFrame:
