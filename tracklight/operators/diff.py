@@ -11,7 +11,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklight.operators.grouped import per_group
+from tracklight.operators.grouped import per_group, shuffle_partitions
 
 
 def occurrences(rows: DataFrame, by: str = "turn") -> DataFrame:
@@ -62,6 +62,13 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def both_sides(current: DataFrame, target: DataFrame) -> DataFrame:
+    """The rows of both lists, with whether they are current's, dealt once by playlist and to more tasks the more rows there are, which are counted for that."""
+    n = shuffle_partitions(current.sparkSession, current.count() + target.count())
+    side = lambda rows, own: rows.select("playlist_id", "track_id", "position", F.lit(own).alias("current"))
+    return side(current, True).unionByName(side(target, False)).repartition(n, "playlist_id")
+
+
 def pairing(current: DataFrame, target: DataFrame) -> DataFrame:
     """Which current slot fills each target slot: the same slot where it holds the same track, the rest in turn; direct says which."""
     both = current.select("playlist_id", "track_id", "position").join(target.select("playlist_id", "track_id", "position"), ["playlist_id", "track_id", "position"])
@@ -158,13 +165,13 @@ def flagged(removed: Column, total: Column) -> Column:
 
 
 def sync_plan(current: DataFrame, target: DataFrame) -> DataFrame:
-    """playlist_id, to_add, to_remove, unchanged, is_noop and flagged, by differences of multisets."""
-    count = lambda df, name: df.groupBy("playlist_id", "track_id").agg(F.count(F.lit(1)).alias(name))
-    both = count(current, "a").join(count(target, "b"), ["playlist_id", "track_id"], "full_outer").na.fill(0, ["a", "b"])
-    sums = both.groupBy("playlist_id").agg(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("to_add"), F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("to_remove"), F.sum(F.least("a", "b")).alias("unchanged"), F.sum("a").alias("_total"))
-    slots = current.select("playlist_id", "position", F.col("track_id").alias("_a"), F.lit(1).alias("_x")).join(target.select("playlist_id", "position", F.col("track_id").alias("_b"), F.lit(1).alias("_y")), ["playlist_id", "position"], "full_outer")
-    same = slots.groupBy("playlist_id").agg(F.bool_and(F.col("_a").eqNullSafe(F.col("_b")) & F.col("_x").eqNullSafe(F.col("_y"))).alias("is_noop"))
-    return sums.join(same, "playlist_id").select("playlist_id", "to_add", "to_remove", "unchanged", "is_noop", flagged(F.col("to_remove"), F.col("_total")).alias("flagged"))
+    """playlist_id, to_add, to_remove, unchanged, is_noop and flagged, by differences of multisets: of tracks, and for is_noop of tracks at their positions."""
+    own = lambda c: F.count_if(F.col("current") == c)
+    slots = both_sides(current, target).groupBy("playlist_id", "track_id", "position").agg(own(True).alias("a"), own(False).alias("b"))
+    tracks = slots.groupBy("playlist_id", "track_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.bool_and(F.col("a") == F.col("b")).alias("same"))
+    a, b = F.col("a"), F.col("b")
+    sums = tracks.groupBy("playlist_id").agg(F.sum(F.greatest(b - a, F.lit(0))).alias("to_add"), F.sum(F.greatest(a - b, F.lit(0))).alias("to_remove"), F.sum(F.least("a", "b")).alias("unchanged"), F.sum("a").alias("_total"), F.bool_and("same").alias("is_noop"))
+    return sums.select("playlist_id", "to_add", "to_remove", "unchanged", "is_noop", flagged(F.col("to_remove"), F.col("_total")).alias("flagged"))
 
 
 def reorder(current: DataFrame, target: DataFrame) -> DataFrame:
