@@ -582,3 +582,55 @@ def test_copies_of_a_write_are_kept_as_ids(spark):
     assert sorted(map(tuple, units.collect())) == [(0, 0, "unit"), *[(k, 0, "duplicate") for k in range(1, 5)]]
     assert [r.id for r in spark.read.parquet(f"{scope.root}/1").where("of is not null").collect()] == [0]
     scope.drop()
+
+
+def _dealt(df) -> list[str]:
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_counts_of_list_differences_deal_rows_once(spark):
+    r = random.Random(5)
+    rows = [[(p, k, r.choice([1, 2, 3, None, *range(4, 9)])) for p in range(40) for k in range(r.randrange(0, 14))] for _ in range(2)]
+    current, target = (spark.createDataFrame(x, "playlist_id long, position long, track_id long") for x in rows)
+    plan, sure = D.sync_plan(current, target), D.confidence(current, target)
+    assert len(_dealt(plan)) == 1 and "REPARTITION_BY_NUM" in _dealt(plan)[0]
+    assert sum("REPARTITION_BY_NUM" in x for x in _dealt(sure)) <= 2
+    lists = [{p: [t for q, _, t in x if q == p] for p in range(40)} for x in rows]
+    said = {x.playlist_id: x for x in plan.collect()}
+    for p, x in said.items():
+        a, b = Counter(lists[0][p]), Counter(lists[1][p])
+        assert (x.to_add, x.to_remove, x.unchanged, x.is_noop) == ((b - a).total(), (a - b).total(), (a & b).total(), lists[0][p] == lists[1][p])
+    assert set(said) == {p for x in lists for p, own in x.items() if own}
+    for compat in (False, True):
+        ops = Counter(x.playlist_id for x in D.operations(current, target, compat).collect())
+        found = {x.playlist_id: (x.matched, x.operations) for x in D.confidence(current, target, compat).collect()}
+        known = [{p: Counter(t for t in own if t is not None) for p, own in x.items()} for x in lists]
+        assert found == {p: ((known[0][p] & known[1][p]).total(), ops[p]) for p in said}
+
+
+def test_newest_metrics_are_dealt_before_they_are_sorted(spark):
+    from tracklight.operators import mutations as M
+
+    rows = [(k % 5, "c", "m", float(k % 7), dt.datetime(2024, 1, 1 + k % 3)) for k in range(60)]
+    metrics = spark.createDataFrame(rows, "track_id long, connector string, metric_type string, value double, collected_at timestamp_ntz")
+    out = M.merge_metrics(metrics, spark.createDataFrame([(0, 4)], "winner_id long, loser_id long"))
+    below = out._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(track_id")[1]
+    assert "REPARTITION_BY_NUM" in below and "WindowGroupLimit" not in below
+    best: dict = {}
+    for t, _, _, v, at in rows:
+        best[t % 4] = max(best.get(t % 4, (at, v)), (at, v))
+    assert {x.track_id: (x.collected_at, x.value) for x in out.collect()} == best
+
+
+def test_only_kept_and_adopted_plays_are_compared(spark):
+    """An identity is dealt as its fields, and turns and choices that a table holds aren't written again."""
+    from tracklight.operators import apply as A
+    from tracklight.queries.history import FAR, planned
+    from tracklight.sources.standin import Library
+
+    scope = scratch.Scope(spark)
+    steps = A.plan(*planned(Library(spark, "/root/testdata/sf0.001")), scope, F.col("play") + 5 * FAR)
+    written = [spark.read.parquet(f"{scope.root}/{k}").columns for k in range(1, scope.n + 1)]
+    assert not any("_identity" in c for c in written) and written.count(["taker", "turn", "choice", "target"]) <= 4
+    assert {r.action for r in steps.select("action").distinct().collect()} == set(A.ACTIONS)
+    scope.drop()

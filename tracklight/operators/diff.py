@@ -1,7 +1,8 @@
 """Differences of ordered lists: what to remove, add and move, for many playlists at once.
 
 Lists are rows (playlist_id, position, track_id), positions from 0. The k-th occurrence of a track meets the k-th in the
-other list by an outer join; only the longest increasing run needs a playlist's matched positions in one place.
+other list by an outer join. Pairs of slots, their counts and the sync plan deal both lists' rows once, by playlist, and
+find partners by windows and aggregates there; only the longest increasing run needs a playlist's matched positions in one place.
 """
 
 from __future__ import annotations
@@ -69,13 +70,29 @@ def both_sides(current: DataFrame, target: DataFrame) -> DataFrame:
     return side(current, True).unionByName(side(target, False)).repartition(n, "playlist_id")
 
 
+def aligned(current: DataFrame, target: DataFrame) -> DataFrame:
+    """pairing's rows, and one for each slot of either list without a partner, whose other position is null.
+
+    Rows of a track are numbered, in the order of their positions, apart for each side and for those that match directly; rows of
+    equal numbers are partners. All of it happens where both_sides has dealt a playlist's rows.
+    """
+    track = ["playlist_id", "track_id"]
+    here = Window.partitionBy(*track, "position")
+    turn = Window.partitionBy(*track).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    direct = F.col("track_id").isNotNull() & (F.min("current").over(here) != F.max("current").over(here))
+    rows = both_sides(current, target).withColumn("direct", direct)
+    rest = lambda own: F.count_if(~F.col("direct") & (F.col("current") == own)).over(turn)
+    rows = rows.withColumn("_turn", F.when(F.col("direct"), F.col("position")).when(F.col("current"), rest(True)).otherwise(rest(False)))
+    # slots without a track have no partners
+    rows = rows.withColumn("_alone", F.when(F.col("track_id").isNull(), F.col("current")))
+    at = lambda own: F.max(F.when(F.col("current") == own, F.col("position")))
+    found = rows.groupBy(*track, "direct", "_turn", "_alone").agg(at(True).alias("current_position"), at(False).alias("target_position"))
+    return found.select(*track, "current_position", "target_position", "direct")
+
+
 def pairing(current: DataFrame, target: DataFrame) -> DataFrame:
     """Which current slot fills each target slot: the same slot where it holds the same track, the rest in turn; direct says which."""
-    both = current.select("playlist_id", "track_id", "position").join(target.select("playlist_id", "track_id", "position"), ["playlist_id", "track_id", "position"])
-    direct = both.select("playlist_id", "track_id", F.col("position").alias("current_position"), F.col("position").alias("target_position"), F.lit(True).alias("direct"))
-    keys = ["playlist_id", "track_id", "position"]
-    rest = matched(current.join(both, keys, "left_anti"), target.join(both, keys, "left_anti")).where("current_position is not null and target_position is not null")
-    return direct.unionByName(rest.select("playlist_id", "track_id", "current_position", "target_position", F.lit(False).alias("direct")))
+    return aligned(current, target).where("current_position is not null and target_position is not null")
 
 
 def out_of_order(pairs: DataFrame) -> DataFrame:
@@ -85,20 +102,25 @@ def out_of_order(pairs: DataFrame) -> DataFrame:
     return marked.withColumn("_any", F.bool_or("_falls").over(Window.partitionBy("playlist_id"))).where("_any").drop("_falls", "_any")
 
 
-def moves(current: DataFrame, target: DataFrame, compat: bool = False) -> DataFrame:
-    """playlist_id, track_id, old_position and position of the slots outside a longest run that keeps its order. The run is looked for in the target's order, which gives the fewest moves; compat puts slots that match directly first.
-
-    A list whose order is changed is held whole by one task, as two integers for each of its slots.
-    """
+def _moved(pairs: DataFrame, compat: bool) -> DataFrame:
+    """playlist_id, old_position and position of those of pairing's rows that moves names."""
 
     def outside(rows: list) -> list[tuple]:
         keep = set(longest_increasing([r.current_position for r in rows]))
         return [(r.playlist_id, r.current_position, r.target_position) for k, r in enumerate(rows) if k not in keep]
 
-    kinds = {f.name: f.dataType.simpleString() for f in current.schema}
-    schema = f"playlist_id {kinds['playlist_id']}, old_position {kinds['position']}, position {kinds['position']}"
-    found = pairing(current, target).withColumn("first", F.when(F.col("direct") & F.lit(compat), 0).otherwise(1)).select("playlist_id", "first", "target_position", "current_position")
-    found = per_group(out_of_order(found), ["playlist_id"], ["first", "target_position"], outside, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    schema = f"playlist_id {kinds['playlist_id']}, old_position {kinds['current_position']}, position {kinds['target_position']}"
+    found = pairs.withColumn("first", F.when(F.col("direct") & F.lit(compat), 0).otherwise(1)).select("playlist_id", "first", "target_position", "current_position")
+    return per_group(out_of_order(found), ["playlist_id"], ["first", "target_position"], outside, schema)
+
+
+def moves(current: DataFrame, target: DataFrame, compat: bool = False) -> DataFrame:
+    """playlist_id, track_id, old_position and position of the slots outside a longest run that keeps its order. The run is looked for in the target's order, which gives the fewest moves; compat puts slots that match directly first.
+
+    A list whose order is changed is held whole by one task, as two integers for each of its slots.
+    """
+    found = _moved(pairing(current, target), compat)
     named = target.select("playlist_id", "position", "track_id")
     return found.join(named, ["playlist_id", "position"]).select("playlist_id", "track_id", "old_position", "position")
 
@@ -106,7 +128,7 @@ def moves(current: DataFrame, target: DataFrame, compat: bool = False) -> DataFr
 def longest_runs(current: DataFrame, target: DataFrame) -> DataFrame:
     """playlist_id, run (the length of a longest run of slots that keep their order) and slots, of lists that have slots in common."""
     pairs = pairing(current, target)
-    gone = moves(current, target).groupBy("playlist_id").agg(F.count(F.lit(1)).alias("moves"))
+    gone = _moved(pairs, False).groupBy("playlist_id").agg(F.count(F.lit(1)).alias("moves"))
     all_of = pairs.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("slots")).join(gone, "playlist_id", "left")
     return all_of.select("playlist_id", (F.col("slots") - F.coalesce("moves", F.lit(0))).alias("run"), "slots")
 
@@ -152,9 +174,13 @@ def executable(ops: DataFrame) -> DataFrame:
 
 def confidence(current: DataFrame, target: DataFrame, compat: bool = False) -> DataFrame:
     """playlist_id, matched, operations and their share, 1 for two empty lists."""
-    pairs = matched(current, target).groupBy("playlist_id").agg(F.count_if(F.col("current_position").isNotNull() & F.col("target_position").isNotNull()).alias("matched"))
-    ops = operations(current, target, compat).groupBy("playlist_id").agg(F.count(F.lit(1)).alias("operations"))
-    out = pairs.join(ops, "playlist_id", "left").withColumn("operations", F.coalesce("operations", F.lit(0)))
+    slots = aligned(current, target)
+    paired = F.col("current_position").isNotNull() & F.col("target_position").isNotNull()
+    # removals and additions are those without a partner: as many as when direct matches don't go first; compat names none without a track
+    others = ~paired & (F.col("track_id").isNotNull() | F.lit(not compat))
+    sums = slots.groupBy("playlist_id").agg(F.count_if(paired).alias("matched"), F.count_if(others).alias("_others"))
+    gone = _moved(slots.where(paired), compat).groupBy("playlist_id").agg(F.count(F.lit(1)).alias("_moves"))
+    out = sums.join(gone, "playlist_id", "left").select("playlist_id", "matched", (F.col("_others") + F.coalesce("_moves", F.lit(0))).alias("operations"))
     all = F.col("matched") + F.col("operations")
     return out.withColumn("confidence", F.when(all == 0, 1.0).otherwise(F.col("matched") / all))
 
