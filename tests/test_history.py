@@ -634,3 +634,30 @@ def test_only_kept_and_adopted_plays_are_compared(spark):
     assert not any("_identity" in c for c in written) and written.count(["taker", "turn", "choice", "target"]) <= 4
     assert {r.action for r in steps.select("action").distinct().collect()} == set(A.ACTIONS)
     scope.drop()
+
+
+def test_rows_of_one_stamp_come_together_before_they_are_dealt(spark):
+    """Whatever their time listened, they are one row by channel and track; of rows a moment apart each is looked at."""
+    at = dt.datetime(2024, 1, 1)
+    rows = [(k, 1, "spotify", "spotify_api", "t", "a", "n", at, 60_000 + k % 2, "{}", 7) for k in range(6)]
+    rows += [(10 + k, 1, "own", "manual", "t", "a", "n", at + dt.timedelta(seconds=k // 2), 60_000 + k % 2, "{}", 7) for k in range(4)]
+    scope = scratch.Scope(spark)
+    units = P.same_channel(P.with_start(P.with_channel(spark.createDataFrame(rows, SCHEMA))), scope).select("id", "unit", "role")
+    assert {r.id: (r.unit, r.role) for r in units.collect()} == {k: (1, "unit" if k == 1 else "duplicate") for k in range(6)} | {10 + k: (11, "unit" if k == 1 else "duplicate") for k in range(4)}
+    assert spark.read.parquet(f"{scope.root}/1").count() == 3
+    scope.drop()
+
+
+def test_contexts_are_built_only_if_asked_for(spark):
+    rows, _ = generated(3)
+    plays = P.project(spark.createDataFrame(rows, SCHEMA))
+    assert "context" in _plan(plays) and "context" not in _plan(plays.select("play", "track_id", "played_at", "ms_played", "anchor_us", "source_services"))
+
+
+def test_a_batch_brings_each_id_once_and_only_new_ones(spark, tmp_path):
+    ledger, plays = f"{tmp_path}/ledger", f"{tmp_path}/plays"
+    df = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    S.apply_batch(df(seen(1, 1, "10:00:00", 1), seen(2, 1, "11:00:00", 2)), ledger, plays, 0)
+    S.apply_batch(df(seen(1, 1, "12:00:00", 3), seen(3, 1, "13:00:00", 5), seen(3, 1, "13:00:00", 4), seen(2, 9, "11:00:00", 2), seen(4, 1, "14:00:00", 6)), ledger, plays, 1)
+    got = sorted((r.id, r.played_at.day, r.resolved_track_id) for r in spark.read.parquet(ledger).collect())
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 4), (4, 1, 6)]

@@ -51,13 +51,14 @@ OBJECT = "map<string,variant>"
 
 def as_object(text: Column) -> Column:
     """JSON text as a map of variants; empty where it is null, broken or no object."""
-    value = F.try_parse_json(text)
-    return F.when(F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)), value.cast(OBJECT)).otherwise(F.create_map().cast(OBJECT))
+    return F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", OBJECT), F.create_map().cast(OBJECT))
 
 
-def merged(under: Column, over: Column) -> Column:
-    """Both maps; of equal keys the second's value counts."""
-    return F.map_concat(F.map_filter(under, lambda k, _: ~F.map_contains_key(over, k)), over)
+def merged(under: Column, over: Column, keys: Column | None = None) -> Column:
+    """Both maps; of equal keys the second's value counts. keys are the first's, where they are known."""
+    # the second map is made again for each key of the first that is looked at, so none is where no key is in both
+    apart = ~F.arrays_overlap(F.map_keys(over), F.map_keys(under) if keys is None else keys)
+    return F.when(apart, F.map_concat(under, over)).otherwise(F.map_concat(F.map_filter(under, lambda k, _: ~F.map_contains_key(over, k)), over))
 
 
 def _built(b: Builder, album: Column) -> Column:
@@ -78,18 +79,24 @@ def _built(b: Builder, album: Column) -> Column:
     pairs = [x for k, v in fields.items() for x in (F.lit(k), v)]
     taken = [*dict.fromkeys([s for _, s in b.known] + list(b.consumed))]
     rest = F.map_filter(metadata, lambda k, _: ~k.isin(taken)) if taken else metadata
-    return merged(F.create_map(*pairs), rest)
+    return merged(F.create_map(*pairs), rest, F.array(*pairs[::2]))
 
 
 def with_context(observations: DataFrame) -> DataFrame:
     """Adds context, the JSON object of the observation's channel; of a channel that nobody knows, of its service; else of none. An album_name is taken where there is such a column."""
     album = F.col("album_name") if "album_name" in observations.columns else F.lit(None).cast("string")
     own = observations.withColumn("_metadata", as_object(F.col("metadata")))
-    out = F.to_json(_built(PLAIN, album))
+    # each builder once, as their code is long
+    builders = list(dict.fromkeys((PLAIN, *BUILDERS.values())))
+    kind = F.lit(builders.index(PLAIN))
     for (service, source), b in sorted(BUILDERS.items(), key=lambda x: x[0][1] is not None):
         here = F.col("service") == service
-        out = F.when(here if source is None else here & (F.col("import_source") == source), F.to_json(_built(b, album))).otherwise(out)
-    return own.withColumn("context", out).drop("_metadata")
+        kind = F.when(here if source is None else here & (F.col("import_source") == source), builders.index(b)).otherwise(kind)
+    own, out = own.withColumn("_kind", kind), F.to_json(_built(PLAIN, album))
+    for k, b in enumerate(builders):
+        if b != PLAIN:
+            out = F.when(F.col("_kind") == k, F.to_json(_built(b, album))).otherwise(out)
+    return own.withColumn("context", out).drop("_metadata", "_kind")
 
 
 def nested(own: Column, others: Column) -> Column:

@@ -1,7 +1,7 @@
 """The play projection: observations of several channels become one history of plays.
 
-Within a channel, repeated writes of one play collapse and the segments of an interrupted listen join. Windows by (user, channel,
-track) join rows of one stamp, and mark rows that are near another stamp and rows that go on with the one before; only rows a moment
+Within a channel, repeated writes of one play collapse and the segments of an interrupted listen join. An aggregate joins rows
+of one stamp; windows by (user, channel, track) mark stamps that are near another one and rows that go on with the one before; only rows a moment
 apart, and chains of segments longer than a listen may be, go through an Arrow function, each such run by itself. Across channels, observations of
 one track (or of equal normal names) that start close together become one play, nearest pairs first and one observation of a
 channel in each play: a join by bins of time finds the pairs, and rounds of joins take all that are nearest at both sides. Fields
@@ -151,29 +151,34 @@ def _cut_chain(rows: list) -> list[tuple]:
     return out
 
 
+def _stamps(rows: DataFrame) -> DataFrame:
+    """The stamps of each channel and track, with writes, what the rows of that stamp bring, the one that stays of them the least. Rows that no other one can be a write of stay single."""
+    single = F.when(~F.col("known") | F.col("at_us").isNull(), F.col("id")).alias("single")
+    # ~ turns the order round; the stamp comes first, as it tells most rows apart where they are sorted
+    write = F.struct(F.bitwise_not(F.coalesce("ms", F.lit(0))).alias("less"), "id", "ms", "start_us", "finished")
+    return rows.groupBy("at_us", *CHANNEL_KEYS, "known", "stamps_end", single).agg(F.collect_list(write).alias("writes"))
+
+
 def _duplicates(rows: DataFrame, scope: Scope) -> DataFrame:
-    """The rows with kept, the write of the same play that stays; a row that another one's write stays for may lack its other columns.
+    """The rows with kept, the write of the same play that stays; rows that another one of their stamp is sure to stay for are only that one's ids, which is null where there are none.
 
-    Rows of one stamp are writes of one play, of which a window names the one that stays; only those of stamps within JITTER
-    of another stamp go through Arrow.
+    Rows of one stamp are writes of one play and come together by an aggregate, as far as may be before they are dealt; only
+    those of stamps within JITTER of another stamp go through Arrow.
     """
-    ms, gap = F.coalesce("ms", F.lit(0)), JITTER * US
-    w = Window.partitionBy(*CHANNEL_KEYS).orderBy("at_us", ms.desc(), "id")
-    stamp = Window.partitionBy(*CHANNEL_KEYS, "at_us")
-    since, until = F.col("at_us") - F.lag("at_us").over(w), F.lead("at_us").over(w) - F.col("at_us")
-    own = rows.withColumns({"_since": since, "_until": until, "_first": F.first("id").over(stamp.orderBy(ms.desc(), "id"))})
-    own = own.withColumn("_apart", F.coalesce(F.col("_since") > gap, F.lit(True)))
-    near = F.coalesce(F.col("_since").between(1, gap), F.lit(False)) | F.coalesce(F.col("_until").between(1, gap), F.lit(False))
-    known = F.col("channel").isNotNull() & F.col("at_us").isNotNull()
-    own = own.withColumns({"near": F.bool_or(near).over(stamp) & known, "run": F.count_if("_apart").over(w)})
-    marked = own.withColumn("first", F.when(known, F.col("_first")).otherwise(F.col("id"))).withColumn("run", F.when(F.col("near"), F.col("run")))
-    # of a row that is sure to be another one's copy only their ids are looked at again
-    of = F.when(F.col("near") | (F.col("id") == F.col("first")), F.struct(*[c for c in rows.columns if c != "id"])).alias("of")
-    marked = scope.written(marked.select("id", "first", "near", "run", of))
-    marked = marked.select("id", "first", "near", "run", "of.*")
-    found = scope.written(per_group(marked.where("near").select(*CHANNEL_KEYS, "run", "at_us", "id", "ms"), [*CHANNEL_KEYS, "run"], ["at_us", "id"], _twins, "id long, kept long"))
-    alone, close = marked.where("not near").withColumn("kept", F.col("first")), marked.where("near").join(found, "id")
-    return alone.unionByName(close).drop("near", "run", "first")
+    gap, w = JITTER * US, Window.partitionBy(*CHANNEL_KEYS).orderBy("at_us")
+    own = _stamps(rows).withColumns({"_since": F.col("at_us") - F.lag("at_us").over(w), "_until": F.lead("at_us").over(w) - F.col("at_us"), "_first": F.array_min("writes")})
+    near = F.coalesce(F.col("_since").between(1, gap) | F.col("_until").between(1, gap), F.lit(False)) & F.col("single").isNull()
+    ids = F.when(~near & (F.size("writes") > 1), F.transform("writes", lambda x: x.id))
+    of = F.struct(*CHANNEL_KEYS, "known", "stamps_end", "at_us", "_first.ms", "_first.start_us", "_first.finished")
+    marked = scope.written(own.select("_first.id", ids.alias("ids"), near.alias("near"), of.alias("of"), F.when(near, F.col("writes")).alias("writes")))
+    end = F.col("start_us") + F.coalesce("ms", F.lit(0)) * 1000
+    alone = marked.where("not near").select("id", "ids", "of.*").withColumns({"end_us": end, "kept": F.col("id")})
+    near = marked.where("near").select(F.struct("of.*").dropFields("ms", "start_us", "finished").alias("of"), "writes").select("of.*", "writes")
+    near = near.withColumn("_apart", F.coalesce(F.col("at_us") - F.lag("at_us").over(w) > gap, F.lit(True))).withColumn("run", F.count_if("_apart").over(w))
+    near = near.drop("_apart").withColumn("write", F.explode("writes")).select("*", "write.*").drop("writes", "write", "less")
+    found = scope.written(per_group(near.select(*CHANNEL_KEYS, "run", "at_us", "id", "ms"), [*CHANNEL_KEYS, "run"], ["at_us", "id"], _twins, "id long, kept long"))
+    close = near.drop("run").withColumns({"end_us": end, "ids": F.lit(None).cast("array<long>")}).join(found, "id")
+    return alone.unionByName(close)
 
 
 def _chains(kept: DataFrame) -> DataFrame:
@@ -181,7 +186,7 @@ def _chains(kept: DataFrame) -> DataFrame:
     w = Window.partitionBy(*CHANNEL_KEYS).orderBy("at_us", "id")
     before = lambda c: F.lag(c).over(w)
     goes_on = (before("finished") == F.lit(False)) & before("ms").isNotNull() & F.col("ms").isNotNull() & (F.abs(F.col("start_us") - before("end_us")) <= ISLAND_GAP * US)
-    goes_on = F.coalesce(goes_on, F.lit(False)) & F.col("channel").isNotNull()
+    goes_on = F.coalesce(goes_on, F.lit(False)) & F.col("known")
     return kept.withColumn("chain", F.count_if(~goes_on).over(w))
 
 
@@ -199,14 +204,14 @@ def _listens(parts: DataFrame, by: list[str]) -> DataFrame:
 def same_channel(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
     """id, unit, role (unit, segment or duplicate), and the unit's ms, stamp and start, of with_start's rows. Unknown channels stay single.
 
-    Channel and track keys are dealt once for the writes of one play and once for the listens of those that stay; chains that
-    are too long alone are dealt again.
+    Rows are dealt by stamp, where those of one come together, and then as stamps by channel and track: once for the writes of one
+    play and once for the listens of those that stay; chains that are too long alone are dealt again.
     """
     scope = scope or Scope(observations.sparkSession)
     keyed = observations.withColumns({"channel_key": F.coalesce("channel", F.concat_ws("?", F.lit(""), "service")), "ms": F.col("ms_played")})
-    rows = _duplicates(keyed.select(*CHANNEL_KEYS, "channel", *SEGMENT), scope)
-    chained, by = _chains(rows.where("id = kept").drop("kept")), [*CHANNEL_KEYS, "chain"]
-    long = F.col("channel").isNotNull() & (F.max("end_us").over(Window.partitionBy(*by)) - F.first("start_us").over(Window.partitionBy(*by).orderBy("at_us", "id")) > ISLAND_SPAN * US)
+    rows = _duplicates(keyed.select(*CHANNEL_KEYS, F.col("channel").isNotNull().alias("known"), *SEGMENT), scope)
+    chained, by = _chains(rows.where("id = kept").drop("kept", "ids")), [*CHANNEL_KEYS, "chain"]
+    long = F.col("known") & (F.max("end_us").over(Window.partitionBy(*by)) - F.first("start_us").over(Window.partitionBy(*by).orderBy("at_us", "id")) > ISLAND_SPAN * US)
     unit = ["id", "unit", "role", "unit_ms", "unit_at_us", "unit_start_us"]
     listed = _listens(chained.withColumn("_long", F.coalesce(long, F.lit(False))), by)
     listed = scope.written(listed.select(*unit, F.when(F.col("_long"), F.struct(*by, *[c for c in SEGMENT if c != "id"])).alias("of_long")))
@@ -214,7 +219,7 @@ def same_channel(observations: DataFrame, scope: Scope | None = None) -> DataFra
     heads = per_group(cut, by, ["at_us", "id"], _cut_chain, "id long, head long")
     cut = scope.written(_listens(cut.join(heads, "id"), [*CHANNEL_KEYS, "head"]).select(*unit))
     units = listed.where("of_long is null").select(*unit).unionByName(cut)
-    copies = rows.where("id <> kept").select("id", "kept").join(units.withColumnRenamed("id", "kept"), "kept").select("id", "unit", F.lit("duplicate").alias("role"), "unit_ms", "unit_at_us", "unit_start_us")
+    copies = rows.where("id <> kept or ids is not null").select(F.explode(F.coalesce("ids", F.array("id"))).alias("id"), "kept").where("id <> kept").join(units.withColumnRenamed("id", "kept"), "kept").select("id", "unit", F.lit("duplicate").alias("role"), "unit_ms", "unit_at_us", "unit_start_us")
     return units.unionByName(copies)
 
 
@@ -284,7 +289,10 @@ def _heads(observations: DataFrame, units: DataFrame) -> DataFrame:
 
 def _plays(heads: DataFrame, scope: Scope) -> DataFrame:
     """unit and play of each of _heads' rows that joins another one's play."""
-    full = with_start(with_channel(heads)).withColumns({"start_us": F.col("unit_start_us"), "bridge": bridge_key(F.col("artist_name"), F.col("track_name"))})
+    full = with_start(with_channel(heads)).withColumn("start_us", F.col("unit_start_us"))
+    # tracks are played again and again: each name is made plain once
+    names = heads.select(F.col("artist_name").alias("_artist"), F.col("track_name").alias("_track")).distinct().withColumn("bridge", bridge_key(F.col("_artist"), F.col("_track")))
+    full = full.join(names, F.col("artist_name").eqNullSafe(F.col("_artist")) & F.col("track_name").eqNullSafe(F.col("_track")))
     slim = scope.written(full.select("user_id", "id", "start_us", "channel", "priority", "resolved_track_id", "bridge", "normalizable"))
     return nearest_first(candidate_pairs(slim), scope)
 
@@ -304,7 +312,8 @@ def group(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
 def project(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
     """The plays: play, user_id, track_id, service, import_source, played_at (of the best stamp), ms_played (the first known by priority), source_services (in order of priority), context (JSON, with the others' under merged_from_<channel>), members, divergent, start_us (of the winner) and anchor_us (the earliest start); import_batch_id too, if observations have it.
 
-    Only units bring facts to a play, so only theirs are dealt, once to their ids and once to their plays; contexts, which are long, are built there.
+    Only units bring facts to a play, so only theirs are dealt, once to their ids and once to their plays; contexts, which are long, are built there,
+    and only if they are asked for.
     """
     scope = scope or Scope(observations.sparkSession)
     units = same_channel(with_start(with_channel(observations)), scope)
@@ -313,7 +322,7 @@ def project(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
     full = with_channel(heads).join(members, F.col("id") == F.col("unit")).join(_plays(heads, scope), "unit", "left").withColumn("play", F.coalesce("play", "unit"))
     full = with_context(full.repartition("play"))
     rank = F.struct("priority", "id")
-    ordered = F.array_sort(F.collect_list(F.struct("priority", "id", "service", "channel", "context", F.col("unit_ms").alias("ms"))))
+    in_order = lambda *columns: F.array_sort(F.collect_list(F.struct("priority", "id", *columns)))
     batch = [F.min_by("import_batch_id", rank).alias("import_batch_id")] if "import_batch_id" in observations.columns else []
     plays = full.groupBy("play").agg(
         F.first("user_id").alias("user_id"),
@@ -324,18 +333,19 @@ def project(observations: DataFrame, scope: Scope | None = None) -> DataFrame:
         F.min_by("unit_start_us", F.struct(-F.col("quality"), "priority", "id")).alias("_at"),
         F.min_by("unit_start_us", rank).alias("start_us"),
         F.min("unit_start_us").alias("anchor_us"),
-        ordered.alias("_members"),
+        F.min_by("unit_ms", F.when(F.col("unit_ms").isNotNull(), rank)).alias("ms_played"),
+        in_order("service").alias("_services"),
+        in_order("channel", "context").alias("_contexts"),
         F.coalesce(F.min("resolved_track_id") < F.max("resolved_track_id"), F.lit(False)).alias("divergent"),
         F.sort_array(F.flatten(F.collect_list("members"))).alias("members"),
     )
-    losers = F.transform(F.slice("_members", F.lit(2), F.size("_members")), lambda x: F.struct(F.concat(F.lit("merged_from_"), x.channel).alias("key"), x.context.alias("value")))
-    known = F.filter("_members", lambda x: x.ms.isNotNull())
+    losers = F.transform(F.slice("_contexts", F.lit(2), F.size("_contexts")), lambda x: F.struct(F.concat(F.lit("merged_from_"), x.channel).alias("key"), x.context.alias("value")))
     return plays.select(
         "play", "user_id", "track_id", "service", "import_source", *["import_batch_id"] * len(batch),
         F.timestamp_micros("_at").cast("timestamp_ntz").alias("played_at"),
-        F.get(known, F.lit(0)).getField("ms").alias("ms_played"),
-        F.array_distinct(F.transform("_members", lambda x: x.service)).alias("source_services"),
-        nested(F.get("_members", F.lit(0)).getField("context"), losers).alias("context"),
+        "ms_played",
+        F.array_distinct(F.transform("_services", lambda x: x.service)).alias("source_services"),
+        nested(F.get("_contexts", F.lit(0)).getField("context"), losers).alias("context"),
         "members", "divergent", "start_us", "anchor_us",
     )
 

@@ -237,10 +237,14 @@ def _(lib):
     from tracklight.sources.scratch import folder
     from tracklight.streaming.projection import apply_batch, read_plays
 
-    base, obs = folder(lib.spark), observations(lib)
+    base, seen = folder(lib.spark), observations(lib)
     columns = ["play", "track_id", "played_at", "ms_played", "anchor_us"]
+    # the stand-in observations are made once, as they come: a folder for each batch
+    seen.withColumn("part", F.pmod(F.hash("id"), F.lit(3))).write.partitionBy("part").parquet(f"{base}/incoming")
+    read = lambda path: lib.spark.read.schema(seen.schema).parquet(path)
     for k in range(3):
-        apply_batch(obs.where(F.pmod(F.hash("id"), F.lit(3)) == k), f"{base}/ledger", f"{base}/plays", k)
+        apply_batch(read(f"{base}/incoming/part={k}"), f"{base}/ledger", f"{base}/plays", k)
+    obs = read(f"{base}/incoming").select(*seen.columns)
     found = differences(P.project(obs).select(*columns), read_plays(lib.spark, f"{base}/plays").select(*columns), "missing", "surplus")
     return found.select(F.col("missing").cast("int").alias("missing"), F.col("surplus").cast("int").alias("surplus"), F.lit(3).alias("batches"))
 

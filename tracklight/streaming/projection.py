@@ -93,14 +93,24 @@ def read_plays(spark: SparkSession, plays: str) -> DataFrame:
     return spark.read.option("basePath", f"{plays}/data").parquet(*[f"{plays}/data/version={v}" for v in sorted(set(days.values()))]).join(F.broadcast(current), ["day", "version"], "left_semi").drop("version")
 
 
+def _fresh(rows: DataFrame, known: DataFrame, scope: Scope) -> DataFrame:
+    """The rows, each id once, that aren't known for their batch's days. Only ids are dealt, and whole rows of those alone that come again."""
+    own = rows.select("day").distinct()
+    there = known.join(own, "day", "left_semi").where("id is not null").select("id", F.lit(1).alias("there"))
+    ids = rows.select("id", F.lit(0).alias("there")).unionByName(there)
+    again = scope.written(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("there").alias("there")).where("n > 1").select(F.col("id").alias("of"), "there"))
+    named = F.col("id").eqNullSafe(F.col("of"))
+    several = first_of_key(rows.join(again.where("there = 0"), named, "left_semi"), ["id"])
+    return rows.join(again, named, "left_anti").unionByName(several)
+
+
 def apply_batch(batch: DataFrame, ledger: str, plays: str, batch_id: int = 0) -> None:
     """Appends the batch's new observations to the ledger (by day and batch, so that a repeated batch replaces itself) and puts the days of plays that it touches. Its own tables are removed."""
     spark, scope = batch.sparkSession, Scope(batch.sparkSession)
     try:
-        stamped = first_of_key(batch, ["id"]).withColumn("day", F.to_date("played_at")).withColumn("batch", F.lit(batch_id))
+        stamped = batch.withColumn("day", F.to_date("played_at")).withColumn("batch", F.lit(batch_id))
         known = _read(spark, ledger, stamped).where(F.col("batch") != batch_id)
-        own = batch.select(F.to_date("played_at").alias("day")).distinct()
-        fresh = stamped.join(known.join(own, "day", "left_semi").select("id"), "id", "left_anti")
+        fresh = _fresh(stamped, known, scope)
         fresh.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(ledger)
         everything = spark.read.schema(stamped.schema).parquet(ledger)
         days = scope.written(touched_days(everything.where(F.col("batch") == batch_id)))
